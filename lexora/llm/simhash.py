@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_words, saved, texts
+from .common import components, in_arrow, lower_words, saved, texts
 
 RADIUS = 3
 SHINGLE = 3
@@ -205,7 +205,7 @@ def near_links(prints: DataFrame, tile: int = 8192) -> DataFrame:
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     met = met.select("key", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.pmod(F.hash("key", F.least("tile", "other"), F.greatest("tile", "other")), F.lit(1 << 20)).alias("deal"), "fp", "tile")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links, "u long, v long")
+    return in_arrow(met.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b"), _links, "u long, v long")
 
 
 def _prints(batches):
@@ -224,7 +224,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     ids = docs.schema[doc_id].dataType.simpleString()
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    fps = saved(src.mapInArrow(_prints, f"doc_id {ids}, fp long, text_hash long"))
+    fps = saved(in_arrow(src, _prints, f"doc_id {ids}, fp long, text_hash long"))
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(near_links(nodes.select("fp")))
     rooted = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
