@@ -8,6 +8,7 @@ from . import mixing
 from .common import table
 from .packing import pack_documents
 from .quality import judge
+from .secrets import find_secrets
 from .simhash import simhash_groups
 
 
@@ -28,11 +29,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE = {
