@@ -9,6 +9,7 @@ from .common import table
 from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets
+from .toxicity import score_toxicity
 from .simhash import simhash_groups
 
 
@@ -33,11 +34,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
 }
 
