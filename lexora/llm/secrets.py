@@ -93,7 +93,7 @@ class Shapes(dict):
     """Words' shapes, remembered up to a bound."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[w] = out = shape(w)
         return out
