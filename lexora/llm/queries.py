@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
 from .common import table
+from .lm import lm_score
 from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets
@@ -38,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -45,6 +50,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op9_lm_score": op9_lm_score,
 }
 
 ORACLE = {
