@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .audio import audio_features, store_audio
 from .common import table
 from .lm import lm_score
 from .packing import pack_documents
@@ -43,6 +44,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(table(spark, sf_dir, "documents"))
 
 
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features(store_audio(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -51,6 +56,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op9_lm_score": op9_lm_score,
+    "op10_audio_features": op10_audio_features,
 }
 
 ORACLE = {
