@@ -162,6 +162,8 @@ class Net:
                         np.add.at(total, inv, part)
                         sums[u] += (total * total).mean(axis=1)
                         table[u] -= 0.1 * total / np.sqrt(sums[u])[:, None]
+        for p in params:  # weights that decay took towards zero are slow (denormal) numbers
+            p[np.abs(p) < 1e-8] = 0
         return self
 
     def score(self, logit: np.ndarray) -> np.ndarray:
