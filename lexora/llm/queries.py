@@ -11,6 +11,7 @@ from .lm import lm_score
 from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets
+from .shards import write_shards
 from .toxicity import score_toxicity
 from .simhash import simhash_groups
 
@@ -48,6 +49,10 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features(store_audio(table(spark, sf_dir, "documents")))
 
 
+def op8_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_training_order_shards": op8_training_order_shards,
     "op9_lm_score": op9_lm_score,
     "op10_audio_features": op10_audio_features,
 }
