@@ -223,6 +223,20 @@ def judge(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns. Equal rows are kept or rejected together."""
-    verdict = judge(docs, labels, **bounds).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["__id"]) & (F.xxhash64(docs["text"]) == verdict["__hash"]), "left_semi")
+    """The rows of ``docs`` that judge() keeps, with its columns. Equal rows are kept or rejected together.
+
+    The statistics are taken twice, for the fit and for the verdict, so that no text is shuffled.
+    """
+    stats = saved(rule_statistics(docs).withColumn("base_failed", base_failed()))
+    forest, threshold = fit(stats, labels, **bounds)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            s = np.array([statistics(t) for t in b.column(at).to_pylist()], np.int64).reshape(-1, len(STATS))
+            ok = (s[:, 0] >= MIN_WORDS) & (100 * s[:, 4] <= REPEAT_PERCENT * s[:, 0])
+            if forest:
+                ok &= forest.score(features(s)) < threshold
+            yield b.filter(pa.array(ok))
+
+    return in_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

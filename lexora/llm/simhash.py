@@ -237,7 +237,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each SimHash group: the one that names it (least doc_id, then least text hash)."""
     groups = simhash_groups(docs)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
-    d = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = d.join(first, d["doc_id"].eqNullSafe(first["__id"]) & (d["__text_hash"] == first["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    keys = ["__none", "__id", "__hash"]
+    named = lambda none, doc_id, text_hash: [none.alias("__none"), F.coalesce(doc_id, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("__id"), text_hash.alias("__hash")]
+    first = first.select(*named(F.col("x.none"), F.col("x.doc_id"), F.col("x.text_hash")))
+    d = docs.select(*docs.columns, *named(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
+    # both steps need the same keys together, so the texts are dealt once
+    return d.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
