@@ -64,6 +64,16 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n
 
 
+def draw_of(*columns) -> Column:
+    """A uniform draw from 0 to 2**31 - 1 by the columns' hash."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 31))
+
+
+def share(rows: int, bound: int) -> int:
+    """The draws below which about ``bound`` of ``rows`` rows lie: a sample costs a filter, and no task returns more than its part."""
+    return 1 << 31 if rows <= bound else -(-(1 << 31) * bound // rows)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salt: int = 64) -> DataFrame:
     """Null-safe equi-join with a side that is nearly always small.
 

@@ -5,11 +5,11 @@ in classes of about equal weight; all other words lie in TAIL classes by their l
 inside of which a word's share is (c + 1) / (all its class's counts + its words + 1), so every
 word has a probability and one of no count has the least. Counts are of all training documents
 and so are the output's starting biases; the recurrent weights are trained by truncated
-backpropagation through time on a bounded number of documents (``fit_docs``, first by hash).
+backpropagation through time on a bounded number of documents (about ``fit_docs``, first by hash).
 
 Documents are scored whole: windows of WINDOW words, the state carried from one to the next. The
-documents of a batch run side by side, longest first, so none is padded. Counts of the ``known``
-commonest words travel with the code; a document's other words meet their counts in a join.
+documents of a batch run side by side, longest first, so none is padded. Counts of up to ``known``
+of the commonest words travel with the code; a document's other words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_arrow, lower_words, saved, texts
+from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts
 
 TAIL = 32
 WINDOW = 32
@@ -244,7 +244,17 @@ def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_do
     counts = saved(token_counts(train))
     n_all, n_words = counts.agg(F.sum("n"), F.count("*")).first()
     n_all = n_all or 0
-    top = counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(known - 1).collect()
+    # counts in steps of 1/32 of a power of e: how many words lie at or above each step decides from which count on they are listed
+    step = F.floor(F.log("n") * 32)
+    steps = sorted(counts.where("token <> ''").groupBy(step.alias("s")).count().collect(), reverse=True)
+    listed_from, total = None, 0
+    for s, c in steps:
+        total += c
+        if total > known - 1:
+            break
+        listed_from = s
+    top = counts.where(F.lit(False) if listed_from is None else (F.col("token") != "") & (step >= listed_from)).collect()
+    top.sort(key=lambda r: (-r[1], r[0]))
     ends = counts.where("token = ''").agg(F.sum("n")).first()[0] or 0
     frequent = min(frequent, len(top) + 1)
     listed = " ".join(r[0] for r in top).encode()
@@ -275,8 +285,9 @@ def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_do
         a = np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w))
         return w, np.append(a, 0)
 
-    key = F.xxhash64(F.lit(4), "doc_id", "text")
-    some = train.where(F.length("text") <= longest).select("text", key.alias("k")).orderBy("k").limit(fit_docs).select("text").collect()
+    draw = draw_of(F.lit(4), "doc_id", "text")
+    some = train.where((F.length("text") <= longest) & (draw < share(ends, fit_docs))).select("text", draw.alias("draw")).collect()
+    some = [(r[0],) for r in sorted(some, key=lambda r: (r[1], r[0]))]
     ids, to, _, _ = index()
     sample = []
     for (t,) in some:
