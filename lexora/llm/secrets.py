@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, texts
+from .common import draw_of, in_arrow, share, texts
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -260,14 +260,17 @@ def stretches(docs: list[str], seed: int = 7):
 
 
 def fit_field(docs: DataFrame, fit_docs: int = 250, longest: int = 200_000) -> Field:
-    """The field of the first hashed ``fit_docs`` documents with a fixed pattern, and as many without.
+    """The field of about ``fit_docs`` documents with a fixed pattern, the first by hash, and as many without.
 
     Fitting, and nothing else, leaves out texts of over ``longest`` code points.
     """
-    key = F.xxhash64(F.lit(3), "doc_id", F.length("text"))
+    draw = draw_of(F.lit(3), "doc_id", "text")
     found = F.col("text").rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}") | F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[a-z0-9+/_.=-]{12}")
-    d = docs.where(F.length("text") <= longest).select("text", key.alias("k"), found.alias("found"))
-    some = [r[0] for hit in (True, False) for r in d.where(F.col("found") == hit).orderBy("k", "text").limit(fit_docs).select("text").collect()]
+    d = docs.where(F.length("text") <= longest)
+    counts = {r[0]: r[1] for r in d.groupBy(found.alias("found")).count().collect()}
+    hit, miss = (share(counts.get(x, 0), fit_docs) for x in (True, False))
+    d = d.where(draw < max(hit, miss)).select("text", draw.alias("draw"), found.alias("found")).where(F.col("draw") < F.when(F.col("found"), hit).otherwise(miss))
+    some = [r[0] for r in sorted(d.select("text", "draw").collect(), key=lambda r: (r[1], r[0]))]
     data = stretches(some)
     field = Field()
     if data is None:
