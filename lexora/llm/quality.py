@@ -5,7 +5,7 @@ pass the base rules, its random splits drawn over each statistic's fixed range:
 no good document lies is cut off after few splits, however many documents lie there (a forest
 fitted on all documents hides a common kind of junk from itself). The threshold is the one that
 rejects most low-quality labelled rows while it rejects at most ``max_loss`` of the good ones.
-Labelled rows are bounded by ``label_rows``, taken by hashed id. All documents are scored.
+Labelled rows are bounded by about ``label_rows``, taken by hashed id. All documents are scored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, saved, texts
+from .common import draw_of, in_arrow, saved, share, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -189,10 +189,12 @@ def base_failed() -> F.Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_rows: int = 50_000, max_loss: float = 0.001) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold, of the labelled rows with the first hashed ids, up to ``label_rows``."""
+    """Forest and threshold, of about ``label_rows`` labelled rows, those with the first hashed ids."""
     lab = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.where(~F.col("base_failed")).join(lab, "doc_id").orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id", "text_hash").limit(label_rows)
-    rows = rows.select("quality", *STATS).toPandas().to_numpy().astype(np.int64)
+    draw = draw_of(F.lit(6), "doc_id")
+    some = lab.where(draw < share(lab.count(), label_rows))
+    rows = stats.where(~F.col("base_failed")).join(some, "doc_id").select("quality", "doc_id", "text_hash", *STATS)
+    rows = rows.toPandas().sort_values(["doc_id", "text_hash"])[["quality", *STATS]].to_numpy().astype(np.int64).reshape(-1, 1 + len(STATS))
     x, good = features(rows[:, 1:]), rows[:, 0] > 0
     if good.sum() < 2:
         return None, math.inf
