@@ -2,8 +2,8 @@
 
 Words are hashed into two embedding tables (a chance collision in one leaves the other), filters
 of several widths run over the whole text, and each keeps its highest value (max pooling). It is
-trained on a bounded number of labelled rows (``toxic_rows`` and ``clean_rows``, the first by
-hashed id); a fifth of them calibrates: scores are shifted so that the best F1 lies at
+trained on a bounded number of labelled rows (about ``toxic_rows`` and ``clean_rows``, the first
+by hashed id); a fifth of them calibrates: scores are shifted so that the best F1 lies at
 ``at_score``, and each language gets its own best threshold beside it. All texts are scored whole.
 """
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, in_arrow, lower_words, texts
+from .common import crc_mod, draw_of, in_arrow, lower_words, share, texts
 
 BUCKETS = 1 << 16
 DIM = 8  # of each of the two tables
@@ -186,9 +186,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows:
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     all_toxic, all_clean = lab.agg(F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))).first()
-    key = F.xxhash64(F.lit(8), "doc_id")
-    some = lab.where("toxic > 0").orderBy(key, "doc_id").limit(toxic_rows).unionAll(lab.where("toxic <= 0").orderBy(key, "doc_id").limit(clean_rows))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy(key, "doc_id").toPandas()
+    draw = draw_of(F.lit(8), "doc_id")
+    some = lab.where(draw < F.when(F.col("toxic") > 0, share(all_toxic or 0, toxic_rows)).otherwise(share(all_clean or 0, clean_rows)))
+    some = F.broadcast(some)  # about toxic_rows + clean_rows ids
+    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id").dropDuplicates(["doc_id"]).withColumn("draw", draw).toPandas().sort_values(["draw", "doc_id"])
     net = Net()
     y = (rows["toxic"].to_numpy() > 0).astype(int) if len(rows) else np.zeros(0, int)
     if y.sum() < 5 or (1 - y).sum() < 5:
