@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import in_arrow, saved, shared_dir, texts
+from .common import draw_of, in_arrow, join_small, saved, share, shared_dir, texts
 
 LENGTH = 1024
 PER_SHARD = 16_384
@@ -128,13 +128,24 @@ def _fs(target: str):
     return fs.FileSystem.from_uri(target) if "://" in target else fs.FileSystem.from_uri(target.replace("file:", "file://", 1) if target.startswith("file:") else f"file://{target}")
 
 
+def _dictionary(blocks: DataFrame, total: int, length: int, sample: int = 16) -> bytes:
+    """What sequences have in common, of about ``sample`` blocks: single sequences compress by it on their way to their shard."""
+    import zstandard
+
+    some = blocks.where(draw_of("part", "block") < share(-(-total // BLOCK), sample)).select("ids").collect()
+    raw = b"".join(zstandard.ZstdDecompressor().decompress(r[0]) for r in some)
+    rows = [raw[i : i + length * 2] for i in range(0, len(raw), length * 2)]
+    return zstandard.train_dictionary(1 << 16, rows).as_bytes() if len(rows) >= 500 else b""
+
+
 def write_shards(docs: DataFrame, target: str | None = None, path: str | None = None, end: int = END, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """Writes the shards and returns one row per sequence: slot, sequence, shard, offset, n_ids, ids_crc32, first_doc_id, first_start.
 
     offset is the record's byte place in its shard's file; n_ids excludes filling; ids_crc32 is of
     the record as read back. first_doc_id and first_start tell the document, and the place in its
     ids, at which the sequence begins. A null or empty text is the end id alone; null ids are
-    kept; repeated rows are written once each; an empty table writes no shard. ``target`` is a
+    kept; repeated rows are written once each; an empty table writes no shard. The rows are kept beside
+    the shards, in manifest. ``target`` is a
     folder that all executors share (a URI that Arrow's file systems open), by default a new one
     under the shared folder. Other columns are not read.
     """
@@ -145,19 +156,21 @@ def write_shards(docs: DataFrame, target: str | None = None, path: str | None =
     blocks = saved(in_arrow(docs.select("doc_id", "text"), _stream(path, length, end), f"part int, block int, n int, ids binary, first_doc array<{kind}>, first_start array<long>, filled array<int>"))
     parts = blocks.groupBy("part").agg(F.sum("n").alias("m"))
     parts = parts.withColumn("before", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("m")).drop("m")
-    inner = blocks.select("part", "block", "n").withColumn("inside", F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")).drop("n")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // per_shard))
-    numbered = blocks.join(inner.join(parts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("at")), ["part", "block"])
+    # all blocks of a partition but the last are full, so one number a partition places them all
+    numbered = join_small(blocks, saved(parts), ["part"], "inner").withColumn("at", F.col("before") + F.col("block") * F.lit(BLOCK).cast("long"))
     system, root = _fs(target)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/layout.json") as f:
         f.write(json.dumps({"sequences": int(total), "length": length, "dtype": "<u2", "per_shard": per_shard, "shards": shards if total else 0, "key": key, "end": end}).encode())
 
+    common = _dictionary(blocks, total, length)
+
     def deal(batches):
         import zstandard
 
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(common) if common else None)
         for b in batches:
             for r in b.to_pylist():
                 raw = unpack.decompress(r["ids"])
@@ -172,7 +185,7 @@ def write_shards(docs: DataFrame, target: str | None = None, path: str | None =
     def write(batches):
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(common) if common else None)
         system, root = _fs(target)
         stride, own = length * 2, f".{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         out, shard, rows = None, None, []
@@ -213,7 +226,8 @@ def write_shards(docs: DataFrame, target: str | None = None, path: str | None =
     dealt = in_arrow(src, deal, f"slot long, shard int, sequence long, n_ids int, first_doc_id {kind}, first_start long, ids binary")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     shape = f"slot long, sequence long, shard int, offset long, n_ids int, ids_crc32 long, first_doc_id {kind}, first_start long"
-    return saved(in_arrow(dealt, write, shape))
+    in_arrow(dealt, write, shape).write.mode("overwrite").parquet(f"{target}/manifest")
+    return spark.read.parquet(f"{target}/manifest")
 
 
 def read_shards(target: str, slot: int = 0):
