@@ -42,7 +42,7 @@ def posts_to_corpus(posts: DataFrame, include_retweet_text: bool = False) -> Dat
 def parse_query_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """query_num, text and malformed of lines '<number>.<text>': text follows the first dot. Blank lines are skipped; lines without a dot are reported as malformed, not searched."""
     line = F.regexp_replace(F.col(column), r"[\r\n]+$", "")
-    out = lines.where(line != "").select(F.regexp_extract(line, r"^([^.]*)\.", 1).try_cast("long").alias("query_num"), F.regexp_extract(line, r"^[^.]*\.(.*)$", 1).alias("text"), ~line.contains(".").alias("malformed"))
+    out = lines.where(line != "").select(F.regexp_extract(line, r"^([^.]*)\.", 1).try_cast("long").alias("query_num"), F.regexp_extract(line, r"^[^.]*\.(.*)$", 1).alias("text"), (~line.contains(".")).alias("malformed"))
     return out
 
 
