@@ -15,7 +15,8 @@ def simple_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", patte
 
 def term_frequencies(terms: DataFrame, key: str = "doc_id", positions: bool = False) -> DataFrame:
     """key, term, tf, max_tf, ntf (and positions). One exchange by key serves the counts and the maximum."""
-    cols = [F.count(F.lit(1)).alias("tf")] + ([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else [])
+    numbers = [F.count_if("is_number").alias("numbers")] if "is_number" in terms.columns else []
+    cols = [F.count(F.lit(1)).alias("tf")] + numbers + ([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else [])
     tf = terms.repartition(F.col(key)).groupBy(key, "term").agg(*cols)
     top = F.max("tf").over(Window.partitionBy(key))
     return tf.withColumn("max_tf", top).withColumn("ntf", F.col("tf") / F.col("max_tf"))

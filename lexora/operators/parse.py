@@ -32,13 +32,24 @@ def consumed(tokens: Column) -> Column:
     return F.split(F.regexp_replace(marks, "M[\\s\\S]", "Ax"), "")
 
 
-def drop_consumed(tokens: Column) -> Column:
-    """(token, flag, next): without what marks take; a mark keeps the token it took in next."""
-    flags = consumed(tokens)
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that is computed once a row, however often later steps use it (within a lambda, once an element otherwise)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def drop_consumed(tokens: Column, flags: Column) -> Column:
+    """(t, f, n) of each token that no mark takes: the token, its flag, and the token after it, which a mark takes. Both columns must be held()."""
     rows = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(flags, i).alias("f"), F.get(tokens, i + 1).alias("n")))
     return F.filter(rows, lambda x: x["f"] != "x")
 
 
+def kept_tokens(texts: DataFrame, tokens: Column) -> DataFrame:
+    """texts with x, the result of drop_consumed."""
+    rows = held(texts, "tokens", tokens)
+    rows = held(rows, "flags", consumed(F.col("tokens")))
+    return held(rows, "x", drop_consumed(F.col("tokens"), F.col("flags"))).drop("tokens", "flags")
+
+
 def token_terms(x: Column, before: Column, after: Column, keep_full_tag: bool = False) -> Column:
     """Terms of one token (a struct of drop_consumed) between its neighbours. Branches are in order of precedence."""
     t = x["t"]
@@ -75,23 +86,22 @@ def parse(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop
     Documents' own URL terms come with them; queries' are found in their text. A null text has no
     terms. ``stem`` stems alphabetic terms but not URL terms.
     """
-    tokens = without_stop_words(tokenizer(F.col("text")), stop)
-    rows = texts.select(F.col(key), F.col("text"), *(["url_terms"] if "url_terms" in texts.columns else []), drop_consumed(tokens).alias("x"))
-    rows = rows.withColumn("t", F.transform("x", lambda x: x["t"]))
-
-    def every(x, i):
-        out = token_terms(x, F.get(F.col("t"), i - 1), F.get(F.col("t"), i + 1), keep_full_tag)
-        number = R.letterless(x["t"]) & x["t"].rlike(r"\p{Nd}") & ~R.is_date(x["t"])
-        return F.transform(out, lambda w: F.struct(w.alias("term"), i.alias("pos"), F.lit(False).alias("is_entity"), number.alias("is_number"), F.lit(False).alias("is_url")))
-
-    words = F.flatten(F.transform(F.col("x"), every))
-    phrases = F.transform(entity_phrases(F.col("t")), lambda p: F.struct(p["phrase"].alias("term"), p["pos"].alias("pos"), F.lit(True).alias("is_entity"), F.lit(False).alias("is_number"), F.lit(False).alias("is_url")))
+    own = texts.select(key, "text", *(["url_terms"] if "url_terms" in texts.columns else []))
+    rows = kept_tokens(own, without_stop_words(tokenizer(F.col("text")), stop))
+    beside = F.transform("x", lambda y, i: F.struct(y.alias("x"), F.get(F.col("x"), i - 1)["t"].alias("before"), F.get(F.col("x"), i + 1)["t"].alias("after")))
+    words = rows.select(key, F.posexplode(beside).alias("pos", "y")).select(key, "pos", "y.*")
+    number = R.letterless(F.col("x.t")) & F.col("x.t").rlike(r"\p{Nd}") & ~R.is_date(F.col("x.t"))
+    no = F.lit(False)
+    words = words.select(key, F.explode(token_terms(F.col("x"), F.col("before"), F.col("after"), keep_full_tag)).alias("term"), "pos", no.alias("is_entity"), number.alias("is_number"), no.alias("is_url"))
+    phrases = rows.select(key, F.explode(entity_phrases(F.transform("x", lambda x: x["t"]))).alias("p"))
+    phrases = phrases.select(key, F.col("p.phrase").alias("term"), F.col("p.pos").alias("pos"), F.lit(True).alias("is_entity"), no.alias("is_number"), no.alias("is_url"))
     if queries:
         urls = domain_terms(F.regexp_extract_all(F.col("text"), F.lit(URL_IN_QUERY), F.lit(0)))
     else:
-        urls = F.col("url_terms") if "url_terms" in texts.columns else _none()
-    urls = F.transform(F.coalesce(urls, _none()), lambda u: F.struct(u.alias("term"), F.lit(None).cast("int").alias("pos"), F.lit(False).alias("is_entity"), F.lit(False).alias("is_number"), F.lit(True).alias("is_url")))
-    out = rows.select(key, F.explode(F.concat(words, phrases, urls)).alias("y")).select(key, "y.*")
+        urls = F.col("url_terms") if "url_terms" in texts.columns else None
+    out = words.unionByName(phrases)
+    if urls is not None:
+        out = out.unionByName(own.select(key, F.explode(F.coalesce(urls, _none())).alias("term"), F.lit(None).cast("int").alias("pos"), no.alias("is_entity"), no.alias("is_number"), F.lit(True).alias("is_url")))
     if stem:
         out = out.withColumn("to_stem", F.when(~F.col("is_url"), F.col("term")))
         out = stem_terms(out, "to_stem").withColumn("term", F.coalesce("to_stem", "term")).drop("to_stem")
@@ -100,4 +110,4 @@ def parse(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop
 
 def parse_lengths(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS) -> DataFrame:
     """key and doc_length: tokens after stop words and taken tokens are gone."""
-    return texts.select(key, F.size(drop_consumed(without_stop_words(tokenizer(F.col("text")), stop))).alias("doc_length"))
+    return kept_tokens(texts.select(key, "text"), without_stop_words(tokenizer(F.col("text")), stop)).select(key, F.size("x").alias("doc_length"))

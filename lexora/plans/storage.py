@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,12 @@ from pyspark.sql import functions as F
 LOOKUP_TERMS = 10_000
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the one that the cluster shares; a temporary one where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/lexora-index/{uuid.uuid4().hex}"
+
+
 @dataclass
 class Index:
     """vocabulary(term, df), postings(term, doc_id, tf, ntf), doc_stats(doc_id, doc_length, max_tf, created_at), stats(n_docs, n_numbers, stem)."""

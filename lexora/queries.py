@@ -16,7 +16,7 @@ from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_terms
 from .functions.words import STOP_WORDS
 from .operators import correct, index, parse, rank
-from .plans import engine
+from .plans import engine, storage
 from .sources import corpus as sources
 
 K = 10
@@ -313,8 +313,8 @@ def _rows(spark, rows, shape) -> DataFrame:
 )
 def mention_drop(spark, d):
     tokens = F.filter(F.split("text", " "), lambda x: x != "")
-    left = F.transform(F.filter(parse.drop_consumed(tokens), lambda x: x["f"] != "A"), lambda x: x["t"])
-    return _rows(spark, POSTS, "id int, text string").select("id", F.array_join(left, " ").alias("kept"))
+    left = F.transform(F.filter("x", lambda x: x["f"] != "A"), lambda x: x["t"])
+    return parse.kept_tokens(_rows(spark, POSTS, "id int, text string"), tokens).select("id", F.array_join(left, " ").alias("kept"))
 
 
 @query("with " + _values("tags", "id, tag", TAGS) + " select id, array_to_string(list_transform(regexp_extract_all(tag, '[A-Z]*[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), ' ') as pieces from tags")
@@ -426,4 +426,17 @@ def engine_index(spark, d):
 
 @query()
 def engine_search(spark, d):
-    return engine.search(engine.build_index(_corpus(spark, d)), _questions(spark, d), K)
+    folder = storage.new_folder(spark)
+    storage.save(engine.build_index(_corpus(spark, d)), folder)
+    return engine.search(storage.load(spark, folder), _questions(spark, d), K)
+
+
+@query(f"with {VOC} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term where f.term in (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) from benchmark)")
+def index_lookup(spark, d):
+    """Postings of the queries' terms, from an index that was saved and opened again."""
+    freq = _freq(spark, d)
+    vocab = index.vocabulary(freq, 2)
+    stats = _table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
+    folder = storage.new_folder(spark)
+    storage.save(storage.Index(vocab, index.postings(freq, vocab), _dates(spark, d), stats), folder)
+    return storage.lookup(storage.load(spark, folder), _asked(spark, d)).select("term", "doc_id", "tf", F.round("ntf", 9).alias("ntf"))
