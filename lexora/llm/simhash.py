@@ -240,6 +240,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keys = ["__none", "__id", "__hash"]
     named = lambda none, doc_id, text_hash: [none.alias("__none"), F.coalesce(doc_id, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("__id"), text_hash.alias("__hash")]
     first = first.select(*named(F.col("x.none"), F.col("x.doc_id"), F.col("x.text_hash")))
-    d = docs.select(*docs.columns, *named(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
+    d = docs.select(F.struct(*docs.columns).alias("row"), *named(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
     # both steps need the same keys together, so the texts are dealt once
-    return d.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return d.join(first, keys, "left_semi").dropDuplicates(keys).select("row.*")
