@@ -18,6 +18,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lexora-index/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a folder of its own: computed once, short plans for what reads it, and no loss with an executor."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Index:
     """vocabulary(term, df), postings(term, doc_id, tf, ntf), doc_stats(doc_id, doc_length, max_tf, created_at), stats(n_docs, n_numbers, stem)."""
