@@ -4,8 +4,11 @@ P(word | before) = P(class | before) P(word | class, before). The ``frequent`` c
 in classes of about equal weight; all other words lie in TAIL classes by their last letters,
 inside of which a word's share is (c + 1) / (all its class's counts + its words + 1), so every
 word has a probability and one of no count has the least. Counts are of all training documents
-and so are the output's starting biases; the recurrent weights are trained by truncated
-backpropagation through time on a bounded number of documents (about ``fit_docs``, first by hash).
+and so are the output's starting biases. The recurrent weights are trained by truncated
+backpropagation through time on every training document: they start from a fit on the driver
+of about ``fit_docs`` documents (first by hash), then ROUNDS rounds take a disjoint share of
+the documents each. In a round every partition trains on its part, and the weights are averaged,
+weighted by words. Long texts are trained whole: they run through the windows like any others.
 
 Documents are scored whole: windows of WINDOW words, the state carried from one to the next. The
 documents of a batch run side by side, longest first, so none is padded. Counts of up to ``known``
@@ -14,11 +17,14 @@ of the commonest words travel with the code; a document's other words meet their
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +35,11 @@ WINDOW = 32
 HIDDEN = 24
 EMBED = 16
 FLUSH = 200_000
+ROUNDS = 3
+RATE = 0.006
+#: Ids that a partition gathers before it trains on them, and the parts in which weights are averaged.
+BLOCK = 1 << 18
+PARTS = 16
 
 
 def tail_class(w: bytes) -> int:
@@ -143,16 +154,61 @@ class Model:
             for at in range(0, width, window):
                 g, h = self._backward(x_all[at : at + window], y_all[at : at + window], h)
                 k += 1
-                lr = rate * (1 - k / (n_all + 1))
-                norm = float(np.sqrt(sum((q * q).sum() for q in g.values())))
-                scale = min(1.0, clip / max(norm, 1e-9))
-                for name, q in g.items():
-                    q = q * scale
-                    m[name] += 0.1 * (q - m[name])
-                    v2[name] += 0.005 * (q * q - v2[name])
-                    self.p[name] -= (lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v2[name] / (1 - 0.995**k)) + 1e-7)).astype(np.float32)
+                self._adam(g, m, v2, k, rate * (1 - k / (n_all + 1)), clip)
         return self
 
+    def _adam(self, g: dict, m: dict, v2: dict, k: int, lr: float, clip: float) -> None:
+        norm = float(np.sqrt(sum((q * q).sum() for q in g.values())))
+        scale = min(1.0, clip / max(norm, 1e-9))
+        for name, q in g.items():
+            q = q * scale
+            m[name] += 0.1 * (q - m[name])
+            v2[name] += 0.005 * (q * q - v2[name])
+            self.p[name] -= (lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v2[name] / (1 - 0.995**k)) + 1e-7)).astype(np.float32)
+
+    def learn(self, docs: Iterable[np.ndarray], rate: float, streams: int = 128, window: int = 20, clip: float = 1.0) -> int:
+        """One pass of fit()'s steps over every id of docs, a BLOCK at a time; the number of ids trained on."""
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        k = done = last = 0
+
+        def train(ids):
+            """Trains on as many ids as fill the streams; the rest."""
+            nonlocal k, done, last
+            n = max(1, min(streams, len(ids) // (2 * window)))
+            width = len(ids) // n
+            y = ids[: n * width].reshape(n, width).T
+            x = np.append(last, ids[: n * width - 1]).reshape(n, width).T
+            h = np.zeros((n, HIDDEN), np.float32)
+            for at in range(0, width, window):
+                g, h = self._backward(x[at : at + window], y[at : at + window], h)
+                k += 1
+                self._adam(g, m, v2, k, rate, clip)
+            done += n * width
+            last = ids[n * width - 1]
+            return ids[n * width :]
+
+        some, size = [], 0
+        for d in docs:
+            some.append(d)
+            size += len(d)
+            if size >= BLOCK:
+                some = [train(np.concatenate(some))]
+                size = len(some[0])
+        rest = np.concatenate(some) if some else np.zeros(0, np.int64)
+        while len(rest):
+            rest = train(rest)
+        return done
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, a: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = a[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def _backward(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Gradients of the mean loss over a window (steps, streams), and the state after it."""
         p, (steps, n) = self.p, x.shape
@@ -231,13 +287,46 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("text"), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def train_round(model: Model, train: DataFrame, sequences: Callable, rate: float) -> int:
+    """Trains model on every row of ``train(text)``; the number of ids trained on.
+
+    Each partition trains a copy on its rows. The copies meet in PARTS parts by a shuffle, are
+    added in the partitions' order, and their mean, weighted by ids, is all that the driver gets.
+    """
+
+    def run(batches):
+        own = copy.deepcopy(model)
+        n = own.learn(sequences(t for b in batches for t in texts(b)), rate)
+        if n:
+            parts = [a.tobytes() for a in np.array_split(own.flat(), PARTS)]
+            columns = [pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "at", "n", "weights"])
+
+    def mean(batches):
+        n: Counter = Counter()
+        total: dict = {}
+        for b in batches:
+            for part, m, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                total[part] = total.get(part, 0.0) + m * np.frombuffer(raw, np.float32).astype(np.float64)
+                n[part] += m
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([n[x] for x in total], pa.int64()), pa.array([(total[x] / n[x]).tobytes() for x in total], pa.binary())], ["part", "n", "weights"])
+
+    copies = in_arrow(train.select("text"), run, "part int, at int, n long, weights binary")
+    rows = in_arrow(copies.repartition(PARTS, "part").sortWithinPartitions("part", "at"), mean, "part int, n long, weights binary").collect()
+    if not rows:
+        return 0
+    model.set_flat(np.concatenate([np.frombuffer(r["weights"], np.float64) for r in sorted(rows, key=lambda r: r["part"])]))
+    return rows[0]["n"]
+
+
 def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_docs: int = 2000, longest: int = 200_000, folds: int = 7, held_out: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training rows are those whose crc32(doc_id) modulo ``folds`` is not ``held_out`` (a null id
     counts as the empty text). A null or empty text is the end alone. Repeated rows count and are
     scored once each. Scores are rounded to 6 decimals. An empty table gives an empty result.
-    Fitting the recurrent weights, and nothing else, leaves out texts of over ``longest`` code points.
+    The start of the recurrent weights, and nothing else, leaves out texts of over ``longest`` code
+    points; the rounds that follow train on every training row.
     """
     held = crc_mod(F.col("doc_id"), folds) == held_out
     train = docs.where(~held)
@@ -288,16 +377,21 @@ def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_do
     draw = draw_of(F.lit(4), "doc_id", "text")
     some = train.where((F.length("text") <= longest) & (draw < share(ends, fit_docs))).select("text", draw.alias("draw")).collect()
     some = [(r[0],) for r in sorted(some, key=lambda r: (r[1], r[0]))]
-    ids, to, _, _ = index()
-    sample = []
-    for (t,) in some:
-        w, a = read(t, ids)
-        rest = np.flatnonzero(a < 0)
-        m = to[np.maximum(a, 0)]
-        m[rest] = [frequent + tail_class(w[i]) for i in rest]
-        sample.append(m)
-    model.fit(sample)
-    del ids, to, sample, some
+
+    def sequences(rows):
+        ids, to, _, _ = index()
+        for t in rows:
+            w, a = read(t, ids)
+            rest = np.flatnonzero(a < 0)
+            m = to[np.maximum(a, 0)]
+            m[rest] = [frequent + tail_class(w[i]) for i in rest]
+            yield m
+
+    model.fit(list(sequences(t or "" for (t,) in some)))
+    del some
+    trained = sum(train_round(model, train.where(F.pmod(draw, F.lit(ROUNDS)) == r), sequences, RATE * (1 - r / ROUNDS)) for r in range(ROUNDS))
+    if trained != n_all:
+        raise RuntimeError(f"trained on {trained} of {n_all} words")
     ln10 = np.log(10)
 
     def run(batches):

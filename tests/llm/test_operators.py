@@ -508,6 +508,24 @@ def test_lm(docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_trains_on_every_row(spark):
+    """Texts too long for the driver's start are learned by the rounds, whole."""
+    text = "ka lo mi ne " * 17_000
+    rows = lm.lm_score(spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string").repartition(2)).collect()
+    assert len(text) > 200_000 and all(r["score"] > 0.5 * r["base_score"] for r in rows)
+
+
+def test_lm_learn_takes_every_id(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 700)
+    m = lm.Model(np.array([9, 5, 4, 2]), np.ones(lm.TAIL), classes=2)
+    seqs = [np.append(np.random.default_rng(i).integers(1, 20, n), 0) for i, n in enumerate((1, 900, 33, 5, 0, 699, 2001))]
+    took = []
+    real = m._backward
+    monkeypatch.setattr(m, "_backward", lambda x, y, h: (took.append(np.bincount(y.ravel(), minlength=40)), real(x, y, h))[1])
+    assert m.learn(seqs, 0.001) == sum(map(len, seqs)) and m.learn([], 0.001) == 0
+    assert (sum(took) == np.bincount(np.concatenate(seqs), minlength=40)).all()
+
+
 def test_lm_windows_carry_the_state(monkeypatch):
     m = lm.Model(np.array([9, 5, 4, 2]), np.ones(lm.TAIL), classes=2)
     seqs = [np.random.default_rng(i).integers(0, 20, n) for i, n in enumerate((1, 70, 33, 5))]
