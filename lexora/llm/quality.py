@@ -28,8 +28,9 @@ REPEAT_PERCENT = 30
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LETTERS = UPPER + UPPER.lower()
 DIGITS = b"0123456789"
-#: The forest sees these shares of the statistics, clipped to these ranges. Repeats are the base rules' business.
-FEATURES = {"word_len": 12.0, "symbols": 3.0, "upper": 1.0, "marks": 2.0}
+SPAN = 50
+#: The forest sees these shares of the statistics, clipped to these ranges. Distinct words are counted by SPAN words, so that a long text's share is not lower.
+FEATURES = {"word_len": 12.0, "symbols": 3.0, "upper": 1.0, "marks": 2.0, "dup_lines": 1.0, "repeat_words": 1.0, "digits": 1.0, "distinct": 1.0}
 
 
 def _windows(ids: np.ndarray) -> np.ndarray:
@@ -64,7 +65,7 @@ def repeat_words(w: list[bytes]) -> int:
 
 
 def statistics(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_letters, n_marks, n_digits, n_distinct)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_letters, n_marks, n_digits, n_distinct, n_span_distinct)."""
     t = text or ""
     b = t.encode("utf-8", "surrogatepass")
     w = b.split()
@@ -83,17 +84,19 @@ def statistics(text: str | None) -> tuple:
         b.count(b"!") + b.count(b"?"),
         gone(DIGITS),
         len(set(w)),
+        sum(len(set(w[i : i + SPAN])) for i in range(0, len(w), SPAN)),
     )
 
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_distinct"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_digits", "n_distinct", "n_span_distinct"]
 
 
 def features(stats: np.ndarray) -> np.ndarray:
     """(n, len(FEATURES)) of (n, len(STATS)) counts; shares that do not depend on a text's length."""
     s = stats.astype(np.float64)
     w = np.maximum(s[:, 0], 1)
-    x = np.stack([s[:, 1] / w, s[:, 2] / w, s[:, 6] / np.maximum(s[:, 7], 1), s[:, 8] / w], axis=1)
+    shares = [s[:, 1] / w, s[:, 2] / w, s[:, 6] / np.maximum(s[:, 7], 1), s[:, 8] / w, s[:, 3] / np.maximum(s[:, 5], 1), s[:, 4] / w, s[:, 9] / np.maximum(s[:, 1], 1), s[:, 11] / w]
+    x = np.stack(shares, axis=1)
     return np.clip(x, 0.0, list(FEATURES.values()))
 
 

@@ -292,6 +292,18 @@ def test_quality(spark, docs, labels):
     assert all(not r["kept"] for r in rows if r["base_failed"])
 
 
+def test_forest_sees_repeated_words_and_lines():
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{x:03d}" for x in rng.integers(0, 900, n))
+    good = ["\n".join(word(12) for _ in range(int(rng.integers(3, 20)))) for _ in range(300)]
+    few = " ".join(f"w{x:03d}" for x in rng.integers(0, 5, 300))  # few words, no ordinary share betrays it
+    lines = "\n".join([word(60), *(["w111 w222"] * 6)])
+    assert all(100 * quality.statistics(t)[4] <= quality.REPEAT_PERCENT * quality.statistics(t)[0] for t in (few, lines))
+    of = lambda some: quality.features(np.array([quality.statistics(t) for t in some]))
+    f = quality.IsolationForest().fit(of(good), list(quality.FEATURES.values()))
+    assert (f.score(of([few, lines])) > f.score(of(good)).max()).all()
+
+
 def test_quality_awkward(spark, awkward, empty, labels):
     rows = quality.judge(awkward, labels).collect()
     assert len(rows) == len(AWKWARD) and all(r["base_failed"] and not r["kept"] for r in rows if (r["doc_id"] or 99) in (1, 2, 3, 4, 8, 9))
