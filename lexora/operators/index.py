@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import held, run_starts, runs
+from ..functions.rules import simple_tokens
+from ..functions.stem import stem_terms
+from ..plans.storage import spread, written
+from .joins import join_terms
+
 
 def simple_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = "[a-z]+", lower: bool = True) -> DataFrame:
     """key, pos, term: the matches of a pattern."""
-    from ..functions.rules import simple_tokens
-
     return docs.select(key, F.posexplode(simple_tokens(F.col(text), pattern, lower)).alias("pos", "term"))
 
 
-def term_frequencies(terms: DataFrame, key: str = "doc_id", positions: bool = False) -> DataFrame:
-    """key, term, tf, max_tf, ntf (and positions). One exchange by key serves the counts and the maximum."""
-    numbers = [F.count_if("is_number").alias("numbers")] if "is_number" in terms.columns else []
-    cols = [F.count(F.lit(1)).alias("tf")] + numbers + ([F.array_sort(F.collect_list("pos")).alias("positions")] if positions else [])
-    tf = terms.repartition(F.col(key)).groupBy(key, "term").agg(*cols)
+def has_repeats(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether any two rows share a key. Reads the key column alone."""
+    return docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
+
+
+def term_frequencies(docs: DataFrame, tokens: Column, key: str = "doc_id", positions: bool = False) -> DataFrame:
+    """key, term, tf, max_tf, ntf (and positions) of ``docs``, one row a document and term.
+
+    A document's tokens are sorted and counted inside its row, so nothing is shuffled. Rows that
+    share a key are one document: only where there are any are the counts added up by an exchange
+    (their positions follow each row's own).
+    """
+    if positions:
+        source = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("p"))))
+        value = lambda x: x["t"]
+    else:
+        source, value = F.sort_array(tokens), lambda x: x
+    t = spread(docs).select(key, F.explode(F.array(source)).alias("t"))
+    t = held(t, "s", run_starts("t", value))
+    t = held(t, "r", runs("t", "s", value)).withColumn("max_tf", F.array_max(F.transform("r", lambda r: r["tf"])).cast("long"))
+    more = [F.transform(F.slice("t", F.col("x.from") + 1, F.col("x.tf")), lambda y: y["p"]).alias("positions")] if positions else []
+    out = t.select(key, "max_tf", *(["t"] if positions else []), F.explode("r").alias("x")).select(key, F.col("x.term").alias("term"), F.col("x.tf").cast("long").alias("tf"), "max_tf", *more)
+    if has_repeats(docs, key):
+        added = [F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")] if positions else []
+        out = top_frequencies(out.repartition(key).groupBy(key, "term").agg(F.sum("tf").alias("tf"), *added), key)
+        return out
+    return out.withColumn("ntf", F.col("tf") / F.col("max_tf"))
+
+
+def top_frequencies(freq: DataFrame, key: str = "doc_id") -> DataFrame:
+    """freq(key, term, tf, ...) with max_tf and ntf. Rows that lie by key already are not dealt again."""
     top = F.max("tf").over(Window.partitionBy(key))
-    return tf.withColumn("max_tf", top).withColumn("ntf", F.col("tf") / F.col("max_tf"))
+    return freq.withColumn("max_tf", top).withColumn("ntf", F.col("tf") / F.col("max_tf"))
 
 
 def vocabulary(doc_terms: DataFrame, least: int = 1) -> DataFrame:
@@ -28,24 +58,50 @@ def vocabulary(doc_terms: DataFrame, least: int = 1) -> DataFrame:
 
 
 def postings(doc_terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """term, doc_id, tf, ntf of the vocabulary's terms. A join, so that a common term's rows can be split over tasks."""
-    return doc_terms.join(vocab.select("term"), "term", "left_semi").select("term", "doc_id", "tf", "ntf")
+    """term, doc_id, tf, ntf of the vocabulary's terms. Both should be written tables."""
+    return join_terms(doc_terms.select("term", "doc_id", "tf", "ntf"), vocab.select("term", "df"), ["term"], "df").select("term", "doc_id", "tf", "ntf")
 
 
 def doc_stats(doc_terms: DataFrame, lengths: DataFrame, created: DataFrame | None = None) -> DataFrame:
     """doc_id, doc_length, max_tf (and created_at) of documents with a term."""
-    out = doc_terms.groupBy("doc_id").agg(F.max("tf").alias("max_tf")).join(lengths, "doc_id", "left")
+    out = doc_terms.groupBy("doc_id").agg(F.max("max_tf").alias("max_tf")).join(lengths, "doc_id", "left")
     return out if created is None else out.join(created, "doc_id", "left")
 
 
-def fold_case(terms: DataFrame) -> DataFrame:
-    """terms with an all-upper term in lower case wherever the corpus has its lower form; before counting, so that counts add up."""
-    upper = (F.upper("term") == F.col("term")) & (F.lower("term") != F.col("term")) & ~F.col("is_entity") if "is_entity" in terms.columns else (F.upper("term") == F.col("term")) & (F.lower("term") != F.col("term"))
-    forms = terms.select("term").distinct()
-    low = forms.select(F.col("term").alias("low"))
-    fold = forms.where((F.upper("term") == F.col("term")) & (F.lower("term") != F.col("term"))).join(low, F.lower("term") == low["low"]).select(F.col("term").alias("form"), "low")
-    joined = terms.join(fold, terms["term"] == fold["form"], "left")
-    return joined.withColumn("term", F.when(upper & F.col("low").isNotNull(), F.col("low")).otherwise(F.col("term"))).drop("form", "low")
+def is_upper(c: Column) -> Column:
+    return (F.upper(c) == c) & (F.lower(c) != c)
+
+
+def fold_case(forms: DataFrame) -> DataFrame:
+    """A vocabulary ``forms(term, ...[, kind])`` with ``folded``: the lower form of an all-upper term wherever the vocabulary has it, else the term.
+
+    The vocabulary is folded and not the corpus: what it counts is added up after it is joined. Entities (kind 'e') stay.
+    """
+    may = is_upper(F.col("term")) & (F.col("kind") != "e") if "kind" in forms.columns else is_upper(F.col("term"))
+    low = forms.select(F.col("term").alias("__low")).distinct()
+    fold = forms.where(may).select(F.col("term").alias("__up")).distinct().join(low, F.lower("__up") == F.col("__low"))
+    out = forms.join(fold, F.col("term") == F.col("__up"), "left")
+    return out.withColumn("folded", F.when(may & F.col("__low").isNotNull(), F.col("__low")).otherwise(F.col("term"))).drop("__up", "__low")
+
+
+def canonical_forms(counts: DataFrame, stem: bool, least_entity: int = 2) -> DataFrame:
+    """form, kind, term, n: the term of each form that ``counts(form, kind, tf)`` holds, stemmed if asked and folded by case.
+
+    Stems are taken once a form, not once a token; URL terms are not stemmed. Entities that occur
+    fewer than ``least_entity`` times are left out.
+    """
+    v = counts.groupBy("form", "kind").agg(F.sum("tf").alias("n")).where((F.col("kind") != "e") | (F.col("n") >= least_entity))
+    v = v.withColumn("term", F.col("form"))
+    if stem:
+        v = stem_terms(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
+    return written(fold_case(written(v)).select("form", "kind", F.col("folded").alias("term"), "n"))
+
+
+def index_frequencies(counts: DataFrame, forms: DataFrame) -> DataFrame:
+    """doc_id, term, tf, max_tf, ntf, numbers, doc_length of parse_counts() rows and their canonical forms, by one exchange by document."""
+    rows = join_terms(counts, forms, ["form", "kind"], "n").select("doc_id", "term", "tf", "numbers", "doc_length")
+    merged = rows.repartition(F.col("doc_id")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("numbers").alias("numbers"), F.max("doc_length").alias("doc_length"))
+    return top_frequencies(merged)
 
 
 def prune_entities(terms: DataFrame, least: int = 2) -> DataFrame:
@@ -55,9 +111,9 @@ def prune_entities(terms: DataFrame, least: int = 2) -> DataFrame:
 
 
 def ordinals(keys: DataFrame, column: str, name: str = "id") -> DataFrame:
-    """A dense number from 0 for each distinct key in its order: range partitions, and counts of them."""
-    dealt = keys.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    """A dense number from 0 for each distinct key in its order: range partitions, written once, and counts of them."""
+    dealt = written(keys.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id()))
     inner = Window.partitionBy("part").orderBy(column)
     ranked = dealt.withColumn("k", F.row_number().over(inner) - 1)
     before = dealt.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count")).select("part", "before")
-    return ranked.join(before, "part").select(column, (F.col("k") + F.col("before")).alias(name))
+    return ranked.join(F.broadcast(before), "part").select(column, (F.col("k") + F.col("before")).alias(name))

@@ -1,4 +1,4 @@
-"""From texts to term rows: one transform over each text's tokens, then one explode. Nothing is shuffled here."""
+"""From texts to term rows: each text is cut into tokens once, what its tokens give is exploded once. Nothing is shuffled here."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.arrays import held, run_starts, runs
 from ..functions.stem import stem_terms
 from ..functions.treebank import treebank_tokens
 from ..functions.urls import domain_terms
@@ -20,7 +21,7 @@ def _none() -> Column:
 
 def without_stop_words(tokens: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Case-sensitive: 'The' stays, 'the' goes."""
-    return F.filter(tokens, lambda t: ~t.isin(stop))
+    return F.filter(tokens, lambda t: ~t.isin(stop)) if stop else tokens
 
 
 def consumed(tokens: Column) -> Column:
@@ -32,11 +33,6 @@ def consumed(tokens: Column) -> Column:
     return F.split(F.regexp_replace(marks, "M[\\s\\S]", "Ax"), "")
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with value as a column that is computed once a row, however often later steps use it (within a lambda, once an element otherwise)."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def drop_consumed(tokens: Column, flags: Column) -> Column:
     """(t, f, n) of each token that no mark takes: the token, its flag, and the token after it, which a mark takes. Both columns must be held()."""
     rows = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(flags, i).alias("f"), F.get(tokens, i + 1).alias("n")))
@@ -50,64 +46,120 @@ def kept_tokens(texts: DataFrame, tokens: Column) -> DataFrame:
     return held(rows, "x", drop_consumed(F.col("tokens"), F.col("flags"))).drop("tokens", "flags")
 
 
-def token_terms(x: Column, before: Column, after: Column, keep_full_tag: bool = False) -> Column:
+def is_plain(t: Column) -> Column:
+    """Most tokens are plain Latin words: no rule but the capital form applies to them."""
+    return t.rlike(r"^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+$") & ~t.isin(SKIPPED)
+
+
+def kept_terms(terms: Column) -> Column:
+    return F.filter(terms, lambda w: ~w.isin([*SKIPPED, ""]))
+
+
+def token_terms(x: Column, before: Column, after: Column, keep_full_tag: bool = False, stop: list[str] = STOP_WORDS) -> Column:
     """Terms of one token (a struct of drop_consumed) between its neighbours. Branches are in order of precedence."""
     t = x["t"]
+    rest = F.substr(t, F.lit(2))
     hyphen = t.contains("-") & ~t.startswith("-")
     emoji = ~hyphen & R.is_emoji(t)
-    cut = F.when(hyphen, t).when(t.startswith("'") | t.startswith("-"), F.substring(t, 2, 1 << 20)).when(t.endswith("."), F.regexp_replace(t, r"\.$", "")).otherwise(t)
+    cut = F.when(hyphen, t).when(t.startswith("'") | t.startswith("-"), rest).when(t.endswith("."), F.regexp_replace(t, r"\.$", "")).otherwise(t)
     first = F.when(hyphen, R.split_hyphen(t)).when(t.startswith("'") | t.startswith("-") | t.endswith("."), _none()).when(R.is_alpha(t), F.array(R.capital_form(t))).otherwise(_none())
     numbers = F.when(hyphen, _none()).otherwise(R.number_terms(t, before, after))
     slash = R.split_slash(cut)
     terms = (
         F.when(t.isin(SKIPPED) | emoji, _none())
         .when((x["f"] == "A") & t.startswith("@"), _none())
-        .when((x["f"] == "A") & t.startswith("#"), R.split_hashtag(F.concat(F.substring(t, 2, 1 << 20), x["n"]), keep_full_tag))
+        .when((x["f"] == "A") & t.startswith("#"), R.split_hashtag(F.concat(rest, x["n"]), keep_full_tag))
         .when(R.is_date(t), F.array(cut))
         .when(F.size(numbers) > 0, numbers)
         .otherwise(F.concat(first, slash))
     )
-    fallback = F.when(emoji | t.isin(SKIPPED) | cut.contains("//t") | cut.isin(PUNCTUATION) | cut.isin(STOP_WORDS) | ~R.is_ascii(cut), _none()).otherwise(F.array(F.lower(cut)))
-    # most tokens are plain Latin words: they take none of the other branches, and cost one match
-    plain = (x["f"] == ".") & t.rlike(r"^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+$") & ~t.isin(SKIPPED)
-    chosen = F.when(plain, F.array(R.capital_form(t))).when(F.size(terms) > 0, terms).otherwise(fallback)
-    return F.filter(chosen, lambda w: ~w.isin([*SKIPPED, ""]))
+    stops = cut.isin(stop) if stop else F.lit(False)
+    fallback = F.when(emoji | t.isin(SKIPPED) | cut.contains("//t") | cut.isin(PUNCTUATION) | stops | ~R.is_ascii(cut), _none()).otherwise(F.array(F.lower(cut)))
+    chosen = F.when((x["f"] == ".") & is_plain(t), F.array(R.capital_form(t))).when(F.size(terms) > 0, terms).otherwise(fallback)
+    return kept_terms(chosen)
 
 
 def entity_phrases(tokens: Column) -> Column:
     """(pos, phrase) of maximal runs of two or more adjacent title-case tokens that begin with an alphabetic one."""
-    kind = lambda t: F.when(R.is_title(t) & R.is_alpha(t), "A").when(R.is_title(t) | R.is_title_hyphen(t), "T").otherwise(".")
-    line = F.array_join(F.transform(tokens, lambda t, i: F.concat(kind(t), i.cast("string"), F.lit(":"), t)), SEP)
-    runs = F.regexp_extract_all(line, F.lit(f"(?<=^|{SEP})A\\d+:[^{SEP}]+(?:{SEP}[AT]\\d+:[^{SEP}]+)+"), F.lit(0))
+    kind = lambda t: F.when(F.lower(t) == t, ".").when(R.is_title(t), F.when(R.is_alpha(t), "A").otherwise("T")).when(R.is_title_hyphen(t), "T").otherwise(".")
+    # only title-case tokens are written out, and only they pass the dearer tests
+    line = F.array_join(F.transform(tokens, lambda t, i: F.when(F.lower(t) == t, ".").otherwise(F.concat(kind(t), i.cast("string"), F.lit(":"), t))), SEP)
+    runs = F.regexp_extract_all(line, F.lit(f"(?<=^|{SEP})A\\d+:[^{SEP}]+(?:{SEP}[AT]\\d+:[^{SEP}]+)++"), F.lit(0))
     return F.transform(runs, lambda r: F.struct(F.regexp_extract(r, r"^A(\d+):", 1).cast("int").alias("pos"), F.regexp_replace(F.regexp_replace(r, r"^A\d+:", ""), f"{SEP}[AT]\\d+:", " ").alias("phrase")))
 
 
+def url_terms(texts: DataFrame, queries: bool) -> Column:
+    """A text's URL terms: a document's come with it, a query's are found in its text."""
+    if queries:
+        return domain_terms(F.regexp_extract_all(F.col("text"), F.lit(URL_IN_QUERY), F.lit(0)))
+    return F.coalesce(F.col("url_terms"), _none()) if "url_terms" in texts.columns else _none()
+
+
+def is_number(t: Column) -> Column:
+    """A token of which the number rules may make terms."""
+    return t.rlike(r"\p{Nd}") & R.letterless(t) & ~R.is_date(t)
+
+
+def parsed_tokens(texts: DataFrame, key: str, tokenizer, stop: list[str], queries: bool) -> DataFrame:
+    """key, x (the result of drop_consumed) and u (URL terms) of each text."""
+    own = texts.select(key, "text", *(["url_terms"] if "url_terms" in texts.columns else []))
+    rows = kept_tokens(own, without_stop_words(tokenizer(F.col("text")), stop))
+    return rows.select(key, "x", url_terms(own, queries).alias("u"))
+
+
+def _neighbours() -> Column:
+    """(x, before, after) of each kept token."""
+    return F.transform("x", lambda y, i: F.struct(y.alias("x"), F.get(F.col("x"), i - 1)["t"].alias("before"), F.get(F.col("x"), i + 1)["t"].alias("after")))
+
+
 def parse(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS, stem: bool = True, queries: bool = False, keep_full_tag: bool = False) -> DataFrame:
-    """Term rows of ``texts(key, text[, url_terms])``: key, term, pos (null for URL terms), is_entity, is_number.
+    """Term rows of ``texts(key, text[, url_terms])``, one an occurrence: key, term, pos (null for URL terms), is_entity, is_number.
 
     Documents' own URL terms come with them; queries' are found in their text. A null text has no
-    terms. ``stem`` stems alphabetic terms but not URL terms.
+    terms. ``stem`` stems alphabetic terms but not URL terms. Texts are read and cut into tokens once.
     """
-    own = texts.select(key, "text", *(["url_terms"] if "url_terms" in texts.columns else []))
-    rows = kept_tokens(own, without_stop_words(tokenizer(F.col("text")), stop))
-    beside = F.transform("x", lambda y, i: F.struct(y.alias("x"), F.get(F.col("x"), i - 1)["t"].alias("before"), F.get(F.col("x"), i + 1)["t"].alias("after")))
-    words = rows.select(key, F.posexplode(beside).alias("pos", "y")).select(key, "pos", "y.*")
-    number = F.col("x.t").rlike(r"\p{Nd}") & R.letterless(F.col("x.t")) & ~R.is_date(F.col("x.t"))
-    no = F.lit(False)
-    words = words.select(key, F.explode(token_terms(F.col("x"), F.col("before"), F.col("after"), keep_full_tag)).alias("term"), "pos", no.alias("is_entity"), number.alias("is_number"), no.alias("is_url"))
-    phrases = rows.select(key, F.explode(entity_phrases(F.transform("x", lambda x: x["t"]))).alias("p"))
-    phrases = phrases.select(key, F.col("p.phrase").alias("term"), F.col("p.pos").alias("pos"), F.lit(True).alias("is_entity"), no.alias("is_number"), no.alias("is_url"))
-    if queries:
-        urls = domain_terms(F.regexp_extract_all(F.col("text"), F.lit(URL_IN_QUERY), F.lit(0)))
-    else:
-        urls = F.col("url_terms") if "url_terms" in texts.columns else None
-    out = words.unionByName(phrases)
-    if urls is not None:
-        out = out.unionByName(own.select(key, F.explode(F.coalesce(urls, _none())).alias("term"), F.lit(None).cast("int").alias("pos"), no.alias("is_entity"), no.alias("is_number"), F.lit(True).alias("is_url")))
+    null = F.lit(None).cast("string")
+    whole = lambda kind, pos, t: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), F.struct(F.struct(t.alias("t"), null.alias("f"), null.alias("n")).alias("x"), null.alias("before"), null.alias("after")).alias("y"))
+    rows = parsed_tokens(texts, key, tokenizer, stop, queries)
+    words = F.transform(_neighbours(), lambda y, i: F.struct(F.lit("w").alias("kind"), i.alias("pos"), y.alias("y")))
+    phrases = F.transform(entity_phrases(F.transform("x", lambda x: x["t"])), lambda p: whole("e", p["pos"], p["phrase"]))
+    urls = F.transform("u", lambda u: whole("u", F.lit(None).cast("int"), u))
+    out = rows.select(key, F.explode(F.concat(words, phrases, urls)).alias("z")).select(key, "z.kind", "z.pos", "z.y.*")
+    t = F.col("x.t")
+    terms = F.when(F.col("kind") == "w", token_terms(F.col("x"), F.col("before"), F.col("after"), keep_full_tag, stop)).otherwise(F.array(t))
+    out = out.select(key, F.explode(terms).alias("term"), "pos", "kind", ((F.col("kind") == "w") & is_number(t)).alias("is_number"))
     if stem:
-        out = out.withColumn("to_stem", F.when(~F.col("is_url"), F.col("term")))
-        out = stem_terms(out, "to_stem").withColumn("term", F.coalesce("to_stem", "term")).drop("to_stem")
-    return out.drop("is_url")
+        out = stem_terms(out.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("term"))), "to_stem").withColumn("term", F.coalesce("to_stem", "term"))
+    return out.select(key, "term", "pos", (F.col("kind") == "e").alias("is_entity"), "is_number")
+
+
+def parse_counts(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS, queries: bool = False, keep_full_tag: bool = False) -> DataFrame:
+    """parse() without stems and positions, counted as far as a text's own row allows: key, form, kind, tf, numbers, doc_length.
+
+    kind is w for words, e for entities, u for URL terms. Plain words are sorted and counted inside
+    the row; only tokens that rules cut or scale become rows of their own. A form may have several
+    rows of a document, their tf adds up. Nothing is shuffled, each text is read once.
+    doc_length is the number of tokens left after stop words and taken tokens.
+    """
+    null = F.lit(None).cast("string")
+    item = lambda kind, t, f=null, n=null, before=null, after=null, tf=F.lit(1): F.struct(F.lit(kind).alias("kind"), t.alias("t"), f.alias("f"), n.alias("n"), before.alias("before"), after.alias("after"), tf.alias("tf"))
+    rows = parsed_tokens(texts, key, tokenizer, stop, queries).withColumn("doc_length", F.size("x"))
+    plain = lambda x: (x["f"] == ".") & is_plain(x["t"])
+    rows = held(rows, "w", F.sort_array(F.transform(F.filter("x", plain), lambda x: x["t"])))
+    rows = held(rows, "s", run_starts("w"))
+    words = F.transform(runs("w", "s"), lambda r: item("p", r["term"], tf=r["tf"]))
+    others = F.transform(F.filter(_neighbours(), lambda y: ~plain(y["x"])), lambda y: item("w", y["x"]["t"], y["x"]["f"], y["x"]["n"], y["before"], y["after"]))
+    phrases = F.transform(entity_phrases(F.transform("x", lambda x: x["t"])), lambda p: item("e", p["phrase"]))
+    urls = F.transform("u", lambda u: item("u", u))
+    out = rows.select(key, "doc_length", F.explode(F.concat(words, others, phrases, urls)).alias("z")).select(key, "doc_length", "z.*")
+    terms = (
+        F.when(F.col("kind") == "p", kept_terms(F.array(R.capital_form(F.col("t")))))
+        .when(F.col("kind") == "w", token_terms(F.struct("t", "f", "n"), F.col("before"), F.col("after"), keep_full_tag, stop))
+        .otherwise(F.array("t"))
+    )
+    tf = F.col("tf").cast("long")
+    numbers = F.when((F.col("kind") == "w") & is_number(F.col("t")), tf).otherwise(F.lit(0).cast("long"))
+    return out.select(key, F.explode(terms).alias("form"), F.when(F.col("kind") == "p", "w").otherwise(F.col("kind")).alias("kind"), tf.alias("tf"), numbers.alias("numbers"), "doc_length")
 
 
 def parse_lengths(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The index on disk: Parquet tables below one folder, postings sorted by term."""
+"""The index on disk: Parquet tables below one folder, postings sorted by term. And tables written between steps."""
 
 from __future__ import annotations
 
@@ -12,19 +12,48 @@ from pyspark.sql import functions as F
 LOOKUP_TERMS = 10_000
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the cluster names none, a temporary one serves a local master, and no other."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.gettempdir().rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A folder of its own below the one that the cluster shares; a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/lexora-index/{uuid.uuid4().hex}"
+    """A folder of its own below the shared one; the file system deletes it when the application ends."""
+    folder = f"{shared_root(spark)}/lexora-index/{uuid.uuid4().hex}"
+    system, path = _path(spark, folder)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    system, path = _path(spark, folder)
+    system.delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in a folder of its own: computed once, short plans for what reads it, and no loss with an executor."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt anew where it lies in fewer parts than there are cores: work on texts would leave cores idle. A corpus of many files stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 @dataclass
 class Index:
     """vocabulary(term, df), postings(term, doc_id, tf, ntf), doc_stats(doc_id, doc_length, max_tf, created_at), stats(n_docs, n_numbers, stem)."""

@@ -1,13 +1,13 @@
 """Registered queries of the retrieval engine and their SQL, over the driver's tables.
 
 documents is the corpus, benchmark the query set, events give documents their dates
-(doc_id = event_id), pages the URLs, conversations texts of several fields. Rules for posts run
-over small inline tables that both engines read.
+(doc_id = event_id), pages the URLs, conversations texts of several fields. Every query reads whole
+tables; rules of single tokens run over all distinct tokens of a table's texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import rules as R
@@ -15,7 +15,7 @@ from .functions import urls as U
 from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_terms
 from .functions.words import STOP_WORDS
-from .operators import correct, index, parse, rank
+from .operators import correct, index, joins, parse, rank
 from .plans import engine, storage
 from .sources import corpus as sources
 
@@ -43,12 +43,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return index.simple_terms(_table(spark, d, "documents"))
+def _freq(spark: SparkSession, d: str) -> DataFrame:
+    return index.term_frequencies(_table(spark, d, "documents"), R.simple_tokens(F.col("text")))
 
 
-def _freq(spark: SparkSession, d: str) -> DataFrame:
-    return index.term_frequencies(_terms(spark, d))
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return index.simple_terms(storage.spread(_table(spark, d, "documents")))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +56,16 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return index.simple_terms(b.withColumnRenamed("item_id", "query_num"), "query_num")
 
 
+def _words(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    """Distinct tokens between blanks of a table's text columns."""
+    t = storage.spread(_table(spark, d, table))
+    return t.select(F.explode(F.array_distinct(F.concat(*[_blank_tokens(F.col(c)) for c in columns]))).alias("token")).distinct()
+
+
+def _blank_tokens(text):
+    return R.simple_tokens(text, BLANK_TOKEN, lower=False)
+
+
 def _dates(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("created_at"))
 
@@ -64,8 +74,12 @@ def _lit(x) -> str:
     return "null" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
 
-def _values(name: str, columns: str, rows: list[tuple]) -> str:
-    return f"{name}({columns}) as (values {', '.join('(' + ', '.join(map(_lit, r)) + ')' for r in rows)})"
+#: What lies between blanks.
+BLANK_TOKEN = r"[^ \t\n\r\f\x0B]+"
+
+
+def _sql_words(table: str, *columns: str) -> str:
+    return f"w as (select distinct unnest({' || '.join(f'regexp_extract_all({c}, {_lit(BLANK_TOKEN)})' for c in columns)}) as token from {table})"
 
 
 TOK = "tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents)"
@@ -91,12 +105,12 @@ def token_counts(spark, d):
 
 @query("select doc_id, len(regexp_extract_all(lower(text), '[a-z]+'))::int as doc_length from documents")
 def doc_length(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.size(R.simple_tokens(F.col("text"))).alias("doc_length"))
+    return storage.spread(_table(spark, d, "documents")).select("doc_id", F.size(R.simple_tokens(F.col("text"))).alias("doc_length"))
 
 
 @query(f"with {TF} select doc_id, term, tf from tf")
 def term_frequency(spark, d):
-    return _terms(spark, d).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _freq(spark, d).select("doc_id", "term", "tf")
 
 
 @query(f"with {TF} select doc_id, max(tf) as max_tf from tf group by doc_id")
@@ -111,7 +125,8 @@ def normalized_tf(spark, d):
 
 @query("with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as a from documents), p as (select doc_id, unnest(a) as term, generate_subscripts(a, 1) - 1 as pos from t) select doc_id, term, string_agg(pos, ',' order by pos) as positions from p group by doc_id, term")
 def term_positions(spark, d):
-    return index.term_frequencies(_terms(spark, d), positions=True).select("doc_id", "term", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    freq = index.term_frequencies(_table(spark, d, "documents"), R.simple_tokens(F.col("text")), positions=True)
+    return freq.select("doc_id", "term", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
 @query(f"with {TF} select term, count(*) as df from tf group by term")
@@ -126,29 +141,31 @@ def hapax_pruned_vocabulary(spark, d):
 
 @query(f"with {TOK} select doc_id, term, count(*) as tf from tok where term not in {STOPS} group by doc_id, term")
 def stopword_filtered_tf(spark, d):
-    tokens = parse.without_stop_words(R.simple_tokens(F.col("text")))
-    return _table(spark, d, "documents").select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return index.term_frequencies(_table(spark, d, "documents"), parse.without_stop_words(R.simple_tokens(F.col("text")))).select("doc_id", "term", "tf")
+
+
+def _counted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(frequencies, vocabulary of terms of two documents or more), both written: documents are read once."""
+    freq = storage.written(_freq(spark, d))
+    return freq, storage.written(index.vocabulary(freq, 2))
 
 
 @query(f"with {VOC} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term")
 def postings_lists(spark, d):
-    freq = _freq(spark, d)
-    return index.postings(freq, index.vocabulary(freq, 2)).select("term", "doc_id", "tf", F.round("ntf", 9).alias("ntf"))
+    return index.postings(*_counted(spark, d)).withColumn("ntf", F.round("ntf", 9))
 
 
 @query(f"with {TF} select doc_id, (select len(regexp_extract_all(lower(x.text), '[a-z]+')) from documents x where x.doc_id = tf.doc_id)::int as doc_length, max(tf) as max_tf, (select max(ts) from events where event_id = tf.doc_id) as created_at from tf group by doc_id")
 def doc_metadata(spark, d):
-    docs = _table(spark, d, "documents")
-    lengths = docs.select("doc_id", F.size(R.simple_tokens(F.col("text"))).alias("doc_length"))
-    return index.doc_stats(_freq(spark, d), lengths, _dates(spark, d)).select("doc_id", "doc_length", "max_tf", "created_at")
+    return index.doc_stats(_freq(spark, d), doc_length(spark, d), _dates(spark, d)).select("doc_id", "doc_length", "max_tf", "created_at")
 
 
 @query(f"with {VOC} select (select count(*) from documents) as n_docs, (select count(*) from voc) as n_terms, (select count(*) from freq f join voc on f.term = voc.term) as n_postings, (select count(*) from tok) as n_tokens, (select sum(len(regexp_extract_all(text, '[0-9]+')))::bigint from documents) as n_numbers")
 def corpus_stats(spark, d):
-    docs = _table(spark, d, "documents")
-    freq = _freq(spark, d)
-    vocab = index.vocabulary(freq, 2)
+    docs = storage.spread(_table(spark, d, "documents"))
+    vocab = index.vocabulary(_freq(spark, d), 2)
     a = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(R.simple_tokens(F.col("text"))).cast("long")).alias("n_tokens"), F.sum(F.regexp_count("text", F.lit("[0-9]+")).cast("long")).alias("n_numbers"))
+    # one row by one row
     return a.crossJoin(vocab.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))).select("n_docs", "n_terms", "n_postings", "n_tokens", "n_numbers")
 
 
@@ -169,8 +186,9 @@ def idf(spark, d):
 @query(f"with {VOC} select f.doc_id, f.term, round(ln((select count(*) from documents) / df) / ln(10.0::double) * f.ntf, 9) as tfidf from freq f join voc on f.term = voc.term")
 def tfidf(spark, d):
     n = float(_table(spark, d, "documents").count())
-    freq = _freq(spark, d)
-    return freq.join(index.vocabulary(freq, 2), "term").select("doc_id", "term", F.round(rank.idf(F.lit(n), F.col("df")) * F.col("ntf"), 9).alias("tfidf"))
+    freq, vocab = _counted(spark, d)
+    weighed = joins.join_terms(freq, vocab.withColumn("n", F.col("df")), ["term"], "n")
+    return weighed.select("doc_id", "term", F.round(rank.idf(F.lit(n), F.col("df")) * F.col("ntf"), 9).alias("tfidf"))
 
 
 @query(f"with {ASK}, {WEIGHTS} select w.query_num, term, tf, round(w, 9) as w, round(q_norm, 9) as q_norm, count(*) over (partition by w.query_num) as n_terms from w join qn on w.query_num = qn.query_num")
@@ -178,26 +196,32 @@ def query_weights(spark, d):
     return rank.query_weights(_asked(spark, d)).withColumn("w", F.round("w", 9)).withColumn("q_norm", F.round("q_norm", 9))
 
 
+def _hits(freq: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(weights, frequencies of the queries' terms, their vocabulary): all that a search without an index needs, of one pass over ``freq``."""
+    weights = storage.written(rank.query_weights(asked))
+    hits = storage.written(freq.join(joins.small(weights.select("term").distinct()), "term", "left_semi"))
+    return weights, hits, index.vocabulary(hits, 2)
+
+
 @query(f"with {VOC}, {ASK} select distinct qtok.query_num, f.doc_id from qtok join voc on voc.term = qtok.term join freq f on f.term = voc.term")
 def candidate_docs(spark, d):
-    freq = _freq(spark, d)
-    return rank.candidates(rank.query_weights(_asked(spark, d)), index.postings(freq, index.vocabulary(freq, 2)))
+    weights, hits, vocab = _hits(_freq(spark, d), _asked(spark, d))
+    return rank.candidates(weights, hits.join(joins.small(vocab), "term", "left_semi"))
 
 
-def _cosine(spark, d, asked: DataFrame) -> DataFrame:
-    freq = _freq(spark, d)
-    vocab = index.vocabulary(freq, 2)
-    return rank.cosine_scores(rank.query_weights(asked), freq, vocab, _table(spark, d, "documents").count())
+def _cosine(spark, d, freq: DataFrame, asked: DataFrame) -> DataFrame:
+    weights, hits, vocab = _hits(freq, asked)
+    return rank.cosine_scores(weights, hits, vocab, _table(spark, d, "documents").count())
 
 
 @query(f"with {VOC}, {ASK}, {WEIGHTS}, {SCORES} select query_num, doc_id, score from cos")
 def cosine_scores(spark, d):
-    return _cosine(spark, d, _asked(spark, d))
+    return _cosine(spark, d, _freq(spark, d), _asked(spark, d))
 
 
 @query(f"with {VOC}, {ASK}, {WEIGHTS}, {SCORES} {RANKED}")
 def topk_search(spark, d):
-    return rank.top_results(_cosine(spark, d, _asked(spark, d)), K, _dates(spark, d))
+    return rank.top_results(cosine_scores(spark, d), K, _dates(spark, d))
 
 
 ONE = "qtok as (select query_num, min(term) as term from (select item_id as query_num, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark) group by query_num)"
@@ -206,7 +230,7 @@ ONE = "qtok as (select query_num, min(term) as term from (select item_id as quer
 @query(f"with {VOC}, {ONE}, {WEIGHTS}, {SCORES} {RANKED}")
 def topk_recency_tiebreak(spark, d):
     one = _asked(spark, d).groupBy("query_num").agg(F.min("term").alias("term"))
-    return rank.top_results(_cosine(spark, d, one), K, _dates(spark, d))
+    return rank.top_results(_cosine(spark, d, _freq(spark, d), one), K, _dates(spark, d))
 
 
 # ---------------------------------------------------------------- correction
@@ -219,7 +243,7 @@ FOUND = OOV + ", cand as (select distinct oov.term, voc.term as candidate, voc.d
 def _broken(spark, d) -> DataFrame:
     """The queries with the third and fourth letters of longer words swapped."""
     t = F.col("term")
-    swapped = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.substring(t, 5, 1000))
+    swapped = F.concat(F.substring(t, 1, 2), F.substring(t, 4, 1), F.substring(t, 3, 1), F.substr(t, F.lit(5)))
     return _asked(spark, d).select("query_num", F.when(F.length(t) > 5, swapped).otherwise(t).alias("term"))
 
 
@@ -230,49 +254,57 @@ def oov_query_terms(spark, d):
 
 @query(f"with {VOC}, {BROKEN}, {FOUND} select term, candidate, df from cand")
 def spell_candidates(spark, d):
-    vocab = index.vocabulary(_freq(spark, d), 2)
+    vocab = storage.written(index.vocabulary(_freq(spark, d), 2))
     return correct.spell_candidates(correct.unknown_terms(_broken(spark, d), vocab), vocab)
 
 
 @query(f"with {VOC}, {BROKEN.replace('qtok as', 'asked as')}, {FOUND.replace('from qtok', 'from asked')}, qtok as (select asked.query_num, coalesce(best.candidate, asked.term) as term from asked left join best on best.term = asked.term), {WEIGHTS}, {SCORES} {RANKED}")
 def spell_corrected_search(spark, d):
-    vocab = index.vocabulary(_freq(spark, d), 2)
+    freq, vocab = _counted(spark, d)
     fixed = correct.correct_queries(_broken(spark, d), vocab)
-    return rank.top_results(_cosine(spark, d, fixed), K, _dates(spark, d))
+    return rank.top_results(_cosine(spark, d, freq, fixed), K, _dates(spark, d))
 
 
 CASED = "ctok as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) as raw from documents), cterm as (select doc_id, case when regexp_matches(raw, '^[A-Z]') then upper(raw) else lower(raw) end as term from ctok)"
 
 
 def _cased(spark, d) -> DataFrame:
-    t = index.simple_terms(_table(spark, d, "documents"), pattern="[A-Za-z]+", lower=False)
-    return t.withColumn("term", R.capital_form(F.col("term")))
+    tokens = F.transform(R.simple_tokens(F.col("text"), "[A-Za-z]+", lower=False), R.capital_form)
+    return index.term_frequencies(_table(spark, d, "documents"), tokens)
 
 
 @query(f"with {CASED}, v as (select term, count(distinct doc_id) as df from cterm group by term having count(distinct doc_id) > 1), asked as (select item_id as query_num, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as term from benchmark), forms as (select distinct term from asked) select forms.term, coalesce(a.term, b.term) as found from forms left join v a on a.term = forms.term left join v b on b.term = lower(forms.term)")
 def case_fallback(spark, d):
-    vocab = index.vocabulary(_cased(spark, d).select("doc_id", "term").distinct(), 2)
+    vocab = storage.written(index.vocabulary(_cased(spark, d), 2))
     asked = index.simple_terms(_table(spark, d, "benchmark"), "item_id", pattern="[A-Za-z]+", lower=False)
     return correct.case_fallback(asked.select(F.upper("term").alias("term")).distinct(), vocab)
 
 
 @query(f"with {CASED}, low as (select distinct term from cterm where term = lower(term)), folded as (select c.doc_id, case when c.term = upper(c.term) and low.term is not null then low.term else c.term end as term from cterm c left join low on low.term = lower(c.term)) select term, count(distinct doc_id) as df, count(*) as tf from folded group by term")
 def casefold_vocabulary(spark, d):
-    folded = index.fold_case(_cased(spark, d))
-    return folded.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    freq = storage.written(_cased(spark, d).select("doc_id", "term", "tf"))
+    folds = storage.written(index.fold_case(freq.groupBy("term").agg(F.sum("tf").alias("n"))))
+    folded = joins.join_terms(freq, folds, ["term"], "n").groupBy("doc_id", "folded").agg(F.sum("tf").alias("tf"))
+    return folded.groupBy(F.col("folded").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+IS_TITLE = "regexp_matches({}, '^\\P{{L}}*(?:[\\p{{Lu}}\\p{{Lt}}][\\p{{Ll}}\\p{{Lo}}\\p{{Lm}}]*(?:\\P{{L}}+|$))+$')"
+HEAD, TAIL = "regexp_extract(token, '^([^-]*)-', 1)", "regexp_extract(token, '^[^-]*(-.*)$', 1)"
 ENTITY = (
-    "t as (select doc_id, regexp_extract_all(text, '\\S+') as a from documents), p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as pos from t), "
-    "k as (select *, pos - row_number() over (partition by doc_id order by pos) as island from p where regexp_full_match(token, '[A-Z][a-z]*')), "
-    "e as (select doc_id, min(pos) - 1 as pos, string_agg(token, ' ' order by pos) as entity from k group by doc_id, island having count(*) >= 2)"
+    f"t as (select doc_id, regexp_extract_all(text, {_lit(BLANK_TOKEN)}) as a from documents), p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as pos from t), "
+    f"k as (select *, case when {IS_TITLE.format('token')} then case when regexp_full_match(token, '\\p{{L}}+') then 'A' else 'T' end "
+    f"when contains(token, '-') and {IS_TITLE.format(HEAD)} and {IS_TITLE.format(TAIL)} then 'T' end as kind from p), "
+    "i as (select *, pos - row_number() over (partition by doc_id order by pos) as island from k where kind is not null), "
+    "f as (select *, min(case when kind = 'A' then pos end) over (partition by doc_id, island) as first from i), "
+    "e as (select doc_id, min(pos) - 1 as pos, string_agg(token, ' ' order by pos) as entity from f where pos >= first group by doc_id, island having count(*) >= 2)"
 )
 
 
 def _entities(spark, d) -> DataFrame:
-    """Runs over plain ASCII words; other tokens are shown to the rule as a mark."""
-    words = F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda t: F.when(t.rlike("^[A-Za-z]+$"), t).otherwise("."))
-    return _table(spark, d, "documents").select("doc_id", F.explode(parse.entity_phrases(words)).alias("e")).select("doc_id", "e.pos", F.col("e.phrase").alias("entity"))
+    """Runs of title-case tokens between blanks, as the rule of the parser finds them."""
+    docs = storage.spread(_table(spark, d, "documents"))
+    rows = docs.select("doc_id", F.explode(F.array(_blank_tokens(F.col("text")))).alias("t"))
+    return rows.select("doc_id", F.explode(parse.entity_phrases(F.col("t"))).alias("e")).select("doc_id", "e.pos", F.col("e.phrase").alias("entity"))
 
 
 @query(f"with {ENTITY} select doc_id, pos::int as pos, entity from e")
@@ -286,84 +318,86 @@ def entity_pruned(spark, d):
     return index.prune_entities(terms).groupBy(F.col("term").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# ---------------------------------------------------------------- rules for posts, over inline tables
-
-POSTS = [(1, "hi @ user bye"), (2, "see # StayAtHome2020 now"), (3, "# # # token end"), (4, "@ @ a b # c"), (5, "last #"), (6, ""), (7, "#COVID19 wave and #stay_at_home")]
-TAGS = [(1, "StayAtHome2020"), (2, "COVID19"), (3, "stay_at_home"), (4, "onetwo"), (5, "ABcdEF12gh")]
-HYPHENS = [(1, "covid-19"), (2, "Covid-"), (3, "state-of-the-art"), (4, "555-3824"), (5, "a--b"), (6, "19-20")]
-SLASHES = [(1, "either/or/x"), (2, "//www.cnn.com/abc"), (3, "//t.co/x"), (4, "no"), (5, "A/BB/cc")]
-DATES = [(1, "22/07/2020"), (2, "3.14"), (3, "3/4"), (4, "555-3824"), (5, "999"), (6, "v1.2"), (7, "1,234"), (8, "10:30"), (9, "12.5.2020x")]
-NUMBERS = [(1, None, "999", None), (2, None, "1000", None), (3, None, "1,234,567", None), (4, None, "55", "million"), (5, None, "2500", "million"), (6, None, "10", "thousand"), (7, None, "3", "billion"), (8, None, "6", "%"), (9, None, "6", "percent"), (10, "usd", "20", None), (11, None, "5000", "percent"), (12, None, ".5", "x"), (13, None, "1000000", None), (14, None, "1000000000", None), (15, "EUR", "1500", "Thousands"), (16, None, "123456789012", "people"), (17, None, "0", None), (18, None, "12345678", None)]
-LETTERS = [(1, "plain ascii"), (2, "café über ñandú"), (3, "日本語 text"), (4, "smile 🙂 end"), (5, "Ā ɏ Ḁ ỿ ’ “q”")]
-URLS = [(1, "a https://t.co/z b https://t.co/y", "{}"), (2, "none", "{}"), (3, "a https://t.co/q", '{"https://t.co/a":"https://www.x.com/b","k":null}'), (4, "t", None)]
-CONCATS = [(1, "a", "b", "b"), (2, "a", "b", "c"), (3, "a", "b", None), (4, "a", None, "c"), (5, "a", None, None)]
-INDICES = [(1, "[174,203]"), (2, ""), (3, None), (4, "[7]")]
-AGES = [(1, "Wed Jul 22 12:20:42 +0000 2020"), (2, "Mon Jul 20 11:19:42 +0000 2020"), (3, "bad date"), (4, None)]
-LINES = [(1, "1.covid is a hoax"), (2, "2.the U.S. economy"), (3, ""), (4, "no dot here"), (5, "12. spaced ")]
-
-
-def _rows(spark, rows, shape) -> DataFrame:
-    return spark.createDataFrame(rows, shape)
+# ---------------------------------------------------------------- rules for posts, over the tables' own texts
 
 
 @query(
-    "with recursive " + _values("posts", "id, text", POSTS) + ", a as (select id, list_filter(string_split(text, ' '), lambda x: x <> '') as t from posts), "
-    "w(id, t, i, o) as (select id, t, 1, []::varchar[] from a union all select id, t, case when regexp_matches(t[i], '^[@#]') and i < len(t) then i + 2 else i + 1 end, case when regexp_matches(t[i], '^[@#]') and i < len(t) then o else list_append(o, t[i]) end from w where i <= len(t)) "
-    "select id, array_to_string(o, ' ') as kept from w where i > len(t)"
+    "with t as (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as a from documents), p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) as i, len(a) as n from t), "
+    "m as (select *, regexp_matches(token, '^[@#]') as mark from p), r as (select *, i - row_number() over (partition by doc_id, mark order by i) as island from m), "
+    "k as (select *, (row_number() over (partition by doc_id, mark, island order by i) - 1) % 2 = 0 as even from r), "
+    "l as (select *, coalesce(lag(mark and even) over (partition by doc_id order by i), false) as taken from k) "
+    "select d.doc_id, coalesce(string_agg(token, ' ' order by i), '') as kept from documents d left join (select * from l where case when mark then even and i = n else not taken end) l on l.doc_id = d.doc_id group by d.doc_id"
 )
 def mention_drop(spark, d):
+    """Texts without the tokens that @ and # take, by pairs from the left."""
     tokens = F.filter(F.split("text", " "), lambda x: x != "")
     left = F.transform(F.filter("x", lambda x: x["f"] != "A"), lambda x: x["t"])
-    return parse.kept_tokens(_rows(spark, POSTS, "id int, text string"), tokens).select("id", F.array_join(left, " ").alias("kept"))
+    return parse.kept_tokens(storage.spread(_table(spark, d, "documents").select("doc_id", "text")), tokens).select("doc_id", F.coalesce(F.array_join(left, " "), F.lit("")).alias("kept"))
 
 
-@query("with " + _values("tags", "id, tag", TAGS) + " select id, array_to_string(list_transform(regexp_extract_all(tag, '[A-Z]*[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), ' ') as pieces from tags")
+@query(f"with {_sql_words('documents', 'text')} select token, array_to_string(list_transform(regexp_extract_all(string_split(token, '#')[1], '[A-Z]*[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9_-]+'), lambda x: lower(x)), ' ') as pieces from w")
 def hashtag_split(spark, d):
-    return _rows(spark, TAGS, "id int, tag string").select("id", F.array_join(R.split_hashtag(F.col("tag")), " ").alias("pieces"))
+    return _words(spark, d, "documents", "text").select("token", F.array_join(R.split_hashtag(F.col("token")), " ").alias("pieces"))
 
 
-@query("with " + _values("t", "id, token", HYPHENS) + " select id, case when len(list_filter(string_split(token, '-'), lambda x: regexp_full_match(x, '\\p{L}+'))) > 0 then array_to_string(list_transform(list_filter(string_split(token, '-'), lambda x: x <> ''), lambda x: lower(x)), ' ') else token end as parts from t")
+@query(f"with {_sql_words('documents', 'text')} select token, case when len(list_filter(string_split(token, '-'), lambda x: regexp_full_match(x, '\\p{{L}}+'))) > 0 then array_to_string(list_transform(list_filter(string_split(token, '-'), lambda x: x <> ''), lambda x: lower(x)), ' ') else token end as parts from w where contains(token, '-')")
 def hyphen_split(spark, d):
-    return _rows(spark, HYPHENS, "id int, token string").select("id", F.array_join(R.split_hyphen(F.col("token")), " ").alias("parts"))
+    return _words(spark, d, "documents", "text").where(F.col("token").contains("-")).select("token", F.array_join(R.split_hyphen(F.col("token")), " ").alias("parts"))
 
 
-@query("with " + _values("t", "id, token", SLASHES) + " select id, case when contains(token, '/') and not contains(token, '//t') then array_to_string(list_filter(string_split(token, '/'), lambda x: length(x) > 1), ' ') else '' end as parts from t")
+@query(f"with {_sql_words('pages', 'url', 'html')} select token, case when contains(token, '/') and not contains(token, '//t') then array_to_string(list_filter(string_split(token, '/'), lambda x: length(x) > 1), ' ') else '' end as parts from w")
 def slash_split(spark, d):
-    return _rows(spark, SLASHES, "id int, token string").select("id", F.array_join(R.split_slash(F.col("token")), " ").alias("parts"))
+    return _words(spark, d, "pages", "url", "html").select("token", F.array_join(R.split_slash(F.col("token")), " ").alias("parts"))
 
 
-@query("with " + _values("t", "id, token", DATES) + " select id, not regexp_matches(token, '\\p{L}') and regexp_matches(token, '\\d{1,4}[-./]\\d{1,4}') as is_date from t")
+@query(f"with {_sql_words('documents', 'text')} select token, not regexp_matches(token, '\\p{{L}}') and regexp_matches(token, '\\p{{Nd}}{{1,4}}[-./]\\p{{Nd}}{{1,4}}') as is_date from w")
 def date_tokens(spark, d):
-    return _rows(spark, DATES, "id int, token string").select("id", R.is_date(F.col("token")).alias("is_date"))
+    return _words(spark, d, "documents", "text").select("token", R.is_date(F.col("token")).alias("is_date"))
 
 
 NUM_CASES = "case when a in ('usd', 'aud', '$') then '$' when a in ('eur', '€') then '€' when a = '£' then '£' when a in ('percent', 'percentage', '%') then '%' else '' end"
 NUM_FMT = "regexp_replace(printf('%.3f', {}), '(\\.\\d*?[1-9]|\\.0)0+$', '\\1')"
-
-
-@query(
-    "with " + _values("n", "id, before, number, after", NUMBERS) + ", m as (select id, lower(before) as b, lower(after) as f, replace(number, ',', '') as s, replace(number, ',', '')::double as x from n), "
-    f"c as (select *, case when contains(s, '.') then {NUM_FMT.format('x')} else s::decimal(38,0)::varchar end as plain, {NUM_CASES.replace(' a ', ' b ')} as sb, {NUM_CASES.replace(' a ', ' f ')} as sf from m) "
-    "select id, sb || case when sf <> '' then plain || sf "
+#: The term of an integer s with value x, between words b and f in lower case.
+NUM_TERM = (
+    "sb || case when sf <> '' then plain || sf "
     f"when f in ('thousand', 'thousands') then case when x < 1000 then plain || 'K' when x < 1e6 then {NUM_FMT.format('x / 1000')} || 'M' else {NUM_FMT.format('x / 1e6')} || 'B' end "
     f"when f in ('million', 'millions') then case when x < 1000 then plain || 'M' else {NUM_FMT.format('x / 1000')} || 'B' end "
     "when f in ('billion', 'billions') then plain || 'B' when x < 1000 then plain "
-    f"when x < 1e6 then {NUM_FMT.format('x / 1000')} || 'K' when x < 1e9 then {NUM_FMT.format('x / 1e6')} || 'M' else {NUM_FMT.format('x / 1e9')} || 'B' end as term from c"
+    f"when x < 1e6 then {NUM_FMT.format('x / 1000')} || 'K' when x < 1e9 then {NUM_FMT.format('x / 1e6')} || 'M' else {NUM_FMT.format('x / 1e9')} || 'B' end"
+)
+NUM_STEPS = f"c as (select *, coalesce(try_cast(s as decimal(38,0))::varchar, s) as plain, {NUM_CASES.replace(' a ', ' b ')} as sb, {NUM_CASES.replace(' a ', ' f ')} as sf from m)"
+INTEGER = "[0-9]+(,[0-9]{3})*"
+
+
+@query(
+    f"with t as (select doc_id, regexp_extract_all(text, {_lit(BLANK_TOKEN)}) as a from documents), p as (select doc_id, unnest(a) as token, generate_subscripts(a, 1) - 1 as pos, a from t), "
+    f"m as (select doc_id, pos::int as pos, coalesce(lower(a[pos]), '') as b, coalesce(lower(a[pos + 2]), '') as f, replace(token, ',', '') as s, replace(token, ',', '')::double as x from p where regexp_full_match(token, '{INTEGER}')), {NUM_STEPS} "
+    f"select doc_id, pos, {NUM_TERM} as term from c"
 )
 def number_normalize(spark, d):
-    t = _rows(spark, NUMBERS, "id int, before string, number string, after string")
-    return t.select("id", F.get(R.number_terms(F.col("number"), F.col("before"), F.col("after")), F.lit(0)).alias("term"))
+    """Terms of all integers of the texts, between the words beside them."""
+    t = storage.spread(_table(spark, d, "documents")).select("doc_id", F.explode(F.array(_blank_tokens(F.col("text")))).alias("a"))
+    rows = t.select("doc_id", F.posexplode(F.transform("a", lambda x, i: F.struct(x.alias("x"), F.get(F.col("a"), i - 1).alias("b"), F.get(F.col("a"), i + 1).alias("f")))).alias("pos", "y")).where(F.col("y.x").rlike(f"^{INTEGER}$"))
+    return rows.select("doc_id", "pos", F.get(R.number_terms(F.col("y.x"), F.col("y.b"), F.col("y.f")), F.lit(0)).alias("term"))
 
 
-@query("with " + _values("t", "id, text", LETTERS) + " select id, regexp_replace(text, '[^\\x{00}-\\x{FF}\\x{100}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{2019}]', '', 'g') as kept from t")
+@query("select doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}\\x{100}-\\x{24F}\\x{1E00}-\\x{1EFF}\\x{2019}]', '', 'g') as kept from documents")
 def charset_filter(spark, d):
-    return _rows(spark, LETTERS, "id int, text string").select("id", R.keep_latin(F.col("text")).alias("kept"))
+    return storage.spread(_table(spark, d, "documents")).select("doc_id", R.keep_latin(F.col("text")).alias("kept"))
 
 
-@query("with " + _values("t", "id, text, urls", URLS) + ", k as (select id, unnest(json_keys(urls)) as k, urls from t where urls is not null), u as (select id, coalesce(json_extract_string(urls, '$.\"' || k || '\"'), k) as url from k union select id, regexp_extract(text, 'https?://\\S+') from t where urls = '{}' and regexp_matches(text, 'https?://')) select id, url from u")
+#: A page as a post: its address twice in the text, and in a map of short to long addresses, an empty one, or none.
+SQL_POSTS = "posts as (select page_id, 'a ' || url || ' b http://x.y/z' as text, case page_id % 3 when 0 then '{}' when 1 then '{\"https://t.co/a\":\"' || url || '\",\"k\":null}' end as urls from pages)"
+
+
+def _posts(spark, d) -> DataFrame:
+    urls = F.when(F.col("page_id") % 3 == 0, "{}").when(F.col("page_id") % 3 == 1, F.concat(F.lit('{"https://t.co/a":"'), "url", F.lit('","k":null}')))
+    return _table(spark, d, "pages").select("page_id", F.concat(F.lit("a "), "url", F.lit(" b http://x.y/z")).alias("text"), urls.alias("urls"))
+
+
+@query(f"with {SQL_POSTS}, k as (select page_id, unnest(json_keys(urls)) as k, urls from posts where urls is not null), u as (select page_id, coalesce(json_extract_string(urls, '$.\"' || k || '\"'), k) as url from k union select page_id, regexp_extract(text, 'https?://\\S+') from posts where urls = '{{}}' and regexp_matches(text, 'https?://')) select page_id, url from u")
 def url_extract(spark, d):
-    t = _rows(spark, URLS, "id int, text string, urls string")
-    return t.select("id", F.explode(U.post_urls(F.col("text"), F.col("urls"))).alias("url"))
+    return _posts(spark, d).select("page_id", F.explode(U.post_urls(F.col("text"), F.col("urls"))).alias("url"))
 
 
 @query("with p as (select page_id, unnest(list_filter(regexp_extract_all(url, '[\\w''|.-]+'), lambda x: contains(x, 'www.'))) as piece from pages), q as (select page_id, string_split(piece, '.')[2] as name from p) select page_id, case when regexp_full_match(name, '\\p{L}+') then case when regexp_matches(name, '^[A-Z]') then upper(name) else lower(name) end else name end as domain from q where name <> '' and not contains(name, 'http') and name not in ('twitter.com', 'web', 'status', 'i')")
@@ -371,9 +405,16 @@ def url_domain_terms(spark, d):
     return _table(spark, d, "pages").select("page_id", F.explode(U.domain_terms(F.array("url"))).alias("domain"))
 
 
-@query("with " + _values("t", "id, a, rq, q", CONCATS) + " select id, a || case when rq is not null then ' ' || rq else '' end || case when q is not null and q is distinct from rq then ' ' || q else '' end as text from t")
+TURNS = "t as (select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn, text) as rq, case when turn % 2 = 0 then lead(text, 2) over (partition by conv_id order by turn, text) else lead(text) over (partition by conv_id order by turn, text) end as q from conversations)"
+
+
+@query(f"with {TURNS} select conv_id, turn, a || case when rq is not null then ' ' || rq else '' end || case when q is not null and q is distinct from rq then ' ' || q else '' end as text from t")
 def concat_text(spark, d):
-    return _rows(spark, CONCATS, "id int, a string, rq string, q string").select("id", U.concat_post(F.col("a"), F.col("rq"), F.col("q")).alias("text"))
+    """A turn as a post that quotes the turns after it; at a conversation's end there are none."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rq = F.lead("text").over(w)
+    t = _table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), rq.alias("rq"), F.when(F.col("turn") % 2 == 0, F.lead("text", 2).over(w)).otherwise(rq).alias("q"))
+    return t.select("conv_id", "turn", U.concat_post(F.col("a"), F.col("rq"), F.col("q")).alias("text"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, len(json_keys(props))::int as n_keys from events")
@@ -382,23 +423,63 @@ def json_url_map(spark, d):
     return _table(spark, d, "events").select("event_id", m["k"].alias("k"), F.size(m).alias("n_keys"))
 
 
-@query("with " + _values("t", "id, s", INDICES) + " select id, len(regexp_extract_all(coalesce(s, ''), '\\d+'))::int as n, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(s, ''), '\\d+'), lambda x: x::int)), 0)::bigint as total from t")
+@query("with t as (select event_id, case when event_id % 5 > 0 then props end as s from events) select event_id, len(regexp_extract_all(coalesce(s, ''), '\\d+'))::int as n, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(s, ''), '\\d+'), lambda x: x::int)), 0)::bigint as total from t")
 def index_array_parse(spark, d):
-    a = U.int_list(F.col("s"))
-    return _rows(spark, INDICES, "id int, s string").select("id", F.size(a).alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+    """Integers of a text field; a fifth of the fields is null."""
+    a = U.int_list(F.when(F.col("event_id") % 5 > 0, F.col("props")))
+    return _table(spark, d, "events").select("event_id", F.size(a).alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
 
 
-@query("with " + _values("t", "id, s", AGES) + " select id, date_diff('second', try_strptime(substr(s, 5), '%b %d %H:%M:%S +0000 %Y'), timestamp '2020-07-23 12:20:42') // 60 as minutes from t")
+@query("with t as (select event_id, case when event_id % 50 = 0 then 'bad date' when event_id % 7 > 0 then strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') end as s from events) select event_id, date_diff('second', try_strptime(substr(s, 5), '%b %d %H:%M:%S +0000 %Y'), timestamp '2030-07-23 12:20:42') // 60 as minutes from t")
 def post_age(spark, d):
-    return _rows(spark, AGES, "id int, s string").select("id", age_minutes(post_time(F.col("s")), F.lit("2020-07-23 12:20:42").cast("timestamp")).alias("minutes"))
+    """Age of events by their time as a post writes it; some are null, some no dates."""
+    t = F.col("ts").cast("timestamp_ntz")
+    s = F.when(F.col("event_id") % 50 == 0, "bad date").when(F.col("event_id") % 7 > 0, F.concat(F.date_format(t, "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format(t, "yyyy")))
+    return _table(spark, d, "events").select("event_id", age_minutes(post_time(s), F.lit("2030-07-23 12:20:42+00:00").cast("timestamp")).alias("minutes"))
 
 
-@query("with " + _values("t", "id, value", LINES) + " select try_cast(regexp_extract(value, '^([^.]*)\\.', 1) as bigint) as query_num, regexp_extract(value, '^[^.]*\\.(.*)$', 1) as text, not contains(value, '.') as malformed from t where value <> ''")
+@query("with t as (select unnest([item_id || '.' || x, x, item_id || ' ' || x || '.', '']) as value from (select item_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') as x from benchmark)) select try_cast(regexp_extract(value, '^([^.]*)\\.', 1) as bigint) as query_num, regexp_extract(value, '^[^.]*\\.(.*)$', 1) as text, not contains(value, '.') as malformed from t where value <> ''")
 def query_file_parse(spark, d):
-    return sources.parse_query_lines(_rows(spark, LINES, "id int, value string"))
-
-
-# ---------------------------------------------------------------- the whole engine; SQL has no stemmer and no Treebank tokens
+    """Query lines with a number, without one, with a dot elsewhere, and blank."""
+    x = F.regexp_replace("text", r"[\r\n]+", " ")
+    n = F.col("item_id").cast("string")
+    lines = _table(spark, d, "benchmark").select(F.explode(F.array(F.concat(n, F.lit("."), x), x, F.concat(n, F.lit(" "), x, F.lit(".")), F.lit(""))).alias("value"))
+    return sources.parse_query_lines(lines)
+
+
+# ---------------------------------------------------------------- the whole engine
+# SQL has no stemmer and no Treebank tokens, so it follows the engine with tokens of letters or digits and without stems:
+# stop words, capital forms, numbers by the words beside them, entities, folding by case, pruning, correction and ranking.
+
+ENGINE = {"tokenizer": lambda text: R.simple_tokens(text, "[A-Za-z]+|[0-9]+", lower=False)}
+SKIP = "('twitter.com', 'web', 'status', 'i', '')"
+
+
+def _sql_parse(key: str, table: str, p: str) -> str:
+    """CTE {p}all(key, pos, term, is_entity, is_number): what parse() gives of a table's texts."""
+    return (
+        f"{p}raw as (select {key} as key, regexp_extract_all(text, '[A-Za-z]+|[0-9]+') as a from {table}), {p}one as (select key, unnest(a) as token, generate_subscripts(a, 1) as i from {p}raw), "
+        f"{p}kept as (select key, token, row_number() over (partition by key order by i) - 1 as pos, coalesce(lower(lag(token) over (partition by key order by i)), '') as b, coalesce(lower(lead(token) over (partition by key order by i)), '') as f from {p}one where token not in {STOPS}), "
+        f"{p}num as (with m as (select *, token as s, token::double as x from {p}kept where regexp_matches(token, '^[0-9]')), {NUM_STEPS} select key, pos, {NUM_TERM} as term from c), "
+        f"{p}title as (select *, pos - row_number() over (partition by key order by pos) as island from {p}kept where regexp_full_match(token, '[A-Z][a-z]*')), "
+        f"{p}all as (select key, pos, case when regexp_matches(token, '^[A-Z]') then upper(token) else lower(token) end as term, false as is_entity, false as is_number from {p}kept where regexp_matches(token, '^[A-Za-z]') and token not in {SKIP} "
+        f"union all select key, pos, term, false, true from {p}num "
+        f"union all select key, min(pos), string_agg(token, ' ' order by pos), true, false from {p}title group by key, island having count(*) >= 2)"
+    )
+
+
+SQL_INDEX = (
+    _sql_parse("doc_id", "documents", "d") + ", terms as (select * from dall where term not in " + SKIP + "), "
+    "ents as (select term from terms where is_entity group by term having count(*) >= 2), lows as (select distinct term from terms), "
+    "folded as (select key as doc_id, case when not is_entity and t.term = upper(t.term) and t.term <> lower(t.term) and lows.term is not null then lows.term else t.term end as term, is_number from terms t left join lows on lows.term = lower(t.term) where not is_entity or t.term in (select term from ents)), "
+    "tf as (select doc_id, term, count(*) as tf, sum(is_number::int) as numbers from folded group by doc_id, term), "
+    "freq as (select *, max(tf) over (partition by doc_id) as max_tf, tf / max(tf) over (partition by doc_id) as ntf from tf), voc as (select term, count(*) as df from tf group by term having count(*) > 1)"
+)
+SQL_ASKED = _sql_parse("item_id", "benchmark", "q") + ", asked as (select key as query_num, term from qall where term not in " + SKIP + ")"
+SQL_FIXED = (
+    SQL_ASKED + ", " + FOUND.replace("from qtok", "from asked") + ", qtok as (select asked.query_num, coalesce(e.term, a.term, best.candidate, asked.term) as term from asked left join voc e on e.term = asked.term "
+    "left join voc a on a.term = case when upper(asked.term) = asked.term then lower(asked.term) when lower(asked.term) = asked.term then upper(asked.term) end left join best on best.term = asked.term)"
+)
 
 
 def _corpus(spark, d) -> DataFrame:
@@ -409,23 +490,52 @@ def _questions(spark, d) -> DataFrame:
     return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_num"), "text")
 
 
-@query()
+@query("with " + _sql_parse("doc_id", "documents", "d") + f" select key as doc_id, pos::int as pos, term, is_entity, is_number from dall where term not in {SKIP}")
 def parsed_terms(spark, d):
-    return parse.parse(_table(spark, d, "documents"))
+    return parse.parse(storage.spread(_table(spark, d, "documents")), stem=False, **ENGINE).select("doc_id", "pos", "term", "is_entity", "is_number")
+
+
+@query(f"with {SQL_INDEX} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term")
+def engine_index(spark, d):
+    return engine.build_index(_corpus(spark, d), stem=False, **ENGINE).postings.withColumn("ntf", F.round("ntf", 9))
+
+
+@query(f"with {SQL_INDEX}, n as (select key as doc_id, count(*)::int as doc_length from dkept group by key) select freq.doc_id, any_value(doc_length) as doc_length, max(tf) as max_tf, max(ts) as created_at from freq join n on n.doc_id = freq.doc_id left join events on event_id = freq.doc_id group by freq.doc_id")
+def engine_documents(spark, d):
+    return engine.build_index(_corpus(spark, d), stem=False, **ENGINE).doc_stats
+
+
+@query(f"with {SQL_INDEX} select (select count(*) from documents) as n_docs, (select sum(numbers) from freq)::bigint as n_numbers, (select count(*) from voc) as n_terms, (select count(*) from freq join voc on voc.term = freq.term) as n_postings")
+def engine_stats(spark, d):
+    ix = engine.build_index(_corpus(spark, d), stem=False, **ENGINE)
+    # one row by one row
+    return ix.stats.select("n_docs", "n_numbers").crossJoin(ix.vocabulary.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings")))
+
+
+@query(f"with {SQL_INDEX}, {SQL_FIXED}, {WEIGHTS}, {SCORES} {RANKED}")
+def engine_search(spark, d):
+    folder = storage.new_folder(spark)
+    storage.save(engine.build_index(_corpus(spark, d), stem=False, **ENGINE), folder)
+    return engine.search(storage.load(spark, folder), _questions(spark, d), K, **ENGINE)
 
 
 @query()
-def stemmed_vocabulary(spark, d):
-    return index.vocabulary(index.term_frequencies(stem_terms(_terms(spark, d))), 2)
+def treebank_terms(spark, d):
+    """Stemmed terms of Treebank tokens, the default."""
+    return parse.parse(storage.spread(_table(spark, d, "documents")))
 
 
 @query()
-def engine_index(spark, d):
-    return engine.build_index(_corpus(spark, d)).vocabulary
+def stemmed_vocabulary(spark, d):
+    freq = storage.written(_freq(spark, d))
+    stems = storage.written(stem_terms(index.vocabulary(freq).withColumn("stem", F.col("term")), "stem"))
+    rows = joins.join_terms(freq.select("doc_id", "term"), stems, ["term"], "df").select("doc_id", F.col("stem").alias("term")).distinct()
+    return index.vocabulary(rows, 2)
 
 
 @query()
-def engine_search(spark, d):
+def treebank_search(spark, d):
+    """The engine as it is by default, with Treebank tokens and stems."""
     folder = storage.new_folder(spark)
     storage.save(engine.build_index(_corpus(spark, d)), folder)
     return engine.search(storage.load(spark, folder), _questions(spark, d), K)
@@ -434,8 +544,7 @@ def engine_search(spark, d):
 @query(f"with {VOC} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term where f.term in (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) from benchmark)")
 def index_lookup(spark, d):
     """Postings of the queries' terms, from an index that was saved and opened again."""
-    freq = _freq(spark, d)
-    vocab = index.vocabulary(freq, 2)
+    freq, vocab = _counted(spark, d)
     stats = _table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
     folder = storage.new_folder(spark)
     storage.save(storage.Index(vocab, index.postings(freq, vocab), _dates(spark, d), stats), folder)

@@ -58,5 +58,5 @@ def query_list(spark: SparkSession, queries: Iterable[str]) -> DataFrame:
 
 def write_results(results: DataFrame, path: str) -> None:
     """One CSV file with a header: query number, document, score; at most the top results of each query."""
-    out = results.orderBy("query_num", "rnk").select(F.col("query_num").alias("Query_num"), F.col("doc_id").alias("Doc_id"), F.col("score").alias("Rank"))
+    out = results.orderBy("query_num", "rnk").select(F.col("query_num").alias("Query_num"), F.col("doc_id").alias("Tweet_id"), F.col("score").alias("Rank"))
     out.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)

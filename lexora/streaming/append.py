@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index, parse
+from ..plans.storage import written
 
 
-def append_postings(docs: DataFrame, path: str, checkpoint: str, **options):
-    """Starts a query that appends each batch of a stream ``docs(doc_id, text)`` to path/batch=<id>; a repeated batch replaces itself."""
+def append_postings(docs: DataFrame, path: str, checkpoint: str, stem: bool = True, **options):
+    """Starts a query that appends each batch of a stream ``docs(doc_id, text)`` to path/batch=<id>; a repeated batch replaces itself.
+
+    Forms are stemmed, and folded by case within their batch; a document lies in one batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        freq = index.term_frequencies(parse.parse(batch, "doc_id", **options))
+        counts = written(parse.parse_counts(batch, "doc_id", **options))
+        freq = index.index_frequencies(counts, index.canonical_forms(counts, stem, least_entity=1))
         freq.select("term", "doc_id", "tf", "ntf").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -22,4 +27,4 @@ def read_postings(spark: SparkSession, path: str, least_df: int = 2) -> tuple[Da
     """(vocabulary, postings) of all batches."""
     rows = spark.read.parquet(path).drop("batch")
     vocab = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
-    return vocab, index.postings(rows, vocab)
+    return vocab, index.postings(rows, written(vocab))

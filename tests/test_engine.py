@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexora.functions.rules import simple_tokens
-from lexora.operators import correct, index, rank
+from lexora.operators import correct, index, joins, parse, rank
 from lexora.plans import engine, storage
 from lexora.sources import corpus as S
 from lexora.sources.schemas import POST_FIELDS
@@ -17,8 +17,52 @@ def docs(spark, rows):
 
 
 def test_frequencies(spark):
-    f = {(r["doc_id"], r["term"]): r for r in index.term_frequencies(index.simple_terms(docs(spark, [(1, "a b a a c a b"), (2, None), (3, "")])), positions=True).collect()}
+    d = docs(spark, [(1, "a b a a c a b"), (2, None), (3, "")])
+    f = {(r["doc_id"], r["term"]): r for r in index.term_frequencies(d, simple_tokens(F.col("text")), positions=True).collect()}
     assert f[1, "a"]["tf"] == 4 and f[1, "b"]["ntf"] == 0.5 and f[1, "a"]["positions"] == [0, 2, 3, 5] and len(f) == 3
+    g = {(r["doc_id"], r["term"]): r for r in index.term_frequencies(d, simple_tokens(F.col("text"))).collect()}
+    assert {k: (r["tf"], r["max_tf"], r["ntf"]) for k, r in g.items()} == {k: (r["tf"], r["max_tf"], r["ntf"]) for k, r in f.items()}
+
+
+def test_frequencies_of_rows_that_share_a_key(spark):
+    got = index.term_frequencies(docs(spark, [(1, "a b a"), (1, "b c"), (2, "c")]), simple_tokens(F.col("text"))).collect()
+    assert sorted((r["doc_id"], r["term"], r["tf"], r["max_tf"]) for r in got) == [(1, "a", 2, 2), (1, "b", 2, 2), (1, "c", 1, 2), (2, "c", 1, 1)]
+
+
+def test_counts_shuffle_nothing(spark):
+    plan = index.term_frequencies(docs(spark, [(1, "a")]), simple_tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "Exchange" not in parse.parse_counts(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+
+
+AWKWARD = [(1, "The quick-witted Fox saw Barack Obama in New York City, 10:30 at 3.14! Obama's $5,000 and 6 percent"), (2, None), (3, ""), (4, "@user said #StayAtHome2020 either/or RT web status"), (5, "NASA nasa Nasa " * 50 + "don't can't I'm"), (6, "#"), (7, "x" * 5000 + " état d'été – 日本 🙂")]
+
+
+@pytest.mark.parametrize("stop", [None, []])
+def test_counts_agree_with_occurrences(spark, stop):
+    """What parse() gives an occurrence a row, parse_counts() gives counted."""
+    more = {} if stop is None else {"stop": stop}
+    d = docs(spark, AWKWARD).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id") + 100, "text").toDF("doc_id", "text")).withColumn("url_terms", F.when(F.col("doc_id") < 3, F.array(F.lit("CNN"), F.lit("x"))))
+    want = parse.parse(d, stem=False, **more).groupBy("doc_id", "term", "is_entity").agg(F.count(F.lit(1)).alias("tf"), F.count_if("is_number").alias("numbers"))
+    got = parse.parse_counts(d, **more).groupBy("doc_id", F.col("form").alias("term"), (F.col("kind") == "e").alias("is_entity")).agg(F.sum("tf").alias("tf"), F.sum("numbers").alias("numbers"))
+    a, b = (sorted(map(tuple, x.collect()), key=repr) for x in (want, got))
+    assert a == b and len(a) > 1000
+    lengths = {r[0]: r[1] for r in parse.parse_lengths(d, **more).collect()}
+    assert all(lengths[r[0]] == r[1] for r in parse.parse_counts(d, **more).select("doc_id", "doc_length").distinct().collect())
+
+
+def test_stop_words_are_those_given(spark):
+    terms = lambda **k: [r["term"] for r in parse.parse(docs(spark, [(1, "don't")]), stem=False, **k).collect()]
+    assert terms() == [] and terms(stop=[]) == ["do", "n't"]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 100])
+def test_join_terms(spark, limit):
+    rows = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1), ("c", 2), ("c", 3), ("zz" * 200, 4), ("gone", 5), (None, 6)], "term string, x int")
+    vocab = spark.createDataFrame([("a", 30, 1), ("b", 1, 2), ("c", 2, 3), ("zz" * 200, 99, 4), ("other", 7, 5)], "term string, n long, y int")
+    got = joins.join_terms(rows, vocab, ["term"], "n", limit)
+    assert got.columns == ["term", "x", "y"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(vocab.drop("n"), "term").collect()))
 
 
 def test_hapax_and_lengths(spark):
@@ -57,8 +101,10 @@ def test_corrections(spark):
 
 
 def test_fold_case_adds_up(spark):
-    t = spark.createDataFrame([(1, "NASA"), (1, "nasa"), (2, "NASA"), (2, "UNO")], "doc_id long, term string")
-    assert sorted((r["doc_id"], r["term"]) for r in index.fold_case(t).collect()) == [(1, "nasa"), (1, "nasa"), (2, "UNO"), (2, "nasa")]
+    ix = engine.build_index(docs(spark, [(1, "NASA nasa"), (2, "NASA"), (2, "UNO NASA"), (3, "UNO")]), **SIMPLE | {"stem": False, "tokenizer": lambda c: simple_tokens(c, "[A-Za-z]+", False)})
+    assert sorted(tuple(r) for r in ix.postings.select("term", "doc_id", "tf").collect()) == [("UNO", 2, 1), ("UNO", 3, 1), ("nasa", 1, 2), ("nasa", 2, 2)]
+    t = spark.createDataFrame([("NASA",), ("nasa",), ("UNO",)], "term string")
+    assert sorted(tuple(r) for r in index.fold_case(t).collect()) == [("NASA", "nasa"), ("UNO", "UNO"), ("nasa", "nasa")]
 
 
 def test_ordinals(spark):
@@ -90,7 +136,7 @@ def test_run_end_to_end(spark, tmp_path):
     assert {r[3] for r in rows if r[0] == 1} == {0.0}  # a term of every document weighs nothing
     assert [r[2] for r in rows if r[0] == 1] == [2, 1, 3]  # newer first, unknown dates last
     csv = spark.read.option("header", True).csv(f"{tmp_path}/out/results")
-    assert csv.columns == ["Query_num", "Doc_id", "Rank"] and csv.count() == len(rows)
+    assert csv.columns == ["Query_num", "Tweet_id", "Rank"] and csv.count() == len(rows)
 
 
 def test_empty_corpus(spark, tmp_path):
