@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,12 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share, the checkpoints' too. Where the cluster names none, a temporary one serves a local master, and no other."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexora-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(named or passing_folder(spark, tempfile.mkdtemp(prefix="lexora-")))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def passing_folder(spark: SparkSession, folder: str) -> str:
+    """folder, made if need be; its file system deletes it when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a folder of its own below the shared one: computed once, and read by columns."""
+    spark = df.sparkSession
+    folder = passing_folder(spark, f"{shared_dir(spark)}/lexora-tables/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ P(word | before) = P(class | before) P(word | class, before). The ``frequent`` c
 in classes of about equal weight; all other words lie in TAIL classes by their last letters,
 inside of which a word's share is (c + 1) / (all its class's counts + its words + 1), so every
 word has a probability and one of no count has the least. Counts are of all training documents
-and so are the output's starting biases. The recurrent weights are trained by truncated
-backpropagation through time on every training document: they start from a fit on the driver
-of about ``fit_docs`` documents (first by hash), then ROUNDS rounds take a disjoint share of
-the documents each. In a round every partition trains on its part, and the weights are averaged,
-weighted by words. Long texts are trained whole: they run through the windows like any others.
+and so are the output's starting biases.
+
+Texts are cut into words twice: for the counts, and, once these are known, into a table of model ids
+that training and scoring read. The recurrent weights are trained by truncated backpropagation
+through time on every training document, whole: they start from a fit on the driver of about
+``fit_stretches`` stretches of ids (first by hash, cut from texts of any length), then ROUNDS rounds
+take a disjoint share of the documents each. In a round every partition trains on its part, and
+the weights are averaged, weighted by words.
 
 Documents are scored whole: windows of WINDOW words, the state carried from one to the next. The
 documents of a batch run side by side, longest first, so none is padded. Counts of up to ``known``
@@ -20,7 +23,7 @@ from __future__ import annotations
 import copy
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts
+from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts, written
 
 TAIL = 32
 WINDOW = 32
@@ -36,7 +39,10 @@ HIDDEN = 24
 EMBED = 16
 FLUSH = 200_000
 ROUNDS = 3
-RATE = 0.006
+RATE = 0.008
+STREAMS = 256
+#: Ids of a stretch that the driver's start may learn from.
+STRETCH = 2048
 #: Ids that a partition gathers before it trains on them, and the parts in which weights are averaged.
 BLOCK = 1 << 18
 PARTS = 16
@@ -46,10 +52,6 @@ def tail_class(w: bytes) -> int:
     return zlib.crc32(w[-2:]) % TAIL
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Model:
     """The recurrent model over ids: 0 the end, 1..frequent-1 words by falling count, then the TAIL classes."""
 
@@ -58,51 +60,75 @@ class Model:
         rng = np.random.default_rng(seed)
         m = self.frequent = len(counts)
         root = np.sqrt(counts.astype(float) + 1)
-        self.cls = np.minimum(np.floor((np.cumsum(root) - root) / root.sum() * classes).astype(np.int64), classes - 1)
-        self.cls = np.unique(self.cls, return_inverse=True)[1]
-        self.classes = int(self.cls.max()) + 1 if m else 0
-        self.members = [np.flatnonzero(self.cls == c) for c in range(self.classes)]
-        self.place = np.zeros(m, np.int64)
-        for w in self.members:
-            self.place[w] = np.arange(len(w))
-        p = np.bincount(self.cls, counts, self.classes) + 1
+        cls = np.minimum(np.floor((np.cumsum(root) - root) / root.sum() * classes).astype(np.int64), classes - 1)
+        cls = np.unique(cls, return_inverse=True)[1]
+        self.classes = int(cls.max()) + 1 if m else 0
+        # a class is a run of ids, from bounds[c] to bounds[c + 1]; every tail class is one of its own
+        self.bounds = np.searchsorted(cls, np.arange(self.classes + 1))
+        self.cls = np.r_[cls, self.classes + np.arange(TAIL)].astype(np.int16)
+        p = np.bincount(cls, counts, self.classes) + 1
+        word_b = np.log(counts + 1.0)
         self.p = {
             "embed": rng.normal(0, 0.1, (m + TAIL, EMBED)),
             "in": rng.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)),
             "in_b": np.r_[np.ones(HIDDEN), np.zeros(2 * HIDDEN)],
             "rec": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)),
             "cls": rng.normal(0, 0.01, (HIDDEN, self.classes + TAIL)),
-            "cls_b": np.log(np.r_[p, tails + 1.0]),
+            "cls_b": np.log(np.r_[p, tails + 1.0]) - np.log(max(p.max(initial=1), tails.max(initial=0) + 1)),
             "word": rng.normal(0, 0.01, (m, HIDDEN)),
-            "word_b": np.log(counts + 1.0),
+            "word_b": word_b - np.concatenate([np.repeat(word_b[s:e].max(), e - s) for s, e in zip(self.bounds, self.bounds[1:])]) if m else word_b,
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One step of the unit: x is the input's projection."""
-        u = h @ self.p["rec"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, u
-
-    def output(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target id (a tail class: of the class) after states h."""
-        own = target < self.frequent
-        k = np.where(own, self.cls[np.where(own, target, 0)], self.classes + target - self.frequent)
-        s = h @ self.p["cls"] + self.p["cls_b"]
-        s -= s.max(axis=1, keepdims=True)
-        rows = np.arange(len(k))
-        out = s[rows, k] - np.log(np.exp(s).sum(axis=1))
+    def step(self, x: np.ndarray, h: np.ndarray, rec_t: np.ndarray | None = None):
+        """One step of the unit, a column a stream: x is the input's projection (3 HIDDEN, streams), h the states before."""
+        u = (self.p["rec"].T if rec_t is None else rec_t) @ h
+        zr = x[: 2 * HIDDEN] + u[: 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        n = r * u[2 * HIDDEN :]
+        n += x[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, u
+
+    def steep(self) -> bool:
+        """Whether a logit may be too large for exp() as it is: states lie in -1..1, so a column's weights bound its logits."""
+        return any(float((np.abs(w).sum(axis=axis) + b).max(initial=0)) > 60 for w, b, axis in ((self.p["cls"], self.p["cls_b"], 0), (self.p["word"], self.p["word_b"], 1)))
+
+    def _softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of the logits, their sums), in place of one another."""
+        s = h @ w
+        s += b
+        if steep:
+            s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        return s, s.sum(axis=1)
+
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """(class of each target, an order by class, (from, to, first id, id after the last) of the classes met that hold several words)."""
+        k = self.cls[target]
         order = np.argsort(k, kind="stable")
         ends = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at) and len(self.members[c]) > 1:
-                w = self.members[c]
-                s = h[at] @ self.p["word"][w].T + self.p["word_b"][w]
-                s -= s.max(axis=1, keepdims=True)
-                out[at] += s[np.arange(len(at)), self.place[target[at]]] - np.log(np.exp(s).sum(axis=1))
+        return k, order, [(int(s), int(e), int(lo), int(hi)) for s, e, lo, hi in zip(ends, ends[1:], self.bounds, self.bounds[1:]) if e > s and hi - lo > 1]
+
+    def output(self, h: np.ndarray, target: np.ndarray, steep: bool | None = None) -> np.ndarray:
+        """Natural log probability of each target id (a tail class: of the class) after states h."""
+        steep = self.steep() if steep is None else steep
+        k, order, met = self._by_class(target)
+        s, total = self._softmax(h, self.p["cls"], self.p["cls_b"], steep)
+        share = s[np.arange(len(k)), k] / total
+        out = np.log(share)
+        hs, ts, inner = h[order], target[order], np.zeros(len(k), h.dtype)
+        for a, e, lo, hi in met:
+            s, total = self._softmax(hs[a:e], self.p["word"][lo:hi].T, self.p["word_b"][lo:hi], steep)
+            inner[a:e] = np.log(s[np.arange(e - a), ts[a:e] - lo] / total)
+        out[order] += inner
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -111,8 +137,10 @@ class Model:
         length = np.array([len(docs[i]) for i in order])
         total = np.zeros(len(docs))
         table = (self.p["embed"] @ self.p["in"] + self.p["in_b"]).astype(np.float32)
-        h = np.zeros((len(docs), HIDDEN), np.float32)
+        rec_t = np.ascontiguousarray(self.p["rec"].T)
+        h = np.zeros((HIDDEN, len(docs)), np.float32)
         last = np.zeros(len(docs), np.int64)
+        steep = self.steep()
         for at in range(0, int(length.max(initial=0)), WINDOW):
             live = int(np.searchsorted(-length, -at))
             part = [docs[i][at : at + WINDOW] for i in order[:live]]
@@ -124,15 +152,15 @@ class Model:
             states = []
             for t in range(steps):
                 k = int(np.searchsorted(-length, -(at + t)))
-                h[:k] = self.step(table[last[:k]], h[:k])[0]
+                h = self.step(np.ascontiguousarray(table[last[:k]].T), h[:, :k], rec_t)[0]
                 last[:k] = ids[t, :k]
-                states.append(h[:k].copy())
+                states.append(h.T)
             owner = np.concatenate([np.arange(len(s)) for s in states])
             target = np.concatenate([ids[t, : len(s)] for t, s in enumerate(states)])
             states = np.concatenate(states)
             for s in range(0, len(target), 1 << 15):
                 e = s + (1 << 15)
-                total += np.bincount(owner[s:e], self.output(states[s:e], target[s:e]), len(docs))
+                total += np.bincount(owner[s:e], self.output(states[s:e], target[s:e], steep), len(docs))
         out = np.zeros(len(docs))
         out[order] = total
         return out
@@ -158,15 +186,24 @@ class Model:
         return self
 
     def _adam(self, g: dict, m: dict, v2: dict, k: int, lr: float, clip: float) -> None:
-        norm = float(np.sqrt(sum((q * q).sum() for q in g.values())))
+        norm = float(np.sqrt(sum(np.vdot(q, q) for q in g.values())))
         scale = min(1.0, clip / max(norm, 1e-9))
+        a, b = lr / (1 - 0.9**k), 1 / (1 - 0.995**k)
         for name, q in g.items():
-            q = q * scale
+            q *= scale
             m[name] += 0.1 * (q - m[name])
-            v2[name] += 0.005 * (q * q - v2[name])
-            self.p[name] -= (lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(v2[name] / (1 - 0.995**k)) + 1e-7)).astype(np.float32)
-
-    def learn(self, docs: Iterable[np.ndarray], rate: float, streams: int = 128, window: int = 20, clip: float = 1.0) -> int:
+            q *= q
+            q -= v2[name]
+            q *= 0.005
+            v2[name] += q
+            np.multiply(v2[name], b, out=q)
+            np.sqrt(q, out=q)
+            q += 1e-7
+            np.divide(m[name], q, out=q)
+            q *= a
+            self.p[name] -= q
+
+    def learn(self, docs: Iterable[np.ndarray], rate: float, streams: int = STREAMS, window: int = 20, clip: float = 1.0) -> int:
         """One pass of fit()'s steps over every id of docs, a BLOCK at a time; the number of ids trained on."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -179,9 +216,9 @@ class Model:
             width = len(ids) // n
             y = ids[: n * width].reshape(n, width).T
             x = np.append(last, ids[: n * width - 1]).reshape(n, width).T
-            h = np.zeros((n, HIDDEN), np.float32)
+            h, steep = np.zeros((n, HIDDEN), np.float32), self.steep()
             for at in range(0, width, window):
-                g, h = self._backward(x[at : at + window], y[at : at + window], h)
+                g, h = self._backward(x[at : at + window], y[at : at + window], h, steep)
                 k += 1
                 self._adam(g, m, v2, k, rate, clip)
             done += n * width
@@ -209,60 +246,78 @@ class Model:
             self.p[k] = a[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def _backward(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
+    def _backward(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, steep: bool | None = None):
         """Gradients of the mean loss over a window (steps, streams), and the state after it."""
         p, (steps, n) = self.p, x.shape
-        e = p["embed"][x]
-        proj = e @ p["in"] + p["in_b"]
-        kept, states = [], []
+        kind, flat_x, target = p["rec"].dtype, x.ravel(), y.ravel()
+        steep = self.steep() if steep is None else steep
+        e = p["embed"][flat_x]
+        across = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
+        proj = across((e @ p["in"] + p["in_b"]).reshape(steps, n, 3 * HIDDEN))
+        live = (x != 0).astype(kind)
+        starts, states = np.empty((steps, HIDDEN, n), kind), np.empty((steps, HIDDEN, n), kind)
+        rec, rec_t, h = p["rec"], np.ascontiguousarray(p["rec"].T), h.T
+        kept = []
         for t in range(steps):
-            start = np.where((x[t] == 0)[:, None], np.float32(0), h)
-            h, z, r, c, u = self.step(proj[t], start)
-            kept.append((start, z, r, c, u))
-            states.append(h)
-        flat, target = np.concatenate(states), y.ravel()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        own = target < self.frequent
-        k = np.where(own, self.cls[np.where(own, target, 0)], self.classes + target - self.frequent)
-        s = flat @ p["cls"] + p["cls_b"]
-        s = np.exp(s - s.max(axis=1, keepdims=True))
-        s /= s.sum(axis=1, keepdims=True)
-        s[np.arange(len(k)), k] -= 1
-        s /= len(k)
+            np.multiply(h, live[t], out=starts[t])
+            h, *rest = self.step(proj[t], starts[t], rec_t)
+            kept.append(rest)
+            states[t] = h
+        flat = across(states).reshape(-1, HIDDEN)
+        rows, g = len(target), {}
+        k, order, met = self._by_class(target)
+        s, total = self._softmax(flat, p["cls"], p["cls_b"], steep)
+        s *= (1 / (total * rows))[:, None]
+        s[np.arange(rows), k] -= kind.type(1 / rows)
         g["cls"], g["cls_b"] = flat.T @ s, s.sum(axis=0)
         dh = s @ p["cls"].T
-        order = np.argsort(k, kind="stable")
-        ends = np.searchsorted(k[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            w = self.members[c]
-            if len(at) and len(w) > 1:
-                s = flat[at] @ p["word"][w].T + p["word_b"][w]
-                s = np.exp(s - s.max(axis=1, keepdims=True))
-                s /= s.sum(axis=1, keepdims=True)
-                s[np.arange(len(at)), self.place[target[at]]] -= 1
-                s /= len(k)
-                g["word"][w], g["word_b"][w] = s.T @ flat[at], s.sum(axis=0)
-                dh[at] += s @ p["word"][w]
-        dh = dh.reshape(steps, n, HIDDEN)
-        back = np.zeros((n, HIDDEN), np.float32)
-        dproj = np.empty((steps, n, 3 * HIDDEN), np.float32)
+        g["word"], g["word_b"] = np.zeros_like(p["word"]), np.zeros_like(p["word_b"])
+        hs, ts, inner = flat[order], target[order], np.zeros((rows, HIDDEN), kind)
+        for a, b, lo, hi in met:
+            w = p["word"][lo:hi]
+            s, total = self._softmax(hs[a:b], w.T, p["word_b"][lo:hi], steep)
+            s *= (1 / (total * rows))[:, None]
+            s[np.arange(b - a), ts[a:b] - lo] -= kind.type(1 / rows)
+            np.matmul(s.T, hs[a:b], out=g["word"][lo:hi])
+            g["word_b"][lo:hi] = s.sum(axis=0)
+            np.matmul(s, w, out=inner[a:b])
+        dh[order] += inner
+        dh = across(dh.reshape(steps, n, HIDDEN))
+        back = np.zeros((HIDDEN, n), kind)
+        dproj, du = np.empty((steps, 3 * HIDDEN, n), kind), np.empty((steps, 3 * HIDDEN, n), kind)
         for t in range(steps - 1, -1, -1):
-            start, z, r, c, u = kept[t]
-            d = dh[t] + back
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (start - c) * z * (1 - z)
-            dr = dc * u[:, 2 * HIDDEN :] * r * (1 - r)
-            dproj[t] = np.concatenate([dz, dr, dc], axis=1)
-            du = np.concatenate([dz, dr, dc * r], axis=1)
-            g["rec"] += start.T @ du
-            back = (d * z + du @ p["rec"].T) * (x[t] != 0)[:, None]
-        flat = dproj.reshape(-1, 3 * HIDDEN)
-        g["in"], g["in_b"] = e.reshape(-1, EMBED).T @ flat, flat.sum(axis=0)
+            z, r, c, u = kept[t]
+            dz, dr, dc = dproj[t].reshape(3, HIDDEN, n)
+            d, rest = dh[t], 1 - z
+            d += back
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= rest
+            dc *= d
+            np.subtract(starts[t], c, out=dz)
+            dz *= rest
+            d *= z
+            dz *= d
+            np.multiply(u[2 * HIDDEN :], dc, out=dr)
+            du[t, 2 * HIDDEN :] = dc * r
+            np.subtract(1, r, out=rest)
+            rest *= r
+            dr *= rest
+            du[t, : 2 * HIDDEN] = dproj[t, : 2 * HIDDEN]
+            back = rec @ du[t]
+            back += d
+            back *= live[t]
+        flat = across(dproj).reshape(-1, 3 * HIDDEN)
+        g["rec"] = across(starts).reshape(-1, HIDDEN).T @ across(du).reshape(-1, 3 * HIDDEN)
+        g["in"], g["in_b"] = e.T @ flat, flat.sum(axis=0)
+        # the gradient of an embedding row is the sum over its places: rows are summed in the order of their ids
         de = flat @ p["in"].T
-        at = x.ravel()
-        g["embed"] = np.stack([np.bincount(at, de[:, j], len(p["embed"])) for j in range(EMBED)], axis=1).astype(np.float32)
-        return g, h
+        by_id = np.argsort(flat_x.astype(np.uint16), kind="stable")
+        ids = flat_x[by_id]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][ids[first]] = np.add.reduceat(de[by_id], first, axis=0)
+        return {name: g[name] for name in p}, h.T
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -287,8 +342,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("text"), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train_round(model: Model, train: DataFrame, sequences: Callable, rate: float) -> int:
-    """Trains model on every row of ``train(text)``; the number of ids trained on.
+def id_arrays(batches, column: int = 0):
+    """Each row's model ids."""
+    for b in batches:
+        for raw in b.column(column).to_pylist():
+            yield np.frombuffer(raw, "<u2").astype(np.int64)
+
+
+def train_round(model: Model, train: DataFrame, rate: float) -> int:
+    """Trains model on every row of ``train(ids)``; the number of ids trained on.
 
     Each partition trains a copy on its rows. The copies meet in PARTS parts by a shuffle, are
     added in the partitions' order, and their mean, weighted by ids, is all that the driver gets.
@@ -296,7 +358,7 @@ def train_round(model: Model, train: DataFrame, sequences: Callable, rate: float
 
     def run(batches):
         own = copy.deepcopy(model)
-        n = own.learn(sequences(t for b in batches for t in texts(b)), rate)
+        n = own.learn(id_arrays(batches), rate)
         if n:
             parts = [a.tobytes() for a in np.array_split(own.flat(), PARTS)]
             columns = [pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([n] * PARTS, pa.int64()), pa.array(parts, pa.binary())]
@@ -311,7 +373,7 @@ def train_round(model: Model, train: DataFrame, sequences: Callable, rate: float
                 n[part] += m
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([n[x] for x in total], pa.int64()), pa.array([(total[x] / n[x]).tobytes() for x in total], pa.binary())], ["part", "n", "weights"])
 
-    copies = in_arrow(train.select("text"), run, "part int, at int, n long, weights binary")
+    copies = in_arrow(train.select("ids"), run, "part int, at int, n long, weights binary")
     rows = in_arrow(copies.repartition(PARTS, "part").sortWithinPartitions("part", "at"), mean, "part int, n long, weights binary").collect()
     if not rows:
         return 0
@@ -319,121 +381,134 @@ def train_round(model: Model, train: DataFrame, sequences: Callable, rate: float
     return rows[0]["n"]
 
 
-def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_docs: int = 2000, longest: int = 200_000, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Training rows are those whose crc32(doc_id) modulo ``folds`` is not ``held_out`` (a null id
-    counts as the empty text). A null or empty text is the end alone. Repeated rows count and are
-    scored once each. Scores are rounded to 6 decimals. An empty table gives an empty result.
-    The start of the recurrent weights, and nothing else, leaves out texts of over ``longest`` code
-    points; the rounds that follow train on every training row.
-    """
-    held = crc_mod(F.col("doc_id"), folds) == held_out
-    train = docs.where(~held)
-    counts = saved(token_counts(train))
-    n_all, n_words = counts.agg(F.sum("n"), F.count("*")).first()
-    n_all = n_all or 0
-    # counts in steps of 1/32 of a power of e: how many words lie at or above each step decides from which count on they are listed
-    step = F.floor(F.log("n") * 32)
-    steps = sorted(counts.where("token <> ''").groupBy(step.alias("s")).count().collect(), reverse=True)
-    listed_from, total = None, 0
-    for s, c in steps:
-        total += c
-        if total > known - 1:
-            break
-        listed_from = s
-    top = counts.where(F.lit(False) if listed_from is None else (F.col("token") != "") & (step >= listed_from)).collect()
-    top.sort(key=lambda r: (-r[1], r[0]))
-    ends = counts.where("token = ''").agg(F.sum("n")).first()[0] or 0
-    frequent = min(frequent, len(top) + 1)
-    listed = " ".join(r[0] for r in top).encode()
-    number = np.array([ends, *(r[1] for r in top)], np.int64)
-    sub = F.crc32(F.substring(F.encode("token", "UTF-8"), -2, 2)) % TAIL
-    whole = {r[0]: (r[1], r[2]) for r in counts.where("token <> ''").groupBy(sub.alias("s")).agg(F.sum("n"), F.count("*")).collect()}
-    sums, kinds = np.zeros(TAIL), np.zeros(TAIL)
-    for s, (a, b) in whole.items():
-        sums[s], kinds[s] = a, b
-    for (w, n) in top[: frequent - 1]:  # these have classes of their own
-        sums[tail_class(w.encode())] -= n
-        kinds[tail_class(w.encode())] -= 1
-    size = sums + kinds + 1  # of each tail class
-    model = Model(number[:frequent], sums)
-
-    def index():
-        words = listed.split()
+class Words:
+    """What the corpus's counts say of words: the listed ones' ids, and the tail classes."""
+
+    def __init__(self, counts: DataFrame, frequent: int, known: int):
+        self.n_all, self.n_words = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
+        # counts in steps of 1/32 of a power of e: how many words lie at or above each step decides from which count on they are listed
+        step = F.floor(F.log("n") * 32)
+        steps = sorted(counts.where("token <> ''").groupBy(step.alias("s")).count().collect(), reverse=True)
+        listed_from, total = None, 0
+        for s, c in steps:
+            total += c
+            if total > known - 1:
+                break
+            listed_from = s
+        top = counts.where(F.lit(False) if listed_from is None else (F.col("token") != "") & (step >= listed_from)).collect()
+        top.sort(key=lambda r: (-r[1], r[0]))
+        self.ends = counts.where("token = ''").agg(F.sum("n")).first()[0] or 0
+        self.frequent = min(frequent, len(top) + 1)
+        self.listed = " ".join(r[0] for r in top).encode()
+        self.number = np.array([self.ends, *(r[1] for r in top)], np.int64)
+        sub = F.crc32(F.substring(F.encode("token", "UTF-8"), -2, 2)) % TAIL
+        self.sums, kinds = np.zeros(TAIL), np.zeros(TAIL)
+        for s, a, b in counts.where("token <> ''").groupBy(sub.alias("s")).agg(F.sum("n"), F.count("*")).collect():
+            self.sums[s], kinds[s] = a, b
+        for w, n in top[: self.frequent - 1]:  # these have classes of their own
+            self.sums[tail_class(w.encode())] -= n
+            kinds[tail_class(w.encode())] -= 1
+        self.size = self.sums + kinds + 1  # of each tail class
+
+    def index(self):
+        """(id of each listed word, and of each id: the model's id, log10 of its share of its tail class, and its base score)."""
+        words = self.listed.split()
         ids = {w: i + 1 for i, w in enumerate(words)}
         cls = np.array([0, *map(tail_class, words)], np.int64)
-        # an id of the model for each listed word, and its share of its tail class
-        to = np.where(np.arange(len(cls)) < frequent, np.arange(len(cls)), frequent + cls)
-        share = np.where(np.arange(len(cls)) < frequent, 0.0, np.log10((number + 1) / size[cls]))
-        base = np.log10((number + 1) / (n_all + n_words + 1))
-        return ids, to, share, base
-
-    def read(text, ids):
-        w = lower_words(text)
-        a = np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w))
-        return w, np.append(a, 0)
-
-    draw = draw_of(F.lit(4), "doc_id", "text")
-    some = train.where((F.length("text") <= longest) & (draw < share(ends, fit_docs))).select("text", draw.alias("draw")).collect()
-    some = [(r[0],) for r in sorted(some, key=lambda r: (r[1], r[0]))]
-
-    def sequences(rows):
-        ids, to, _, _ = index()
-        for t in rows:
-            w, a = read(t, ids)
-            rest = np.flatnonzero(a < 0)
-            m = to[np.maximum(a, 0)]
-            m[rest] = [frequent + tail_class(w[i]) for i in rest]
-            yield m
-
-    model.fit(list(sequences(t or "" for (t,) in some)))
-    del some
-    trained = sum(train_round(model, train.where(F.pmod(draw, F.lit(ROUNDS)) == r), sequences, RATE * (1 - r / ROUNDS)) for r in range(ROUNDS))
-    if trained != n_all:
-        raise RuntimeError(f"trained on {trained} of {n_all} words")
-    ln10 = np.log(10)
-
-    def run(batches):
-        ids, to, share, base = index()
+        own = np.arange(len(cls)) < self.frequent
+        to = np.where(own, np.arange(len(cls)), self.frequent + cls)
+        share = np.where(own, 0.0, np.log10((self.number + 1) / self.size[cls]))
+        return ids, to, share, np.log10((self.number + 1) / (self.n_all + self.n_words + 1))
+
+    def read(self, batches):
+        """Rows of doc_id, held_out, draw and text as PREPARED says."""
+        ids, to, share, base = self.index()
         for b in batches:
-            seqs, n_tokens, n_known, base_sum, tail_sum, rests = [], [], [], [], [], []
-            for t in texts(b):
-                w, a = read(t, ids)
+            n_tokens, n_known, base_sum, tail_sum, seqs, away, owner = [], [], [], [], [], [], []
+            for at, t in enumerate(texts(b, "text")):
+                w = lower_words(t)
+                a = np.append(np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w)), 0)
                 rest = np.flatnonzero(a < 0)
-                m = to[np.maximum(a, 0)].astype(np.int32)
+                away += [w[i] for i in rest.tolist()]
+                owner.append(np.full(len(rest), at))
+                seqs.append(np.where(a < 0, 0, to[a]))
+                listed = a[a >= 0] if len(rest) else a
+                n_tokens.append(len(a))
+                n_known.append(int((self.number[listed] > 0).sum()))
+                base_sum.append(float(base[listed].sum()))
+                tail_sum.append(float(share[listed].sum()))
                 if len(rest):
-                    others = Counter(w[i] for i in rest.tolist())
-                    m[rest] = [frequent + tail_class(w[i]) for i in rest.tolist()]
-                    a = a[a >= 0]
-                    rests.append([{"token": x.decode("utf-8", "replace"), "tf": n, "s": tail_class(x)} for x, n in others.items()])
-                else:
-                    rests.append([])
-                seqs.append(m)
-                n_tokens.append(len(m))
-                n_known.append(int((number[a] > 0).sum()))
-                base_sum.append(float(base[a].sum()))
-                tail_sum.append(float(share[a].sum()))
-            score = model.score(seqs) / ln10 + np.array(tail_sum) if seqs else np.zeros(0)
-            rest = pa.array(rests, pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64()), ("s", pa.int32())])))
+                    seqs[-1][rest] = -1
+            # words that are not listed: told apart once a batch, counted by text
+            kinds = pa.array(away, pa.binary()).dictionary_encode()
+            names = kinds.dictionary.to_pylist()
+            tail = np.array([tail_class(x) for x in names], np.int64)
+            code = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
+            flat[flat < 0] = self.frequent + tail[code]
+            raw = flat.astype("<u2").tobytes()
+            end = np.cumsum([0, *n_tokens]) * 2
+            pair, tf = np.unique((np.concatenate(owner) if owner else np.zeros(0, np.int64)) * max(1, len(names)) + code, return_counts=True)
+            row, code = pair // max(1, len(names)), pair % max(1, len(names))
+            rest = pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(tail[code], pa.int32())], ["token", "tf", "s"])
+            offsets = np.searchsorted(row, np.arange(len(n_tokens) + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(score, pa.float64()), rest],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
+                [b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(tail_sum, pa.float64()),
+                 pa.array([raw[s:e] for s, e in zip(end, end[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)],
+                ["doc_id", "held_out", "draw", "n_tokens", "n_known", "base_score", "tail", "ids", "rest"],
             )
 
+
+PREPARED = "held_out boolean, draw long, n_tokens long, n_known long, base_score double, tail double, ids binary, rest array<struct<token:string,tf:long,s:int>>"
+
+
+def start(model: Model, train: DataFrame, rows: int, stretches: int) -> Model:
+    """Fits model on the driver, on about ``stretches`` stretches of at most STRETCH ids, the first by hash, of ``train(draw, ids)`` of so many rows."""
+    n = F.ceil(F.length("ids") / (2 * STRETCH)).cast("int")
+    all_ = train.agg(F.sum(n)).first()[0] or 0
+    drawn = F.filter(F.sequence(F.lit(0), n - 1), lambda k: draw_of(F.col("draw"), k) < share(all_, stretches))
+    some = train.select("draw", "ids", F.explode(drawn).alias("k"))
+    some = some.select("draw", "k", F.substring("ids", F.col("k") * (2 * STRETCH) + 1, F.lit(2 * STRETCH)).alias("ids")).collect()
+    return model.fit([np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in sorted(some, key=lambda r: (r["draw"], r["k"], r["ids"]))])
+
+
+def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_stretches: int = 2000, folds: int = 7, held_out: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Training rows are those whose crc32(doc_id) modulo ``folds`` is not ``held_out`` (a null id
+    counts as the empty text). A null or empty text is the end alone. Repeated rows count and are
+    scored once each. Scores are rounded to 6 decimals. An empty table gives an empty result.
+    """
+    held = crc_mod(F.col("doc_id"), folds) == held_out
+    counts = saved(token_counts(docs.where(~held)))
+    words = Words(counts, frequent, known)
+    model = Model(words.number[: words.frequent], words.sums)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<token:string,tf:long,s:int>>"
-    scored = saved(in_arrow(docs.select("doc_id", "text", held.alias("held_out")), run, schema)).withColumn("row", F.monotonically_increasing_id())
-    rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.tf", "x.s")
-    room = F.element_at(F.array(*[F.lit(float(x)) for x in size]), F.col("s") + 1)
+    src = docs.select("doc_id", held.alias("held_out"), draw_of(F.lit(4), "doc_id", "text").alias("draw"), "text")
+    prepared = written(in_arrow(src, words.read, f"doc_id {kind}, {PREPARED}").withColumn("row", F.monotonically_increasing_id()))
+    train = prepared.where(~F.col("held_out"))
+    start(model, train, words.ends, fit_stretches)
+    trained = sum(train_round(model, train.where(F.pmod("draw", F.lit(ROUNDS)) == r), RATE * (1 - r / ROUNDS)) for r in range(ROUNDS))
+    if trained != words.n_all:
+        raise RuntimeError(f"trained on {trained} of {words.n_all} words")
+
+    def score(batches):
+        for b in batches:
+            seqs = list(id_arrays([b], 1))
+            out = model.score(seqs) / np.log(10) if seqs else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["row", "model_score"])
+
+    scored = in_arrow(prepared.select("row", "ids"), score, "row long, model_score double")
+    rest = prepared.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.tf", "x.s")
+    room = F.element_at(F.array(*[F.lit(float(x)) for x in words.size]), F.col("s") + 1)
     c = F.coalesce("n", F.lit(0))
     late = rest.join(counts, "token", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(n_all + n_words + 1)))).alias("base"),
-        F.sum(F.col("tf") * F.log10((c + 1) / room)).alias("tail"),
+        F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(words.n_all + words.n_words + 1)))).alias("base"),
+        F.sum(F.col("tf") * F.log10((c + 1) / room)).alias("late_tail"),
     )
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return scored.drop("rest").join(late, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", add("n_known", "known").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        F.round(add("base_score", "base"), 6).alias("base_score"), F.round(add("score", "tail"), 6).alias("score"),
+    add = lambda a, *b: sum((F.coalesce(x, F.lit(0)) for x in b), F.col(a))
+    return prepared.drop("rest", "ids").join(scored, "row").join(late, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", add("n_known", "known").alias("n_known"), F.lit(int(words.n_all)).cast("long").alias("train_tokens"),
+        F.round(add("base_score", "base"), 6).alias("base_score"), F.round(add("model_score", "tail", "late_tail"), 6).alias("score"),
     )

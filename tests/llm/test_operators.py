@@ -533,7 +533,7 @@ def test_lm_learn_takes_every_id(monkeypatch):
     seqs = [np.append(np.random.default_rng(i).integers(1, 20, n), 0) for i, n in enumerate((1, 900, 33, 5, 0, 699, 2001))]
     took = []
     real = m._backward
-    monkeypatch.setattr(m, "_backward", lambda x, y, h: (took.append(np.bincount(y.ravel(), minlength=40)), real(x, y, h))[1])
+    monkeypatch.setattr(m, "_backward", lambda x, y, *a: (took.append(np.bincount(y.ravel(), minlength=40)), real(x, y, *a))[1])
     assert m.learn(seqs, 0.001) == sum(map(len, seqs)) and m.learn([], 0.001) == 0
     assert (sum(took) == np.bincount(np.concatenate(seqs), minlength=40)).all()
 
@@ -555,7 +555,7 @@ def test_lm_gradients():
     def loss():
         h, total = h0, 0.0
         for i in range(4):
-            h = m.step(m.p["embed"][x[i]] @ m.p["in"] + m.p["in_b"], np.where((x[i] == 0)[:, None], 0, h))[0]
+            h = m.step((m.p["embed"][x[i]] @ m.p["in"] + m.p["in_b"]).T, np.where((x[i] == 0)[:, None], 0, h).T)[0].T
             total -= m.output(h, y[i]).sum()
         return total / 12
 
