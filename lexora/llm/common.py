@@ -41,11 +41,11 @@ def passing_folder(spark: SparkSession, folder: str) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a Parquet table in a folder of its own below the shared one: computed once, and read by columns."""
     spark = df.sparkSession
     folder = passing_folder(spark, f"{shared_dir(spark)}/lexora-tables/{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -24,6 +24,7 @@ import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -251,9 +252,10 @@ class Model:
         p, (steps, n) = self.p, x.shape
         kind, flat_x, target = p["rec"].dtype, x.ravel(), y.ravel()
         steep = self.steep() if steep is None else steep
-        e = p["embed"][flat_x]
-        across = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
-        proj = across((e @ p["in"] + p["in_b"]).reshape(steps, n, 3 * HIDDEN))
+        across = lambda m: m.transpose(0, 2, 1)
+        e = p["embed"][x]
+        proj = np.matmul(p["in"].T, across(e))  # (steps, 3 HIDDEN, streams)
+        proj += p["in_b"][:, None]
         live = (x != 0).astype(kind)
         starts, states = np.empty((steps, HIDDEN, n), kind), np.empty((steps, HIDDEN, n), kind)
         rec, rec_t, h = p["rec"], np.ascontiguousarray(p["rec"].T), h.T
@@ -263,7 +265,7 @@ class Model:
             h, *rest = self.step(proj[t], starts[t], rec_t)
             kept.append(rest)
             states[t] = h
-        flat = across(states).reshape(-1, HIDDEN)
+        flat = np.ascontiguousarray(across(states)).reshape(-1, HIDDEN)
         rows, g = len(target), {}
         k, order, met = self._by_class(target)
         s, total = self._softmax(flat, p["cls"], p["cls_b"], steep)
@@ -282,7 +284,7 @@ class Model:
             g["word_b"][lo:hi] = s.sum(axis=0)
             np.matmul(s, w, out=inner[a:b])
         dh[order] += inner
-        dh = across(dh.reshape(steps, n, HIDDEN))
+        dh = np.ascontiguousarray(across(dh.reshape(steps, n, HIDDEN)))
         back = np.zeros((HIDDEN, n), kind)
         dproj, du = np.empty((steps, 3 * HIDDEN, n), kind), np.empty((steps, 3 * HIDDEN, n), kind)
         for t in range(steps - 1, -1, -1):
@@ -307,11 +309,10 @@ class Model:
             back = rec @ du[t]
             back += d
             back *= live[t]
-        flat = across(dproj).reshape(-1, 3 * HIDDEN)
-        g["rec"] = across(starts).reshape(-1, HIDDEN).T @ across(du).reshape(-1, 3 * HIDDEN)
-        g["in"], g["in_b"] = e.T @ flat, flat.sum(axis=0)
+        g["rec"] = np.matmul(starts, across(du)).sum(axis=0)
+        g["in"], g["in_b"] = np.matmul(across(e), across(dproj)).sum(axis=0), dproj.sum(axis=(0, 2))
         # the gradient of an embedding row is the sum over its places: rows are summed in the order of their ids
-        de = flat @ p["in"].T
+        de = np.matmul(across(dproj), p["in"].T).reshape(-1, EMBED)
         by_id = np.argsort(flat_x.astype(np.uint16), kind="stable")
         ids = flat_x[by_id]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -427,7 +428,7 @@ class Words:
             n_tokens, n_known, base_sum, tail_sum, seqs, away, owner = [], [], [], [], [], [], []
             for at, t in enumerate(texts(b, "text")):
                 w = lower_words(t)
-                a = np.append(np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w)), 0)
+                a = np.append(np.fromiter(map(ids.get, w, repeat(-1)), np.int64, len(w)), 0)
                 rest = np.flatnonzero(a < 0)
                 away += [w[i] for i in rest.tolist()]
                 owner.append(np.full(len(rest), at))
