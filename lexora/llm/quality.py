@@ -3,9 +3,10 @@
 Statistics are taken of every whole text. The forest is fitted on documents labelled good that
 pass the base rules, its random splits drawn over each statistic's fixed range: what lies where
 no good document lies is cut off after few splits, however many documents lie there (a forest
-fitted on all documents hides a common kind of junk from itself). The threshold is the one that
-rejects most low-quality labelled rows while it rejects at most ``max_loss`` of the good ones.
-Labelled rows are bounded by about ``label_rows``, taken by hashed id. All documents are scored.
+fitted on all documents hides a common kind of junk from itself). It sees about ``fit_rows`` of
+them at most, from one half of the labelled ids. Every labelled row of the other half calibrates,
+by a histogram of scores: the threshold is the one that rejects most low-quality rows while it
+rejects at most ``max_loss`` of the good ones. All documents are scored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LETTERS = UPPER + UPPER.lower()
 DIGITS = b"0123456789"
 SPAN = 50
+#: Steps of the scores' histogram.
+STEPS = 1 << 14
 #: The forest sees these shares of the statistics, clipped to these ranges. Distinct words are counted by SPAN words, so that a long text's share is not lower.
 FEATURES = {"word_len": 12.0, "symbols": 3.0, "upper": 1.0, "marks": 2.0, "dup_lines": 1.0, "repeat_words": 1.0, "digits": 1.0, "distinct": 1.0}
 
@@ -157,21 +160,23 @@ class IsolationForest:
         return 2.0 ** (-total / max(1, len(self.roots)) / max(float(_c(self.used)), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_loss: float) -> float:
-    """The threshold at or above which a document is rejected: most low-quality rows caught, at most max_loss of the good."""
-    if not len(scores) or not good.any() or good.all():
+def calibrate(hist: list[tuple[int, bool, int]], max_loss: float) -> float:
+    """The threshold at or above which a document is rejected, of ``hist(step, good, n)``: most low-quality rows caught, at most max_loss of the good."""
+    n_good, n_bad = (sum(n for _, g, n in hist if g is side) for side in (True, False))
+    if not n_good or not n_bad:
         return math.inf
-    order = np.unique(scores)
-    g, b = np.sort(scores[good]), np.sort(scores[~good])
-    lost = 1 - np.searchsorted(g, order) / len(g)
-    caught = 1 - np.searchsorted(b, order) / len(b)
-    ok = np.flatnonzero(lost <= max_loss)
-    if not len(ok):
-        return math.inf
-    best = ok[np.argmax(caught[ok] - lost[ok])]
-    t = order[best]
-    below = order[order < t]
-    return float((t + below[-1]) / 2) if len(below) else float(t)
+    best, lost, caught, above = None, 0, 0, None
+    steps = sorted({s for s, _, _ in hist}, reverse=True)
+    count = {(s, g): n for s, g, n in hist}
+    for at, s in enumerate(steps):  # from the most anomalous down
+        lost += count.get((s, True), 0)
+        caught += count.get((s, False), 0)
+        if lost > max_loss * n_good:
+            break
+        gain = caught / n_bad - lost / n_good
+        if caught and (best is None or gain > best):
+            best, above = gain, (s, steps[at + 1] + 1 if at + 1 < len(steps) else s)
+    return math.inf if above is None else sum(above) / 2 / STEPS
 
 
 def _stats(batches):
@@ -191,18 +196,28 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_rows: int = 50_000, max_loss: float = 0.001) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold, of about ``label_rows`` labelled rows, those with the first hashed ids."""
+def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 50_000, max_loss: float = 0.001) -> tuple[IsolationForest | None, float]:
+    """Forest and threshold of labelled rows that pass the base rules; a text that is low in one label is low.
+
+    Half of the ids, by hash, are for the forest, which takes about ``fit_rows`` distinct good texts
+    of them on the driver; the other half calibrates, whole and distributed.
+    """
     lab = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    draw = draw_of(F.lit(6), "doc_id")
-    some = lab.where(draw < share(lab.count(), label_rows))
-    rows = stats.where(~F.col("base_failed")).join(some, "doc_id").select("quality", "doc_id", "text_hash", *STATS)
-    rows = rows.toPandas().sort_values(["doc_id", "text_hash"])[["quality", *STATS]].to_numpy().astype(np.int64).reshape(-1, 1 + len(STATS))
-    x, good = features(rows[:, 1:]), rows[:, 0] > 0
-    if good.sum() < 2:
+    rows = saved(stats.where(~F.col("base_failed")).join(lab, "doc_id").select("doc_id", "text_hash", (F.col("quality") > 0).alias("good"), (F.pmod(draw_of(F.lit(12), "doc_id"), F.lit(2)) == 0).alias("fits"), *STATS))
+    some = rows.where("good AND fits").dropDuplicates(["doc_id", "text_hash"])
+    draw = draw_of(F.lit(6), "doc_id", "text_hash")
+    some = some.where(draw < share(some.count(), fit_rows)).withColumn("draw", draw).select("draw", "doc_id", *STATS).collect()
+    if len(some) < 2:
         return None, math.inf
-    forest = IsolationForest().fit(x[good], list(FEATURES.values()))
-    return forest, calibrate(forest.score(x), good, max_loss)
+    forest = IsolationForest().fit(features(np.array([r[2:] for r in sorted(some)], np.int64)), list(FEATURES.values()))
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(STATS))], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((forest.score(features(x)) * STEPS).astype(np.int32))], ["good", "step"])
+
+    scored = in_arrow(rows.where(~F.col("fits")).select("good", *STATS), run, "good boolean, step int")
+    return forest, calibrate([tuple(r) for r in scored.groupBy("step", "good").count().collect()], max_loss)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
