@@ -4,15 +4,18 @@ Only the number of pieces of each length decides how pieces fit together, so the
 the histogram of lengths (at most ``capacity`` numbers, whatever the input's size): bins of equal
 content are one pattern with a multiplicity. Best fit decreasing gives the first plan; local
 search then moves, exchanges one for one, two for one or one for two between underfull patterns
-whenever this increases the sum of squared fills, until bins empty or nothing improves. Pieces
-find their place by their rank among those of their length: ranks come from counts of hashed
-groups, so no length, however common, is ranked in one task.
+whenever this increases the sum of squared fills, until the bins are as few as their sum allows
+or no exchange improves. Pieces find their place by their rank among those of their length: ranks
+come from counts of hashed groups, so no length, however common, is ranked in one task.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ from .common import in_arrow, saved, texts
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length that are ranked together.
+#: A group of pieces of one length that is ranked together holds about this part of all pieces, and GROUP at most.
+PART = 1024
 GROUP = 50_000
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -66,16 +70,16 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(p, m) for r in sorted(room) for p, m in sorted(room[r].items())]
 
 
-def _takes(pattern: tuple[int, ...], most: int = 2) -> dict[int, tuple[int, ...]]:
-    """Sums of one or two of a pattern's items, each with the items."""
+@lru_cache(maxsize=1 << 16)
+def _takes(pattern: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
+    """Sums of one or two of a pattern's items, each with items that have it: one where one does."""
     kinds = sorted(set(pattern))
     out = {x: (x,) for x in kinds}
-    if most > 1:
-        n = Counter(pattern)
-        for i, x in enumerate(kinds):
-            for y in kinds[i:]:
-                if (x != y or n[x] > 1) and x + y not in out:
-                    out[x + y] = (x, y)
+    n = Counter(pattern)
+    for i, x in enumerate(kinds):
+        for y in kinds[i:]:
+            if (x != y or n[x] > 1) and x + y not in out:
+                out[x + y] = (x, y)
     return out
 
 
@@ -86,70 +90,91 @@ def _without(pattern: tuple[int, ...], gone: tuple[int, ...], more: tuple[int, .
     return tuple(sorted(c.elements(), reverse=True))
 
 
-def local_search(plan: Plan, capacity: int = CAPACITY, steps: int = 20_000) -> Plan:
+class Holders:
+    """Underfull patterns by the sums of one or two of their items, those of the least fill first."""
+
+    def __init__(self):
+        self.of: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
+
+    def add(self, p: tuple[int, ...]) -> None:
+        for s in _takes(p):
+            insort(self.of[s], (sum(p), p))
+
+    def drop(self, p: tuple[int, ...]) -> None:
+        for s in _takes(p):
+            del self.of[s][bisect_left(self.of[s], (sum(p), p))]
+
+
+def _exchange(p: tuple[int, ...], bins: Counter, holders: Holders, capacity: int):
+    """(q, what p gives, what q gives) of the largest gain for p, or none: p grows, and more than q stays ahead."""
+    fill = sum(p)
+    gives = {0: ()} | _takes(p)
+    for gain in range(capacity - fill, 0, -1):
+        for s, give in gives.items():
+            for other, q in holders.of.get(s + gain, ()):
+                if fill - other + gain <= 0:
+                    break  # holders further on are fuller
+                take = _takes(q)[s + gain]
+                if not (len(give) == 2 and len(take) == 2) and (q != p or bins[p] > 1):
+                    return q, give, take
+    return None
+
+
+def local_search(plan: Plan, capacity: int = CAPACITY) -> Plan:
     """Raises the sum of squared fills by moves and exchanges between underfull bins; never adds a bin.
 
-    The fullest underfull pattern looks for the largest gain that fits its gap. Every step moves
-    as many equal bins at once as both sides have. ``steps`` bounds the work of a plan; any
-    intermediate plan is valid.
+    The fullest underfull pattern looks for the largest gain that fits its gap. Every step moves as
+    many equal bins at once as both sides have. Patterns that found nothing are asked again after
+    the others have changed; the search ends when a whole round changes nothing, as it must: every
+    step raises a bounded sum of whole numbers.
     """
-    bins = Counter()
+    bins: Counter = Counter()
     for p, m in plan:
         bins[tuple(sorted(p, reverse=True))] += m
-    holders: dict[int, set] = defaultdict(set)  # sum of one or two items -> underfull patterns that can give them
-
-    def enter(p, m):
-        bins[p] += m
+    holders = Holders()
+    for p in bins:
         if sum(p) < capacity:
-            for s in _takes(p):
-                holders[s].add(p)
+            holders.add(p)
+    fuller = lambda p: (-sum(p), p)
+    least, total = -(-sum(sum(p) * m for p, m in bins.items()) // capacity), sum(bins.values())
 
-    def leave(p, m):
-        bins[p] -= m
+    def change(p: tuple[int, ...], m: int) -> None:
+        before = bins[p]
+        bins[p] += m
         if not bins[p]:
             del bins[p]
-            for s in _takes(p):
-                holders[s].discard(p)
-
-    for p in list(bins):
-        if sum(p) < capacity:
-            for s in _takes(p):
-                holders[s].add(p)
-
-    least = -(-sum(sum(p) * m for p, m in bins.items()) // capacity)
-    queue = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p))
-    done = 0
-    while queue and done < steps and sum(bins.values()) > least:
-        p = queue.pop(0)
-        if not bins.get(p):
-            continue
-        fill = sum(p)
-        gives = {0: ()} | _takes(p)
-        found = None
-        for gain in range(capacity - fill, 0, -1):
-            for s, give in gives.items():
-                for q in sorted(holders.get(s + gain, ()), key=lambda q: (sum(q), q))[:8]:
-                    take = _takes(q)[s + gain]
-                    if (len(give) == 2 and len(take) == 2) or fill - sum(q) + gain <= 0 or (q == p and bins[p] < 2):
-                        continue
-                    found = q, give, take
-                    break
-                if found:
-                    break
-            if found:
-                break
-        if not found:
-            continue
-        q, give, take = found
-        m = bins[p] // 2 if q == p else min(bins[p], bins[q])
-        leave(p, m)
-        leave(q, m)
-        new = [_without(p, give, take), _without(q, take, give)]
-        for x in new:
-            if x:
-                enter(x, m)
-        done += 1
-        queue = sorted({*queue, *(x for x in (*new, p, q) if x and sum(x) < capacity and bins.get(x))}, key=lambda p: (-sum(p), p))
+        if p and sum(p) < capacity and (before == 0) != (before + m == 0):
+            (holders.add if before == 0 else holders.drop)(p)
+
+    moved = True
+    while moved and total > least:
+        moved = False
+        queue = [fuller(p) for p in bins if sum(p) < capacity]
+        heapify(queue)
+        waits = {p for _, p in queue}
+        while queue and total > least:
+            p = heappop(queue)[1]
+            waits.discard(p)
+            if p not in bins:
+                continue
+            found = _exchange(p, bins, holders, capacity)
+            if not found:
+                continue
+            q, give, take = found
+            m = bins[p] // 2 if q == p else min(bins[p], bins[q])
+            change(p, -m)
+            change(q, -m)
+            grown, shrunk = _without(p, give, take), _without(q, take, give)
+            change(grown, m)
+            if shrunk:
+                change(shrunk, m)
+            else:
+                total -= m
+            moved = True
+            for x in {grown, shrunk, p, q}:
+                if x in bins and x not in waits and sum(x) < capacity:
+                    waits.add(x)
+                    heappush(queue, fuller(x))
     return sorted(bins.items(), key=lambda x: (-sum(x[0]), x[0]))
 
 
@@ -191,13 +216,14 @@ def token_pieces(docs: DataFrame, path: str | None = None, end: int = END, capac
     return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, steps: int = 20_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with doc_id, piece, start, length, ids_crc32) plus sequence_id and offset.
 
     Equal rows get places of their own. Every row needs 1 <= length <= capacity.
     """
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan = local_search(best_fit(counts, capacity), capacity, steps)
+    group = min(GROUP, max(1, sum(counts.values()) // PART))
+    plan = local_search(best_fit(counts, capacity), capacity)
     key, first, offset, _ = slots(plan)
     many = F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) if c > group for x in (int(n), -(-c // group))]) if any(c > group for c in counts.values()) else None
     groups = F.lit(1) if many is None else F.coalesce(F.try_element_at(many, F.col("length").cast("int")), F.lit(1))
@@ -235,7 +261,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end: int = END, cap
 
 
 def sequences(docs: DataFrame, path: str | None = None, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """The packed sequences themselves: sequence_id, length and ids (little-endian uint32)."""
+    """The packed sequences themselves: sequence_id, length and ids (little-endian uint32); rows as pack_documents() says. A sequence gathers at most ``capacity`` pieces."""
     placed = place(saved(token_pieces(docs, path, end, capacity, with_ids=True)), capacity)
     joined = placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("x"))
     return joined.select("sequence_id", "length", F.concat_ws("", F.transform("x", lambda y: F.hex(y["ids"]))).alias("h")).select("sequence_id", "length", F.unhex("h").alias("ids"))

@@ -17,15 +17,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def _slow(path: str):
+@lru_cache(maxsize=4)
+def _slow(path: str, plain: bool):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return t
 
 
+@lru_cache(maxsize=2)
+def special_tokens(path: str) -> tuple[str, ...]:
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
+
+
 def _byte_of() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,14 +53,14 @@ def _fast(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def ids(text: str, path: str) -> list[int]:
-    """Ids of the whole text; strings of special tokens are ordinary text.
+def ids(text: str, path: str, plain: bool = False) -> list[int]:
+    """Ids of the whole text, those of the tokenizers library; with ``plain``, strings of special tokens are ordinary text.
 
-    A text with a very long run of blanks overflows the fast tokenizer's matcher and takes the
-    slow one, which gives the same ids.
+    A text that holds such a string, or a very long run of blanks, which overflows the fast
+    tokenizer's matcher, takes the library; all others have the same ids by the fast one.
     """
-    if len(text) >= 20000 and BLANK_RUN.search(text):
-        return _slow(path).encode(text, add_special_tokens=False).ids
+    if (not plain and any(s in text for s in special_tokens(path))) or (len(text) >= 20000 and BLANK_RUN.search(text)):
+        return _slow(path, plain).encode(text, add_special_tokens=False).ids
     return _fast(path).encode_ordinary(text)
 
 
