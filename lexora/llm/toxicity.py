@@ -1,10 +1,12 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
-Words are hashed into two embedding tables (a chance collision in one leaves the other), filters
-of several widths run over the whole text, and each keeps its highest value (max pooling). It is
-trained on a bounded number of labelled rows (about ``toxic_rows`` and ``clean_rows``, the first
-by hashed id); a fifth of them calibrates: scores are shifted so that the best F1 lies at
-``at_score``, and each language gets its own best threshold beside it. All texts are scored whole.
+Words are hashed into three embedding tables, by the whole word and by its first letters, so that a
+form never seen shares what its relatives taught. Filters of several widths run over the whole
+text, and each keeps its highest value (max pooling). The net is trained on a bounded number of
+labelled rows (about ``toxic_rows`` and ``clean_rows``, the first by hashed id). All texts are
+scored whole. Every labelled row that is neither held out nor trained on (a fifth at least)
+calibrates, by histograms of scores: scores are shifted so that the best F1 lies at ``at_score``,
+and each language gets its own best threshold beside it.
 """
 
 from __future__ import annotations
@@ -14,26 +16,37 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, lower_words, share, texts
+from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts
 
-BUCKETS = 1 << 16
-DIM = 8  # of each of the two tables
+BITS = 16
+BUCKETS = 1 << BITS
+DIM = 8  # of each table
+#: A table for each: by the whole word, and by its first letters, so that forms of a word share what is learned.
+PREFIXES = (None, 4, 6)
 WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
 MARKS = b"\"'`.,;:()[]{}<>#*$%&|!?=-_"
 CHUNK = 1 << 16
+#: Steps of a histogram to a unit of the logit.
+STEPS = 64
 
 
 class Hashed(dict):
-    """Words' two buckets as one number, remembered up to a bound."""
+    """Words' buckets, BITS each, as one number, remembered up to a bound: of the whole word and of its first letters."""
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= 1 << 18:
             self.clear()
-        self[w] = out = xxhash.xxh64_intdigest(w.strip(MARKS) or w, 9) & 0xFFFFFFFF
+        core = w.strip(MARKS) or w
+        letters = core.decode("utf-8", "replace")
+        out = 0
+        for k, n in enumerate(PREFIXES):
+            part = core if n is None else letters[:n].encode()
+            out |= (xxhash.xxh64_intdigest(part, 9 + k) & (BUCKETS - 1)) << (BITS * k)
+        self[w] = out
         return out
 
 
@@ -42,43 +55,25 @@ def buckets(text: str, known: Hashed) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, w), np.int64, len(w))
 
 
+def bucket(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th table's bucket of each hashed word."""
+    return (h >> (BITS * k)) & (BUCKETS - 1)
+
+
 class Net:
-    """score = sigmoid(out . max over places of relu(filter . words) + bias + shift)."""
+    """logit = out . max over places of relu(filter . words) + bias."""
 
     def __init__(self, seed: int = 23):
         rng = np.random.default_rng(seed)
-        d, k = 2 * DIM, len(WIDTHS) * FILTERS
-        self.first = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
-        self.second = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+        d, k = len(PREFIXES) * DIM, len(WIDTHS) * FILTERS
+        self.tables = [rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32) for _ in PREFIXES]
         self.filters = [rng.normal(0, 1 / math.sqrt(d * w), (w, d, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.level = np.zeros(k, np.float32)
         self.out = rng.normal(0, 0.3, k).astype(np.float32)
         self.bias = np.float32(0)
-        self.shift = 0.0
-        self.thresholds: dict[str, float] = {}
-
-    def lean(self, rows: list[np.ndarray], y: np.ndarray, least: float = 3.5) -> Net:
-        """Starts one embedding dimension of each table, and one filter, from how far more toxic rows than clean ones hold a bucket.
-
-        In standard deviations above ``least``, so what few rows hold starts at zero.
-        """
-        n1, n0 = max(1, int((y > 0).sum())), max(1, int((y <= 0).sum()))
-        for table, part in ((self.first, lambda h: h & 0xFFFF), (self.second, lambda h: h >> 16)):
-            c = np.zeros((2, BUCKETS))
-            for h, t in zip(rows, y):
-                c[int(t > 0), np.unique(part(h))] += 1
-            p = (c[0] + c[1]) / (n0 + n1)
-            z = (c[1] / n1 - c[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-            table[:, 0] = np.clip((z - least) / 4, 0, 2)
-        self.filters[0][0, :, 0] = 0
-        self.filters[0][0, [0, DIM], 0] = 1
-        self.level[0] = -0.2
-        self.out[0] = 2
-        self.bias = np.float32(-1)
-        return self
 
     def embed(self, h: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.first[h & 0xFFFF], self.second[h >> 16]], axis=1)
+        return np.concatenate([t[bucket(h, k)] for k, t in enumerate(self.tables)], axis=1)
 
     def pool(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(highest value, its place) of each filter over one text's words; texts are padded with zeros at both ends."""
@@ -103,18 +98,18 @@ class Net:
         top = np.full(len(self.out), -np.inf, np.float32)
         for at in range(0, max(len(h), 1), CHUNK):
             part = h[max(0, at - WIDTHS[-1]) : at + CHUNK + WIDTHS[-1]]
-            x = self.embed(part) if len(part) else np.zeros((1, 2 * DIM), np.float32)
+            x = self.embed(part) if len(part) else np.zeros((1, len(PREFIXES) * DIM), np.float32)
             top = np.maximum(top, self.pool(x)[0])
         return float(np.maximum(top + self.level, 0) @ self.out + self.bias)
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 29) -> Net:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 0.02, seed: int = 29) -> Net:
         """Adam for filters and output, Adagrad for the embeddings that a batch touches."""
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
         params = [*self.filters, self.level, self.out]
         m = [np.zeros_like(p) for p in params]
         v = [np.zeros_like(p) for p in params]
-        seen = [np.full(BUCKETS, 1e-4, np.float32) for _ in range(2)]
+        seen = [np.full(BUCKETS, 1e-4, np.float32) for _ in PREFIXES]
         k = 0
         rows = [h if len(h) else np.zeros(1, np.int64) for h in rows]
         for epoch in range(epochs):
@@ -156,8 +151,9 @@ class Net:
                 self.bias -= np.float32(step * gb)
                 if touched_h:
                     h, g = np.concatenate(touched_h), np.concatenate(touched_g).astype(np.float32)
-                    for table, sums, at, part in ((self.first, seen[0], h & 0xFFFF, g[:, :DIM]), (self.second, seen[1], h >> 16, g[:, DIM:])):
-                        u, inv = np.unique(at, return_inverse=True)
+                    for c, (table, sums) in enumerate(zip(self.tables, seen)):
+                        part = g[:, c * DIM : (c + 1) * DIM]
+                        u, inv = np.unique(bucket(h, c), return_inverse=True)
                         total = np.zeros((len(u), DIM), np.float32)
                         np.add.at(total, inv, part)
                         sums[u] += (total * total).mean(axis=1)
@@ -166,9 +162,6 @@ class Net:
             p[np.abs(p) < 1e-8] = 0
         return self
 
-    def score(self, logit: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(logit + self.shift, -60, 60)))
-
 
 def best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """The logit at or above which weighted F1 is best, in the middle of its gap."""
@@ -181,59 +174,78 @@ def best_cut(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2500, clean_rows: int = 4000, at_score: float = 0.3, held_out: int = 2, folds: int = 4) -> Net:
-    """Trained and calibrated net of labelled rows whose id is not held out (crc32 of the id modulo ``folds``)."""
+def labelled(labels: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame:
+    """doc_id and toxic (0 or 1) of labelled rows whose id is not held out (crc32 of the id modulo ``folds``); a row that is toxic once is toxic."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
-    lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    all_toxic, all_clean = lab.agg(F.sum((F.col("toxic") > 0).cast("long")), F.sum((F.col("toxic") <= 0).cast("long"))).first()
-    draw = draw_of(F.lit(8), "doc_id")
-    some = lab.where(draw < F.when(F.col("toxic") > 0, share(all_toxic or 0, toxic_rows)).otherwise(share(all_clean or 0, clean_rows)))
-    some = F.broadcast(some)  # about toxic_rows + clean_rows ids
-    rows = docs.select("doc_id", "text", "lang").join(some, "doc_id").dropDuplicates(["doc_id"]).withColumn("draw", draw).toPandas().sort_values(["draw", "doc_id"])
-    net = Net()
-    y = (rows["toxic"].to_numpy() > 0).astype(int) if len(rows) else np.zeros(0, int)
+    return lab.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+
+
+def in_sample(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> Column:
+    """Whether the net trains on a labelled row: four of five rows may, and of ``toxic`` and ``clean`` rows about so many do."""
+    of = lambda n, rows: share(n * 4 // 5, rows)
+    return (F.pmod(draw_of(F.lit(5), "doc_id"), F.lit(5)) != 0) & (draw_of(F.lit(8), "doc_id") < F.when(F.col("toxic") > 0, of(toxic, toxic_rows)).otherwise(of(clean, clean_rows)))
+
+
+def train(docs: DataFrame, some: DataFrame) -> Net | None:
+    """The net of the documents of ``some(doc_id, toxic)``, a bounded number; of rows that share an id, the text of the least hash. None without five of either kind."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    rows = sorted(((r["draw"], r["doc_id"], r["text"], r["toxic"]) for r in rows.withColumn("draw", draw_of(F.lit(8), "doc_id")).collect()), key=lambda r: r[:2])
+    y = np.array([r[3] for r in rows], int)
     if y.sum() < 5 or (1 - y).sum() < 5:
-        net.out[:] = 0
-        net.shift = math.log(0.01 / 0.99)
-        return net
+        return None
     known = Hashed()
-    x = [buckets(t or "", known) for t in rows["text"]]
-    held = np.arange(len(x)) % 5 == 0
-    learn = [h for h, c in zip(x, held) if not c]
-    net.lean(learn, y[~held]).fit(learn, y[~held])
-    z = np.array([net.logit(h) for h, c in zip(x, held) if c])
-    yc = y[held]
-    w = np.where(yc > 0, all_toxic / max(1, y.sum()), all_clean / max(1, (1 - y).sum()))
-    cut = best_cut(z, yc, w) if yc.any() else float(z.max(initial=0.0) + 1)
-    net.shift = math.log(at_score / (1 - at_score)) - cut
-    lang = rows["lang"].fillna("").to_numpy()[held]
-    for name in sorted(set(lang)):
-        own = lang == name
-        enough = own.sum() >= 50 and yc[own].sum() >= 10
-        net.thresholds[name] = float(net.score(np.array([best_cut(z[own], yc[own], w[own])]))[0]) if enough else at_score
-    return net
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, at_score: float = 0.3, **bounds) -> DataFrame:
+    return Net().fit([buckets(t, known) for _, _, t, _ in rows], y)
+
+
+def cuts(hist: list[tuple[str, int, int, int]], all_toxic: int, all_clean: int, least: tuple[int, int] = (50, 10)) -> tuple[float | None, dict[str, float]]:
+    """The best logit to cut at over all rows of ``hist(lang, toxic, step, n)``, and over each language with so many rows and toxic rows."""
+    if not hist:
+        return None, {}
+    lang, y, z, n = (np.array(c) for c in zip(*hist))
+    got = [max(1, int(n[y == t].sum())) for t in (0, 1)]
+    w = n * np.where(y > 0, all_toxic / got[1], all_clean / got[0])
+    z = (z + 0.5) / STEPS
+    if not (y > 0).any():
+        return float(z.max() + 1), {}
+    own = {}
+    for name in sorted(set(lang.tolist())):
+        at = lang == name
+        if n[at].sum() >= least[0] and n[at & (y > 0)].sum() >= least[1]:
+            own[name] = best_cut(z[at], y[at], w[at])
+    return best_cut(z, y, w), own
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, at_score: float = 0.3, toxic_rows: int = 2500, clean_rows: int = 4000, held_out: int = 2, folds: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, lang_threshold, flagged.
 
     score sees the text alone. predicted is score >= ``at_score``; flagged compares with the
     language's threshold (``at_score`` for a language without enough labels, and for a null).
     A null or empty text is scored as one without words. Without enough labels every score is
-    0.01. Repeated rows give repeated rows; an empty table gives an empty result.
+    0.01. Repeated rows give repeated rows; an empty table gives an empty result. Labels are joined
+    with scores, never with texts, but for the training sample.
     """
-    net = fit(docs, labels, at_score=at_score, **bounds)
+    lab = saved(labelled(labels, held_out, folds))
+    toxic, clean = (x or 0 for x in lab.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    chosen = in_sample(toxic, clean, toxic_rows, clean_rows)
+    net = train(docs, lab.where(chosen))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
+    src = docs.select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"))
 
     def run(batches):
         known = Hashed()
         for b in batches:
-            s = net.score(np.array([net.logit(buckets(t, known)) for t in texts(b)]))
-            cut = np.array([net.thresholds.get(x or "", at_score) for x in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(3), pa.array(s), pa.array((s >= at_score).astype(np.int32)), pa.array(cut, pa.float64()), pa.array(s >= cut)],
-                ["doc_id", "held_out", "score", "predicted", "lang_threshold", "flagged"],
-            )
-
-    return in_arrow(src, run, f"doc_id {kind}, held_out boolean, score double, predicted int, lang_threshold double, flagged boolean")
+            z = np.array([net.logit(buckets(t, known)) for t in texts(b)] if net else np.full(b.num_rows, math.log(0.01 / 0.99)), np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(z)], ["doc_id", "held_out", "lang", "logit"])
+
+    raw = saved(in_arrow(src, run, f"doc_id {kind}, held_out boolean, lang string, logit double"))
+    shift, own = 0.0, {}
+    if net:
+        step = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("logit"))) * STEPS).cast("int")
+        hist = raw.join(lab.where(~chosen), "doc_id").groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", step.alias("step")).count()
+        cut, own = cuts([tuple(r) for r in hist.collect()], toxic, clean)
+        shift = 0.0 if cut is None else math.log(at_score / (1 - at_score)) - cut
+    by_lang = docs.sparkSession.createDataFrame([(k, 1 / (1 + math.exp(-(v + shift)))) for k, v in own.items()], "name string, own double")
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("logit") + shift))))
+    out = raw.join(F.broadcast(by_lang), F.coalesce("lang", F.lit("")) == F.col("name"), "left").withColumn("score", score)  # a row for each language with enough labels
+    out = out.withColumn("lang_threshold", F.coalesce("own", F.lit(at_score)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= at_score).cast("int").alias("predicted"), "lang_threshold", (F.col("score") >= F.col("lang_threshold")).alias("flagged"))
