@@ -6,14 +6,16 @@ shapes. Shapes are few thousand classes, so a word's scores are table lookups. D
 Viterbi: a word whose O score beats B and I by more than transitions can ever return is O in the
 best path, and cuts the text into short stretches that are decoded one by one.
 
-The field is fitted here, on stretches of a bounded number of documents that the fixed patterns
-label (``fit_docs`` with a pattern and as many others).
+The field is fitted here, on stretches that the fixed patterns label. Texts of any length are cut
+into passages of PASSAGE code points for this, and a bounded number of passages is drawn: about
+``fit_passages`` of those with each kind of pattern, and as many of those with none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ EDGES = "\"'`.,;:()[]{}<>#*$%&|!?="
 B, I, O = 0, 1, 2
 LEAST = 8  # code points of a span that the field may add
 HALF = 12  # words on either side of a secret in a training stretch
+PASSAGE = 20_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, int]]:
@@ -259,19 +262,23 @@ def stretches(docs: list[str], seed: int = 7):
     return tuple(np.array(x) for x in zip(*rows))
 
 
-def fit_field(docs: DataFrame, fit_docs: int = 250, longest: int = 200_000) -> Field:
-    """The field of about ``fit_docs`` documents with a fixed pattern, the first by hash, and as many without.
+def passages(docs: DataFrame) -> DataFrame:
+    """draw, text and kind of all passages of the texts; kind is the rarest that the fixed patterns find, or none."""
+    cut = docs.select(draw_of(F.lit(3), "doc_id", "text").alias("draw"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
+    assign = F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[a-z0-9+/_.=-]{12}")
+    kind = F.when(F.col("text").contains("AKIA") & F.col("text").rlike("AKIA[A-Z0-9]{14}"), "access").when(assign, "assign").when(F.col("text").rlike("[0-9a-f]{16}"), "hex").otherwise("none")
+    return cut.select(draw_of("draw", "k").alias("draw"), "text", kind.alias("kind"))
 
-    Fitting, and nothing else, leaves out texts of over ``longest`` code points.
-    """
-    draw = draw_of(F.lit(3), "doc_id", "text")
-    found = F.col("text").rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}") | F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[a-z0-9+/_.=-]{12}")
-    d = docs.where(F.length("text") <= longest)
-    counts = {r[0]: r[1] for r in d.groupBy(found.alias("found")).count().collect()}
-    hit, miss = (share(counts.get(x, 0), fit_docs) for x in (True, False))
-    d = d.where(draw < max(hit, miss)).select("text", draw.alias("draw"), found.alias("found")).where(F.col("draw") < F.when(F.col("found"), hit).otherwise(miss))
-    some = [r[0] for r in sorted(d.select("text", "draw").collect(), key=lambda r: (r[1], r[0]))]
-    data = stretches(some)
+
+def fit_field(docs: DataFrame, fit_passages: int = 200) -> Field:
+    """The field of about ``fit_passages`` passages of each kind, the first by hash."""
+    p = passages(docs)
+    counts = {r[0]: r[1] for r in p.groupBy("kind").count().collect()}
+    bound = F.lit(0).cast("long")
+    for kind, n in sorted(counts.items()):
+        bound = F.when(F.col("kind") == kind, F.lit(share(n, fit_passages if kind != "none" else fit_passages * max(1, len(counts) - 1)))).otherwise(bound)
+    some = p.where(F.col("draw") < bound).select("draw", "text").collect()
+    data = stretches([r[1] for r in sorted(some)])
     field = Field()
     if data is None:
         field.own[:, O] = 1.0
@@ -279,6 +286,18 @@ def fit_field(docs: DataFrame, fit_docs: int = 250, longest: int = 200_000) -> F
     return field.fit(data[0], data[1], data[2], data[3], data[4])
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the union of (start, end) spans, in order and disjoint."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scan(text: str, field: Field, shapes: Shapes, odd: np.ndarray, bounds: tuple[np.ndarray, ...]) -> tuple[list, list]:
     """(base spans, spans the field adds) of a text; added ones touch no base span."""
     base = base_spans(text)
@@ -293,6 +312,7 @@ def scan(text: str, field: Field, shapes: Shapes, odd: np.ndarray, bounds: tuple
     if not len(begins):
         return base, []
     ms = list(WORD.finditer(text))
+    starts, ends = merged([(a, b) for a, _, b, _ in base])
     added = []
     for i in begins.tolist():
         j = i + 1
@@ -303,7 +323,8 @@ def scan(text: str, field: Field, shapes: Shapes, odd: np.ndarray, bounds: tuple
             start += 1
         while end > start and text[end - 1] in EDGES:
             end -= 1
-        if end - start >= LEAST and not any(a < end and start < b for a, _, b, _ in base):
+        near = bisect_left(starts, end) - 1  # the last base stretch that begins before the end
+        if end - start >= LEAST and (near < 0 or ends[near] <= start):
             added.append((start, "crf", end, start))
     return base, added
 
@@ -324,14 +345,14 @@ def redacted(text: str, spans: list, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-def find_secrets(docs: DataFrame, redact: bool = False, fit_docs: int = 250) -> DataFrame:
+def find_secrets(docs: DataFrame, redact: bool = False, fit_passages: int = 200) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
     With ``redact`` instead the rows of ``docs``, all columns, secrets' values replaced in text.
     Offsets are code points of the whole text. A null text is empty (and stays null when
     redacted). Repeated rows give repeated rows; an empty table gives an empty result.
     """
-    field = fit_field(docs, fit_docs)
+    field = fit_field(docs, fit_passages)
     columns = docs.columns if redact else ["doc_id", "text"]
     src = docs.select(*columns)
     at = columns.index("text")
