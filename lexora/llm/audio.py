@@ -25,7 +25,7 @@ TAPS = 10  # of the filter on either side, in the longer of the two periods
 FRAME, HOP, MELS = 256, 128, 20
 BLOCK = 32  # frames of a tensor
 OPEN, CLOSE = 0.5, -0.25  # standard deviations from the mean energy
-CHUNK = 4096  # frames worked on at once
+CHUNK = 4096  # frames worked on at once: a long payload is never held as floats
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -81,19 +81,29 @@ def _phases() -> tuple[list[np.ndarray], int]:
 PHASES, REACH = _phases()
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """x at RATE * UP / DOWN: each output phase is one strided filter, nothing is computed on the fine grid."""
-    n = -(-len(x) * UP // DOWN)
-    pad = np.zeros(len(x) + 2 * REACH + DOWN + 1, np.float32)
-    pad[REACH : REACH + len(x)] = x
-    view = np.lib.stride_tricks.sliding_window_view(pad, 2 * REACH + 1)
-    out = np.empty(n, np.float32)
-    for j in range(UP):  # outputs j, j + UP, ...: fine-grid places j * DOWN, stepping by UP * DOWN
-        place, phase = divmod(j * DOWN, UP)
-        m = len(range(j, n, UP))
-        for s in range(0, m, CHUNK * 16):
-            e = min(m, s + CHUNK * 16)
-            out[j + s * UP : j + (e - 1) * UP + 1 : UP] = view[place + s * DOWN : place + (e - 1) * DOWN + 1 : DOWN] @ PHASES[phase]
+def outputs(n: int) -> int:
+    """Samples that resample() makes of n."""
+    return -(-n * UP // DOWN)
+
+
+def resample(x: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Outputs ``first`` to ``last`` of x at RATE * UP / DOWN: each output phase is one strided filter, nothing is computed on the fine grid.
+
+    Only the inputs that these outputs reach are touched. x may be of unsigned bytes: 128 is silence.
+    """
+    last = outputs(len(x)) if last is None else last
+    low = first * DOWN // UP - REACH  # of the inputs reached
+    high = (last - 1) * DOWN // UP + REACH + 1
+    pad = np.zeros(max(0, high - low), np.float32)
+    part = x[max(0, low) : max(0, high)]
+    pad[max(0, -low) : max(0, -low) + len(part)] = (part.astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else part
+    view = np.lib.stride_tricks.sliding_window_view(pad, 2 * REACH + 1) if len(pad) > 2 * REACH else np.zeros((0, 2 * REACH + 1), np.float32)
+    out = np.empty(max(0, last - first), np.float32)
+    for j in range(min(UP, len(out))):  # outputs first + j, first + j + UP, ...: their places step by DOWN
+        place, phase = divmod((first + j) * DOWN, UP)
+        m = len(range(j, len(out), UP))
+        at = place - REACH - low
+        out[j::UP] = view[at : at + (m - 1) * DOWN + 1 : DOWN] @ PHASES[phase]
     return out
 
 
@@ -112,19 +122,21 @@ BANK = _mel_bank()
 HANN = np.hanning(FRAME).astype(np.float32)
 
 
-def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((frames, MELS) log energies in hundredths, (frames,) log energy): overlapping frames, the last padded with zeros."""
-    n = max(1, -(-max(len(y) - FRAME, 0) // HOP) + 1)
-    pad = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    pad[: len(y)] = y[: len(pad)]
-    view = np.lib.stride_tricks.sliding_window_view(pad, FRAME)[::HOP]
-    mel, energy = [], []
+def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((frames, MELS) log energies in hundredths, (frames,) log energy) of x resampled: overlapping frames, the last padded with zeros. CHUNK frames at once."""
+    m = outputs(len(x))
+    n = max(1, -(-max(m - FRAME, 0) // HOP) + 1)
+    mel, energy = np.empty((n, MELS), np.float32), np.empty(n)
     for s in range(0, n, CHUNK):
-        part = view[s : s + CHUNK]
+        e = min(n, s + CHUNK)
+        y = np.zeros((e - 1 - s) * HOP + FRAME, np.float32)
+        got = resample(x, s * HOP, min(m, s * HOP + len(y)))
+        y[: len(got)] = got
+        part = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(part * HANN, axis=1)).astype(np.float32) ** 2
-        mel.append(np.rint(np.log(power @ BANK + 1e-6) * 100))
-        energy.append(np.rint(np.log((part * part).mean(axis=1) + 1e-6) * 1000))
-    return np.concatenate(mel).astype(np.float32), np.concatenate(energy)
+        mel[s:e] = np.rint(np.log(power @ BANK + 1e-6) * 100)
+        energy[s:e] = np.rint(np.log((part * part).mean(axis=1) + 1e-6) * 1000)
+    return mel, energy
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -158,8 +170,7 @@ def tensors(mel: np.ndarray) -> tuple[pa.FixedShapeTensorArray, np.ndarray, np.n
 def features(media: bytes) -> dict:
     """What is computed from a stored medium alone."""
     raw, rate = from_wav(media)
-    x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x))
+    mel, energy = log_mel(np.frombuffer(raw, np.uint8))
     cut = segments(energy)
     block, start, end = tensors(mel)
     digest = hashlib.sha256(block.to_numpy_ndarray().tobytes())
@@ -167,6 +178,12 @@ def features(media: bytes) -> dict:
     return {"samples": raw, "rate": rate, "mel": mel, "tensors": block, "start": start, "end": end, "segments": cut, "digest": digest.hexdigest()}
 
 
+def seconds(cut: list[tuple[int, int]]) -> list[tuple[float, float]]:
+    """(start, end) in seconds of segments of frames."""
+    rate = RATE * UP / DOWN
+    return [(a * HOP / rate, ((b - 1) * HOP + FRAME) / rate) for a, b in cut]
+
+
 def store_audio(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: every text's payload as a WAV. A null text is empty."""
 
@@ -179,18 +196,34 @@ def store_audio(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def _blocks(found: list[dict | None]) -> pa.ListArray:
+    """Each medium's tensors with their time spans, a list a row; null for a null medium."""
+    got = [f for f in found if f is not None]
+    n = [0 if f is None else len(f["start"]) for f in found]
+    flat = np.concatenate([f["tensors"].to_numpy_ndarray().reshape(-1) for f in got]) if got else np.zeros(0, np.float32)
+    mel = pa.ListArray.from_arrays(pa.array(np.arange(sum(n) + 1) * BLOCK * MELS, pa.int32()), pa.array(flat))
+    time = [np.concatenate([f[k] for f in got]) if got else np.zeros(0) for k in ("start", "end")]
+    at = [None if f is None else int(x) for f, x in zip(found, np.cumsum([0, *n]))] + [sum(n)]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(time[0]), pa.array(time[1]), mel], ["start_s", "end_s", "mel"]))
+
+
 def audio_features(stored: DataFrame) -> DataFrame:
-    """For ``stored(doc_id, n_bytes, media)``: digests of the payload read back, of the medium, and of its features.
+    """For ``stored(doc_id, n_bytes, media)``: digests of the payload read back, of the medium, and of its features, and these.
 
     feature: frames, segments, frames inside segments, and the digest of tensors and segments.
-    A null medium gives nulls. Repeated rows give repeated rows.
+    tensors: the log-mel tensors (BLOCK * MELS values, row-major, once in Arrow a fixed-shape tensor
+    by tensor_column()) with their time spans; spans: the segments' times. A null medium gives
+    nulls. Repeated rows give repeated rows; an empty table gives an empty result. A long medium is
+    worked on in chunks; held at once are its bytes and its tensors, less than twice its bytes.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments", "tensors", "spans"]
 
-    def row(media):
-        if media is None:
+    def row(media, f):
+        if f is None:
             return (None,) * 8
-        f = features(media)
         raw, cut = f["samples"], f["segments"]
         text = f"frames={len(f['mel'])};segments={len(cut)};inside={sum(b - a for a, b in cut)};sha256={f['digest']}"
         return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), text, len(f["mel"]), len(cut)
@@ -198,34 +231,29 @@ def audio_features(stored: DataFrame) -> DataFrame:
     def run(batches):
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
-            c = list(zip(*(row(m.as_py()) for m in b.column(2)))) or [()] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(c, kinds))], names)
+            for some in pieces(b, 2):
+                media = some.column(2).to_pylist()
+                found = [None if m is None else features(m) for m in media]
+                c = list(zip(*map(row, media, found))) or [()] * 8
+                spans = pa.array([None if f is None else [{"start_s": a, "end_s": e} for a, e in seconds(f["segments"])] for f in found], pa.list_(SPAN))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(x, k) for x, k in zip(c, kinds)), _blocks(found), spans], names)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
+    span = "start_s:double,end_s:double"
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, tensors array<struct<{span},mel:array<float>>>, spans array<struct<{span}>>"
     return in_arrow(stored.select("doc_id", "n_bytes", "media"), run, schema)
 
 
-def audio_tensors(stored: DataFrame) -> DataFrame:
-    """The tensors themselves, one row each: doc_id, block, start_s, end_s and mel (BLOCK * MELS floats, row-major)."""
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                m = b.column(1)[i].as_py()
-                if m is None:
-                    continue
-                f = features(m)
-                n = len(f["start"])
-                mel = pa.array(list(f["tensors"].to_numpy_ndarray().reshape(n, -1)), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * n)), pa.array(range(n), pa.int32()), pa.array(f["start"]), pa.array(f["end"]), mel], ["doc_id", "block", "start_s", "end_s", "mel"])
-
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    return in_arrow(stored.select("doc_id", "media"), run, f"doc_id {kind}, block int, start_s double, end_s double, mel array<float>")
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 22):
+    """The batch's rows in runs of about ``most`` bytes of a binary column, so that what is made of them stays small."""
+    size = np.array([0 if m is None else len(m) for m in batch.column(column).to_pylist()], np.int64)
+    group = np.cumsum(size) // most
+    for s, e in zip(*(lambda cut: (cut, np.r_[cut[1:], len(size)]))(np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))) if len(size) else ():
+        yield batch.slice(int(s), int(e - s))
 
 
-def tensor_column(mel: pa.ChunkedArray) -> pa.FixedShapeTensorArray:
-    """audio_tensors' mel column, once in Arrow, as the fixed-shape tensor type."""
-    flat = mel.combine_chunks().flatten()
+def tensor_column(mel: pa.ListArray) -> pa.FixedShapeTensorArray:
+    """The mel field of audio_features' tensors, once in Arrow and flattened, as the fixed-shape tensor type. No null may be in it."""
+    flat = mel.flatten()
     kind = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, BLOCK * MELS))
