@@ -60,13 +60,12 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def _count(differ, shape: tuple, first: int = 24, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Carry-save count of differing planes; ``differ(b, alive)`` gives plane b for the alive blocks.
+def _count(differ, alive: np.ndarray, first: int = 24, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save count of differing planes; ``differ(b, alive)`` gives plane b for the alive blocks, at first those given.
 
     Returns the indices of the blocks that stayed alive and, for each, the word whose set bits
     are within RADIUS (3: the two counter planes have not overflowed).
     """
-    alive = np.arange(int(np.prod(shape)))
     ones = twos = over = np.zeros(len(alive), np.uint64)
     for b in range(64):
         d = differ(b, alive)
@@ -83,20 +82,28 @@ def _count(differ, shape: tuple, first: int = 24, step: int = 8) -> tuple[np.nda
     return alive, ~over
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray, queries: int = 128):
-    """Yields index arrays (i, j): left[i] and right[j] differ in at most RADIUS bits."""
+def near_pairs(left: np.ndarray, right: np.ndarray | None = None, queries: int = 128):
+    """Yields index arrays (i, j): left[i] and right[j] differ in at most RADIUS bits.
+
+    Without right, left meets itself, and only blocks that hold a j above i are compared.
+    """
+    right, same = (left, True) if right is None else (right, False)
     planes = bit_planes(right)
     width = planes.shape[1]
     for at in range(0, len(left), queries):
         q = left[at : at + queries]
         flip = [np.where((q >> np.uint64(b)) & np.uint64(1), ONES, np.uint64(0)) for b in range(64)]
-        alive, within = _count(lambda b, k: planes[b][k % width] ^ flip[b][k // width], (len(q), width))
+        blocks = np.arange(len(q) * width)
+        if same:
+            blocks = blocks[blocks % width >= (at + blocks // width + 1) // 64]
+        alive, within = _count(lambda b, k: planes[b][k % width] ^ flip[b][k // width], blocks)
         if len(alive):
             hit = np.unpackbits(within.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64)
             block, bit = np.nonzero(hit)
             j = (alive[block] % width) * 64 + bit
-            ok = j < len(right)
-            yield at + (alive[block] // width)[ok], j[ok]
+            i = at + alive[block] // width
+            ok = (j < len(right)) & ((j > i) if same else True)
+            yield i[ok], j[ok]
 
 
 def near_in_runs(values: np.ndarray, run: np.ndarray, longest: int):
@@ -106,7 +113,7 @@ def near_in_runs(values: np.ndarray, run: np.ndarray, longest: int):
         if not len(i):
             break
         planes = bit_planes(values[i] ^ values[i + s])
-        alive, within = _count(lambda b, k: planes[b][k], (planes.shape[1],))
+        alive, within = _count(lambda b, k: planes[b][k], np.arange(planes.shape[1]))
         hit = np.unpackbits(within.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(-1, 64)
         block, bit = np.nonzero(hit)
         k = alive[block] * 64 + bit
@@ -149,9 +156,8 @@ def _links_of(values: np.ndarray, tiles: np.ndarray, run: np.ndarray, small: int
         a, kinds = values[s:e], np.unique(tiles[s:e])
         left = np.flatnonzero(tiles[s:e] == kinds[0])
         right = left if len(kinds) == 1 else np.flatnonzero(tiles[s:e] != kinds[0])
-        for i, j in near_pairs(a[left], a[right]):
-            ok = left[i] != right[j]
-            forest.link(s + left[i[ok]], s + right[j[ok]])
+        for i, j in near_pairs(a[left], None if len(kinds) == 1 else a[right]):
+            forest.link(s + left[i], s + right[j])
     where = np.flatnonzero(few)
     if len(where):
         for i, j in near_in_runs(values[where], run[where], small):

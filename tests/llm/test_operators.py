@@ -97,6 +97,15 @@ def test_bit_planes_count_distances():
     assert {p for i, j in simhash.near_in_runs(v, np.zeros(len(v)), len(v)) for p in zip(i.tolist(), j.tolist())} == {p for p in want if p[0] < p[1]}
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
+def test_near_pairs_of_one_side(n):
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    a[n // 2 :] = a[: n - n // 2] ^ np.uint64(5)  # near copies, some in the same block
+    got = sorted((int(i), int(j)) for x, y in simhash.near_pairs(a, queries=50) for i, j in zip(x, y))
+    assert got == [(i, j) for i in range(n) for j in range(i + 1, n) if int(a[i] ^ a[j]).bit_count() <= 3]
+
+
 def test_simhash_matches_brute_force(docs):
     got = simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id").collect()
     want = brute_components([(i, brute_fingerprint(t)) for i, t in text_by_id(docs).items()])
