@@ -14,13 +14,20 @@ aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't ha
 mustn mustn't needn needn't shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 """.split()
 
-# Marks and words of short posts that carry no meaning.
-POST_MARKS = ["RT", "http", "https", "'", "''", '"', '""', "``", "`", "’", "‘", "“", "”", "...", "…", "..", "......", ".....", "//", "--", "~~", "!", "?", ",", ":", ";", "(", ")", "[", "]", "{", "}'&'", "$", ".", "rt", "S", "s", "n't", "N'T", "'re", "'it", "'m", "'ve", "'ll", "'s", "'d", "\\'s", "\\'d", "n\\'t", "1️⃣.1️⃣2️⃣", " ", ""]
+# Marks and words of short posts that carry no meaning. They must match the engine's
+# whose results these are, so each entry stands once, in the order of its first
+# mention there; "}'&'" is one entry there too.
+POST_MARKS = [
+    "RT", "http", "https", "", "'", "''", '"', "``", "’", "...", "…", "twitter.com", "web", "status", "i", "n't", "--", "'re", "..", "'it", "'m",
+    "......", ".....", "//", "'ve", "N'T", "'ll", "S", "s", " ", "‘", "`", '""', "“", "”",
+    "rt", "!", "?", ",", ":", ";", "(", ")", "[", "]", "{", "}'&'", "$",
+    ".", "\\'s", "'s", "'d", "\\'d", "n\\'t", "1️⃣.1️⃣2️⃣", "~~",
+]
 
 # Never indexed, whatever produced them.
 SKIPPED = ["twitter.com", "web", "status", "i"]
 
-STOP_WORDS = sorted({*ENGLISH, *POST_MARKS, *SKIPPED})
+STOP_WORDS = sorted({*ENGLISH, *POST_MARKS})
 
 # Currency and percent words, and quantity words.
 SIGNS = {"usd": "$", "aud": "$", "eur": "€", "$": "$", "€": "€", "£": "£", "percent": "%", "percentage": "%", "%": "%"}
