@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions.rules import simple_tokens
 from lexora.operators import correct, index, joins, parse, rank
-from lexora.plans import engine, storage
+from lexora.plans import engine, lsi, storage
 from lexora.sources import corpus as S
 from lexora.sources.schemas import POST_FIELDS
 from lexora.streaming.append import append_postings, read_postings
@@ -164,3 +164,88 @@ def test_growing_index(spark, tmp_path):
     append_postings(stream, f"{tmp_path}/p", f"{tmp_path}/c", stem=False).awaitTermination()
     vocab, postings = read_postings(spark, f"{tmp_path}/p")
     assert {r["term"]: r["df"] for r in vocab.collect()} == {"apple": 2, "plum": 2} and postings.count() == 4
+
+
+def test_one_file(spark, tmp_path):
+    """A single file by its absolute path, or by its name below the root."""
+    posts = [dict.fromkeys(POST_FIELDS) | {"post_id": str(i), "created": "Wed Jul 22 12:20:42 +0000 2020", "full_text": f"text {i}"} for i in range(3)]
+    (tmp_path / "deep").mkdir()
+    pd.DataFrame(posts[:2]).astype("string").to_parquet(tmp_path / "deep/a.parquet")
+    pd.DataFrame(posts[2:]).astype("string").to_parquet(tmp_path / "b.parquet")
+    assert [r["post_id"] for r in S.read_file(spark, str(tmp_path), "b.parquet").collect()] == ["2"]
+    assert sorted(r["post_id"] for r in S.read_file(spark, "elsewhere", f"{tmp_path}/deep/a.parquet").collect()) == ["0", "1"]
+
+
+def test_query_urls(spark):
+    """A query's own URLs give their domains, as often as they stand there; a document's come with it."""
+    q = spark.createDataFrame([(1, "see https://www.cnn.com/a and http://www.cnn.com/b or https://t.co/x"), (2, "no address"), (3, None)], "query_num long, text string")
+    got = parse.parse(q, "query_num", stem=False, queries=True).where("pos is null").collect()
+    assert sorted((r["query_num"], r["term"]) for r in got) == [(1, "cnn"), (1, "cnn")]
+    assert parse.parse(q, "query_num", stem=False).where("pos is null").count() == 0
+    terms = engine.parse_queries(q, stem=False).where("query_num = 1 and term = 'cnn'").count()
+    assert terms >= 2
+
+
+def test_figures_of_a_build(spark, tmp_path):
+    ix = engine.build_index(docs(spark, [(1, "apple pear"), (2, "apple plum"), (3, "pear"), (4, "")]), **SIMPLE)
+    figures = engine.save_measured(ix, f"{tmp_path}/ix")
+    assert {k: figures[k] for k in ("terms", "postings", "documents")} == {"terms": 2, "postings": 4, "documents": 3} and figures["merge_seconds"] >= 0
+
+
+def test_intermediate_tables_lie_below_the_shared_folder(spark):
+    t = storage.written(spark.range(3))
+    assert all(f.startswith(("file:///tmp/", "file:/tmp/")) for f in t.inputFiles()) and t.count() == 3
+    folder = storage.new_folder(spark)
+    spark.range(2).write.mode("overwrite").parquet(folder)
+    storage.delete(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_root(unset)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: "hdfs://x/y/"), sparkContext=unset.sparkContext)
+    assert storage.shared_root(named) == "hdfs://x/y"
+
+
+def test_options_reach_the_parser(spark, tmp_path):
+    base = dict.fromkeys(POST_FIELDS) | {"created": "Wed Jul 22 12:20:42 +0000 2020", "urls": "{}"}
+    posts = [base | {"post_id": str(i), "full_text": "we # StayHome", "retweet_text": "repeated words"} for i in (1, 2)]
+    (tmp_path / "in").mkdir()
+    pd.DataFrame(posts).astype("string").to_parquet(tmp_path / "in/x.parquet")
+    terms = lambda out: {r["term"] for r in spark.read.parquet(f"{tmp_path}/{out}/without_stem/vocabulary").collect()}
+    engine.run(spark, f"{tmp_path}/in", f"{tmp_path}/a", ["home"], 5, stem=False)
+    engine.run(spark, f"{tmp_path}/in", f"{tmp_path}/b", ["home"], 5, stem=False, keep_full_tag=True, include_retweet_text=True)
+    assert terms("a") == {"stay", "home"} and terms("b") == {"stay", "home", "#stayhome", "repeated", "words"}
+
+
+def test_singular_values_of_the_index(spark):
+    """Values and vectors are those of the whole matrix's decomposition."""
+    import numpy as np
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 900").select("doc_id", "text")
+    ix = engine.build_index(d, **SIMPLE)
+    terms, rows = (r.toPandas() for r in lsi.id_tables(ix))
+    cells = lsi._cells(ix, ix.n_docs()).toPandas().merge(terms, on="term").merge(rows, on="doc_id")
+    assert sorted(terms["term_id"]) == list(range(len(terms))) and sorted(rows["row_id"]) == list(range(len(rows)))
+    a = np.zeros((len(rows), len(terms)))
+    a[cells["row_id"], cells["term_id"]] = cells["x"]
+    space = lsi.decompose(ix, k=4, more=12, rounds=3)
+    assert np.allclose(space.values, np.linalg.svd(a, compute_uv=False)[:4], rtol=0.02)
+    v, u = np.zeros((len(terms), 4)), np.zeros((len(rows), 4))
+    for t, i in zip((space.terms.toPandas().merge(terms, on="term"), space.docs.toPandas().merge(rows, on="doc_id")), ("term_id", "row_id")):
+        (v if i == "term_id" else u)[t[i]] = np.stack(t["v"])
+    assert np.allclose(v.T @ v, np.eye(4), atol=1e-6) and np.allclose(u.T @ u, np.eye(4), atol=1e-6)
+    assert np.allclose(np.diag(u.T @ a @ v), space.values, rtol=1e-6)
+    # a document asked as a query lies where the document lies
+    one = cells[cells["row_id"] == 3]
+    asked = spark.createDataFrame([(1, t, float(x)) for t, x in zip(one["term"], one["x"])], "query_num long, term string, w double")
+    assert np.allclose(lsi.fold_in(space, asked).first()["v"], a[3] @ v / space.values, atol=1e-9)
+    empty = lsi.decompose(engine.build_index(d.limit(0), **SIMPLE))
+    assert empty.values == [] and empty.terms.count() == 0
+
+

@@ -108,3 +108,20 @@ def test_parse_rules(spark):
     assert terms_of(spark, "cost 55 million 22/07/2020 -3.5 x² 🙂") == [(0, "cost"), (1, "55M"), (2, "million"), (3, "22/07/2020"), (4, "3.5")]
     assert [t for _, t in terms_of(spark, "The the")] == ["THE"]
     assert terms_of(spark, None) == [] and terms_of(spark, "") == []
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("web status twitter.com i", []),  # never indexed
+        ("see Web/Status/cnn", ["see", "Web", "Status", "cnn"]),  # only in lower case are they skipped
+        ("see web/status/cnn", ["see", "cnn"]),
+        ("end. x.", ["end", "x"]),  # one full stop goes
+        ("a..", ["a."]),
+        ("'tis -5 -x", ["tis", "-5", "x"]),
+    ],
+)
+def test_skipped_words_and_edges(spark, text, want):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = parse.parse(df, tokenizer=lambda c: F.split(c, " "), stop=[], stem=False).where("not is_entity").orderBy("pos")
+    assert [r["term"] for r in got.collect()] == want
