@@ -49,9 +49,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs, dealt anew where it lies in fewer parts than there are cores: work on texts would leave cores idle. A corpus of many files stays as it is."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """docs, dealt anew where it is so small that its files make fewer tasks than there are cores: work on texts would leave cores idle.
+
+    The plan's own estimate of its bytes tells, so nothing is run for it; more than a few MB a core stays as it is.
+    """
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else docs
 
 
 @dataclass

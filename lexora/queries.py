@@ -483,7 +483,7 @@ SQL_FIXED = (
 
 
 def _corpus(spark, d) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", "text").join(_dates(spark, d), "doc_id", "left")
+    return storage.spread(_table(spark, d, "documents").select("doc_id", "text")).join(_dates(spark, d), "doc_id", "left")
 
 
 def _questions(spark, d) -> DataFrame:

@@ -30,9 +30,16 @@ def test_frequencies_of_rows_that_share_a_key(spark):
 
 
 def test_counts_shuffle_nothing(spark):
-    plan = index.term_frequencies(docs(spark, [(1, "a")]), simple_tokens(F.col("text")))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    assert "Exchange" not in parse.parse_counts(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for counted in (index.term_frequencies(d, simple_tokens(F.col("text"))), parse.parse_counts(d)):
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and plan.count("Exchange") <= 1  # a small table is spread over the cores
+
+
+def test_only_small_tables_are_spread(spark):
+    small, large = spark.range(10), spark.range(1 << 40)
+    assert "RoundRobinPartitioning" in storage.spread(small)._jdf.queryExecution().executedPlan().toString()
+    assert storage.spread(large) is large
 
 
 AWKWARD = [(1, "The quick-witted Fox saw Barack Obama in New York City, 10:30 at 3.14! Obama's $5,000 and 6 percent"), (2, None), (3, ""), (4, "@user said #StayAtHome2020 either/or RT web status"), (5, "NASA nasa Nasa " * 50 + "don't can't I'm"), (6, "#"), (7, "x" * 5000 + " état d'été – 日本 🙂")]
