@@ -3,7 +3,7 @@
 A line's quote level is the number of ``>`` in its prefix. Runs of lines of one level are
 passages; a passage, normalised (lower case, blanks collapsed), is hashed and linked to the
 latest earlier message of its conversation that offers the same text: as its whole own text or as
-one of its own lines. A longer passage without such a message is linked by its first line. The
+one of its own lines. A longer passage without such a message is linked by its longest line. The
 passage of the least level decides which message is replied to. Messages keep their own text
 without quotes, and are ordered by thread (its first message's turn) and turn: each comes after
 the one it replies to.
@@ -83,13 +83,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     runs = lines.withColumn("run", F.col("pos") - place).where("level > 0").groupBy("rid", "conv_id", "turn", "level", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("x"))
     bodies = F.transform("x", lambda y: normal(y["body"]))
     runs = runs.withColumn("said", F.filter(bodies, lambda y: y != ""))
-    runs = saved(runs.where(F.size("said") > 0).select("rid", "conv_id", "turn", "level", "run", F.array_join("said", " ").alias("passage"), F.element_at("said", 1).alias("first")))
+    # the longest line says most of where a passage comes from; a greeting says nothing
+    longest = F.array_max(F.transform("said", lambda y, i: F.struct(F.length(y).alias("n"), (-i).alias("i"), y.alias("y"))))["y"]
+    runs = saved(runs.where(F.size("said") > 0).select("rid", "conv_id", "turn", "level", "run", F.array_join("said", " ").alias("passage"), longest.alias("line")))
 
     own = plain.select("conv_id", "turn", "text").unionByName(q.select("conv_id", "turn", _own(F.col("raw")).alias("text")))
     said = F.array_distinct(F.concat(F.array(normal(F.col("text"))), F.transform(F.split("text", "\n"), normal)))
     ids = "conv_id IS NOT NULL AND turn IS NOT NULL"
     offers = own.where(ids).select("conv_id", "turn", F.explode(said).alias("said")).where("said <> ''").select("conv_id", "turn", F.md5(F.encode("said", "UTF-8")).alias("key"))
-    keyed = runs.where(ids).select("rid", "conv_id", "turn", "level", "run", F.posexplode(F.array(F.md5(F.encode("passage", "UTF-8")), F.md5(F.encode("first", "UTF-8")))).alias("kind", "key"))
+    keyed = runs.where(ids).select("rid", "conv_id", "turn", "level", "run", F.posexplode(F.array(F.md5(F.encode("passage", "UTF-8")), F.md5(F.encode("line", "UTF-8")))).alias("kind", "key"))
     found = _latest_earlier(keyed, offers)
     linked = found.groupBy("rid", "level", "run").agg(F.min(F.when(F.col("up").isNotNull(), F.struct("kind", (-F.col("up")).alias("n")))).alias("x"))
     per = runs.select("rid", "level", "run").join(linked, ["rid", "level", "run"], "left").groupBy("rid").agg(
@@ -132,7 +134,7 @@ n as (
   from p),
 passages as (
   select rid, any_value(conv_id) as conv_id, any_value(turn) as turn, level, run,
-         string_agg(said, ' ' order by pos) as passage, arg_min(said, pos) as first
+         string_agg(said, ' ' order by pos) as passage, arg_max(said, struct_pack(n := length(said), i := -pos)) as line
   from n where level > 0 and said <> '' group by rid, level, run),
 own as (
   select m.rid, m.conv_id, m.turn, m.role,
@@ -146,7 +148,7 @@ linked as (
   select a.rid, a.level, a.run,
          coalesce(max(o.turn) filter (where o.said = a.passage), max(o.turn)) as up
   from passages a left join offers o
-    on o.conv_id = a.conv_id and o.turn < a.turn and o.said <> '' and (o.said = a.passage or o.said = a.first)
+    on o.conv_id = a.conv_id and o.turn < a.turn and o.said <> '' and (o.said = a.passage or o.said = a.line)
   group by a.rid, a.level, a.run),
 per as (
   select rid, count(*) as n_quotes, count(up) as n_linked,
