@@ -30,6 +30,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8  # of each width
 MARKS = b"\"'`.,;:()[]{}<>#*$%&|!?=-_"
 CHUNK = 1 << 16
+#: What stands for a text without words: a word of no meaning.
+NO_WORDS = np.zeros(1, np.int64)
 #: Steps of a histogram to a unit of the logit.
 STEPS = 64
 
@@ -75,31 +77,46 @@ class Net:
     def embed(self, h: np.ndarray) -> np.ndarray:
         return np.concatenate([t[bucket(h, k)] for k, t in enumerate(self.tables)], axis=1)
 
-    def pool(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(highest value, its place) of each filter over one text's words; texts are padded with zeros at both ends."""
-        n = len(x)
+    def rows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(embedded words of all texts, hashed words or -1, first row of each text): texts lie behind one another, with rows of zeros between."""
+        gap = np.full(WIDTHS[-1] - 1, -1, np.int64)
+        parts = [gap]
+        for h in texts:
+            parts += [h, gap]
+        words = np.concatenate(parts)
+        first = np.cumsum([len(gap)] + [len(h) + len(gap) for h in texts])[:-1]
+        x = self.embed(np.maximum(words, 0))
+        x[words < 0] = 0
+        return x, words, first
+
+    def pool(self, x: np.ndarray, first: np.ndarray, n: np.ndarray, begins: bool = True, ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, filters): each filter's highest value over a text's places, and the first row it was found from.
+
+        A window may reach into the zeros beside its text where that begins or ends, not where it is cut.
+        """
         best, place = [], []
         for w, f in zip(WIDTHS, self.filters):
-            pad = np.zeros((n + 2 * (w - 1), x.shape[1]), np.float32)
-            pad[w - 1 : w - 1 + n] = x
-            m = n + w - 1
-            y = pad[:m] @ f[0]
+            m = len(x) - w + 1
+            y = x[:m] @ f[0]
             for j in range(1, w):
-                y += pad[j : j + m] @ f[j]
-            at = y.argmax(axis=0)
-            best.append(y[at, np.arange(FILTERS)])
-            place.append(at)
-        return np.concatenate(best), np.concatenate(place)
+                y += x[j : j + m] @ f[j]
+            size = np.maximum(n - (w - 1) + (w - 1) * (int(begins) + int(ends)), 1)
+            start = np.cumsum(size) - size
+            at = np.arange(size.sum()) + np.repeat(first - (w - 1) * int(begins) - start, size)
+            y = y[at]
+            top = np.maximum.reduceat(y, start)
+            best.append(top)
+            place.append(np.minimum.reduceat(np.where(y == np.repeat(top, size, axis=0), at[:, None], len(x)), start))
+        return np.concatenate(best, axis=1), np.concatenate(place, axis=1)
 
     def logit(self, h: np.ndarray) -> float:
-        """Of one text's word hashes; long texts go in chunks that overlap by the widest filter."""
-        if not len(h):
-            h = np.zeros(0, np.int64)
+        """Of one text's hashed words, by themselves, so that it does not depend on what is scored beside it; a long text goes in chunks that overlap by the widest filter."""
+        h = h if len(h) else NO_WORDS
         top = np.full(len(self.out), -np.inf, np.float32)
-        for at in range(0, max(len(h), 1), CHUNK):
-            part = h[max(0, at - WIDTHS[-1]) : at + CHUNK + WIDTHS[-1]]
-            x = self.embed(part) if len(part) else np.zeros((1, len(PREFIXES) * DIM), np.float32)
-            top = np.maximum(top, self.pool(x)[0])
+        for at in range(0, len(h), CHUNK):
+            s, e = max(0, at - WIDTHS[-1]), min(len(h), at + CHUNK + WIDTHS[-1])
+            x, _, first = self.rows([h[s:e]])
+            top = np.maximum(top, self.pool(x, first, np.array([e - s]), s == 0, e == len(h))[0][0])
         return float(np.maximum(top + self.level, 0) @ self.out + self.bias)
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 0.02, seed: int = 29) -> Net:
@@ -111,34 +128,28 @@ class Net:
         v = [np.zeros_like(p) for p in params]
         seen = [np.full(BUCKETS, 1e-4, np.float32) for _ in PREFIXES]
         k = 0
-        rows = [h if len(h) else np.zeros(1, np.int64) for h in rows]
+        rows = [h if len(h) else NO_WORDS for h in rows]
         for epoch in range(epochs):
             order = rng.permutation(len(rows))
             for s in range(0, len(order), batch):
                 some = order[s : s + batch]
-                grads = [np.zeros_like(p) for p in params]
-                gb = 0.0
-                touched_h, touched_g = [], []
-                for i in some:
-                    h = rows[i]
-                    x = self.embed(h)
-                    top, place = self.pool(x)
-                    act = np.maximum(top + self.level, 0)
-                    z = float(act @ self.out + self.bias)
-                    d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - float(y[i])) * weight[i] / len(some)
-                    gb += d
-                    grads[-1] += d * act
-                    up = d * self.out * (act > 0)
-                    grads[-2] += up
-                    for c, (w, f) in enumerate(zip(WIDTHS, self.filters)):
-                        u, at = up[c * FILTERS : (c + 1) * FILTERS], place[c * FILTERS : (c + 1) * FILTERS]
-                        for j in range(w):
-                            word = at + j - (w - 1)
-                            ok = np.flatnonzero((word >= 0) & (word < len(h)) & (u != 0))
-                            if len(ok):
-                                grads[c][j][:, ok] += x[word[ok]].T * u[ok]
-                                touched_h.append(h[word[ok]])
-                                touched_g.append(f[j][:, ok].T * u[ok, None])
+                own = [rows[i] for i in some]
+                x, words, first = self.rows(own)
+                top, place = self.pool(x, first, np.array([len(h) for h in own]))
+                act = np.maximum(top + self.level, 0)
+                z = np.clip(act @ self.out + self.bias, -30, 30)
+                d = ((1 / (1 + np.exp(-z)) - y[some]) * weight[some] / len(some)).astype(np.float32)
+                up = d[:, None] * self.out * (act > 0)
+                grads, touched = [], []
+                for c, (w, f) in enumerate(zip(WIDTHS, self.filters)):
+                    u, at = up[:, c * FILTERS : (c + 1) * FILTERS], place[:, c * FILTERS : (c + 1) * FILTERS]
+                    g = np.empty_like(f)
+                    for j in range(w):
+                        g[j] = np.einsum("bfd,bf->df", x[at + j], u)
+                        real = (words[at + j] >= 0) & (u != 0)
+                        touched.append((words[at + j][real], (f[j].T[None] * u[..., None])[real]))
+                    grads.append(g)
+                grads += [up.sum(axis=0), d @ act]
                 k += 1
                 step = rate * 0.5 * (1 + math.cos(math.pi * k / (epochs * (len(order) / batch + 1))))
                 for p, g, a, b in zip(params, grads, m, v):
@@ -148,16 +159,14 @@ class Net:
                     b *= 0.999
                     b += 0.001 * g * g
                     p -= step * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.999**k)) + 1e-7)
-                self.bias -= np.float32(step * gb)
-                if touched_h:
-                    h, g = np.concatenate(touched_h), np.concatenate(touched_g).astype(np.float32)
-                    for c, (table, sums) in enumerate(zip(self.tables, seen)):
-                        part = g[:, c * DIM : (c + 1) * DIM]
-                        u, inv = np.unique(bucket(h, c), return_inverse=True)
-                        total = np.zeros((len(u), DIM), np.float32)
-                        np.add.at(total, inv, part)
-                        sums[u] += (total * total).mean(axis=1)
-                        table[u] -= 0.1 * total / np.sqrt(sums[u])[:, None]
+                self.bias -= np.float32(step * d.sum())
+                h, g = (np.concatenate(t) for t in zip(*touched))
+                for c, (table, sums) in enumerate(zip(self.tables, seen)):
+                    u, inv = np.unique(bucket(h, c), return_inverse=True)
+                    total = np.zeros((len(u), DIM), np.float32)
+                    np.add.at(total, inv, g[:, c * DIM : (c + 1) * DIM])
+                    sums[u] += (total * total).mean(axis=1)
+                    table[u] -= 0.1 * total / np.sqrt(sums[u])[:, None]
         for p in params:  # weights that decay took towards zero are slow (denormal) numbers
             p[np.abs(p) < 1e-8] = 0
         return self
@@ -234,7 +243,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, at_score: float = 0.3, to
     def run(batches):
         known = Hashed()
         for b in batches:
-            z = np.array([net.logit(buckets(t, known)) for t in texts(b)] if net else np.full(b.num_rows, math.log(0.01 / 0.99)), np.float64)
+            z = np.array([net.logit(buckets(t, known)) if net else math.log(0.01 / 0.99) for t in texts(b)], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(z)], ["doc_id", "held_out", "lang", "logit"])
 
     raw = saved(in_arrow(src, run, f"doc_id {kind}, held_out boolean, lang string, logit double"))

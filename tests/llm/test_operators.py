@@ -216,7 +216,7 @@ def brute_quotes(messages):
         found = []
         for level, lines in runs:
             said = [n for n in map(norm, lines) if n]
-            for want in (" ".join(said), said[0]) if said else ():
+            for want in (" ".join(said), max(said, key=len)) if said else ():
                 ups = [u for (d, u), o in own.items() if d == c and u < t and want in {norm(o), *map(norm, o.split("\n"))}]
                 if ups:
                     found.append((level, -max(ups)))
@@ -254,6 +254,31 @@ def test_quotes(spark):
         assert (r["thread"], r["depth"]) == (at, depth)
 
 
+def test_quotes_link_what_was_planted(spark):
+    """Quotes of a whole message, of one line and of a few lines behind a greeting that all messages share; and edited quotes, which come from none."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for c in range(20):
+        bodies = []
+        for t in range(40):
+            own = ["Hi,"] + [" ".join(f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(4, 12)))) for _ in range(4)]
+            quote, up = [], None
+            if t > 2 and rng.random() < 0.7:
+                up, kind = int(rng.integers(0, t)), int(rng.integers(0, 4))
+                source = bodies[up]
+                quote = [source, source[2:3], source[:3], [x + " edited" for x in source[1:3]]][kind]
+                up = None if kind == 3 else up
+            want[c, t] = up
+            rows.append((c, t, "user", "\n".join([*("> " + x for x in quote), *own])))
+            bodies.append(own)
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    linked = [k for k, up in got.items() if up is not None]
+    right = sum(got[k] == want[k] for k in linked)
+    planted = sum(up is not None for up in want.values())
+    print("links", len(linked), "right", right, "planted", planted)
+    assert right >= 0.99 * len(linked) and right >= 0.99 * planted
+
+
 def test_quotes_awkward(spark):
     shape = "conv_id long, turn long, role string, text string, key string, up int"
     rows = [(1, 0, "user", "hello", "k", 1), (1, 0, "user", "hello", "k", 1), (1, 1, None, "> > hello\n> nobody said this\nyes", "k", 1), (None, 2, "user", "> hello", "k", 1), (1, None, "user", "> hello\nx", "k", 1), (1, 3, "user", None, "k", 1), (1, 4, "user", ">\n>  \n", "k", 1)]
@@ -488,17 +513,21 @@ def test_toxicity_learns(spark):
 
 def test_toxicity_chunks_do_not_matter(monkeypatch):
     net, h = toxicity.Net(), np.random.default_rng(0).integers(0, 1 << 32, 1000)
-    whole = net.logit(h)
+    texts = [h, h[:0], h[5:6], h[100:170], h[:64], h[7:72]]
+    whole = [net.logit(t) for t in texts]
     monkeypatch.setattr(toxicity, "CHUNK", 64)
-    assert math.isclose(net.logit(h), whole, rel_tol=1e-4, abs_tol=1e-5)
+    assert np.allclose([net.logit(t) for t in texts], whole, rtol=1e-4, atol=1e-5)
+    x, _, first = net.rows([t for t in texts if len(t)])  # beside each other
+    top, _ = net.pool(x, first, np.array([len(t) for t in texts if len(t)]))
+    assert np.allclose(np.maximum(top + net.level, 0) @ net.out + net.bias, [z for t, z in zip(texts, whole) if len(t)], rtol=1e-4, atol=1e-5)
 
 
 def loop_logit(net, text):
-    """Word by word and filter by filter."""
-    words = (text or "").encode().lower().split() or None
-    d = len(toxicity.PREFIXES) * toxicity.DIM
+    """Word by word and filter by filter; a text without words is one word of hash 0."""
     known = toxicity.Hashed()
-    rows = [np.concatenate([t[(known[w] >> (toxicity.BITS * k)) % toxicity.BUCKETS] for k, t in enumerate(net.tables)]) for w in words] if words else [np.zeros(d)]
+    words = [known[w] for w in (text or "").encode().lower().split()] or [0]
+    d = len(toxicity.PREFIXES) * toxicity.DIM
+    rows = [np.concatenate([t[(w >> (toxicity.BITS * k)) % toxicity.BUCKETS] for k, t in enumerate(net.tables)]) for w in words]
     acts = []
     for w, f in zip(toxicity.WIDTHS, net.filters):
         padded = [np.zeros(d)] * (w - 1) + rows + [np.zeros(d)] * (w - 1)
@@ -509,8 +538,19 @@ def loop_logit(net, text):
 def test_toxicity_score_equals_loops(docs):
     net, known = toxicity.Net(seed=3), toxicity.Hashed()
     net.level += 0.1
-    for text in [*list(text_by_id(docs).values())[:5], "", "one", "é ß!! 日本 a-b"]:
-        assert math.isclose(net.logit(toxicity.buckets(text, known)), loop_logit(net, text), rel_tol=1e-4, abs_tol=1e-4)
+    texts = [*list(text_by_id(docs).values())[:5], "", "one", "é ß!! 日本 a-b"]
+    got = [net.logit(toxicity.buckets(t, known)) for t in texts]
+    assert all(math.isclose(a, loop_logit(net, t), rel_tol=1e-4, abs_tol=1e-4) for a, t in zip(got, texts))
+
+
+def test_toxicity_gradients():
+    """A step on one batch lowers its loss, by about what the gradients say."""
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(0, 1 << 47, n) for n in (1, 5, 40, 0, 17, 8)]
+    y = np.array([1, 0, 1, 0, 1, 0])
+    before, after = toxicity.Net(seed=2), toxicity.Net(seed=2).fit(rows, y, epochs=30)
+    loss = lambda z: float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
+    assert loss(np.array([after.logit(h) for h in rows])) < 0.2 * loss(np.array([before.logit(h) for h in rows]))
 
 
 def test_toxicity_cuts():
@@ -912,3 +952,32 @@ def test_pipeline(spark):
     mixed = p.mix(spark, clean, SF)
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in clean.collect()}
     assert p.run(spark, SF).agg(F.sum("length")).first()[0] == packing.pack_documents(mixed).agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Every stage takes nulls, empty and very long texts, repeated rows, clashing columns and no rows, and keeps the columns."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    values = lambda d: collections.Counter(map(repr, d.collect()))
+    own = values(awkward)
+    kept = stages["quality_rules"](spark, awkward, SF)
+    assert kept.columns == awkward.columns and not values(kept) - own
+    assert not [r for r in kept.collect() if not (r["text"] or "").strip()]
+    one = stages["simhash_dedup"](spark, awkward, SF)
+    assert one.columns == awkward.columns and not values(one) - own
+    assert one.count() == len({root for root in brute_roots([r[1] for r in AWKWARD])})
+    clean = stages["secret_scan"](spark, awkward, SF).collect()
+    assert len(clean) == len(AWKWARD) and sum(r["text"] is None for r in clean) == sum(r[1] is None for r in AWKWARD)
+    assert all((r["n_chars"] is None) == (r["text"] is None) for r in clean) and not [r for r in clean if brute_base(r["text"])]
+    mixed = stages["mix_sources"](spark, awkward, SF)
+    assert mixed.columns == awkward.columns and set(values(mixed)) <= set(own) and max(values(mixed).values()) <= 3 * 2
+    placed = stages["best_fit_packing"](spark, awkward, SF).collect()
+    assert sum(r["length"] for r in placed) == sum(len(tokens.ids(r[1] or "", tokens.default_path())) + 1 for r in AWKWARD)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+
+
+def brute_roots(texts):
+    prints = [brute_fingerprint(t) for t in texts]
+    return [c for _, _, c in brute_components(list(enumerate(prints)))]
