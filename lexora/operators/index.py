@@ -93,6 +93,7 @@ def canonical_forms(counts: DataFrame, stem: bool, least_entity: int = 2) -> Dat
     v = counts.groupBy("form", "kind").agg(F.sum("tf").alias("n")).where((F.col("kind") != "e") | (F.col("n") >= least_entity))
     v = v.withColumn("term", F.col("form"))
     if stem:
+        v = v.repartition(v.sparkSession.sparkContext.defaultParallelism, "form")  # stemming is the work: every core takes part
         v = stem_terms(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
     return written(fold_case(written(v)).select("form", "kind", F.col("folded").alias("term"), "n"))
 

@@ -144,11 +144,15 @@ def parse_counts(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_token
     null = F.lit(None).cast("string")
     item = lambda kind, t, f=null, n=null, before=null, after=null, tf=F.lit(1): F.struct(F.lit(kind).alias("kind"), t.alias("t"), f.alias("f"), n.alias("n"), before.alias("before"), after.alias("after"), tf.alias("tf"))
     rows = parsed_tokens(texts, key, tokenizer, stop, queries).withColumn("doc_length", F.size("x"))
-    plain = lambda x: (x["f"] == ".") & is_plain(x["t"])
-    rows = held(rows, "w", F.sort_array(F.transform(F.filter("x", plain), lambda x: x["t"])))
+    # which tokens are plain is asked once; the places of the others, and what stands beside them
+    rows = held(rows, "p", F.transform("x", lambda x: (x["f"] == ".") & is_plain(x["t"])))
+    is_p = lambda i: F.get(F.col("p"), i)
+    at = lambda i: F.get(F.col("x"), i)["t"]
+    rows = held(rows, "w", F.sort_array(F.transform(F.filter("x", lambda x, i: is_p(i)), lambda x: x["t"])))
     rows = held(rows, "s", run_starts("w"))
+    rows = held(rows, "o", F.filter(F.transform("x", lambda x, i: i), lambda i: ~is_p(i)))
     words = F.transform(runs("w", "s"), lambda r: item("p", r["term"], tf=r["tf"]))
-    others = F.transform(F.filter(_neighbours(), lambda y: ~plain(y["x"])), lambda y: item("w", y["x"]["t"], y["x"]["f"], y["x"]["n"], y["before"], y["after"]))
+    others = F.transform("o", lambda i: item("w", at(i), F.get(F.col("x"), i)["f"], F.get(F.col("x"), i)["n"], at(i - 1), at(i + 1)))
     phrases = F.transform(entity_phrases(F.transform("x", lambda x: x["t"])), lambda p: item("e", p["phrase"]))
     urls = F.transform("u", lambda u: item("u", u))
     out = rows.select(key, "doc_length", F.explode(F.concat(words, others, phrases, urls)).alias("z")).select(key, "doc_length", "z.*")
