@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts, written
+from .common import crc_mod, draw_of, in_arrow, raw_texts, share, written
 
 TAIL = 32
 WINDOW = 32
@@ -331,8 +331,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()).cast(pa.string()), pa.array(c.values(), pa.int64())], ["token", "n"])
 
         for b in batches:
-            for t in texts(b):
-                c.update(lower_words(t))
+            for t in raw_texts(b):
+                c.update(t.lower().split())
                 c[b""] += 1
                 if len(c) >= FLUSH:
                     yield out()
@@ -386,26 +386,32 @@ class Words:
     """What the corpus's counts say of words: the listed ones' ids, and the tail classes."""
 
     def __init__(self, counts: DataFrame, frequent: int, known: int):
-        self.n_all, self.n_words = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-        # counts in steps of 1/32 of a power of e: how many words lie at or above each step decides from which count on they are listed
+        # one pass over the counts: by steps of 1/32 of a power of e, and by tail class
         step = F.floor(F.log("n") * 32)
-        steps = sorted(counts.where("token <> ''").groupBy(step.alias("s")).count().collect(), reverse=True)
+        sub = F.crc32(F.substring(F.encode("token", "UTF-8"), -2, 2)) % TAIL
+        groups = counts.where("token <> ''").groupBy(step.alias("step"), sub.alias("sub")).agg(F.sum("n"), F.count("*")).collect()
+        self.ends = counts.where("token = ''").agg(F.sum("n")).first()[0] or 0
+        self.n_all = self.ends + sum(r[2] for r in groups)
+        self.n_words = (self.ends > 0) + sum(r[3] for r in groups)
+        # how many words lie at or above each step decides from which count on they are listed
+        at_step: Counter = Counter()
+        for s, _, _, c in groups:
+            at_step[s] += c
         listed_from, total = None, 0
-        for s, c in steps:
+        for s, c in sorted(at_step.items(), reverse=True):
             total += c
             if total > known - 1:
                 break
             listed_from = s
         top = counts.where(F.lit(False) if listed_from is None else (F.col("token") != "") & (step >= listed_from)).collect()
         top.sort(key=lambda r: (-r[1], r[0]))
-        self.ends = counts.where("token = ''").agg(F.sum("n")).first()[0] or 0
         self.frequent = min(frequent, len(top) + 1)
         self.listed = " ".join(r[0] for r in top).encode()
         self.number = np.array([self.ends, *(r[1] for r in top)], np.int64)
-        sub = F.crc32(F.substring(F.encode("token", "UTF-8"), -2, 2)) % TAIL
         self.sums, kinds = np.zeros(TAIL), np.zeros(TAIL)
-        for s, a, b in counts.where("token <> ''").groupBy(sub.alias("s")).agg(F.sum("n"), F.count("*")).collect():
-            self.sums[s], kinds[s] = a, b
+        for _, s, a, b in groups:
+            self.sums[s] += a
+            kinds[s] += b
         for w, n in top[: self.frequent - 1]:  # these have classes of their own
             self.sums[tail_class(w.encode())] -= n
             kinds[tail_class(w.encode())] -= 1
@@ -426,8 +432,8 @@ class Words:
         ids, to, share, base = self.index()
         for b in batches:
             n_tokens, n_known, base_sum, tail_sum, seqs, away, owner = [], [], [], [], [], [], []
-            for at, t in enumerate(texts(b, "text")):
-                w = lower_words(t)
+            for at, t in enumerate(raw_texts(b)):
+                w = t.lower().split()  # as lower_words()
                 a = np.append(np.fromiter(map(ids.get, w, repeat(-1)), np.int64, len(w)), 0)
                 rest = np.flatnonzero(a < 0)
                 away += [w[i] for i in rest.tolist()]
@@ -481,7 +487,7 @@ def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_st
     scored once each. Scores are rounded to 6 decimals. An empty table gives an empty result.
     """
     held = crc_mod(F.col("doc_id"), folds) == held_out
-    counts = saved(token_counts(docs.where(~held)))
+    counts = written(token_counts(docs.where(~held)))
     words = Words(counts, frequent, known)
     model = Model(words.number[: words.frequent], words.sums)
     kind = docs.schema["doc_id"].dataType.simpleString()
