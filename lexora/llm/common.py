@@ -69,11 +69,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """A text column as UTF-8 bytes; a null is the empty text."""
-    return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
-
-
 def words(text: str) -> list[bytes]:
     """UTF-8 words of the text in its own case: bytes.split() parts at exactly x20 and x09-x0D."""
     return text.encode("utf-8", "surrogatepass").split()

@@ -13,7 +13,7 @@ through time on every training document, whole: they start from a fit on the dri
 take a disjoint share of the documents each. In a round every partition trains on its part, and
 the weights are averaged, weighted by words.
 
-Documents are scored whole: windows of WINDOW words, the state carried from one to the next. The
+Documents are scored whole: windows of WINDOW words, the state carried from one to the next. SIDE
 documents of a batch run side by side, longest first, so none is padded. Counts of up to ``known``
 of the commonest words travel with the code; a document's other words meet their counts in a join.
 """
@@ -24,24 +24,28 @@ import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterable
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, raw_texts, share, written
+from .common import crc_mod, draw_of, in_arrow, share, written
 
 TAIL = 32
 WINDOW = 32
 HIDDEN = 24
 EMBED = 16
-FLUSH = 200_000
+#: Bytes of text that are cut into words at a time.
+PIECE = 1 << 25
 ROUNDS = 3
 RATE = 0.008
 STREAMS = 256
+#: Documents scored side by side, and states whose classes are told at a time: few enough for a core's cache.
+SIDE = 1024
+TILE = 4096
 #: Ids of a stretch that the driver's start may learn from.
 STRETCH = 2048
 #: Ids that a partition gathers before it trains on them, and the parts in which weights are averaged.
@@ -81,16 +85,16 @@ class Model:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def step(self, x: np.ndarray, h: np.ndarray, rec_t: np.ndarray | None = None):
-        """One step of the unit, a column a stream: x is the input's projection (3 HIDDEN, streams), h the states before."""
-        u = (self.p["rec"].T if rec_t is None else rec_t) @ h
-        zr = x[: 2 * HIDDEN] + u[: 2 * HIDDEN]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
+    def step(self, x: np.ndarray, h: np.ndarray, rec_t: np.ndarray | None = None, out: tuple = (None, None, None)):
+        """One step of the unit, a column a stream: x is the input's projection (3 HIDDEN, streams), h the states before; out may hold what it keeps."""
+        u = np.matmul(self.p["rec"].T if rec_t is None else rec_t, h, out=out[0])
+        zr = np.add(x[: 2 * HIDDEN], u[: 2 * HIDDEN], out=out[1])
+        zr *= 0.5  # 1 / (1 + exp(-a)) is (1 + tanh(a / 2)) / 2
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:HIDDEN], zr[HIDDEN:]
-        n = r * u[2 * HIDDEN :]
+        n = np.multiply(r, u[2 * HIDDEN :], out=out[2])
         n += x[2 * HIDDEN :]
         np.tanh(n, out=n)
         new = h - n
@@ -102,14 +106,17 @@ class Model:
         """Whether a logit may be too large for exp() as it is: states lie in -1..1, so a column's weights bound its logits."""
         return any(float((np.abs(w).sum(axis=axis) + b).max(initial=0)) > 60 for w, b, axis in ((self.p["cls"], self.p["cls_b"], 0), (self.p["word"], self.p["word_b"], 1)))
 
-    def _softmax(self, h: np.ndarray, w: np.ndarray, b: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(exp of the logits, their sums), in place of one another."""
-        s = h @ w
-        s += b
+    def _softmax(self, h: np.ndarray, w: np.ndarray, steep: bool, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of the logits, their sums); h ends in a column of ones, w in the biases."""
+        s = np.matmul(h, w, out=out)
         if steep:
             s -= s.max(axis=1, keepdims=True)
         np.exp(s, out=s)
-        return s, s.sum(axis=1)
+        return s, s @ np.ones(s.shape[1], s.dtype)
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The classes' weights, a column a class, and the words', a row a word, each with its bias as the last."""
+        return np.vstack([self.p["cls"], self.p["cls_b"]]), np.column_stack([self.p["word"], self.p["word_b"]])
 
     def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
         """(class of each target, an order by class, (from, to, first id, id after the last) of the classes met that hold several words)."""
@@ -120,50 +127,44 @@ class Model:
 
     def output(self, h: np.ndarray, target: np.ndarray, steep: bool | None = None) -> np.ndarray:
         """Natural log probability of each target id (a tail class: of the class) after states h."""
-        steep = self.steep() if steep is None else steep
+        return self._output(np.column_stack([h, np.ones(len(h), h.dtype)]), target, self.steep() if steep is None else steep, *self._weights())
+
+    def _output(self, h: np.ndarray, target: np.ndarray, steep: bool, cls: np.ndarray, word: np.ndarray) -> np.ndarray:
         k, order, met = self._by_class(target)
-        s, total = self._softmax(h, self.p["cls"], self.p["cls_b"], steep)
-        share = s[np.arange(len(k)), k] / total
-        out = np.log(share)
-        hs, ts, inner = h[order], target[order], np.zeros(len(k), h.dtype)
+        out = np.empty(len(k), h.dtype)
+        for a in range(0, len(k), TILE):
+            s, total = self._softmax(h[a : a + TILE], cls, steep)
+            out[a : a + TILE] = np.log(s[np.arange(len(s)), k[a : a + TILE]] / total)
         for a, e, lo, hi in met:
-            s, total = self._softmax(hs[a:e], self.p["word"][lo:hi].T, self.p["word_b"][lo:hi], steep)
-            inner[a:e] = np.log(s[np.arange(e - a), ts[a:e] - lo] / total)
-        out[order] += inner
+            s, total = self._softmax(h.take(order[a:e], axis=0), word[lo:hi].T, steep)
+            out[order[a:e]] += np.log(s[np.arange(e - a), target[order[a:e]] - lo] / total)
         return out
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each id sequence; the end stands before the first id."""
         order = np.argsort([-len(d) for d in docs], kind="stable")
-        length = np.array([len(docs[i]) for i in order])
-        total = np.zeros(len(docs))
         table = (self.p["embed"] @ self.p["in"] + self.p["in_b"]).astype(np.float32)
-        rec_t = np.ascontiguousarray(self.p["rec"].T)
-        h = np.zeros((HIDDEN, len(docs)), np.float32)
-        last = np.zeros(len(docs), np.int64)
-        steep = self.steep()
-        for at in range(0, int(length.max(initial=0)), WINDOW):
-            live = int(np.searchsorted(-length, -at))
-            part = [docs[i][at : at + WINDOW] for i in order[:live]]
-            steps = min(WINDOW, int(length[0]) - at)
-            ids = np.zeros((steps, live), np.int64)
-            size = np.minimum(length[:live] - at, WINDOW)
-            inside = np.arange(steps)[:, None] < size
-            ids.T[inside.T] = np.concatenate(part)
-            states = []
-            for t in range(steps):
-                k = int(np.searchsorted(-length, -(at + t)))
-                h = self.step(np.ascontiguousarray(table[last[:k]].T), h[:, :k], rec_t)[0]
-                last[:k] = ids[t, :k]
-                states.append(h.T)
-            owner = np.concatenate([np.arange(len(s)) for s in states])
-            target = np.concatenate([ids[t, : len(s)] for t, s in enumerate(states)])
-            states = np.concatenate(states)
-            for s in range(0, len(target), 1 << 15):
-                e = s + (1 << 15)
-                total += np.bincount(owner[s:e], self.output(states[s:e], target[s:e], steep), len(docs))
+        rec_t, steep, weights = np.ascontiguousarray(self.p["rec"].T), self.steep(), self._weights()
         out = np.zeros(len(docs))
-        out[order] = total
+        for first in range(0, len(docs), SIDE):
+            some = order[first : first + SIDE]
+            length = np.array([len(docs[i]) for i in some])
+            ids, begin = np.concatenate([docs[i] for i in some]), np.cumsum(length) - length
+            total = np.zeros(len(some))
+            h = np.zeros((HIDDEN, len(some)), np.float32)
+            last = np.zeros(len(some), np.int64)
+            for at in range(0, int(length[0]), WINDOW):
+                live = np.searchsorted(-length, -np.arange(at, min(at + WINDOW, int(length[0])))).tolist()
+                states = np.ones((sum(live), HIDDEN + 1), np.float32)
+                owner, target = [], []
+                for t, k in enumerate(live):
+                    h = self.step(np.ascontiguousarray(table.take(last[:k], axis=0).T), h[:, :k], rec_t)[0]
+                    last = ids.take(begin[:k] + (at + t))
+                    owner.append(np.arange(k))
+                    target.append(last)
+                    states[sum(live[:t]) : sum(live[: t + 1]), :HIDDEN] = h.T
+                total += np.bincount(np.concatenate(owner), self._output(states, np.concatenate(target), steep, *weights), len(some))
+            out[some] = total
         return out
 
     def fit(self, docs: list[np.ndarray], epochs: int = 3, streams: int = 128, window: int = 20, rate: float = 0.012, clip: float = 1.0) -> Model:
@@ -177,11 +178,11 @@ class Model:
         x_all = np.vstack([np.zeros((1, streams), np.int64), y_all[:-1]])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        n_all, k = epochs * max(1, -(-width // window)), 0
+        n_all, k, room = epochs * max(1, -(-width // window)), 0, {}
         for _ in range(epochs):
             h = np.zeros((streams, HIDDEN), np.float32)
             for at in range(0, width, window):
-                g, h = self._backward(x_all[at : at + window], y_all[at : at + window], h)
+                g, h = self._backward(x_all[at : at + window], y_all[at : at + window], h, None, room)
                 k += 1
                 self._adam(g, m, v2, k, rate * (1 - k / (n_all + 1)), clip)
         return self
@@ -209,6 +210,7 @@ class Model:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         k = done = last = 0
+        room: dict = {}
 
         def train(ids):
             """Trains on as many ids as fill the streams; the rest."""
@@ -219,7 +221,7 @@ class Model:
             x = np.append(last, ids[: n * width - 1]).reshape(n, width).T
             h, steep = np.zeros((n, HIDDEN), np.float32), self.steep()
             for at in range(0, width, window):
-                g, h = self._backward(x[at : at + window], y[at : at + window], h, steep)
+                g, h = self._backward(x[at : at + window], y[at : at + window], h, steep, room)
                 k += 1
                 self._adam(g, m, v2, k, rate, clip)
             done += n * width
@@ -247,50 +249,68 @@ class Model:
             self.p[k] = a[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def _backward(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, steep: bool | None = None):
-        """Gradients of the mean loss over a window (steps, streams), and the state after it."""
+    def _backward(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, steep: bool | None = None, room: dict | None = None):
+        """Gradients of the mean loss over a window (steps, streams), and the state after it; room keeps the large arrays for the next window."""
         p, (steps, n) = self.p, x.shape
-        kind, flat_x, target = p["rec"].dtype, x.ravel(), y.ravel()
-        steep = self.steep() if steep is None else steep
+        kind, flat_x, target, rows = p["rec"].dtype, x.ravel(), y.ravel(), x.size
+        steep, room = self.steep() if steep is None else steep, {} if room is None else room
         across = lambda m: m.transpose(0, 2, 1)
-        e = p["embed"][x]
-        proj = np.matmul(p["in"].T, across(e))  # (steps, 3 HIDDEN, streams)
-        proj += p["in_b"][:, None]
+
+        def space(name, *shape):
+            size = int(np.prod(shape))
+            if name not in room or room[name].size < size or room[name].dtype != kind:
+                room[name] = np.empty(size, kind)
+            return room[name][:size].reshape(shape)
+
+        # biases are weights of a last column of ones
+        e = np.column_stack([p["embed"], np.ones(len(p["embed"]), kind)]).take(flat_x, axis=0, out=space("e", rows, EMBED + 1), mode="clip").reshape(steps, n, -1)
+        proj = np.matmul(np.vstack([p["in"], p["in_b"]]).T, across(e), out=space("proj", steps, 3 * HIDDEN, n))
         live = (x != 0).astype(kind)
-        starts, states = np.empty((steps, HIDDEN, n), kind), np.empty((steps, HIDDEN, n), kind)
+        starts, flat = space("starts", steps, HIDDEN, n), space("flat", rows, HIDDEN + 1)
+        flat[:, HIDDEN] = 1
+        kept = space("u", steps, 3 * HIDDEN, n), space("zr", steps, 2 * HIDDEN, n), space("n", steps, HIDDEN, n)
         rec, rec_t, h = p["rec"], np.ascontiguousarray(p["rec"].T), h.T
-        kept = []
         for t in range(steps):
             np.multiply(h, live[t], out=starts[t])
-            h, *rest = self.step(proj[t], starts[t], rec_t)
-            kept.append(rest)
-            states[t] = h
-        flat = np.ascontiguousarray(across(states)).reshape(-1, HIDDEN)
-        rows, g = len(target), {}
+            h = self.step(proj[t], starts[t], rec_t, tuple(a[t] for a in kept))[0]
+            flat[t * n : (t + 1) * n, :HIDDEN] = h.T
+        g = {}
         k, order, met = self._by_class(target)
-        s, total = self._softmax(flat, p["cls"], p["cls_b"], steep)
-        s *= (1 / (total * rows))[:, None]
-        s[np.arange(rows), k] -= kind.type(1 / rows)
-        g["cls"], g["cls_b"] = flat.T @ s, s.sum(axis=0)
-        dh = s @ p["cls"].T
-        g["word"], g["word_b"] = np.zeros_like(p["word"]), np.zeros_like(p["word_b"])
-        hs, ts, inner = flat[order], target[order], np.zeros((rows, HIDDEN), kind)
+        cls, word = self._weights()
+        s, total = self._softmax(flat, cls, steep, space("s", rows, cls.shape[1]))
+        s.reshape(-1)[np.arange(rows) * s.shape[1] + k] -= total
+        inv = (1 / (total * rows))[:, None]
+        scaled = np.multiply(flat, inv, out=space("scaled", rows, HIDDEN + 1))
+        d_cls = np.matmul(across(scaled.reshape(steps, n, -1)), s.reshape(steps, n, -1)).sum(axis=0)
+        g["cls"], g["cls_b"] = d_cls[:HIDDEN], d_cls[HIDDEN]
+        dh = np.matmul(s, p["cls"].T, out=space("dh", rows, HIDDEN))
+        dh *= inv
+        d_word = np.zeros_like(word)
+        hs, ts, inner = flat.take(order, axis=0, out=space("scaled", rows, HIDDEN + 1), mode="clip"), target[order], space("inner", rows, HIDDEN)
+        inv, at, done = np.zeros((rows, 1), kind), np.arange(rows), 0
         for a, b, lo, hi in met:
-            w = p["word"][lo:hi]
-            s, total = self._softmax(hs[a:b], w.T, p["word_b"][lo:hi], steep)
-            s *= (1 / (total * rows))[:, None]
-            s[np.arange(b - a), ts[a:b] - lo] -= kind.type(1 / rows)
-            np.matmul(s.T, hs[a:b], out=g["word"][lo:hi])
-            g["word_b"][lo:hi] = s.sum(axis=0)
-            np.matmul(s, w, out=inner[a:b])
-        dh[order] += inner
-        dh = np.ascontiguousarray(across(dh.reshape(steps, n, HIDDEN)))
+            inner[done:a] = 0
+            s, total = self._softmax(hs[a:b], word[lo:hi].T, steep)
+            s.reshape(-1)[at[: b - a] * (hi - lo) + (ts[a:b] - lo)] -= total
+            inv[a:b, 0] = 1 / (total * rows)
+            np.matmul(s.T, hs[a:b] * inv[a:b], out=d_word[lo:hi])
+            np.matmul(s, p["word"][lo:hi], out=inner[a:b])
+            done = b
+        inner[done:] = 0
+        inner *= inv
+        g["word"], g["word_b"] = np.ascontiguousarray(d_word[:, :HIDDEN]), d_word[:, HIDDEN]
+        back_to = np.empty_like(order)
+        back_to[order] = at
+        dh += inner.take(back_to, axis=0, out=space("scaled", rows, HIDDEN), mode="clip")
+        dht = space("inner", steps, HIDDEN, n)
+        dht[...] = across(dh.reshape(steps, n, HIDDEN))
         back = np.zeros((HIDDEN, n), kind)
-        dproj, du = np.empty((steps, 3 * HIDDEN, n), kind), np.empty((steps, 3 * HIDDEN, n), kind)
+        dproj, du = proj, space("du", steps, 3 * HIDDEN, n)
         for t in range(steps - 1, -1, -1):
-            z, r, c, u = kept[t]
+            u, c = kept[0][t], kept[2][t]
+            z, r = kept[1][t].reshape(2, HIDDEN, n)
             dz, dr, dc = dproj[t].reshape(3, HIDDEN, n)
-            d, rest = dh[t], 1 - z
+            d, rest = dht[t], 1 - z
             d += back
             np.multiply(c, c, out=dc)
             np.subtract(1, dc, out=dc)
@@ -301,7 +321,7 @@ class Model:
             d *= z
             dz *= d
             np.multiply(u[2 * HIDDEN :], dc, out=dr)
-            du[t, 2 * HIDDEN :] = dc * r
+            np.multiply(dc, r, out=du[t, 2 * HIDDEN :])
             np.subtract(1, r, out=rest)
             rest *= r
             dr *= rest
@@ -309,36 +329,45 @@ class Model:
             back = rec @ du[t]
             back += d
             back *= live[t]
-        g["rec"] = np.matmul(starts, across(du)).sum(axis=0)
-        g["in"], g["in_b"] = np.matmul(across(e), across(dproj)).sum(axis=0), dproj.sum(axis=(0, 2))
+        g["rec"] = np.matmul(du, across(starts)).sum(axis=0).T
+        d_in = np.matmul(dproj, e).sum(axis=0)
+        g["in"], g["in_b"] = d_in[:, :EMBED].T, d_in[:, EMBED]
         # the gradient of an embedding row is the sum over its places: rows are summed in the order of their ids
-        de = np.matmul(across(dproj), p["in"].T).reshape(-1, EMBED)
+        de = np.matmul(across(dproj), p["in"].T, out=space("scaled", steps, n, EMBED)).reshape(-1, EMBED)
         by_id = np.argsort(flat_x.astype(np.uint16), kind="stable")
         ids = flat_x[by_id]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         g["embed"] = np.zeros_like(p["embed"])
-        g["embed"][ids[first]] = np.add.reduceat(de[by_id], first, axis=0)
+        g["embed"][ids[first]] = np.add.reduceat(de.take(by_id, axis=0, out=space("dh", rows, EMBED), mode="clip"), first, axis=0)
         return {name: g[name] for name in p}, h.T
 
 
+def pieces(batches):
+    """The batches' rows in order, in record batches of less than PIECE bytes of text after their first row."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.r_[0, np.flatnonzero(np.diff(size // PIECE)) + 1, len(size)].tolist() if len(size) else []
+        for s, e in zip(cuts, cuts[1:]):
+            yield b.slice(s, e - s)
+
+
+def word_parts(piece: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """(where each text's parts begin, and the end; the parts): its words, A-Z lowered. Blanks at a text's ends leave empty parts, a null is the empty text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(piece.column(piece.schema.get_field_index("text")).cast(pa.string()).fill_null("")))
+    return parts.offsets.to_numpy(), parts.values
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all rows of ``docs(text)``; the empty token is the end, once a row."""
 
     def run(batches):
-        c: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()).cast(pa.string()), pa.array(c.values(), pa.int64())], ["token", "n"])
-
-        for b in batches:
-            for t in raw_texts(b):
-                c.update(t.lower().split())
-                c[b""] += 1
-                if len(c) >= FLUSH:
-                    yield out()
-                    c.clear()
-        if c:
-            yield out()
+        ends = 0
+        for piece in pieces(batches):
+            ends += piece.num_rows
+            found = word_parts(piece)[1].value_counts()
+            yield pa.RecordBatch.from_struct_array(found.filter(pc.not_equal(found.field(0), ""))).rename_columns(["token", "n"])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([ends], pa.int64())], ["token", "n"])
 
     return in_arrow(docs.select("text"), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -418,50 +447,46 @@ class Words:
         self.size = self.sums + kinds + 1  # of each tail class
 
     def index(self):
-        """(id of each listed word, and of each id: the model's id, log10 of its share of its tail class, and its base score)."""
+        """(the listed words by id, the end's as an empty one, and of each id: the model's id, log10 of its share of its tail class, and its base score)."""
         words = self.listed.split()
-        ids = {w: i + 1 for i, w in enumerate(words)}
         cls = np.array([0, *map(tail_class, words)], np.int64)
         own = np.arange(len(cls)) < self.frequent
         to = np.where(own, np.arange(len(cls)), self.frequent + cls)
         share = np.where(own, 0.0, np.log10((self.number + 1) / self.size[cls]))
-        return ids, to, share, np.log10((self.number + 1) / (self.n_all + self.n_words + 1))
+        return pa.array([b"", *words], pa.binary()).cast(pa.string()), to, share, np.log10((self.number + 1) / (self.n_all + self.n_words + 1))
 
     def read(self, batches):
         """Rows of doc_id, held_out, draw and text as PREPARED says."""
-        ids, to, share, base = self.index()
-        for b in batches:
-            n_tokens, n_known, base_sum, tail_sum, seqs, away, owner = [], [], [], [], [], [], []
-            for at, t in enumerate(raw_texts(b)):
-                w = t.lower().split()  # as lower_words()
-                a = np.append(np.fromiter(map(ids.get, w, repeat(-1)), np.int64, len(w)), 0)
-                rest = np.flatnonzero(a < 0)
-                away += [w[i] for i in rest.tolist()]
-                owner.append(np.full(len(rest), at))
-                seqs.append(np.where(a < 0, 0, to[a]))
-                listed = a[a >= 0] if len(rest) else a
-                n_tokens.append(len(a))
-                n_known.append(int((self.number[listed] > 0).sum()))
-                base_sum.append(float(base[listed].sum()))
-                tail_sum.append(float(share[listed].sum()))
-                if len(rest):
-                    seqs[-1][rest] = -1
-            # words that are not listed: told apart once a batch, counted by text
-            kinds = pa.array(away, pa.binary()).dictionary_encode()
-            names = kinds.dictionary.to_pylist()
-            tail = np.array([tail_class(x) for x in names], np.int64)
-            code = kinds.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int64)
-            flat[flat < 0] = self.frequent + tail[code]
-            raw = flat.astype("<u2").tobytes()
-            end = np.cumsum([0, *n_tokens]) * 2
-            pair, tf = np.unique((np.concatenate(owner) if owner else np.zeros(0, np.int64)) * max(1, len(names)) + code, return_counts=True)
-            row, code = pair // max(1, len(names)), pair % max(1, len(names))
-            rest = pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(tail[code], pa.int32())], ["token", "tf", "s"])
-            offsets = np.searchsorted(row, np.arange(len(n_tokens) + 1))
+        listed, *of = self.index()
+        to, share, base = (np.append(x, 0) for x in of)  # the last, at -1, is of words that are not listed
+        to = to.astype("<u2")
+        for b in pieces(batches):
+            starts, parts = word_parts(b)
+            rows = b.num_rows
+            at = pc.index_in(parts, value_set=listed).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(starts))
+            # words that are not listed: told apart once a piece, counted by text
+            away = np.flatnonzero(at < 0)
+            owner, kinds = row[away].astype(np.int64), parts.take(pa.array(away)).dictionary_encode()
+            del parts
+            if not at.all():  # empty parts
+                row, at = row[at != 0], at[at != 0]
+            tail = np.array([tail_class(x) for x in kinds.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            code = kinds.indices.to_numpy().astype(np.int64)
+            n_words, n_away = np.bincount(row, minlength=rows), np.bincount(owner, minlength=rows)
+            flat = to[at]
+            flat[at < 0] = self.frequent + tail[code]
+            ids = np.zeros(len(flat) + rows, "<u2")  # each text's end stays 0
+            ids[np.arange(len(flat)) + row] = flat
+            end = np.r_[0, np.cumsum(n_words + 1)] * 2
+            pair, tf = np.unique(owner * max(1, len(tail)) + code, return_counts=True)
+            first, code = pair // max(1, len(tail)), pair % max(1, len(tail))
+            rest = pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(code)), pa.array(tf, pa.int64()), pa.array(tail[code], pa.int32())], ["token", "tf", "s"])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(tail_sum, pa.float64()),
-                 pa.array([raw[s:e] for s, e in zip(end, end[1:])], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)],
+                [b.column(0), b.column(1), b.column(2), pa.array(n_words + 1), pa.array(n_words - n_away + int(self.ends > 0)),
+                 pa.array(np.bincount(row, base[at], rows) + base[0]), pa.array(np.bincount(row, share[at], rows) + share[0]),
+                 pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(end.astype(np.int32)), pa.py_buffer(ids)]),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(first, np.arange(rows + 1)), pa.int32()), rest)],
                 ["doc_id", "held_out", "draw", "n_tokens", "n_known", "base_score", "tail", "ids", "rest"],
             )
 

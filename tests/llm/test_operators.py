@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -835,6 +837,75 @@ def test_lm_gradients():
         m.p[k][at] = old
 
 
+def test_lm_window_leaves_nothing_behind():
+    """The arrays that windows share stay where they are, and what they hold enters no later gradient."""
+    rng = np.random.default_rng(3)
+    m = lm.Model(np.array([30, 20, 10, 5, 3, 2]), np.ones(lm.TAIL) * 2, classes=3)
+    x, y, h = rng.integers(0, 10, (4, 30)), rng.integers(0, 10, (4, 30)), rng.normal(size=(30, lm.HIDDEN)).astype(np.float32)
+    want, end = m._backward(x, y, h)
+    room = {}
+    m._backward(y.repeat(2, axis=1), x.repeat(2, axis=1), h.repeat(2, axis=0), None, room)
+    held = {k: id(v) for k, v in room.items()}
+    for v in room.values():
+        v.fill(np.nan)
+    got, end2 = m._backward(x, y, h, None, room)
+    assert held and held == {k: id(v) for k, v in room.items()} and np.allclose(end, end2)
+    assert all(np.allclose(want[k], got[k], rtol=1e-4, atol=1e-7) for k in want)
+
+
+def test_lm_groups_do_not_matter(monkeypatch):
+    m = lm.Model(np.array([9, 5, 4, 2]), np.ones(lm.TAIL), classes=2)
+    seqs = [np.random.default_rng(i).integers(0, 20, n) for i, n in enumerate((1, 70, 33, 5, 5, 40))]
+    whole = m.score(seqs)
+    monkeypatch.setattr(lm, "SIDE", 2)
+    monkeypatch.setattr(lm, "TILE", 3)
+    assert np.allclose(m.score(seqs), whole, rtol=1e-5) and len(m.score([])) == 0
+
+
+def test_lm_words_of_pieces(monkeypatch):
+    """Pieces hold every row once, and their words are those of the definition."""
+    source = ["  a\x0bB\x1c\u00c9 c\xa0d \t\n\r\x0c e ", "", None, " ", "\u00c0B\x85c a\x00b c\u2028d", "x " * 50, "last one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(source, pa.string())], ["doc_id", "text"])
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE", size)
+        some = list(lm.pieces([batch, batch.slice(0, 0), batch.slice(3)]))
+        assert [i for p in some for i in p.column(0).to_pylist()] == [*range(7), *range(3, 7)] and (len(some) == 2) == (size > 30)
+        for p in some:
+            starts, parts = lm.word_parts(p)
+            for s, e, t in zip(starts, starts[1:], p.column(1).to_pylist()):
+                assert [w.encode() for w in parts[s:e].to_pylist() if w] == re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+
+
+def test_lm_counts_words_without_a_loop(spark, monkeypatch):
+    """Counting words costs much less CPU than a loop over them, and gives the same."""
+    rng = np.random.default_rng(5)
+    source = [" ".join(f"W{k}" for k in rng.zipf(1.3, 300) % 100_000) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(source)], ["text"])
+    raw, runs = [t.encode() for t in source], []
+
+    monkeypatch.setattr(lm, "in_arrow", lambda df, f, schema: (runs.append(f), spark.createDataFrame([], schema))[1])
+    lm.token_counts(spark.createDataFrame([], "text string"))
+
+    def loop():
+        c = collections.Counter()
+        for t in raw:
+            c.update(t.lower().split())
+            c[b""] += 1
+        return c
+
+    def took(f):
+        t = time.thread_time()
+        f()
+        return time.thread_time() - t
+
+    got = collections.Counter()
+    for b in runs[0]([batch]):
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got[w.encode()] += n
+    assert got == loop()
+    assert min(took(lambda: list(runs[0]([batch]))) for _ in range(5)) < 0.8 * min(took(loop) for _ in range(5))
+
+
 def test_lm_awkward(awkward, empty):
     check_lm(lm.lm_score(awkward).collect(), [(r[0], r[1]) for r in AWKWARD])
     assert lm.lm_score(empty).count() == 0
