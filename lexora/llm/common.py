@@ -8,13 +8,17 @@ import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A small side is broadcast up to this many rows; beyond it the join is a salted shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of text that are cut into words at a time.
+PIECE = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +83,22 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in record batches of less than ``size`` bytes of text after their first row."""
+    for b in batches:
+        at = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.r_[0, np.flatnonzero(np.diff(at // size)) + 1, len(at)].tolist() if len(at) else []
+        for s, e in zip(cuts, cuts[1:]):
+            yield b.slice(s, e - s)
+
+
+def word_parts(piece: pa.RecordBatch, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
+    """(where each text's parts begin, and the end; the parts): its words, A-Z lowered if asked. Blanks at a text's ends leave empty parts, a null is the empty text."""
+    text = piece.column(piece.schema.get_field_index("text")).cast(pa.string()).fill_null("")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    return parts.offsets.to_numpy(), parts.values
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n

@@ -32,14 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, share, written
+from .common import crc_mod, draw_of, in_arrow, pieces, share, word_parts, written
 
 TAIL = 32
 WINDOW = 32
 HIDDEN = 24
 EMBED = 16
-#: Bytes of text that are cut into words at a time.
-PIECE = 1 << 25
 ROUNDS = 3
 RATE = 0.008
 STREAMS = 256
@@ -342,21 +340,6 @@ class Model:
         return {name: g[name] for name in p}, h.T
 
 
-def pieces(batches):
-    """The batches' rows in order, in record batches of less than PIECE bytes of text after their first row."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.r_[0, np.flatnonzero(np.diff(size // PIECE)) + 1, len(size)].tolist() if len(size) else []
-        for s, e in zip(cuts, cuts[1:]):
-            yield b.slice(s, e - s)
-
-
-def word_parts(piece: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
-    """(where each text's parts begin, and the end; the parts): its words, A-Z lowered. Blanks at a text's ends leave empty parts, a null is the empty text."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(piece.column(piece.schema.get_field_index("text")).cast(pa.string()).fill_null("")))
-    return parts.offsets.to_numpy(), parts.values
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all rows of ``docs(text)``; the empty token is the end, once a row."""
 

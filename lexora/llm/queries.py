@@ -9,6 +9,7 @@ from .audio import audio_features, store_audio
 from .common import table
 from .lm import lm_score
 from .packing import pack_documents
+from .periodic import find_runs, run_digests, with_planted_repeats
 from .quality import judge
 from .secrets import find_secrets
 from .shards import write_shards
@@ -57,6 +58,10 @@ def op8_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -68,6 +73,7 @@ QUERIES = {
     "op8_training_order_shards": op8_training_order_shards,
     "op9_lm_score": op9_lm_score,
     "op10_audio_features": op10_audio_features,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE = {
