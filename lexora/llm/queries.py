@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, lexical, mixing
 from .audio import audio_features, store_audio
 from .common import table
 from .lm import lm_score
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(with_planted_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -74,9 +78,11 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_audio_features": op10_audio_features,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
     "op2_mix_sources": mixing.SQL,
     "op3_chat_quotes": chat.SQL,
+    "op13_lexical_search": lexical.SQL,
 }

@@ -1,17 +1,20 @@
 """Operators 11 to 13 against brute force, and over awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexora.llm import periodic
-from lexora.llm.queries import QUERIES
+from lexora.llm import lexical, periodic
+from lexora.llm.queries import ORACLE, QUERIES
 
+from ..oracle import sql_rows
 from .test_operators import AWKWARD, LONG, SF, SHAPE, doc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,3 +130,80 @@ def test_longest_previous_factor(w):
     for i in range(len(w)):
         best = max((k for j in range(i) for k in range(len(w) - i + 1) if w[j : j + k] == w[i : i + k]), default=0)
         assert lpf[i] == best and (not best or (source[i] < i and w[source[i] : source[i] + best] == w[i : i + best]))
+
+
+# ------------------------------------------------------------ 13
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_ranks(docs, items, k, once=True):
+    """(item, rank, doc_id, score) with Python's integers."""
+    docs = [(i, Counter(terms_of(t))) for i, t in docs]
+    docs = [(i, c) for i, c in docs if c]
+    n_docs, n_terms = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, Counter()).update(terms_of(t))
+    out = []
+    for item, q in asked.items():
+        scored = []
+        for i, c in docs:
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms
+            score = sum((1 if once else n) * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t, n in q.items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i, score))
+        out += [(item, r, x[2], x[3]) for r, x in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=key_of)
+
+
+def ranked(df):
+    return sorted(map(tuple, df.collect()), key=key_of)
+
+
+def test_ranks_of_a_table(spark):
+    """The query against its SQL, and both against brute force."""
+    got = ranked(QUERIES["op13_lexical_search"](spark, SF))
+    names, rows = sql_rows(SF, ORACLE["op13_lexical_search"])
+    order = [names.index(c) for c in ("item_id", "rank", "doc_id", "score")]
+    read = lambda name, key: [(r[key], r["text"]) for r in spark.read.parquet(f"{SF}/{name}.parquet").collect()]
+    assert got == sorted((tuple(r[i] for i in order) for r in rows), key=key_of) == brute_ranks(read("documents", "doc_id"), read("benchmark", "item_id"), 50)
+
+
+ITEMS = [(1, "fox FOX dog, tree"), (2, None), (3, ""), (4, "é 日本 İ ß ı"), (None, "lazy word"), (5, "end more"), (5, "Also fox"), (6, "nowhere"), (7, ":;- \x7f")]
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_ranks_of_awkward_rows(spark, awkward, empty, once):
+    """Nulls, empty and long texts, repeated documents and items, ties at the cut, terms of no document, clashing columns, items in many groups."""
+    items = spark.createDataFrame([(i, t, 0, 0, 0.0) for i, t in ITEMS], "item_id long, text string, doc_id int, i int, rank double")
+    want = brute_ranks([r[:2] for r in AWKWARD], ITEMS, 3, once)
+    assert ranked(lexical.rank_documents(awkward, items, 3, once=once)) == want
+    assert ranked(lexical.rank_documents(awkward, items, 3, once=once, group_bytes=100)) == want
+    assert lexical.rank_documents(empty, items, 3).count() == lexical.rank_documents(awkward, items.where("false"), 3).count() == 0
+
+
+def test_ranks_by_blocks(spark):
+    """Blocks of few documents, pieces of few bytes and many tasks give the same ranks; equal scores go by id."""
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 9))) for i in range(400)]
+    items = [(j, f"w{j} w{j + 1} W{j}") for j in range(7)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(7), spark.createDataFrame(items, "item_id long, text string")
+    kept, lexical.BLOCK, lexical.TOGETHER = (lexical.BLOCK, lexical.TOGETHER), 5, 40
+    try:
+        got = ranked(lexical.rank_documents(*frames, 20))
+    finally:
+        lexical.BLOCK, lexical.TOGETHER = kept
+    assert got == brute_ranks(docs, items, 20)
+
+
+def test_impacts_of_vast_tables():
+    """Products beyond 64 bits are taken without overflow."""
+    n, tf = np.array([10**6, 3]), np.array([5, 1])
+    got = lexical.impacts(np.array([7000, 12]), n, tf, 10**13, 3 * 10**15)
+    want = [w * (10**9 * t // (1000 * t + 20 * (50 + 50 * x * 10**13 // (3 * 10**15)))) for w, x, t in ((7000, 10**6, 5), (12, 3, 1))]
+    assert got.tolist() == want
