@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, lexical, mixing
+from . import chat, lexical, mixing, pivots
 from .audio import audio_features, store_audio
 from .common import table
 from .lm import lm_score
@@ -62,6 +63,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(with_planted_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,11 +83,13 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_audio_features": op10_audio_features,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_search": op12_vector_search,
     "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
     "op2_mix_sources": mixing.SQL,
     "op3_chat_quotes": chat.SQL,
+    "op12_vector_search": pivots.SQL,
     "op13_lexical_search": lexical.SQL,
 }

@@ -11,7 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexora.llm import lexical, periodic
+from pyspark.sql import functions as F
+
+from lexora.llm import lexical, periodic, pivots
 from lexora.llm.queries import ORACLE, QUERIES
 
 from ..oracle import sql_rows
@@ -207,3 +209,74 @@ def test_impacts_of_vast_tables():
     got = lexical.impacts(np.array([7000, 12]), n, tf, 10**13, 3 * 10**15)
     want = [w * (10**9 * t // (1000 * t + 20 * (50 + 50 * x * 10**13 // (3 * 10**15)))) for w, x, t in ((7000, 10**6, 5), (12, 3, 1))]
     assert got.tolist() == want
+
+
+# ------------------------------------------------------------ 12
+
+VECTORS = "vec_id long, embedding array<float>, label int, seg int, `row` string, v int"
+
+
+def brute_nearest(rows, k, asked=lambda i: i % 50 == 0):
+    """(query_id, rank, vec_id, score) by comparing every query with every row."""
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, a in whole:
+        if asked(q):
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q)[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def searched(spark, rows, k=5, **options):
+    frame = spark.createDataFrame([(i, v, 0, 1, "x", 2) for i, v in rows], VECTORS)
+    return sorted(map(tuple, pivots.nearest(frame, F.col("vec_id") % 50 == 0, k, **options).collect()))
+
+
+def test_nearest_of_a_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = sorted(map(tuple, QUERIES["op12_vector_search"](spark, SF).collect()))
+    names, by_sql = sql_rows(SF, ORACLE["op12_vector_search"])
+    order = [names.index(c) for c in ("query_id", "rank", "vec_id", "score")]
+    assert got == brute_nearest(rows, 5) == sorted(tuple(r[i] for i in order) for r in by_sql)
+
+
+def test_nearest_of_awkward_rows(spark):
+    """Nulls, no and non-finite components, lengths that differ, zero and opposite vectors, ties, repeated rows and ids."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, [-1.0, 0.5, 3.0]), (50, [0.0, 0.0]), (100, []), (150, None), (200, [1.0, None]), (250, [nan, 1.0]), (300, [inf]), (None, [1.0, 1.0])]
+    rows += [(i, [1.0, 2.0]) for i in range(1, 9)] + [(i, [-1.0, -2.0]) for i in (11, 12)] + [(13, [0.001, -0.001]), (14, [3e4, -3e4, 1.0]), (15, []), (16, [0.0]), (17, None)]
+    for options in ({}, {"pivots": 1}, {"segment": 1}, {"sample": 1}):
+        assert searched(spark, rows, 5, **options) == brute_nearest(rows, 5)
+    assert searched(spark, rows, 100) == brute_nearest(rows, 100)
+    assert searched(spark, rows[-2:]) == searched(spark, []) == [] and searched(spark, [(50, [1.0])]) == []
+
+
+def test_nearest_with_a_common_vector(spark, monkeypatch):
+    """A third of the rows are one vector: segments are split, ties at the cut go by id, nothing is lost."""
+    monkeypatch.setattr(pivots, "LEAST_ROWS", 8)
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(400, 6)).round(2)
+    rows = [(i, [0.5, -0.25, 1.0, 0.0, 0.0, 0.125] if i % 3 == 0 else some[i].tolist()) for i in range(400)]
+    assert searched(spark, rows, 7, pivots=4) == brute_nearest(rows, 7)
+
+
+def test_bounds_rule_out_candidates():
+    """In few dimensions most rows are never scored, and no row of a score that counts is ruled out."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 300, size=(5000, 3)).round().astype(np.int64)
+    norms, table = pivots.angles(x, pivots.choose(x[:500], 32))
+    own = pivots.Segment(np.arange(5000), x, norms, table)
+    for i in range(0, 5000, 250):
+        scores, ids = own.best(5, i, x[i], float(norms[i]), table[i], pivots.NO_SCORE)
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:5]
+        assert list(zip((-scores).tolist(), ids.tolist())) == want
+    assert own.scored < 0.2 * 20 * 5000
+
+
+def test_products_beyond_doubles():
+    """Sums that doubles do not hold are taken in integers."""
+    x = np.array([[2**30 + 1, 1], [2**30, 3]], np.int64)
+    assert pivots.dots(x, np.array([2**30 + 1, -1])).tolist() == [(2**30 + 1) ** 2 - 1, 2**30 * (2**30 + 1) - 3]
+    norms, table = pivots.angles(x, x)
+    scores, _ = pivots.Segment(np.arange(2), x, norms, table).best(2, 9, x[0], float(norms[0]), table[0], pivots.NO_SCORE)
+    assert scores.tolist() == [(2**30 + 1) ** 2 + 1, 2**30 * (2**30 + 1) + 3]
