@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def post_time(c: Column) -> Column:
     """'Wed Jul 22 12:20:42 +0000 2020' as a timestamp; anything else is null."""
-    return F.try_to_timestamp(F.substring(c, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    return F.try_to_timestamp(F.substr(c, F.lit(5)), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
 def age_minutes(created_at: Column, as_of: Column) -> Column:

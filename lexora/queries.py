@@ -15,7 +15,7 @@ from .functions import urls as U
 from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_terms
 from .functions.words import STOP_WORDS
-from .operators import correct, index, joins, parse, rank
+from .operators import correct, index, joins, parse, rank, sentences
 from .plans import engine, storage
 from .sources import corpus as sources
 
@@ -318,6 +318,55 @@ def entity_pruned(spark, d):
     return index.prune_entities(terms).groupBy(F.col("term").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- sentences, learned from the corpus
+
+_P_TYPE = "case when {w} and regexp_matches(regexp_replace({t}, '\\.$', ''), '^[\\p{{Nd}}.,-]+$') then '#' when {w} then lower(regexp_replace({t}, '\\.$', '')) else lower({t}) end"
+_P_WORD = "coalesce(regexp_matches({t}, '^[\\p{{L}}\\p{{Nd}}]'), false)"
+_P_STOP = _P_WORD + " and {t} like '%.' and not coalesce({n} like '.%', false)"
+_P_UPPER = "upper(left({t}, 1)) = left({t}, 1) and lower(left({t}, 1)) <> left({t}, 1)"
+_P_ASSOC = (
+    "-2 * (({ab} * ln({p}) + ({a} - {ab}) * ln(1 - {p})) + (({b} - {ab}) * ln({p}) + (nn - {a} - {b} + {ab}) * ln(1 - {p})) "
+    "- case when {ab} / {a} > 0 and {ab} / {a} < 1 then {ab} * ln({ab} / {a}) + ({a} - {ab}) * ln(1 - {ab} / {a}) else 0 end "
+    "- case when ({b} - {ab}) / (nn - {a}) > 0 and ({b} - {ab}) / (nn - {a}) < 1 then ({b} - {ab}) * ln(({b} - {ab}) / (nn - {a})) + (nn - {a} - {b} + {ab}) * ln(1 - ({b} - {ab}) / (nn - {a})) else 0 end)"
+)
+SQL_COUNTS = (
+    f"pa as (select doc_id, regexp_extract_all(text, {_lit(sentences.TOKEN)}) as a from documents), pt as (select doc_id, unnest(a) as tok, generate_subscripts(a, 1) - 1 as pos from pa), "
+    "pn as (select *, lag(tok) over (partition by doc_id order by pos) as bef, lead(tok) over (partition by doc_id order by pos) as aft from pt), "
+    f"pr as (select doc_id, pos, tok, aft, {_P_TYPE.format(t='tok', w=_P_WORD.format(t='tok'))} as type, {_P_STOP.format(t='tok', n='aft')} as stop, {_P_UPPER.format(t='tok')} as up, "
+    f"case when bef is null then 's' when bef in ('!', '?') then 'b' when {_P_STOP.format(t='bef', n='tok')} then 'p' else 'i' end as kind, {_P_TYPE.format(t='bef', w=_P_WORD.format(t='bef'))} as btype from pn), "
+    "pc as (select type, stop, up, kind, case when kind = 'p' then btype end as before, count(*)::double as n from pr group by all), "
+    "tot as (select sum(n) as nn, sum(case when stop then n else 0 end) as ns from pc), "
+    "ab as (select type, sum(case when stop then n else 0 end) as a, sum(case when stop then 0 else n end) as b, length(replace(type, '.', '')) as ch from pc group by type having sum(case when stop then n else 0 end) > 0 and regexp_matches(type, '\\p{L}')), "
+    "sc as (select type, a, b, 2 * (a * ln(0.99) + b * ln(0.01) - (a * ln(ns / nn) + case when b > 0 then b * ln(1 - ns / nn) else 0 end)) * exp(-ch) * (length(type) - ch + 1) * pow(ch, -b) as score from ab, tot)"
+)
+SQL_SENTENCES = (
+    SQL_COUNTS + f", short as (select type from sc where score >= {sentences.ABBREVIATION}), "
+    "pk as (select *, before is not null and before in (select type from short) as sh, coalesce(before = '#' or regexp_full_match(before, '\\p{L}'), false) as lone, regexp_matches(type, '^[\\p{L}\\p{Nd}#]') as w from pc), "
+    "ty as (select type, sum(n) as n, sum(case when regexp_full_match(type, '\\p{L}+') and (kind = 'b' or (kind = 'p' and not sh and not lone)) then n else 0 end) as nb, bool_or(w and not up) as low, bool_or(w and up) as hi, bool_or(up and kind = 'i') as mid, bool_or(w and not up and (kind in ('s', 'b') or (kind = 'p' and not sh))) as beglow from pk group by type), "
+    "br as (select (select coalesce(sum(n), 0) from pc where stop and type not in (select type from short)) + (select coalesce(sum(n), 0) from pc where type in ('!', '?')) as x, nn from tot), "
+    f"start as (select type from ty, br where nb > 0 and {_P_ASSOC.format(a='x', b='n', ab='nb', p='(n / nn)')} >= {sentences.STARTER} and nn * nb > x * n), "
+    "pp as (select before, type, sum(n) as np from pk where lone and w group by before, type having sum(n) > 1), "
+    f"coll as (select before, type from (select pp.before, pp.type, np, x.n as n1, y.n as n2 from pp join ty x on x.type = pp.before join ty y on y.type = pp.type where x.n > 1 and y.n > 1 and np <= least(x.n, y.n)), tot where {_P_ASSOC.format(a='n1', b='n2', ab='np', p='(n2 / nn)')} >= {sentences.COLLOCATION} and nn * np > n1 * n2), "
+    "op as (select distinct pk.before, pk.type, up, sh, pk.before = '#' as num, regexp_full_match(pk.before, '\\p{L}') as ini, low, pk.type in (select type from start) as st, (pk.before, pk.type) in (select (before, type) from coll) as bound, "
+    "case when not w then 'F' when up and low and not mid then 'T' when not up and (hi or not beglow) then 'F' else 'U' end as o from pk join ty on ty.type = pk.type where kind = 'p'), "
+    "dec as (select before, type, up, case when bound then false when sh and not ini and (o = 'T' or (up and st)) then true when (ini or num) and o = 'F' then false when ini and o = 'U' and up and not low then false else not sh end as is_break from op)"
+)
+
+
+@query(f"with {SQL_COUNTS} select type, a::bigint as n_with, b::bigint as n_without, round(score, 6) + 0.0 as score from sc")
+def abbreviation_scores(spark, d):
+    """How likely each type that a full stop follows is an abbreviation."""
+    counts = storage.written(sentences.token_counts(_table(spark, d, "documents")))
+    return sentences.abbreviation_scores(counts).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query(f"with {SQL_SENTENCES} select pr.doc_id, pos::int as pos, case when tok in ('!', '?') then true else is_break end as is_break from pr left join (select pr2.doc_id, pr2.pos - 1 as at, pr2.btype, pr2.type as t2, pr2.up as u2 from pr pr2) nx on nx.doc_id = pr.doc_id and nx.at = pr.pos left join dec on dec.before = pr.type and dec.type = nx.t2 and dec.up = nx.u2 where pr.aft is not null and (pr.stop or pr.tok in ('!', '?'))")
+def sentence_boundaries(spark, d):
+    """Which full stops and marks end sentences, by the model learned from the same texts."""
+    docs = _table(spark, d, "documents")
+    return sentences.boundaries(docs, sentences.learn_sentences(docs))
+
+
 # ---------------------------------------------------------------- rules for posts, over the tables' own texts
 
 
