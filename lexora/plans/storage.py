@@ -118,7 +118,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> tupl
         return 0, {}
     names = [f.getPath().getName() for f in system.listStatus(folder)]
     numbers = sorted((int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit()), reverse=True)
-    for n in numbers if version is None else [version]:
+    for n in numbers if version is None else [n for n in numbers if n == version]:
         text = "".join(r[0] for r in spark.read.text(f"{path}/manifests/{n}.json", wholetext=True).collect())
         if text.endswith(END):
             return n, json.loads(text[: -len(END)])

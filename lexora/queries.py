@@ -16,8 +16,9 @@ from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_terms
 from .functions.words import STOP_WORDS
 from .operators import correct, index, joins, parse, rank, sentences
-from .plans import engine, storage
+from .plans import engine, lsi, storage
 from .sources import corpus as sources
+from .streaming import append
 
 K = 10
 QUERIES: dict = {}
@@ -590,6 +591,40 @@ def treebank_search(spark, d):
     return engine.search(storage.load(spark, folder), _questions(spark, d), K)
 
 
+@query()
+def lsi_search(spark, d):
+    """Nearest documents of all queries in the latent space of a saved index, which is saved and opened again."""
+    folder = storage.new_folder(spark)
+    storage.save(engine.build_index(_corpus(spark, d), stem=False, **ENGINE), folder)
+    ix = storage.load(spark, folder)
+    lsi.save_space(lsi.decompose(ix), ix, f"{folder}/space")
+    weights = rank.query_weights(engine.parse_queries(_questions(spark, d), stem=False, **ENGINE))
+    return lsi.search(lsi.load_space(spark, f"{folder}/space"), weights, K).select("query_num", "doc_id", F.round("score", 6).alias("score"), "rnk")
+
+
+@query(f"with {VOC}, {BROKEN}, {FOUND} select term, candidate, df from cand")
+def stored_spell_candidates(spark, d):
+    """Corrections of broken queries from an index's saved deletions, by a filter that reaches their scan."""
+    freq, vocab = _counted(spark, d)
+    stats = _table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
+    folder = storage.new_folder(spark)
+    storage.save(storage.Index(vocab, index.postings(freq, vocab), _dates(spark, d), stats), folder)
+    ix = storage.load(spark, folder)
+    return correct.spell_candidates(correct.unknown_terms(_broken(spark, d), ix.vocabulary), ix.vocabulary, ix.deletions)
+
+
+@query(f"with {SQL_INDEX} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term")
+def grown_index(spark, d):
+    """Postings of an index that grew by four batches of the documents, two of them compacted: those of the whole."""
+    folder = storage.new_folder(spark)
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    for k in range(4):
+        append.write_batch(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k), k, folder, stem=False, **ENGINE)
+        if k == 1:
+            append.compact(spark, folder)
+    return append.read_index(spark, folder).postings.withColumn("ntf", F.round("ntf", 9))
+
+
 @query(f"with {VOC} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term where f.term in (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) from benchmark)")
 def index_lookup(spark, d):
     """Postings of the queries' terms, from an index that was saved and opened again."""

@@ -224,7 +224,7 @@ def test_options_reach_the_parser(spark, tmp_path):
     posts = [base | {"post_id": str(i), "full_text": "we # StayHome", "retweet_text": "repeated words"} for i in (1, 2)]
     (tmp_path / "in").mkdir()
     pd.DataFrame(posts).astype("string").to_parquet(tmp_path / "in/x.parquet")
-    terms = lambda out: {r["term"] for r in spark.read.parquet(f"{tmp_path}/{out}/without_stem/vocabulary").collect()}
+    terms = lambda out: {r["term"] for r in storage.load(spark, f"{tmp_path}/{out}/without_stem").vocabulary.collect()}
     engine.run(spark, f"{tmp_path}/in", f"{tmp_path}/a", ["home"], 5, stem=False)
     engine.run(spark, f"{tmp_path}/in", f"{tmp_path}/b", ["home"], 5, stem=False, keep_full_tag=True, include_retweet_text=True)
     assert terms("a") == {"stay", "home"} and terms("b") == {"stay", "home", "#stayhome", "repeated", "words"}
