@@ -54,9 +54,14 @@ def written(df: DataFrame, **options: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and cut from its lineage by a reliable checkpoint, whose files go when the application ends."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        passing_folder(spark, file.get())
+    return out
 
 
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -416,6 +416,8 @@ class Words:
                 break
             listed_from = s
         top = counts.where(F.lit(False) if listed_from is None else (F.col("token") != "") & (step >= listed_from)).collect()
+        if len(top) < frequent - 1:  # words of classes of their own are told apart by code point, however many have equal counts
+            top = counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(frequent - 1).collect()
         top.sort(key=lambda r: (-r[1], r[0]))
         self.frequent = min(frequent, len(top) + 1)
         self.listed = " ".join(r[0] for r in top).encode()
@@ -494,6 +496,8 @@ def lm_score(docs: DataFrame, frequent: int = 2048, known: int = 100_000, fit_st
     counts as the empty text). A null or empty text is the end alone. Repeated rows count and are
     scored once each. Scores are rounded to 6 decimals. An empty table gives an empty result.
     """
+    if frequent + TAIL > 1 << 16:
+        raise ValueError(f"frequent may be {(1 << 16) - TAIL} at most: ids are kept in 16 bits")
     held = crc_mod(F.col("doc_id"), folds) == held_out
     counts = written(token_counts(docs.where(~held)))
     words = Words(counts, frequent, known)

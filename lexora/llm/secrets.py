@@ -19,10 +19,10 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw_of, in_arrow, share
+from .common import draw_of, in_arrow
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -262,22 +262,44 @@ def stretches(docs: list[str], seed: int = 7):
     return tuple(np.array(x) for x in zip(*rows))
 
 
+def _doc_draw() -> Column:
+    return draw_of(F.lit(3), "doc_id", "text")
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """draw, text and kind of all passages of the texts; kind is the rarest that the fixed patterns find, or none."""
-    cut = docs.select(draw_of(F.lit(3), "doc_id", "text").alias("draw"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
+    cut = docs.select(_doc_draw().alias("draw"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("k", "text"))
     assign = F.lower("text").rlike(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[a-z0-9+/_.=-]{12}")
     kind = F.when(F.col("text").contains("AKIA") & F.col("text").rlike("AKIA[A-Z0-9]{14}"), "access").when(assign, "assign").when(F.col("text").rlike("[0-9a-f]{16}"), "hex").otherwise("none")
     return cut.select(draw_of("draw", "k").alias("draw"), "text", kind.alias("kind"))
 
 
+def _step(draw: Column) -> Column:
+    """Steps of a twelfth of a power of two, so that the least draws of any number of rows are told apart."""
+    return F.floor(F.log2(draw + 1) * 12).cast("int")
+
+
 def fit_field(docs: DataFrame, fit_passages: int = 200) -> Field:
-    """The field of about ``fit_passages`` passages of each kind, the first by hash."""
-    p = passages(docs)
-    counts = {r[0]: r[1] for r in p.groupBy("kind").count().collect()}
-    bound = F.lit(0).cast("long")
-    for kind, n in sorted(counts.items()):
-        bound = F.when(F.col("kind") == kind, F.lit(share(n, fit_passages if kind != "none" else fit_passages * max(1, len(counts) - 1)))).otherwise(bound)
-    some = p.where(F.col("draw") < bound).select("draw", "text").collect()
+    """The field of about ``fit_passages`` passages of each kind (of those without a pattern, of as many as of all others), those of the least draws.
+
+    The patterns run over the corpus once: passages are counted by kind and by step of their draw.
+    Then only texts with a passage below its bound are cut again.
+    """
+    counts: dict[str, dict[int, int]] = {}
+    for kind, step, n in passages(docs).groupBy("kind", _step(F.col("draw")).alias("step")).count().collect():  # a few hundred steps a kind
+        counts.setdefault(kind, {})[step] = n
+    bound, most = F.lit(-1), -1
+    for kind, steps in sorted(counts.items()):
+        want, total, last = fit_passages if kind != "none" else fit_passages * max(1, len(counts) - 1), 0, -1
+        for step, n in sorted(steps.items()):
+            if total >= want:
+                break
+            total, last = total + n, step
+        bound, most = F.when(F.col("kind") == kind, F.lit(last)).otherwise(bound), max(most, last)
+    # a text's passages have the draws that its own and their numbers give
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / PASSAGE).cast("int") - 1, F.lit(0)))
+    near = docs.select("doc_id", "text", _doc_draw().alias("d")).where(F.exists(numbers, lambda k: _step(draw_of("d", k)) <= most))
+    some = passages(near).where(_step(F.col("draw")) <= bound).select("draw", "text").dropDuplicates(["draw"]).collect()
     data = stretches([r[1] for r in sorted(some)])
     field = Field()
     if data is None:

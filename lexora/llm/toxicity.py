@@ -3,7 +3,8 @@
 Words are hashed into three embedding tables, by the whole word and by its first letters, so that a
 form never seen shares what its relatives taught. Filters of several widths run over the whole
 text, and each keeps its highest value (max pooling). The net is trained on a bounded number of
-labelled rows (about ``toxic_rows`` and ``clean_rows``, the first by hashed id). All texts are
+labelled rows (about ``toxic_rows`` and ``clean_rows``, the first by hashed id) and of their words
+(``most_words``). All texts are
 scored whole. Every labelled row that is neither held out nor trained on (a fifth at least)
 calibrates, by histograms of scores: scores are shifted so that the best F1 lies at ``at_score``,
 and each language gets its own best threshold beside it.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts
+from .common import crc_mod, draw_of, in_arrow, lower_words, saved, share, texts, written
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -195,15 +196,41 @@ def in_sample(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> Colum
     return (F.pmod(draw_of(F.lit(5), "doc_id"), F.lit(5)) != 0) & (draw_of(F.lit(8), "doc_id") < F.when(F.col("toxic") > 0, of(toxic, toxic_rows)).otherwise(of(clean, clean_rows)))
 
 
-def train(docs: DataFrame, some: DataFrame) -> Net | None:
-    """The net of the documents of ``some(doc_id, toxic)``, a bounded number; of rows that share an id, the text of the least hash. None without five of either kind."""
+def hashed_rows(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """draw, doc_id, toxic, n and words (little-endian hashes, 8 bytes each) of the documents of ``some(doc_id, toxic)``, a written table; of rows that share an id, the text of the least hash."""
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(((r["draw"], r["doc_id"], r["text"], r["toxic"]) for r in rows.withColumn("draw", draw_of(F.lit(8), "doc_id")).collect()), key=lambda r: r[:2])
-    y = np.array([r[3] for r in rows], int)
+    rows = rows.select(draw_of(F.lit(8), "doc_id").alias("draw"), "doc_id", "toxic", "text")
+
+    def run(batches):
+        known = Hashed()
+        for b in batches:
+            h = [buckets(t, known) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(x) for x in h], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in h], pa.binary())], ["draw", "doc_id", "toxic", "n", "words"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(in_arrow(rows, run, f"draw long, doc_id {kind}, toxic int, n long, words binary"))
+
+
+def train(docs: DataFrame, some: DataFrame, most_words: int) -> Net | None:
+    """The net of the documents of ``some(doc_id, toxic)``, a bounded number. None without five of either kind.
+
+    The driver gets words' hashes, no texts, and ``most_words`` of them at most: in an order by
+    hash, a document that would go beyond is left out, whole.
+    """
+    rows = hashed_rows(docs, some)
+    sizes = rows.select(draw_of(F.lit(13), "doc_id").alias("turn"), "doc_id", "n").collect()  # a bounded number
+    fits, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["turn"], r["doc_id"])):
+        if total + r["n"] <= most_words:
+            total += r["n"]
+            fits.append(r["doc_id"])
+    whole = len(fits) == len(sizes)
+    got = (rows if whole else rows.where(F.col("doc_id").isin(fits))).collect()
+    got = sorted(((r["draw"], r["doc_id"], r["words"], r["toxic"]) for r in got), key=lambda r: r[:2])
+    y = np.array([r[3] for r in got], int)
     if y.sum() < 5 or (1 - y).sum() < 5:
         return None
-    known = Hashed()
-    return Net().fit([buckets(t, known) for _, _, t, _ in rows], y)
+    return Net().fit([np.frombuffer(h, "<i8").astype(np.int64) for _, _, h, _ in got], y)
 
 
 def cuts(hist: list[tuple[str, int, int, int]], all_toxic: int, all_clean: int, least: tuple[int, int] = (50, 10)) -> tuple[float | None, dict[str, float]]:
@@ -224,19 +251,20 @@ def cuts(hist: list[tuple[str, int, int, int]], all_toxic: int, all_clean: int,
     return best_cut(z, y, w), own
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, at_score: float = 0.3, toxic_rows: int = 2500, clean_rows: int = 4000, held_out: int = 2, folds: int = 4) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, at_score: float = 0.3, toxic_rows: int = 2500, clean_rows: int = 4000, held_out: int = 2, folds: int = 4, most_words: int = 1 << 23) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, lang_threshold, flagged.
 
     score sees the text alone. predicted is score >= ``at_score``; flagged compares with the
     language's threshold (``at_score`` for a language without enough labels, and for a null).
     A null or empty text is scored as one without words. Without enough labels every score is
     0.01. Repeated rows give repeated rows; an empty table gives an empty result. Labels are joined
-    with scores, never with texts, but for the training sample.
+    with scores, never with texts, but for the training sample, of which the driver gets no text
+    and ``most_words`` hashed words at most.
     """
     lab = saved(labelled(labels, held_out, folds))
     toxic, clean = (x or 0 for x in lab.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     chosen = in_sample(toxic, clean, toxic_rows, clean_rows)
-    net = train(docs, lab.where(chosen))
+    net = train(docs, lab.where(chosen), most_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     src = docs.select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"))
 
