@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over words.
 
 Words are tagged begin (B), inside (I) or outside (O) of a secret. A word's features are its
-shape, the shapes of the words before and after it, and how much of the file has secret-like
-shapes. Shapes are few thousand classes, so a word's scores are table lookups. Decoding is exact
+shape, the shapes of the words before and after it, these words themselves, hashed, and how much
+of the file has secret-like shapes. All are classes, so a word's scores are table lookups. Decoding is exact
 Viterbi: a word whose O score beats B and I by more than transitions can ever return is O in the
 best path, and cuts the text into short stretches that are decoded one by one.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -92,15 +93,28 @@ def traits() -> np.ndarray:
     return out
 
 
+#: Classes of words by hash; one more stands for the text's edge.
+HASHED = 512
+
+
+def hashed(word: str) -> int:
+    """The class of the word's core in lower case, whatever marks are around it."""
+    return zlib.crc32(word.strip(EDGES).lower().encode("utf-8", "surrogatepass")) % HASHED
+
+
 class Shapes(dict):
-    """Words' shapes, remembered up to a bound."""
+    """Words' shapes and hashed classes as one number, remembered up to a bound."""
 
     def __missing__(self, w: str) -> int:
         if len(self) >= 1 << 17:
             self.clear()
-        self[w] = out = shape(w)
+        self[w] = out = shape(w) * HASHED + hashed(w)
         return out
 
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(shapes, hashed classes) of the words."""
+        return np.divmod(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), HASHED)
+
 
 def suspicious() -> np.ndarray:
     """Shape classes with long cores that hold digits: what the file feature counts."""
@@ -122,14 +136,12 @@ class Field:
         self.own = np.zeros((SHAPES + 1, 3))  # the last row stands for the text's edge
         self.before = np.zeros((SHAPES + 1, 3))
         self.after = np.zeros((SHAPES + 1, 3))
+        self.word_before = np.zeros((HASHED + 1, 3))
+        self.word_after = np.zeros((HASHED + 1, 3))
         self.file = np.zeros((4, 3))
         self.moves = np.zeros((3, 3))
         self.first = np.zeros(3)
 
-    def emissions(self, shapes: np.ndarray, level: int) -> np.ndarray:
-        edge = np.r_[SHAPES, shapes, SHAPES]
-        return self.own[shapes] + self.before[edge[:-2]] + self.after[edge[2:]] + self.file[level]
-
     def gain(self) -> list[float]:
         """The most that labels B and I of one word can win over O by the transitions beside it."""
         t = self.moves
@@ -139,54 +151,62 @@ class Field:
         """Per table, how far O is above the better of B and I less gain(); their sum bounds a word's margin from below."""
         lift = np.array([*self.gain(), 0.0])
         least = lambda x: (x[:, [O]] - x)[:, [B, I]].min(axis=1)
-        return least(self.own + lift), least(self.before), least(self.after), least(self.file)
-
-    def tags(self, shapes: np.ndarray, level: int, bounds: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Labels of the best path; words that are surely O never reach the decoder."""
-        own, before, after, file = bounds
-        edge = np.r_[SHAPES, shapes, SHAPES]
-        open_ = np.flatnonzero(own[shapes] + before[edge[:-2]] + after[edge[2:]] + file[level] <= 1e-9)
+        return least(self.own + lift), least(self.before), least(self.after), least(self.word_before), least(self.word_after), least(self.file)
+
+    def tags(self, shapes: np.ndarray, level: int, bounds: tuple[np.ndarray, ...], words: np.ndarray | None = None) -> np.ndarray:
+        """Labels of the best path, by shapes and, if given, hashed words; words that are surely O never reach the decoder."""
+        words = np.full(len(shapes), HASHED) if words is None else words
+        own, before, after, word_before, word_after, file = bounds
+        edge, beside = np.r_[SHAPES, shapes, SHAPES], np.r_[HASHED, words, HASHED]
+        open_ = np.flatnonzero(own[shapes] + before[edge[:-2]] + after[edge[2:]] + word_before[beside[:-2]] + word_after[beside[2:]] + file[level] <= 1e-9)
         out = np.full(len(shapes), O, np.int8)
         for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
             s, t = int(run[0]), int(run[-1]) + 1
-            near = edge[s : t + 2]
-            e = self.own[near[1:-1]] + self.before[near[:-2]] + self.after[near[2:]] + self.file[level]
+            near, word = edge[s : t + 2], beside[s : t + 2]
+            e = self.own[near[1:-1]] + self.before[near[:-2]] + self.after[near[2:]] + self.word_before[word[:-2]] + self.word_after[word[2:]] + self.file[level]
             out[s:t] = self._stretch(e, s == 0, t == len(shapes))
         return out
 
-    def fit(self, x: np.ndarray, left: np.ndarray, right: np.ndarray, level: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
-        """x, left, right, y: (stretches, words), all stretches of one length. Adam on the log-likelihood."""
-        n, t = x.shape
+    def expected(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of scores (stretches, words, labels), by forward and backward sums over all paths: (each word's label probabilities, each move's, log of the sum over paths)."""
+        n, t, _ = e.shape
+        fwd = np.empty((n, t, 3))
+        fwd[:, 0] = e[:, 0] + self.first
+        for i in range(1, t):
+            fwd[:, i] = np.logaddexp.reduce(fwd[:, i - 1, :, None] + self.moves, axis=1) + e[:, i]
+        bwd = np.zeros((n, t, 3))
+        for i in range(t - 2, -1, -1):
+            bwd[:, i] = np.logaddexp.reduce(self.moves + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
+        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+        pair = np.exp(fwd[:, :-1, :, None] + self.moves + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
+        return np.exp(fwd + bwd - z[:, None, None]), pair, z
+
+    def fit(self, x: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray, level: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.15, decay: float = 1e-4, word_decay: float = 1e-2) -> Field:
+        """x, left, right, y: (stretches, words), all stretches of one length; words: the hashed words on both sides, (stretches, words + 2). Adam on the log-likelihood."""
+        n = len(x)
         kinds = traits()
         tables = [np.zeros((SHAPES + 1, 3)) for _ in range(3)]
         shared = [np.zeros((kinds.shape[1], 3)) for _ in range(3)]
-        weights = [*tables, *shared, self.file, self.moves, self.first]
+        weights = [*tables, *shared, self.word_before, self.word_after, self.file, self.moves, self.first]
         m = [np.zeros_like(p) for p in weights]
         v = [np.zeros_like(p) for p in weights]
         one = np.eye(3)[y]
+        word_left, word_right = words[:, :-2], words[:, 2:]
         for k in range(1, rounds + 1):
             self.own, self.before, self.after = (a + kinds @ b for a, b in zip(tables, shared))
-            e = self.own[x] + self.before[left] + self.after[right] + self.file[level][:, None]
-            fwd = np.empty((n, t, 3))
-            fwd[:, 0] = e[:, 0] + self.first
-            for i in range(1, t):
-                fwd[:, i] = np.logaddexp.reduce(fwd[:, i - 1, :, None] + self.moves, axis=1) + e[:, i]
-            bwd = np.zeros((n, t, 3))
-            for i in range(t - 2, -1, -1):
-                bwd[:, i] = np.logaddexp.reduce(self.moves + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            d = np.exp(fwd + bwd - z[:, None, None]) - one
-            pair = np.exp(fwd[:, :-1, :, None] + self.moves + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
+            e = self.own[x] + self.before[left] + self.after[right] + self.word_before[word_left] + self.word_after[word_right] + self.file[level][:, None]
+            share, pair, _ = self.expected(e)
+            d, pair = share - one, pair.sum(axis=(0, 1))
             np.subtract.at(pair, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1.0)
-            grads = []
-            for at in (x, left, right):
-                grads.append(np.stack([np.bincount(at.ravel(), d[..., c].ravel(), SHAPES + 1) for c in range(3)], axis=1))
+            add = lambda at, size: np.stack([np.bincount(at.ravel(), d[..., c].ravel(), size) for c in range(3)], axis=1)
+            grads = [add(at, SHAPES + 1) for at in (x, left, right)]
             grads += [kinds.T @ g for g in grads]
+            grads += [add(at, HASHED + 1) for at in (word_left, word_right)]
             g = np.zeros_like(self.file)
             np.add.at(g, level, d.sum(axis=1))
             grads += [g, pair, d[:, 0].sum(axis=0)]
             for p, g, a, b in zip(weights, grads, m, v):
-                g = g / n + decay * p
+                g = g / n + (word_decay if p is self.word_before or p is self.word_after else decay) * p
                 a *= 0.9
                 a += 0.1 * g
                 b *= 0.99
@@ -254,9 +274,10 @@ def stretches(docs: list[str], seed: int = 7):
         tags = np.r_[np.full(HALF + 1, O), y, np.full(HALF + 1, O)]
         for words in (w, _other(w, y, rng)) if (y != O).any() else (w,):
             pad = np.r_[np.full(HALF + 1, SHAPES), [shape(x) for x in words], np.full(HALF + 1, SHAPES)]
+            near = np.r_[np.full(HALF + 1, HASHED), [hashed(x) for x in words], np.full(HALF + 1, HASHED)]
             for c in middle:
                 at = slice(c + 1, c + 2 * HALF + 2)
-                rows.append((pad[at], pad[c : c + 2 * HALF + 1], pad[c + 2 : c + 2 * HALF + 3], level, tags[at]))
+                rows.append((pad[at], pad[c : c + 2 * HALF + 1], pad[c + 2 : c + 2 * HALF + 3], near[c : c + 2 * HALF + 3], level, tags[at]))
     if not rows:
         return None
     return tuple(np.array(x) for x in zip(*rows))
@@ -305,7 +326,7 @@ def fit_field(docs: DataFrame, fit_passages: int = 200) -> Field:
     if data is None:
         field.own[:, O] = 1.0
         return field
-    return field.fit(data[0], data[1], data[2], data[3], data[4])
+    return field.fit(*data)
 
 
 def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -326,8 +347,8 @@ def scan(text: str, field: Field, shapes: Shapes, odd: np.ndarray, bounds: tuple
     w = WORD.findall(text)
     if not w:
         return base, []
-    s = np.fromiter(map(shapes.__getitem__, w), np.int64, len(w))
-    y = field.tags(s, file_level(s, odd), bounds)
+    s, h = shapes.of(w)
+    y = field.tags(s, file_level(s, odd), bounds, h)
     begins = np.flatnonzero(y == B)
     inner = np.flatnonzero((y == I) & (np.r_[O, y[:-1]] == O))
     begins = np.sort(np.r_[begins, inner])

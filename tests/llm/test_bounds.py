@@ -1,5 +1,6 @@
 """Bounds of what models are fitted on, and what is left behind."""
 
+import itertools
 import subprocess
 import sys
 from pathlib import Path
@@ -73,3 +74,41 @@ def test_least_draws_of_each_kind(spark):
         assert 5 <= len(taken) <= 12 and taken == own[: len(taken)]
     assert len(seen["texts"]) == len(set(seen["texts"]))
     assert np.isfinite(secrets.fit_field(docs.limit(0)).own).all()
+
+
+def test_forward_and_backward_sums_are_those_of_all_paths():
+    """Label and move probabilities against the sum over all paths, of stretches of up to five words."""
+    rng = np.random.default_rng(12)
+    for n in range(1, 6):
+        f = secrets.Field()
+        f.moves, f.first = rng.normal(size=(3, 3)), rng.normal(size=3)
+        e = rng.normal(size=(2, n, 3))
+        label, pair, z = f.expected(e)
+        for s in range(2):
+            paths = list(itertools.product(range(3), repeat=n))
+            w = np.exp([f.first[y[0]] + sum(e[s, i, y[i]] for i in range(n)) + sum(f.moves[y[i - 1], y[i]] for i in range(1, n)) for y in paths])
+            assert np.isclose(z[s], np.log(w.sum()))
+            for i, k in itertools.product(range(n), range(3)):
+                assert np.isclose(label[s, i, k], sum(x for x, y in zip(w, paths) if y[i] == k) / w.sum())
+            for i, a, b in itertools.product(range(n - 1), range(3), range(3)):
+                assert np.isclose(pair[s, i, a, b], sum(x for x, y in zip(w, paths) if (y[i], y[i + 1]) == (a, b)) / w.sum())
+
+
+def test_the_field_sees_neighbouring_words():
+    """Two words of one shape: only that after 'key' is a secret. Shapes cannot tell them apart, the words before can."""
+    rng = np.random.default_rng(13)
+    draw = lambda: "".join("abcdefghijkmnpqrstuvwxyz23456789"[k] for k in rng.integers(0, 32, 20))
+    t = 2 * secrets.HALF + 1
+    rows, tags = [], []
+    for i in range(60):
+        words = ["some"] * t
+        words[10], words[11] = ("code" if i % 2 else "page"), draw()
+        rows.append(words)
+        tags.append([secrets.B if i % 2 and k == 11 else secrets.O for k in range(t)])
+    shapes = np.array([[secrets.SHAPES, *map(secrets.shape, w), secrets.SHAPES] for w in rows])
+    words = np.array([[secrets.HASHED, *map(secrets.hashed, w), secrets.HASHED] for w in rows])
+    f = secrets.Field().fit(shapes[:, 1:-1], shapes[:, :-2], shapes[:, 2:], words, np.zeros(60, int), np.array(tags), rounds=200)
+    bounds, seen = f.margins(), secrets.Shapes()
+    for before, want in (("code", secrets.B), ("page", secrets.O)):
+        s, h = seen.of(["some"] * 10 + [before, draw()] + ["some"] * 5)
+        assert f.tags(s, 0, bounds, h)[11] == want
