@@ -64,6 +64,46 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Input parts whose rows of a side table lie in one folder.
+GATHER = 64
+
+
+def _reader(folder: str):
+    """(pyarrow's file system of a folder, the path in it)."""
+    from pyarrow import fs
+
+    if "://" not in folder:
+        folder = f"file://{folder.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(folder)
+
+
+def as_read(docs: DataFrame) -> DataFrame:
+    """docs as a frame that has the same rows in the same partitions and order each time it is read: itself, or a written table if it comes from an exchange."""
+    return written(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
+def by_part(side: DataFrame) -> str:
+    """Writes ``side(row, ...)`` by the input part that ``row``, a monotonically_increasing_id(), tells, and gives the folder's name."""
+    spark = side.sparkSession
+    folder = passing_folder(spark, f"{shared_dir(spark)}/lexora-parts/{uuid.uuid4().hex}")
+    side = side.withColumn("g", (F.shiftright("row", 33) / GATHER).cast("int"))
+    side.repartition("g").sortWithinPartitions("g", "row").write.mode("overwrite").partitionBy("g").parquet(folder)
+    return folder
+
+
+def rows_of_part(folder: str, part: int) -> pa.Table:
+    """The side table's rows of one input part, by row; none if it has none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, root = _reader(folder)
+    root = f"{root}/g={part // GATHER}"
+    if system.get_file_info(root).type == fs.FileType.NotFound:
+        return pa.table({})
+    t = pq.read_table(root, filesystem=system, partitioning=None, filters=[("row", ">=", part << 33), ("row", "<", (part + 1) << 33)])
+    return t.sort_by("row")
+
+
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose workers find this package where the driver has it (elsewhere, ship it with --py-files)."""
     root = str(Path(__file__).resolve().parents[2])

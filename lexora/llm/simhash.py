@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, lower_words, saved, texts
+from .common import as_read, by_part, components, in_arrow, lower_words, rows_of_part, saved, texts
 
 RADIUS = 3
 SHINGLE = 3
@@ -217,7 +217,7 @@ def near_links(prints: DataFrame, tile: int = 8192) -> DataFrame:
 def _prints(batches):
     for b in batches:
         fps = np.array([fingerprint(t) for t in texts(b)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], ["doc_id", "fp", "text_hash"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -229,23 +229,47 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     ids alone has a null component_id (root still identifies it). Other columns are not read.
     """
     ids = docs.schema[doc_id].dataType.simpleString()
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    fps = saved(in_arrow(src, _prints, f"doc_id {ids}, fp long, text_hash long"))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"), F.monotonically_increasing_id().alias("row_number"))
+    fps = saved(in_arrow(src, _prints, f"doc_id {ids}, fp long, text_hash long, row_number long"))
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     comp = components(near_links(nodes.select("fp")))
     rooted = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = rooted.join(named, "root").select("fp", "root", "component_id")
-    return fps.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
+    return fps.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root", "row_number")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each SimHash group: the one that names it (least doc_id, then least text hash)."""
-    groups = simhash_groups(docs)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    keys = ["__none", "__id", "__hash"]
-    named = lambda none, doc_id, text_hash: [none.alias("__none"), F.coalesce(doc_id, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("__id"), text_hash.alias("__hash")]
-    first = first.select(*named(F.col("x.none"), F.col("x.doc_id"), F.col("x.text_hash")))
-    d = docs.select(F.struct(*docs.columns).alias("row"), *named(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")))
-    # both steps need the same keys together, so the texts are dealt once
-    return d.join(first, keys, "left_semi").dropDuplicates(keys).select("row.*")
+    """``docs`` with one document of each SimHash group: the one that names it (least doc_id, a null one last, then least text hash, of equal rows one).
+
+    Null and empty texts are one group, as their fingerprint is. No text is shuffled: the numbers of
+    the rows that stay go to side files by input part, and each part is read again and filtered in
+    its place. A row that is not the one that was numbered is an error. An empty table stays empty.
+    """
+    docs = as_read(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "row_number")
+    first = simhash_groups(docs).groupBy("root").agg(F.min(order).alias("x"))
+    folder = by_part(first.select(F.col("x.row_number").alias("row"), F.col("x.text_hash").alias("text_hash")))
+    names = docs.columns
+
+    def run(batches):
+        kept = hashes = None
+        for b in batches:
+            row, text_hash = (b.column(len(names) + k).to_numpy() for k in (0, 1))
+            if not len(row):
+                continue
+            if kept is None:  # a task's rows are of one input part
+                t = rows_of_part(folder, int(row[0]) >> 33)
+                kept, hashes = (t.column(c).to_numpy() if t.num_rows else np.zeros(0, np.int64) for c in ("row", "text_hash"))
+                done = 0
+            lo, hi = np.searchsorted(kept, (row[0], row[-1] + 1))
+            place = kept[lo:hi] - row[0]
+            done += int(hi - lo)
+            if row[-1] - row[0] + 1 != len(row) or (text_hash[place] != hashes[lo:hi]).any():
+                raise RuntimeError("the rows came in another order than before")
+            yield pa.RecordBatch.from_arrays(b.take(pa.array(place)).columns[: len(names)], names)
+        if kept is not None and done != len(kept):
+            raise RuntimeError("rows that were numbered did not come again")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return in_arrow(docs.select(*names, F.monotonically_increasing_id().alias("row number"), F.xxhash64("text").alias("hash of the text")), run, schema)

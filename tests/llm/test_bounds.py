@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexora.llm import lm, secrets, toxicity
+from lexora.llm import lm, secrets, simhash, toxicity
+from lexora.llm.common import as_read, by_part, rows_of_part
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -112,3 +113,27 @@ def test_the_field_sees_neighbouring_words():
     for before, want in (("code", secrets.B), ("page", secrets.O)):
         s, h = seen.of(["some"] * 10 + [before, draw()] + ["some"] * 5)
         assert f.tags(s, 0, bounds, h)[11] == want
+
+
+def test_rows_of_input_parts(spark, tmp_path):
+    """A side table is read by part, those without rows too; a frame that comes from an exchange is written first."""
+    side = spark.range(1000).select(((F.col("id") % 200) * (1 << 33) + F.col("id") / 200).cast("long").alias("row"), F.col("id").alias("x")).where("row < 150 * 8589934592L")
+    folder = by_part(side)
+    assert rows_of_part(folder, 77).column("x").to_pylist() == [77, 277, 477, 677, 877] and rows_of_part(folder, 149).num_rows == 5
+    assert rows_of_part(folder, 150).num_rows == rows_of_part(folder, 9999).num_rows == 0
+    frame = spark.range(10)
+    assert as_read(frame) is frame and as_read(frame.repartition(3)).count() == 10 and as_read(frame.groupBy().count()).first()[0] == 10
+
+
+def test_documents_stay_where_they_are(spark, tmp_path):
+    """One document of each group is kept in place, by files, by an exchange, and when the result is dealt anew; no text is shuffled."""
+    rows = [(i % 50 if i % 7 else None, f"text number {i % 40} of some words that are its own {i % 40}", i) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(9).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = simhash.drop_near_duplicates(docs)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString() and kept.columns == docs.columns
+    ids = sorted(str(r["doc_id"]) + r["text"] for r in kept.collect())
+    groups = {r["root"] for r in simhash.simhash_groups(docs).collect()}
+    assert len(ids) == len(groups)
+    for same in (simhash.drop_near_duplicates(docs.repartition(5, "n")), simhash.drop_near_duplicates(docs).coalesce(2), simhash.drop_near_duplicates(docs.union(docs))):
+        assert sorted(str(r["doc_id"]) + r["text"] for r in same.collect()) == ids
