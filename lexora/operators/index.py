@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import held, run_starts, runs
 from ..functions.rules import simple_tokens
-from ..functions.stem import stem_terms
+from ..functions.stem import stem_vocabulary
 from ..plans.storage import spread, written
 from .joins import join_terms
 
@@ -94,7 +94,7 @@ def canonical_forms(counts: DataFrame, stem: bool, least_entity: int = 2) -> Dat
     v = v.withColumn("term", F.col("form"))
     if stem:
         v = v.repartition(v.sparkSession.sparkContext.defaultParallelism, "form")  # stemming is the work: every core takes part
-        v = stem_terms(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
+        v = stem_vocabulary(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
     return written(fold_case(written(v)).select("form", "kind", F.col("folded").alias("term"), "n"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import urls as U
 from .functions.dates import age_minutes, post_time
-from .functions.stem import stem_terms
+from .functions.stem import stem_sql, stem_vocabulary
 from .functions.words import STOP_WORDS
 from .operators import correct, index, joins, parse, rank, sentences
 from .plans import engine, lsi, storage
@@ -575,10 +575,10 @@ def treebank_terms(spark, d):
     return parse.parse(storage.spread(_table(spark, d, "documents")))
 
 
-@query()
+@query(f"with {TF}, words as (select distinct term from tf), {stem_sql('words')} select stem as term, count(distinct doc_id) as df from tf join stemmed on stemmed.term = tf.term group by stem having count(distinct doc_id) > 1")
 def stemmed_vocabulary(spark, d):
     freq = storage.written(_freq(spark, d))
-    stems = storage.written(stem_terms(index.vocabulary(freq).withColumn("stem", F.col("term")), "stem"))
+    stems = storage.written(stem_vocabulary(index.vocabulary(freq).withColumn("stem", F.col("term")), "stem"))
     rows = joins.join_terms(freq.select("doc_id", "term"), stems, ["term"], "df").select("doc_id", F.col("stem").alias("term")).distinct()
     return index.vocabulary(rows, 2)
 
