@@ -14,7 +14,7 @@ from .functions import rules as R
 from .functions import urls as U
 from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_sql, stem_vocabulary
-from .functions.words import STOP_WORDS
+from .functions.words import DATE, EMOJI, NUMBER, PUNCTUATION, STOP_WORDS
 from .operators import correct, index, joins, parse, rank, sentences
 from .plans import engine, lsi, storage
 from .sources import corpus as sources
@@ -497,6 +497,48 @@ def query_file_parse(spark, d):
     return sources.parse_query_lines(lines)
 
 
+# ---------------------------------------------------------------- the parser's branches, in order, over tokens between blanks
+
+_CAPITAL = "case when upper(left({0}, 1)) = left({0}, 1) and lower(left({0}, 1)) <> left({0}, 1) then upper(replace({0}, 'ß', 'SS')) else lower({0}) end"
+_HAS_LETTER = "regexp_matches({0}, '\\p{{L}}')"
+_DATE = "(not " + _HAS_LETTER + " and regexp_matches({0}, " + _lit(DATE).replace("{", "{{").replace("}", "}}") + "))"
+#: NUM_TERM of a number s with value x, between words b and f in lower case: also of decimals, and of what is no number.
+_ANY_NUMBER = (
+    f"num0 as (select *, regexp_replace(joined, '[^-?\\p{{Nd}}./]', '', 'g') as s from nums), num1 as (select *, length(s) - length(replace(s, '.', '')) as dots, try_cast(s as double) as x from num0), "
+    f"num2 as (select *, case when dots = 0 then coalesce(try_cast(s as decimal(38,0))::varchar, s) else {NUM_FMT.format('x')} end as plain, {NUM_CASES.replace(' a ', ' b ')} as sb, {NUM_CASES.replace(' a ', ' f ')} as sf from num1), "
+    f"num as (select key, pos, case when contains(joined, '-') then joined when dots > 1 or x is null then s else {NUM_TERM} end as term from num2)"
+)
+SQL_TOKENS = (
+    "texts as (select doc_id, text from documents union all select -1 - page_id, '@ Someone # ' || url || ' ' || url || ' 🙂 ''quoted -5 ' || html from pages), "
+    f"raw as (select doc_id as key, list_filter(regexp_extract_all(text, {_lit(BLANK_TOKEN)}), lambda x: x not in {STOPS}) as a from texts), one as (select key, unnest(a) as t, generate_subscripts(a, 1) as i, len(a) as n from raw), "
+    "mk as (select *, regexp_matches(t, '^[@#]') as mark, lead(t) over (partition by key order by i) as nxt from one), isl as (select *, i - row_number() over (partition by key, mark order by i) as island from mk), "
+    "par as (select *, mark and (row_number() over (partition by key, mark, island order by i) - 1) % 2 = 0 as takes from isl), tk as (select *, coalesce(lag(takes) over (partition by key order by i), false) as taken from par), "
+    "x as (select key, t, nxt, case when takes and i < n then 'A' when takes then 'M' else '.' end as flag, row_number() over (partition by key order by i) - 1 as pos from tk where not taken), "
+    "nb as (select *, coalesce(lower(lag(t) over (partition by key order by pos)), '') as b, coalesce(lower(lead(t) over (partition by key order by pos)), '') as f, substr(t, 2) as rest, contains(t, '-') and t not like '-%' as hyphen from x), "
+    f"tc as (select *, not hyphen and regexp_matches(t, {_lit(EMOJI)}) as emoji, t in ('twitter.com', 'web', 'status', 'i') as skip, case when hyphen then t when left(t, 1) in ('''', '-') then rest when t like '%.' then left(t, length(t) - 1) else t end as cut, {_DATE.format('t')} as dated, "
+    f"case when {_HAS_LETTER.format('t')} or hyphen then '' else array_to_string(regexp_extract_all(t, {_lit(NUMBER)}), '') end as joined, regexp_full_match(t, '[A-Za-z\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}]+') as latin from nb), "
+    "nums as (select key, pos, joined, b, f from tc where joined <> ''), " + _ANY_NUMBER + ", "
+    "br as (select tc.*, case when skip or emoji then [] when flag = 'A' and left(t, 1) = '@' then [] "
+    "when flag = 'A' then list_transform(regexp_extract_all(string_split(rest || nxt, '#')[1], '[A-Z]*[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9_-]+'), lambda p: lower(p)) when dated then [cut] when joined <> '' then [num.term] "
+    "else (case when hyphen then case when len(list_filter(string_split(t, '-'), lambda p: regexp_full_match(p, '\\p{L}+'))) > 0 then list_transform(list_filter(string_split(t, '-'), lambda p: p <> ''), lambda p: lower(p)) else [t] end "
+    f"when left(t, 1) in ('''', '-') or t like '%.' then [] when regexp_full_match(t, '\\p{{L}}+') then [{_CAPITAL.format('t')}] else [] end) "
+    "|| (case when contains(cut, '/') and not contains(cut, '//t') then list_filter(string_split(cut, '/'), lambda p: length(p) > 1) else [] end) end as terms from tc left join num on num.key = tc.key and num.pos = tc.pos), "
+    f"ch as (select key, pos, case when flag = '.' and latin and not skip then [{_CAPITAL.format('t')}] when len(terms) > 0 then terms when emoji or skip or contains(cut, '//t') or cut in ({', '.join(map(_lit, PUNCTUATION))}) or cut in {STOPS} or not regexp_full_match(cut, '[\\x21-\\x7F]*') then [] else [lower(cut)] end as terms, "
+    f"regexp_matches(t, '\\p{{Nd}}') and not {_HAS_LETTER.format('t')} and not dated as is_number from br), "
+    f"k as (select key as doc_id, pos, t as token, case when lower(t) = t then null when {IS_TITLE.format('t')} then case when regexp_full_match(t, '\\p{{L}}+') then 'A' else 'T' end "
+    f"when contains(t, '-') and {IS_TITLE.format(HEAD.replace('token', 't'))} and {IS_TITLE.format(TAIL.replace('token', 't'))} then 'T' end as kind from x), "
+    + ENTITY[ENTITY.index("i as (select *, pos - row_number()"):].replace("min(pos) - 1 as pos", "min(pos) as pos")
+)
+
+
+@query("with " + SQL_TOKENS + ", w as (select key as doc_id, pos, unnest(terms) as term, false as is_entity, is_number from ch) select doc_id, pos::int as pos, term, is_entity, is_number from w where term not in ('twitter.com', 'web', 'status', 'i', '') union all select doc_id, pos::int, entity, true, false from e")
+def parsed_tokens_all(spark, d):
+    """Terms of all tokens between blanks, of documents and of pages written as posts, through every branch of the parser in its order: hyphens, marks, dates, numbers, strips, slashes and the fallback."""
+    pages = _table(spark, d, "pages").select((-1 - F.col("page_id")).alias("doc_id"), F.concat(F.lit("@ Someone # "), "url", F.lit(" "), "url", F.lit(" 🙂 'quoted -5 "), "html").alias("text"))
+    docs = storage.spread(_table(spark, d, "documents").select("doc_id", "text").unionAll(pages))
+    return parse.parse(docs, stem=False, tokenizer=_blank_tokens).select("doc_id", "pos", "term", "is_entity", "is_number")
+
+
 # ---------------------------------------------------------------- the whole engine
 # SQL has no stemmer and no Treebank tokens, so it follows the engine with tokens of letters or digits and without stems:
 # stop words, capital forms, numbers by the words beside them, entities, folding by case, pruning, correction and ranking.
