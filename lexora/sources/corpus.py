@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ..functions.rules import keep_latin
 from ..functions.urls import concat_post, domain_terms, post_urls
 from .schemas import POST, POST_FIELDS
 
+log = logging.getLogger(__name__)
+
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Posts of all files ending .parquet below root. Columns go by name, or else by place; no file at all is an empty corpus."""
@@ -46,8 +49,17 @@ def parse_query_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return out
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """query_num and text of a query file. Numbers are those of its lines."""
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a query file that are not searched: those without a dot."""
+    line = F.regexp_replace("value", r"[\r\n]+$", "")
+    return spark.read.text(path).where((line != "") & ~line.contains(".")).select(line.alias("line"))
+
+
+def read_queries(spark: SparkSession, path: str, shown: int = 20) -> DataFrame:
+    """query_num and text of a query file. Numbers are those of its lines. Malformed lines are not searched but reported: how many there are, and the first ``shown``."""
+    bad = malformed_lines(spark, path)
+    if n := bad.count():
+        log.warning("%s: %s malformed lines are not searched, such as %s", path, n, [r["line"][:200] for r in bad.limit(shown).collect()])
     return parse_query_lines(spark.read.text(path)).where(~F.col("malformed")).select("query_num", "text")
 
 

@@ -133,3 +133,45 @@ def test_search_in_the_latent_space(spark, tmp_path):
     assert lsi.search(opened, weights.where("false"), 5).count() == 0
     none = lsi.Space([], space.terms.where("false"), space.docs.where("false"))
     assert lsi.search(none, weights, 5).count() == 0
+
+
+def test_malformed_query_lines_are_reported(spark, tmp_path, caplog):
+    """Lines without a dot are named in a warning; a whole file gives none."""
+    from lexora.sources import corpus as S
+
+    (tmp_path / "q.txt").write_text("1.masks\n\nno number here\n2.cnn news. today\nagain none\n")
+    (tmp_path / "w.txt").write_text("1.masks\n")
+    with caplog.at_level("WARNING", logger="lexora.sources.corpus"):
+        assert S.read_queries(spark, f"{tmp_path}/w.txt").count() == 1 and not caplog.records
+        assert S.read_queries(spark, f"{tmp_path}/q.txt").count() == 2
+    assert "2 malformed lines" in caplog.text and "no number here" in caplog.text
+
+
+def test_stems_as_expressions(spark):
+    """The chain of expressions gives the stems of the scalar algorithm, of a table's words and of awkward ones; other columns stay."""
+    from lexora.functions.stem import porter2, stem_vocabulary
+
+    words = """skies dying gently only sky news atlas inning herring proceed exceeding caresses ties cries gas this kiwis agreed feed bled sing luxuriated hopping hoping
+    happy enjoy by say conditional rational valenci differently vietnamization predication operator feudalism sensitiviti formaliti radically hopefulness goodness activate
+    revival allowance adoption communism effective probate rate cease controll roll generate communal arsenal yyyy ayy youth boyish apologi geologi fluently trouble sized
+    knack nationalize triplicate electrical derivative sses ied ies s us ss x ab É élan ISTANBUL groß ing ed ingly eed eedly YES y Yy 12 a1 don't""".split()
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("term")).distinct()
+    rows = table.union(spark.createDataFrame([(w,) for w in words], "term string")).withColumns({"w": F.col("term"), "t": F.lit(1), "h": F.lit(2)})
+    got = stem_vocabulary(rows).collect()
+    assert len(got) > 10_000 and all(r["term"] == (porter2(r["w"]) if r["w"].isalpha() else r["w"]) and (r["t"], r["h"]) == (1, 2) for r in got)
+
+
+def test_no_python_worker_in_the_index(spark):
+    """Stems, tokens and counts of the default engine stay in the JVM."""
+    docs = spark.createDataFrame([(1, "Running rivers run."), (2, "The river runs.")], "doc_id long, text string")
+    seen = []
+    kept = storage.written
+    try:
+        for module in (storage, __import__("lexora.operators.index", fromlist=["x"])):
+            module.written = lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df)
+        ix = engine.build_index(docs)
+    finally:
+        storage.written = kept
+        __import__("lexora.operators.index", fromlist=["x"]).written = kept
+    assert {r["term"] for r in ix.vocabulary.collect()} >= {"run", "river"}
+    assert len(seen) >= 4 and not [p for p in seen if "Python" in p or "Arrow" in p or "Pandas" in p]
