@@ -185,7 +185,7 @@ def seconds(cut: list[tuple[int, int]]) -> list[tuple[float, float]]:
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: every text's payload as a WAV. A null text is empty."""
+    """doc_id, n_bytes and media: every text's payload as a WAV. A null or empty text is a payload of blanks. Equal texts give equal media, repeated rows give repeated rows; an empty table gives an empty result. Other columns are not read."""
 
     def run(batches):
         for b in batches:

@@ -113,7 +113,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """link_quotes() in the order of conversations, threads and turns; a long conversation spans partitions."""
+    """link_quotes() in the order of conversations, threads and turns; a long conversation spans partitions.
+
+    Nulls, empty texts and repeated rows are as link_quotes() says, null keys come first; an empty table stays empty.
+    """
     linked = link_quotes(messages)
     return linked.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
 

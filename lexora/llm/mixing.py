@@ -117,7 +117,11 @@ def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+
+    A null source is one of its own, last in order; a null or empty text has size 0 and is taken with
+    its source's whole repetitions. Equal rows are drawn alike; an empty table stays empty.
+    """
     columns = docs.columns
     keys = docs.select("source", word_count(F.col("text")).alias("size"), draw(seed).alias("draw"))
     plan = mixing_plan(saved(keys), weights, max_epochs, share)

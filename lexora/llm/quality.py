@@ -245,6 +245,7 @@ def judge(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with its columns. Equal rows are kept or rejected together.
 
+    A null or empty text is rejected; a null id is judged like any other. An empty table stays empty.
     The statistics are taken twice, for the fit and for the verdict, so that no text is shuffled.
     """
     stats = saved(rule_statistics(docs).withColumn("base_failed", base_failed()))
