@@ -32,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, draw_of, in_arrow, pieces, share, word_parts, written
+from . import common
+from .common import crc_mod, draw_of, in_arrow, share, word_parts, written
 
 TAIL = 32
 WINDOW = 32
 HIDDEN = 24
 EMBED = 16
+#: Bytes of text that are cut into words at a time.
+PIECE = common.PIECE
 ROUNDS = 3
 RATE = 0.008
 STREAMS = 256
@@ -340,6 +343,11 @@ class Model:
         return {name: g[name] for name in p}, h.T
 
 
+def pieces(batches):
+    """The batches' rows in order, in record batches of less than PIECE bytes of text after their first row."""
+    return common.pieces(batches, PIECE)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over all rows of ``docs(text)``; the empty token is the end, once a row."""
 

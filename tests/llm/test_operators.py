@@ -1006,7 +1006,7 @@ def test_queries_with_sql(spark):
 
     for name, sql in ORACLE.items():
         assert rows_of(QUERIES[name](spark, SF)) == sql_rows(SF, sql), name
-    assert len([n for n in QUERIES if n.startswith("op")]) == 10
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13
 
 
 def test_pipeline(spark):
