@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
     from ..operators.sentences import Sentences
+    from .blocks import Blocks
 
 LOOKUP_TERMS = 10_000
 #: The end of a manifest that was written whole.
@@ -71,6 +72,7 @@ class Index:
     """vocabulary(term, df), postings(term, doc_id, tf, ntf), doc_stats(doc_id, doc_length, max_tf, created_at), stats(n_docs, n_numbers, stem).
 
     A saved one has deletions(d, term, df) too, the keys of its spellings, and one whose sentences were learned their model.
+    One saved in blocks has those, and its postings are what they unfold to.
     """
 
     vocabulary: DataFrame
@@ -79,6 +81,7 @@ class Index:
     stats: DataFrame
     deletions: DataFrame | None = None
     sentences: Sentences | None = None
+    blocks: Blocks | None = None
 
     def n_docs(self) -> int:
         return int(self.stats.first()["n_docs"])
@@ -147,14 +150,15 @@ def _folders(content: dict) -> list[str]:
 MODEL = ("abbreviations", "starters", "collocations", "decisions")
 
 
-def save(index: Index, path: str, postings_per_file: int = 2_000_000) -> int:
+def save(index: Index, path: str, postings_per_file: int = 2_000_000, in_blocks: bool = False) -> int:
     """A new version of the index at path; its number. Readers see it once it is whole, those of an older version keep theirs.
 
     Terms' postings lie together and in order, so that a lookup's terms prune row groups by their
     bounds; so do the vocabulary's deletions. Postings are computed once: what range partitions
-    sample is a written table.
+    sample is a written table. ``in_blocks`` stores posting lists in blocks with bounds, by buckets.
     """
     from ..operators.correct import deletion_table
+    from . import blocks
 
     spark = index.stats.sparkSession
     name = f"v-{uuid.uuid4().hex}"
@@ -163,12 +167,16 @@ def save(index: Index, path: str, postings_per_file: int = 2_000_000) -> int:
     vocabulary = written(index.vocabulary)
     in_order(vocabulary, "term").parquet(f"{folder}/vocabulary")
     in_order(deletion_table(vocabulary), "d", "term").parquet(f"{folder}/deletions")
-    in_order(written(index.postings), "term", "doc_id").option("maxRecordsPerFile", postings_per_file).parquet(f"{folder}/postings")
+    postings, layout = written(index.postings), None
+    if in_blocks:
+        layout = blocks.save(postings, folder, postings_per_file)
+    else:
+        in_order(postings, "term", "doc_id").option("maxRecordsPerFile", postings_per_file).parquet(f"{folder}/postings")
     index.doc_stats.write.parquet(f"{folder}/doc_stats")
     index.stats.coalesce(1).write.parquet(f"{folder}/stats")
     for part in MODEL if index.sentences is not None else ():
         getattr(index.sentences, part).write.parquet(f"{folder}/{part}")
-    return commit(spark, path, {"tables": {"index": name}, "sentences": index.sentences is not None})
+    return commit(spark, path, {"tables": {"index": name}, "sentences": index.sentences is not None, "blocks": layout})
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
@@ -176,18 +184,27 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
     number, content = manifest(spark, path, version)
     if not number:
         raise FileNotFoundError(f"no index at {path}")
-    read = lambda name: spark.read.parquet(f"{path}/{content['tables']['index']}/{name}")
+    from . import blocks
+
+    folder, layout = f"{path}/{content['tables']['index']}", content.get("blocks")
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
     model = None
     if content["sentences"]:
         from ..operators.sentences import Sentences, decision_sets
 
         model = Sentences(*[read(part) for part in MODEL])
         model.sets = decision_sets(model)
-    return Index(*[read(name) for name in ("vocabulary", "postings", "doc_stats", "stats", "deletions")], sentences=model)
+    lists = blocks.load(spark, folder, layout) if layout else None
+    postings = blocks.unfold(lists.rows) if lists else read("postings")
+    return Index(read("vocabulary"), postings, *[read(name) for name in ("doc_stats", "stats", "deletions")], sentences=model, blocks=lists)
 
 
 def lookup(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings of the terms: a pushed IN filter for up to LOOKUP_TERMS distinct ones, else a join."""
+    """Postings of the terms: a pushed IN filter for up to LOOKUP_TERMS distinct ones, else a join; lists in blocks are not exchanged for it."""
+    if index.blocks is not None:
+        from . import blocks
+
+        return blocks.unfold(blocks.of_terms(index.blocks, terms, LOOKUP_TERMS))
     some = [r[0] for r in terms.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()]
     if len(some) <= LOOKUP_TERMS:
         return index.postings.where(F.col("term").isin(some))

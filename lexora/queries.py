@@ -16,7 +16,7 @@ from .functions.dates import age_minutes, post_time
 from .functions.stem import stem_sql, stem_vocabulary
 from .functions.words import DATE, EMOJI, NUMBER, PUNCTUATION, STOP_WORDS
 from .operators import correct, index, joins, parse, rank, sentences
-from .plans import engine, lsi, storage
+from .plans import blocks, engine, lsi, storage
 from .sources import corpus as sources
 from .streaming import append
 
@@ -675,3 +675,31 @@ def index_lookup(spark, d):
     folder = storage.new_folder(spark)
     storage.save(storage.Index(vocab, index.postings(freq, vocab), _dates(spark, d), stats), folder)
     return storage.lookup(storage.load(spark, folder), _asked(spark, d)).select("term", "doc_id", "tf", F.round("ntf", 9).alias("ntf"))
+
+
+# ---------------------------------------------------------------- posting lists in blocks
+
+
+def _blocked(spark, d) -> storage.Index:
+    """The index with its lists in blocks, saved and opened again; several buckets already at small sizes."""
+    folder = storage.new_folder(spark)
+    storage.save(engine.build_index(_corpus(spark, d), stem=False, **ENGINE), folder, postings_per_file=200_000, in_blocks=True)
+    return storage.load(spark, folder)
+
+
+@query(f"with {SQL_INDEX} select f.term, f.doc_id, f.tf, round(f.ntf, 9) as ntf from freq f join voc on voc.term = f.term")
+def blocked_postings(spark, d):
+    """What all blocks unfold to: the index's postings."""
+    return _blocked(spark, d).postings.withColumn("ntf", F.round("ntf", 9))
+
+
+@query(f"with {SQL_INDEX}, {SQL_FIXED}, {WEIGHTS}, {SCORES} {RANKED}")
+def blocked_search(spark, d):
+    """Ranked search over lists in blocks."""
+    return engine.search(_blocked(spark, d), _questions(spark, d), K, **ENGINE)
+
+
+@query(f"with {SQL_INDEX}, b as (select f.*, row_number() over (partition by f.term order by f.ntf desc, f.doc_id) as rnk from freq f join voc on voc.term = f.term) select term, doc_id, tf, round(ntf, 9) as ntf, rnk::int as rnk from b where rnk <= {K}")
+def champion_postings(spark, d):
+    """Each term's postings of highest normalised frequency; blocks whose bound is too low are not unfolded."""
+    return blocks.best(_blocked(spark, d).blocks.rows, K).withColumn("ntf", F.round("ntf", 9))
