@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import in_arrow, texts
+from .common import file_system, in_arrow, passing_folder, shared_dir, texts
 
 UNIT = 192
 RATE = 12_000
@@ -210,16 +213,13 @@ def _blocks(found: list[dict | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(time[0]), pa.array(time[1]), mel], ["start_s", "end_s", "mel"]))
 
 
-def audio_features(stored: DataFrame) -> DataFrame:
-    """For ``stored(doc_id, n_bytes, media)``: digests of the payload read back, of the medium, and of its features, and these.
+COLUMNS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "n_frames": "long", "n_segments": "long"}
+TIMES = "start_s:double,end_s:double"
 
-    feature: frames, segments, frames inside segments, and the digest of tensors and segments.
-    tensors: the log-mel tensors (BLOCK * MELS values, row-major, once in Arrow a fixed-shape tensor
-    by tensor_column()) with their time spans; spans: the segments' times. A null medium gives
-    nulls. Repeated rows give repeated rows; an empty table gives an empty result. A long medium is
-    worked on in chunks; held at once are its bytes and its tensors, less than twice its bytes.
-    """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments", "tensors", "spans"]
+
+def _described(batches):
+    """For every few rows of ``stored``: them, their features (None of a null medium), the arrays of COLUMNS, and the segments' times."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def row(media, f):
         if f is None:
@@ -228,20 +228,100 @@ def audio_features(stored: DataFrame) -> DataFrame:
         text = f"frames={len(f['mel'])};segments={len(cut)};inside={sum(b - a for a, b in cut)};sha256={f['digest']}"
         return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(media), hashlib.sha256(media).hexdigest(), text, len(f["mel"]), len(cut)
 
+    for b in batches:
+        for some in pieces(b, 2):
+            media = some.column(2).to_pylist()
+            found = [None if m is None else features(m) for m in media]
+            c = list(zip(*map(row, media, found))) or [()] * 8
+            spans = pa.array([None if f is None else [{"start_s": a, "end_s": e} for a, e in seconds(f["segments"])] for f in found], pa.list_(SPAN))
+            yield some, found, [some.column(1), *(pa.array(x, k) for x, k in zip(c, kinds))], spans
+
+
+def _shape(stored: DataFrame, *own: str) -> str:
+    return ", ".join([f"doc_id {stored.schema['doc_id'].dataType.simpleString()}", *(f"{n} {t}" for n, t in COLUMNS.items()), *own, f"spans array<struct<{TIMES}>>"])
+
+
+def audio_features(stored: DataFrame) -> DataFrame:
+    """For ``stored(doc_id, n_bytes, media)``: digests of the payload read back, of the medium, and of its features, and these.
+
+    feature: frames, segments, frames inside segments, and the digest of tensors and segments.
+    tensors: the log-mel tensors (BLOCK * MELS values, row-major) with their time spans, in the
+    result's rows; write_features() stores them as Arrow tensors. spans: the segments' times. A null medium gives
+    nulls. Repeated rows give repeated rows; an empty table gives an empty result. A long medium is
+    worked on in chunks; held at once are its bytes and its tensors, less than twice its bytes.
+    """
+
     def run(batches):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for b in batches:
-            for some in pieces(b, 2):
-                media = some.column(2).to_pylist()
-                found = [None if m is None else features(m) for m in media]
-                c = list(zip(*map(row, media, found))) or [()] * 8
-                spans = pa.array([None if f is None else [{"start_s": a, "end_s": e} for a, e in seconds(f["segments"])] for f in found], pa.list_(SPAN))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(x, k) for x, k in zip(c, kinds)), _blocks(found), spans], names)
+        for some, found, columns, spans in _described(batches):
+            yield pa.RecordBatch.from_arrays([some.column(0), *columns, _blocks(found), spans], ["doc_id", *COLUMNS, "tensors", "spans"])
+
+    return in_arrow(stored.select("doc_id", "n_bytes", "media"), run, _shape(stored, f"tensors array<struct<{TIMES},mel:array<float>>>"))
+
+
+class Store:
+    """Writes a task's tensors to a file of its own, and gives a row a document: its columns and where its tensors lie."""
+
+    def __init__(self, target: str):
+        self.target = target
+
+    def __call__(self, batches):
+        system, root = file_system(self.target)
+        name = f"tensors-{TaskContext.get().partitionId():06d}.arrow"
+        own = f"{root}/{name}.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+        out, sink, k = None, None, 0
+        for some, found, columns, spans in _described(batches):
+            n = np.array([0 if f is None else len(f["start"]) for f in found], np.int64)
+            null = np.array([f is None for f in found], bool)
+            if n.sum():
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                flat = _blocks([f for f in found if f is not None]).flatten()
+                block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                held = pa.RecordBatch.from_arrays([some.column(0).take(rows), pa.array(block, pa.int32()), flat.field("start_s"), flat.field("end_s"), tensor_column(flat.field("mel"))], ["doc_id", "block", "start_s", "end_s", "mel"])
+                if out is None:
+                    sink = system.open_output_stream(own)
+                    out = pa.ipc.new_file(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(held)
+            places = [pa.array([name] * len(n), mask=null), pa.array(np.full(len(n), k, np.int32), mask=null), pa.array(np.cumsum(n) - n, mask=null), pa.array(n, mask=null)]
+            k += int(n.sum() > 0)
+            yield pa.RecordBatch.from_arrays([some.column(0), *columns, *places, spans], ["doc_id", *COLUMNS, *PLACES, "spans"])
+        if out is not None:
+            out.close()
+            sink.close()
+            system.move(own, f"{root}/{name}")
+
+
+PLACES = {"tensor_file": "string", "tensor_batch": "int", "first_tensor": "long", "n_tensors": "long"}
+
+
+def write_features(stored: DataFrame, target: str | None = None) -> DataFrame:
+    """audio_features() of ``stored``, with the tensors as fixed-shape Arrow tensors in files below ``target`` and, in their place, where a document's lie.
+
+    A file (Arrow IPC, zstd) holds a task's rows: doc_id, block, start_s, end_s, mel. tensor_file,
+    tensor_batch, first_tensor and n_tensors tell a document's rows, for read_tensors(); null for a
+    null medium. A file is written under a name of the attempt's own and then renamed, so a
+    repeated task writes the same bytes to the same place; what an earlier run or a failed attempt
+    left in the folder goes. ``target`` is a folder that all executors share, by default a new one that goes
+    with the application. The rows are kept beside the files, in manifest. Repeated rows give
+    repeated rows and tensors; an empty table writes no file.
+    """
+    spark = stored.sparkSession
+    target = target or passing_folder(spark, f"{shared_dir(spark)}/audio_tensors/{uuid.uuid4().hex}")
+    system, root = file_system(target)
+    system.create_dir(root, recursive=True)
+    in_arrow(stored.select("doc_id", "n_bytes", "media"), Store(target), _shape(stored, *(f"{n} {t}" for n, t in PLACES.items()))).write.mode("overwrite").parquet(f"{target}/manifest")
+    out = spark.read.parquet(f"{target}/manifest")
+    files = {r[0] for r in out.select("tensor_file").distinct().collect()}  # one a task
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("tensors-") and f.base_name not in files:
+            system.delete_file(f.path)
+    return out
+
 
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    span = "start_s:double,end_s:double"
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, tensors array<struct<{span},mel:array<float>>>, spans array<struct<{span}>>"
-    return in_arrow(stored.select("doc_id", "n_bytes", "media"), run, schema)
+def read_tensors(target: str, tensor_file: str, tensor_batch: int, first_tensor: int, n_tensors: int) -> pa.RecordBatch:
+    """A document's rows of its file, mel being a fixed-shape tensor column; reads one batch."""
+    system, root = file_system(target)
+    with system.open_input_file(f"{root}/{tensor_file}") as f:
+        return pa.ipc.open_file(f).get_batch(tensor_batch).slice(first_tensor, n_tensors)
 
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 22):
@@ -253,7 +333,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 22):
 
 
 def tensor_column(mel: pa.ListArray) -> pa.FixedShapeTensorArray:
-    """The mel field of audio_features' tensors, once in Arrow and flattened, as the fixed-shape tensor type. No null may be in it."""
+    """The mel field of flattened tensors as the fixed-shape tensor type. No null may be in it."""
     flat = mel.flatten()
     kind = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS))
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, BLOCK * MELS))

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,13 @@ def passing_folder(spark: SparkSession, folder: str) -> str:
     return folder
 
 
+def file_system(target: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder's URI or path, and the folder's path in it."""
+    if "://" not in target:
+        target = target.replace("file:", "file://", 1) if target.startswith("file:") else f"file://{target}"
+    return fs.FileSystem.from_uri(target)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a Parquet table in a folder of its own below the shared one: computed once, and read by columns."""
     spark = df.sparkSession

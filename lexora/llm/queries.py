@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, lexical, mixing, pivots
-from .audio import audio_features, store_audio
+from .audio import store_audio, write_features
 from .common import table
 from .lm import lm_score
 from .packing import pack_documents
@@ -52,7 +52,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(store_audio(table(spark, sf_dir, "documents")))
+    return write_features(store_audio(table(spark, sf_dir, "documents")))
 
 
 def op8_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

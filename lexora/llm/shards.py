@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import draw_of, in_arrow, passing_folder, share, shared_dir, texts, written
+from .common import draw_of, file_system, in_arrow, passing_folder, share, shared_dir, texts, written
 
 LENGTH = 1024
 SHARDS = 1024
@@ -76,8 +76,12 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def _fs(target: str):
-    return fs.FileSystem.from_uri(target) if "://" in target else fs.FileSystem.from_uri(target.replace("file:", "file://", 1) if target.startswith("file:") else f"file://{target}")
+def _clear(target: str, shards: int) -> None:
+    """Deletes from a finished target what failed attempts left, and an earlier run's shards beyond the last."""
+    system, root = file_system(target)
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.base_name.startswith("shard-") and (not f.base_name.endswith(".bin") or int(f.base_name[6:-4]) >= shards):
+            system.delete_file(f.path)
 
 
 def _token_rows(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -116,7 +120,7 @@ def _starts_of(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, starts) of an input part, by row."""
     import pyarrow.parquet as pq
 
-    system, root = _fs(folder)
+    system, root = file_system(folder)
     t = pq.read_table(f"{root}/g={part // GATHER}", columns=["row", "start"], filesystem=system, partitioning=None, filters=[("row", ">=", part << 33), ("row", "<", (part + 1) << 33)]).sort_by("row")
     return t.column(0).to_numpy(), t.column(1).to_numpy()
 
@@ -195,7 +199,7 @@ class Write:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(self.common) if self.common else None)
-        system, root = _fs(self.target)
+        system, root = file_system(self.target)
         stride, own = self.length * 2, f".{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         out, shard, rows, doc_type = None, None, [], None
         record = b""
@@ -257,6 +261,7 @@ def write_shards(docs: DataFrame, target: str | None = None, path: str | None =
     tokens in a text are ordinary text, so an end id ends a document. The rows are kept beside the
     shards, in manifest. ``target`` is a folder that all executors share (a URI that Arrow's file
     systems open), by default a new one under the shared folder, which goes with the application.
+    What an earlier run or a failed attempt left there is deleted at the end.
     ``per_shard`` is shard_size() by default. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -269,23 +274,27 @@ def write_shards(docs: DataFrame, target: str | None = None, path: str | None =
     sequences = -(-total // length)
     per_shard = per_shard or shard_size(sequences)
     shards = -(-sequences // per_shard)
-    system, root = _fs(target)
+    system, root = file_system(target)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/layout.json") as f:
         f.write(json.dumps({"sequences": int(sequences), "length": length, "dtype": "<u2", "per_shard": per_shard, "shards": shards, "key": key, "end": end}).encode())
     shape = f"slot long, sequence long, shard int, offset long, n_ids int, ids_crc32 long, first_doc_id {kind}, first_start long"
     if not total:
+        _clear(target, 0)
+        if system.get_file_info(f"{root}/manifest").type == fs.FileType.Directory:
+            system.delete_dir(f"{root}/manifest")
         return spark.createDataFrame([], shape)
     common = _dictionary(rows, n_rows, length)
     dealt = in_arrow(rows.select("row", "doc_id", "ids"), Deal(_places(rows), total, length, per_shard, key, common), f"slot long, shard int, sequence long, at int, n_ids int, first_doc_id {kind}, first_start long, ids binary")
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
     in_arrow(dealt, Write(target, length, per_shard, end, common), shape).write.mode("overwrite").parquet(f"{target}/manifest")
+    _clear(target, shards)
     return spark.read.parquet(f"{target}/manifest")
 
 
 def read_shards(target: str, slot: int = 0):
     """Yields (slot, ids) in training order from ``slot`` on; one seek, then sequential reads."""
-    system, root = _fs(target)
+    system, root = file_system(target)
     with system.open_input_stream(f"{root}/layout.json") as f:
         layout = json.loads(f.read())
     stride, per = layout["length"] * 2, layout["per_shard"]

@@ -734,6 +734,18 @@ def test_shards_awkward(awkward, empty, tmp_path):
     assert shards.write_shards(empty, str(tmp_path / "e")).count() == 0 and not list(shards.read_shards(str(tmp_path / "e")))
 
 
+def test_shards_of_an_earlier_run_go(docs, empty, tmp_path):
+    """A second run into a target leaves its own shards alone, no other files and no failed attempt's."""
+    target = tmp_path / "s"
+    shards.write_shards(docs, str(target), length=64, per_shard=64)
+    many = len(list(target.glob("shard-*.bin")))
+    (target / "shard-000000.bin.7-lost").write_bytes(b"half")
+    rows = shards.write_shards(docs, str(target), length=256, per_shard=128).collect()
+    names = {p.name for p in target.glob("shard-*")}
+    assert names == {f"shard-{r['shard']:06d}.bin" for r in rows} and len(names) < many
+    assert shards.write_shards(empty, str(target)).count() == 0 and {p.name for p in target.iterdir()} == {"layout.json"}
+
+
 def test_shard_sizes():
     assert [shards.shard_size(n) for n in (1, 1 << 24, (1 << 24) + 1, 1 << 28, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 18, 1 << 19]
 
@@ -962,6 +974,33 @@ def test_audio(awkward, empty, docs):
     assert all((r["tensors"] is None) == (r["n_bytes"] <= 5) == (r["feature"] is None) for r in nothing)
 
 
+def test_tensors_are_stored_and_read_back(awkward, empty, docs, tmp_path):
+    """Files of fixed-shape tensors give each document's own, its times too; null media have none; leftovers go."""
+    (tmp_path / "t").mkdir()
+    for name in ("tensors-000999.arrow", "tensors-000000.arrow.3-lost"):
+        (tmp_path / "t" / name).write_bytes(b"old")
+    stored = audio.store_audio(awkward.select("doc_id", "text").unionAll(docs.select("doc_id", "text"))).withColumn("media", F.when(F.col("n_bytes") != 5, F.col("media")))
+    rows = audio.write_features(stored, str(tmp_path / "t")).collect()
+    plain = sorted(audio.audio_features(stored).collect(), key=str)
+    same = [c for c in plain[0].asDict() if c != "tensors"]
+    assert sorted(str([r[c] for c in same]) for r in rows) == sorted(str([r[c] for c in same]) for r in plain)
+    want = sorted(str((r["doc_id"], r["feature"], r["tensors"] and [(t["start_s"], t["end_s"], sum(t["mel"])) for t in r["tensors"]])) for r in plain)
+    got = []
+    for r in rows:
+        here = None
+        if r["tensor_file"] is not None:
+            b = audio.read_tensors(str(tmp_path / "t"), r["tensor_file"], r["tensor_batch"], r["first_tensor"], r["n_tensors"])
+            assert isinstance(b.schema.field("mel").type, pa.FixedShapeTensorType) and b.schema.field("mel").type.shape == [audio.BLOCK, audio.MELS]
+            assert b.column("doc_id").to_pylist() == [r["doc_id"]] * r["n_tensors"] and b.column("block").to_pylist() == list(range(r["n_tensors"]))
+            mel = b.column("mel").to_numpy_ndarray()
+            here = [(s, e, sum(m.reshape(-1).tolist())) for s, e, m in zip(b.column("start_s").to_pylist(), b.column("end_s").to_pylist(), mel)]
+        got.append(str((r["doc_id"], r["feature"], here)))
+    assert sorted(got) == want
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("tensors-")} == {r["tensor_file"] for r in rows} - {None}
+    assert audio.write_features(audio.store_audio(empty), str(tmp_path / "e")).count() == 0
+    assert not [p for p in (tmp_path / "e").iterdir() if p.name.startswith("tensors-")]
+
+
 def test_log_mel_by_its_definition(monkeypatch):
     raw = np.random.default_rng(4).integers(0, 256, 5000).astype(np.uint8)
     y = audio.resample((raw.astype(np.float32) - 128) / 128).astype(np.float64)
