@@ -81,9 +81,40 @@ def split_hashtag(tag: Column, keep_full_tag: bool = False) -> Column:
     return F.concat(F.array(F.lower(F.concat(F.lit("#"), tag))), pieces) if keep_full_tag else pieces
 
 
+#: From here on a double's shortest digits, which format_number prints, may lack places that it has; 2 ** 40.
+EXACT = float(1 << 40)
+#: Decimal digits of long numbers are added up in groups of nine, their powers of two in steps of 24.
+GROUP, STEP = 1_000_000_000, 24
+
+
+def _div(v: Column) -> Column:
+    """A long divided by GROUP, without its rest; in longs."""
+    return F.call_function("div", v, F.lit(GROUP))
+
+
+def _whole_digits(x: Column) -> Column:
+    """All digits of a whole double of 2 ** 40 or more, as it is in binary."""
+    e = F.greatest(F.floor(F.log2(x)) - 54, F.lit(0)).cast("int")
+    m = (x / F.pow(F.lit(2.0), e)).cast("long")  # whole: x has 53 binary digits at most
+    groups = F.array(m % GROUP, _div(m))
+    start = lambda: F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<bigint>").alias("done"))
+
+    def times(g: Column, k: Column) -> Column:
+        by = F.pow(F.lit(2.0), F.least(F.lit(STEP), e - k)).cast("long")
+        add = lambda a, v: F.struct(_div(v * by + a["over"]).alias("over"), F.array_append(a["done"], (v * by + a["over"]) % GROUP).alias("done"))
+        return F.aggregate(g, start(), add, lambda a: F.array_append(a["done"], a["over"]))
+
+    groups = F.aggregate(F.sequence(F.lit(0), e, F.lit(STEP)), groups, times)
+    return F.regexp_replace(F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), 9, "0")), ""), "^0+", "")
+
+
 def three_decimals(x: Column) -> Column:
-    """At most three decimals and at least one, as text."""
-    return F.regexp_replace(F.regexp_replace(F.format_number(x, 3), ",", ""), r"(\.\d*?[1-9]|\.0)0+$", "$1")
+    """At most three decimals and at least one, as text, of the double's exact value."""
+    floor = F.when(x < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+    thousandths = F.rint((x - floor) * 1000)  # exact from EXACT on
+    exact = F.concat(_whole_digits(floor + F.floor(thousandths / 1000)), F.lit("."), F.lpad((thousandths % 1000).cast("int").cast("string"), 3, "0"))
+    text = F.when(x == float("inf"), "inf").when(x < EXACT, F.replace(F.format_number(x, 3), F.lit(","), F.lit(""))).otherwise(exact)
+    return F.regexp_replace(text, r"(\.\d*?[1-9]|\.0)0+$", "$1")
 
 
 def _one_of(w: Column, words: list[str]) -> Column:
@@ -100,19 +131,12 @@ def scaled_number(number: Column, before: Column, after: Column) -> Column:
     dots = F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit("")))
     x = digits.try_cast("double")
     whole = dots == 0
-    plain = F.when(whole, F.coalesce(digits.try_cast("decimal(38,0)").cast("string"), digits)).otherwise(three_decimals(x))
-    by = lambda d: three_decimals(x / d)
     sign = lambda w: reduce(lambda c, k: c.when(F.lower(w) == k, SIGNS[k]), SIGNS, F.when(F.lit(False), "")).otherwise("")
-    value = (
-        F.when(_one_of(after, list(SIGNS)), F.concat(plain, sign(after)))
-        .when(_one_of(after, QUANTITIES[:2]), F.when(x < 1000, F.concat(plain, F.lit("K"))).when(x < 1e6, F.concat(by(1000), F.lit("M"))).otherwise(F.concat(by(1e6), F.lit("B"))))
-        .when(_one_of(after, QUANTITIES[2:4]), F.when(x < 1000, F.concat(plain, F.lit("M"))).otherwise(F.concat(by(1000), F.lit("B"))))
-        .when(_one_of(after, QUANTITIES[4:]), F.concat(plain, F.lit("B")))
-        .when(x < 1000, plain)
-        .when(x < 1e6, F.concat(by(1000), F.lit("K")))
-        .when(x < 1e9, F.concat(by(1e6), F.lit("M")))
-        .otherwise(F.concat(by(1e9), F.lit("B")))
-    )
+    signed, thousands, millions, billions = (_one_of(after, words) for words in (list(SIGNS), QUANTITIES[:2], QUANTITIES[2:4], QUANTITIES[4:]))
+    below = lambda *steps: reduce(lambda c, s: c.when(x < s[0], s[1]), steps[1:-1], F.when(x < steps[0][0], steps[0][1])).otherwise(steps[-1])
+    by = F.when(signed | billions, 1.0).when(thousands, below((1e3, 1.0), (1e6, 1e3), 1e6)).when(millions, below((1e3, 1.0), 1e3)).otherwise(below((1e3, 1.0), (1e6, 1e3), (1e9, 1e6), 1e9))
+    unit = F.when(signed, sign(after)).when(billions, "B").when(thousands, below((1e3, "K"), (1e6, "M"), "B")).when(millions, below((1e3, "M"), "B")).otherwise(below((1e3, ""), (1e6, "K"), (1e9, "M"), "B"))
+    value = F.concat(F.when(whole & (by == 1.0), F.coalesce(digits.try_cast("decimal(38,0)").cast("string"), digits)).otherwise(three_decimals(x / by)), unit)
     return F.when((dots > 1) | x.isNull(), digits).otherwise(F.concat(sign(before), value))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def test_numbers(spark, before, number, after, want):
     assert df.select(R.number_terms(F.col("n"), F.col("b"), F.col("a"))).first()[0] == [want]
 
 
+@pytest.mark.parametrize("number", ["9876543210123456789012345678", "12345678901234567890123", "9007199254740993123456789", "80000000000001900000007", "9" * 60, "1" + "0" * 300, "1099511627776000500000"])
+def test_long_numbers_have_all_their_digits(spark, number):
+    """A double's shortest digits are not enough: all of its places are printed, as by printf."""
+    want = re.sub(r"(\.\d*?[1-9]|\.0)0+$", r"\1", f"{float(number) / 1e9:.3f}") + "B"
+    df = spark.createDataFrame([(number,)], "n string")
+    assert df.select(R.number_terms(F.col("n"), F.lit(""), F.lit(""))).first()[0] == [want]
+
+
 @pytest.mark.parametrize("tag, want", [("stay_at_home", ["stay", "at", "home"]), ("StayAtHome2020", ["stay", "at", "home", "2020"]), ("COVID19", ["covid", "19"])])
 def test_hashtags(spark, tag, want):
     assert one(spark, R.split_hashtag(F.col("t")), t=tag) == want
