@@ -18,8 +18,9 @@ def run_starts(sorted_column: str, value=lambda x: x) -> Column:
     return F.filter(places, lambda i: (i == 0) | (value(F.get(a, i)) != value(F.get(a, i - 1))))
 
 
-def runs(sorted_column: str, starts: str, value=lambda x: x) -> Column:
-    """(term, from, tf) of each run of a sorted array, given its run_starts(); both held()."""
-    n = F.size(sorted_column)
+def runs(sorted_column: str, starts: str, value=lambda x: x, item=None) -> Column:
+    """(term, from, tf) of each run of a sorted array, given its run_starts(); both held(). And ``items``, item(x) of each of a run's elements, if asked."""
+    a, n = F.col(sorted_column), F.size(sorted_column)
     end = lambda k: F.coalesce(F.get(F.col(starts), k + 1), n)
-    return F.transform(starts, lambda s, k: F.struct(value(F.get(F.col(sorted_column), s)).alias("term"), s.alias("from"), (end(k) - s).alias("tf")))
+    items = lambda s, k: [F.transform(F.sequence(s, end(k) - 1), lambda i: item(F.get(a, i))).alias("items")] if item else []
+    return F.transform(starts, lambda s, k: F.struct(value(F.get(a, s)).alias("term"), s.alias("from"), (end(k) - s).alias("tf"), *items(s, k)))

@@ -36,9 +36,10 @@ def term_frequencies(docs: DataFrame, tokens: Column, key: str = "doc_id", posit
         source, value = F.sort_array(tokens), lambda x: x
     t = spread(docs).select(key, F.explode(F.array(source)).alias("t"))
     t = held(t, "s", run_starts("t", value))
-    t = held(t, "r", runs("t", "s", value)).withColumn("max_tf", F.array_max(F.transform("r", lambda r: r["tf"])).cast("long"))
-    more = [F.transform(F.slice("t", F.col("x.from") + 1, F.col("x.tf")), lambda y: y["p"]).alias("positions")] if positions else []
-    out = t.select(key, "max_tf", *(["t"] if positions else []), F.explode("r").alias("x")).select(key, F.col("x.term").alias("term"), F.col("x.tf").cast("long").alias("tf"), "max_tf", *more)
+    # a run takes its own places with it: a text's words must not go with each of its terms
+    t = held(t, "r", runs("t", "s", value, lambda x: x["p"]) if positions else runs("t", "s")).withColumn("max_tf", F.array_max(F.transform("r", lambda r: r["tf"])).cast("long"))
+    more = [F.col("x.items").alias("positions")] if positions else []
+    out = t.select(key, "max_tf", F.explode("r").alias("x")).select(key, F.col("x.term").alias("term"), F.col("x.tf").cast("long").alias("tf"), "max_tf", *more)
     if has_repeats(docs, key):
         added = [F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")] if positions else []
         out = top_frequencies(out.repartition(key).groupBy(key, "term").agg(F.sum("tf").alias("tf"), *added), key)

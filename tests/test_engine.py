@@ -1,3 +1,5 @@
+import re
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +258,13 @@ def test_singular_values_of_the_index(spark):
     assert empty.values == [] and empty.terms.count() == 0
 
 
+
+
+def test_positions_travel_with_their_term_alone(spark):
+    """A text's words are not copied for each of its terms: work grows with the text, not its square."""
+    docs = spark.createDataFrame([(1, "b a b a c")], "doc_id long, text string")
+    freq = index.term_frequencies(docs, simple_tokens(F.col("text")), positions=True)
+    assert {r["term"]: r["positions"] for r in freq.collect()} == {"a": [1, 3], "b": [0, 2], "c": [4]}
+    plan = freq._jdf.queryExecution().executedPlan().toString()
+    kept = re.findall(r"Generate explode\(r#\d+\), \[([^\]]*)\]", plan)
+    assert kept and all(re.sub(r"#\d+L?", "", k).split(", ") == ["doc_id", "max_tf"] for k in kept)
