@@ -11,6 +11,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), of a value that is computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def run_starts(sorted_column: str, value=lambda x: x) -> Column:
     """The places in a sorted array, held(), where another value begins."""
     a = F.col(sorted_column)

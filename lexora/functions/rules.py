@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .words import DATE, EMOJI, KEPT_LETTERS, NUMBER, QUANTITIES, SIGNS
 
 
@@ -94,27 +95,31 @@ def _div(v: Column) -> Column:
 
 def _whole_digits(x: Column) -> Column:
     """All digits of a whole double of 2 ** 40 or more, as it is in binary."""
-    e = F.greatest(F.floor(F.log2(x)) - 54, F.lit(0)).cast("int")
-    m = (x / F.pow(F.lit(2.0), e)).cast("long")  # whole: x has 53 binary digits at most
-    groups = F.array(m % GROUP, _div(m))
     start = lambda: F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<bigint>").alias("done"))
 
-    def times(g: Column, k: Column) -> Column:
-        by = F.pow(F.lit(2.0), F.least(F.lit(STEP), e - k)).cast("long")
-        add = lambda a, v: F.struct(_div(v * by + a["over"]).alias("over"), F.array_append(a["done"], (v * by + a["over"]) % GROUP).alias("done"))
+    def times(g: Column, by: Column) -> Column:
+        add = lambda a, v: let(v * by + a["over"], lambda y: F.struct(_div(y).alias("over"), F.array_append(a["done"], y % GROUP).alias("done")))
         return F.aggregate(g, start(), add, lambda a: F.array_append(a["done"], a["over"]))
 
-    groups = F.aggregate(F.sequence(F.lit(0), e, F.lit(STEP)), groups, times)
-    return F.regexp_replace(F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), 9, "0")), ""), "^0+", "")
+    def digits(x: Column, e: Column) -> Column:
+        m = (x / F.pow(F.lit(2.0), e)).cast("long")  # whole: x has 53 binary digits at most
+        powers = F.transform(F.sequence(F.lit(0), e, F.lit(STEP)), lambda k: F.pow(F.lit(2.0), F.least(F.lit(STEP), e - k)).cast("long"))
+        groups = F.aggregate(powers, let(m, lambda m: F.array(m % GROUP, _div(m))), times)
+        return F.regexp_replace(F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), 9, "0")), ""), "^0+", "")
+
+    return let(x, lambda x: let(F.greatest(F.floor(F.log2(x)) - 54, F.lit(0)).cast("int"), lambda e: digits(x, e)))
 
 
 def three_decimals(x: Column) -> Column:
     """At most three decimals and at least one, as text, of the double's exact value."""
-    floor = F.when(x < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
-    thousandths = F.rint((x - floor) * 1000)  # exact from EXACT on
-    exact = F.concat(_whole_digits(floor + F.floor(thousandths / 1000)), F.lit("."), F.lpad((thousandths % 1000).cast("int").cast("string"), 3, "0"))
-    text = F.when(x == float("inf"), "inf").when(x < EXACT, F.replace(F.format_number(x, 3), F.lit(","), F.lit(""))).otherwise(exact)
-    return F.regexp_replace(text, r"(\.\d*?[1-9]|\.0)0+$", "$1")
+
+    def parts(x: Column, floor: Column) -> Column:
+        thousandths = lambda t: F.concat(_whole_digits(floor + F.floor(t / 1000)), F.lit("."), F.lpad((t % 1000).cast("int").cast("string"), 3, "0"))
+        return let(F.rint((x - floor) * 1000), thousandths)  # exact from EXACT on
+
+    exact = lambda x: let(F.when(x < float(1 << 53), F.floor(x).cast("double")).otherwise(x), lambda floor: parts(x, floor))
+    text = lambda x: F.when(x == float("inf"), "inf").when(x < EXACT, F.replace(F.format_number(x, 3), F.lit(","), F.lit(""))).otherwise(exact(x))
+    return F.regexp_replace(let(x, text), r"(\.\d*?[1-9]|\.0)0+$", "$1")
 
 
 def _one_of(w: Column, words: list[str]) -> Column:
@@ -128,20 +133,23 @@ def scaled_number(number: Column, before: Column, after: Column) -> Column:
     One million and one billion are 1.0M and 1.0B; a million or more millions are billions.
     """
     digits = F.regexp_replace(number, r"[^-?\p{Nd}./]", "")
+    return let(F.struct(digits.alias("digits"), digits.try_cast("double").alias("x")), lambda d: _scaled(d["digits"], d["x"], before, after))
+
+
+def _scaled(digits: Column, x: Column, before: Column, after: Column) -> Column:
     dots = F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit("")))
-    x = digits.try_cast("double")
     whole = dots == 0
     sign = lambda w: reduce(lambda c, k: c.when(F.lower(w) == k, SIGNS[k]), SIGNS, F.when(F.lit(False), "")).otherwise("")
     signed, thousands, millions, billions = (_one_of(after, words) for words in (list(SIGNS), QUANTITIES[:2], QUANTITIES[2:4], QUANTITIES[4:]))
     below = lambda *steps: reduce(lambda c, s: c.when(x < s[0], s[1]), steps[1:-1], F.when(x < steps[0][0], steps[0][1])).otherwise(steps[-1])
     by = F.when(signed | billions, 1.0).when(thousands, below((1e3, 1.0), (1e6, 1e3), 1e6)).when(millions, below((1e3, 1.0), 1e3)).otherwise(below((1e3, 1.0), (1e6, 1e3), (1e9, 1e6), 1e9))
     unit = F.when(signed, sign(after)).when(billions, "B").when(thousands, below((1e3, "K"), (1e6, "M"), "B")).when(millions, below((1e3, "M"), "B")).otherwise(below((1e3, ""), (1e6, "K"), (1e9, "M"), "B"))
-    value = F.concat(F.when(whole & (by == 1.0), F.coalesce(digits.try_cast("decimal(38,0)").cast("string"), digits)).otherwise(three_decimals(x / by)), unit)
+    value = F.concat(let(by, lambda by: F.when(whole & (by == 1.0), F.coalesce(digits.try_cast("decimal(38,0)").cast("string"), digits)).otherwise(three_decimals(x / by))), unit)
     return F.when((dots > 1) | x.isNull(), digits).otherwise(F.concat(sign(before), value))
 
 
 def number_terms(t: Column, before: Column, after: Column) -> Column:
     """The terms of a letterless token that is no date: one, or none if it holds no number. A sign keeps it as it is."""
     found = F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
-    joined = F.array_join(found, "")
-    return F.when(~letterless(t) | (F.size(found) == 0), F.array().cast("array<string>")).when(joined.contains("-"), F.array(joined)).otherwise(F.array(scaled_number(joined, before, after)))
+    scaled = lambda joined: F.when(joined.contains("-"), F.array(joined)).otherwise(F.array(scaled_number(joined, before, after)))
+    return F.when(letterless(t), let(found, lambda a: F.when(F.size(a) > 0, let(F.array_join(a, ""), scaled)).otherwise(F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))

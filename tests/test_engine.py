@@ -268,3 +268,24 @@ def test_positions_travel_with_their_term_alone(spark):
     plan = freq._jdf.queryExecution().executedPlan().toString()
     kept = re.findall(r"Generate explode\(r#\d+\), \[([^\]]*)\]", plan)
     assert kept and all(re.sub(r"#\d+L?", "", k).split(", ") == ["doc_id", "max_tf"] for k in kept)
+
+
+def test_terms_are_made_inside_the_row(spark):
+    """No rule is left to exploded rows, where all of them together were too long a method to be compiled."""
+    docs = spark.createDataFrame([(1, "The 5 Big Cats met I wEB 12/5 x/yz a-b")], "doc_id long, text string")
+    plan = parse.parse(docs, stem=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "RLIKE" not in plan[: plan.index("Generate")]
+
+
+def test_forms_that_cannot_change_meet_no_vocabulary(spark):
+    counts = spark.createDataFrame([(1, "big", "w", 2, 0, 5), (1, "BIG", "w", 1, 0, 5), (2, "BIG", "w", 1, 0, 1), (2, "Big Cat", "e", 1, 0, 1), (3, "USA", "w", 1, 0, 1)], "doc_id long, form string, kind string, tf long, numbers long, doc_length int")
+    forms = index.canonical_forms(counts, False, 2)
+    both = [{(r["doc_id"], r["term"], r["tf"]) for r in index.index_frequencies(counts, f, False).collect()} for f in (forms, forms.where("form <> 'big'"))]
+    assert both == [{(1, "big", 3), (2, "big", 1), (3, "USA", 1)}] * 2
+
+
+def test_dates_do_not_shuffle_texts(spark):
+    from lexora import queries
+
+    texts = queries._corpus(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    assert "Join" not in texts._jdf.queryExecution().optimizedPlan().toString()
