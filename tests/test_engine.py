@@ -289,3 +289,27 @@ def test_dates_do_not_shuffle_texts(spark):
 
     texts = queries._corpus(spark, "/root/testdata/sf0.001").select("doc_id", "text")
     assert "Join" not in texts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_shuffle_postings_and_not_pairs(spark):
+    """However many queries ask for a term, a posting is shuffled once; the scores are those of the plain sums."""
+    import math
+
+    postings = spark.createDataFrame([(t, d, 1.0 / (1 + (d + k) % 3)) for k, t in enumerate("abc") for d in range(0, 60, k + 1)], "term string, doc_id long, ntf double")
+    vocab = postings.groupBy("term").count().withColumnRenamed("count", "df")
+    asked = spark.createDataFrame([(q, t) for q in range(40) for t in ("ab", "bc", "abc", "aab")[q % 4]], "query_num long, term string")
+    weights = rank.query_weights(asked)
+    scores = rank.cosine_scores(weights, storage.written(postings), storage.written(vocab), 100)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if re.search(r"\bExchange\b", line)]
+    assert len([line for line in dealt if "doc_id" in line]) == 1 and not [line for line in dealt if "query_num" in line]  # the terms' own exchange is small
+    df = {r["term"]: r["df"] for r in vocab.collect()}
+    lists, want = {}, {}
+    for r in postings.collect():
+        lists.setdefault(r["term"], []).append((r["doc_id"], math.log10(100 / df[r["term"]]) * r["ntf"]))
+    for w in weights.collect():
+        for d, x in lists[w["term"]]:
+            dot, norm, _ = want.get((w["query_num"], d), (0, 0, 0))
+            want[w["query_num"], d] = dot + w["w"] * x, norm + x * x, w["q_norm"]
+    got = {(r["query_num"], r["doc_id"]): r["score"] for r in scores.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - dot / math.sqrt(norm) / q) < 2e-6 for k, (dot, norm, q) in want.items())
