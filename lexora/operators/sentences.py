@@ -41,8 +41,9 @@ PART = "\u0002"
 
 def token_type(t: Column) -> Column:
     """The token in lower case, without its full stop; numbers are one type. Marks are their own types."""
-    bare = F.when(t.rlike(WORD), F.regexp_replace(t, r"\.$", "")).otherwise(t)
-    return F.when(t.rlike(WORD) & bare.rlike(NUMBER), "#").otherwise(F.lower(bare))
+    # cheap tests come first: few tokens meet a second pattern
+    bare = F.when(t.endswith(".") & t.rlike(WORD), F.left(t, F.length(t) - 1)).otherwise(t)
+    return F.when(t.rlike(NUMBER) & t.rlike(WORD), "#").otherwise(F.lower(bare))
 
 
 def _first_upper(t: Column) -> Column:
@@ -50,30 +51,36 @@ def _first_upper(t: Column) -> Column:
     return (F.upper(first) == first) & (F.lower(first) != first)
 
 
-def _tokens(docs: DataFrame, *more: str) -> DataFrame:
-    """Rows (tok, before, after, pos) of all tokens, and more columns."""
+def _tokens(docs: DataFrame, *more: str, which=None) -> DataFrame:
+    """Rows (tok, before, after, pos) of all tokens, or of those that ``which`` tells, and more columns."""
     found = F.coalesce(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
     rows = held(spread(docs.select("text", *more)), "a", found)
-    each = F.transform("a", lambda t, i: F.struct(t.alias("tok"), F.get(F.col("a"), i - 1).alias("before"), F.get(F.col("a"), i + 1).alias("after"), i.alias("pos")))
+    row = lambda t, i: F.struct(t.alias("tok"), F.get(F.col("a"), i - 1).alias("before"), F.get(F.col("a"), i + 1).alias("after"), i.alias("pos"))
+    each = F.transform("a", row) if which is None else F.filter(F.transform("a", lambda t, i: F.when(which(t), row(t, i))), lambda x: x.isNotNull())
     return rows.select(*more, F.explode(each).alias("t")).select(*more, "t.*")
 
 
 def _is_stop(t: Column, after: Column) -> Column:
     """A word with its full stop, which no other one follows."""
-    return F.coalesce(t.rlike(WORD) & t.endswith("."), F.lit(False)) & ~F.coalesce(after.startswith("."), F.lit(False))
+    return F.coalesce(t.endswith(".") & t.rlike(WORD), F.lit(False)) & ~F.coalesce(after.startswith("."), F.lit(False))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(type, stop, upper, kind, before, n): tokens by type, by whether a full stop follows at once, by case, and by place.
 
     kind is s at a text's start, b after ! or ?, p after a full stop, whose word's type is
-    ``before``, and i elsewhere. Texts are read once; a null text has no tokens.
+    ``before``, and i elsewhere. Texts are read once; a null text has no tokens. Tokens as written
+    are counted first, with what stands before them where that may matter: types, cases and places
+    are made of what differs.
     """
     t, b = F.col("tok"), F.col("before")
-    kind = F.when(b.isNull(), "s").when(b.isin("!", "?"), "b").when(_is_stop(b, t), "p").otherwise("i")
-    upper = _first_upper(t)
-    rows = _tokens(docs).select(token_type(t).alias("type"), _is_stop(t, F.col("after")).alias("stop"), upper.alias("upper"), kind.alias("kind"), F.when(kind == "p", token_type(b)).alias("before"))
-    return rows.groupBy("type", "stop", "upper", "kind", "before").agg(F.count(F.lit(1)).alias("n"))
+    matters = b.endswith(".") | b.isin("!", "?")
+    rows = _tokens(docs).select("tok", b.isNull().alias("first"), F.when(matters, b).alias("before"), F.coalesce(F.col("after").startswith("."), F.lit(False)).alias("dots"))
+    rows = rows.groupBy("tok", "first", "before", "dots").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("first"), "s").when(b.isin("!", "?"), "b").when(_is_stop(b, t), "p").otherwise("i")
+    stop = F.coalesce(t.endswith(".") & t.rlike(WORD), F.lit(False)) & ~F.col("dots")
+    rows = rows.select(token_type(t).alias("type"), stop.alias("stop"), _first_upper(t).alias("upper"), kind.alias("kind"), F.when(kind == "p", token_type(b)).alias("before"), "n")
+    return rows.groupBy("type", "stop", "upper", "kind", "before").agg(F.sum("n").alias("n"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -225,9 +232,9 @@ def marked_texts(docs: DataFrame, model: Sentences) -> DataFrame:
 
 
 def boundaries(docs: DataFrame, model: Sentences, key: str = "doc_id") -> DataFrame:
-    """key, pos, is_break of every token that may end a sentence and is not its text's last: words with a full stop, ! and ?. pos counts tokens; by joins, of any size of model."""
+    """key, pos, is_break of every token that may end a sentence and is not its text's last: words with a full stop, ! and ?. pos counts tokens; by joins, of any size of model. Texts are cut once, what may end a sentence is written."""
     t, a = F.col("tok"), F.col("after")
-    rows = _tokens(docs, key).where(a.isNotNull() & (_is_stop(t, a) | t.isin("!", "?")))
-    rows = rows.select(key, "pos", F.when(_is_stop(t, a), token_type(t)).alias("before"), token_type(a).alias("type"), _first_upper(a).alias("upper"))
+    rows = _tokens(docs, key, which=lambda t: t.endswith(".") | t.isin("!", "?")).where(a.isNotNull() & (_is_stop(t, a) | t.isin("!", "?")))
+    rows = written(rows.select(key, "pos", F.when(_is_stop(t, a), token_type(t)).alias("before"), token_type(a).alias("type"), _first_upper(a).alias("upper")))
     told = rows.where(F.col("before").isNotNull()).join(small(model.decisions), ["before", "type", "upper"])
     return told.select(key, "pos", "is_break").unionAll(rows.where(F.col("before").isNull()).select(key, "pos", F.lit(True).alias("is_break")))

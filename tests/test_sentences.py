@@ -106,3 +106,28 @@ def test_no_texts(spark):
     model = S.learn_sentences(docs)
     assert model.sets == {"short": [], "odd": []} and S.boundaries(docs, model).count() == 0
     assert docs.select(S.mark_sentences(F.col("text"), model.sets)).count() == 0
+
+
+def test_texts_are_cut_once_a_pass(spark, corpus, model, monkeypatch):
+    """Neither counting nor telling boundaries cuts a text twice, and only what may end a sentence meets the decisions."""
+    seen = []
+    monkeypatch.setattr(S, "written", lambda df, kept=S.written: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    told = S.boundaries(corpus, model)
+    cuts = [p.count("regexp_extract_all") for p in (*seen, told._jdf.queryExecution().optimizedPlan().toString())]
+    assert cuts == [1, 0]
+    counted = S.token_counts(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    # tokens are counted as written before any pattern of types meets them
+    assert counted.count("Aggregate [") == 2 and "Aggregate [tok#" in counted
+
+
+@pytest.mark.parametrize("token", ["Mr.", "1,200.", "3.5", "-7", "...", "!", "A.", "É.", "x-1.", "12", "½.", "a", ",", "٣."])
+def test_types(spark, token):
+    import unicodedata
+
+    first, plainly = unicodedata.category(token[0]), token
+    word = first.startswith("L") or first == "Nd"
+    if word and token.endswith("."):
+        plainly = token[:-1]
+    number = word and all(c in ".,-" or unicodedata.category(c) == "Nd" for c in plainly)
+    got = spark.createDataFrame([(token,)], "t string").select(S.token_type(F.col("t"))).first()[0]
+    assert got == ("#" if number else plainly.lower())
