@@ -85,6 +85,33 @@ def fold_case(forms: DataFrame) -> DataFrame:
     return out.withColumn("folded", F.when(may & F.col("__low").isNotNull(), F.col("__low")).otherwise(F.col("term"))).drop("__up", "__low")
 
 
+#: Follows the lower form of a token in capitals: sorted, the two stand side by side.
+CAPITAL = "\u0001"
+
+
+def folded_vocabulary(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
+    """term, df, tf of tokens of letters A-Z: fold_case() of their capital forms, by one exchange of sums.
+
+    A document's forms are counted inside its row, where one in capitals stands beside its lower form, so a document that
+    has both is known there and counts once; the corpus's sums tell whether there is a lower form to fold to. Only where
+    rows share a key are they added up by an exchange first.
+    """
+    first = lambda t: F.substring(t, 1, 1)
+    marked = lambda t: F.when(F.lower(t) == t, t).when(F.lower(first(t)) == first(t), F.lower(t)).otherwise(F.concat(F.lower(t), F.lit(CAPITAL)))
+    t = spread(docs).select(key, F.explode(F.array(F.sort_array(F.transform(tokens, marked)))).alias("t"))
+    t = held(held(t, "s", run_starts("t")), "r", runs("t", "s"))
+    beside = F.transform("r", lambda x, k: F.struct(x["term"].alias("form"), x["tf"].cast("long").alias("tf"), F.get(F.col("r"), k - 1)["term"].alias("before")))
+    rows = t.select(key, F.explode(beside).alias("x")).select(key, "x.*")
+    capital = F.col("form").endswith(CAPITAL)
+    rows = rows.withColumn("term", F.when(capital, F.left("form", F.length("form") - 1)).otherwise(F.col("form")))
+    both = F.coalesce(capital & (F.col("before") == F.col("term")), F.lit(False))
+    rows = rows.select(key, "term", F.when(both, 0).otherwise(1).alias("df"), "tf", (~capital).alias("low"))
+    if has_repeats(docs, key):
+        rows = rows.groupBy(key, "term").agg(F.lit(1).alias("df"), F.sum("tf").alias("tf"), F.max("low").alias("low"))
+    sums = rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.max("low").alias("low"))
+    return sums.select(F.when(F.col("low"), F.col("term")).otherwise(F.upper("term")).alias("term"), "df", "tf")
+
+
 def canonical_forms(counts: DataFrame, stem: bool, least_entity: int = 2) -> DataFrame:
     """form, kind, term, n: the term of each form that ``counts(form, kind, tf)`` holds, stemmed if asked and folded by case.
 

@@ -283,10 +283,7 @@ def case_fallback(spark, d):
 
 @query(f"with {CASED}, low as (select distinct term from cterm where term = lower(term)), folded as (select c.doc_id, case when c.term = upper(c.term) and low.term is not null then low.term else c.term end as term from cterm c left join low on low.term = lower(c.term)) select term, count(distinct doc_id) as df, count(*) as tf from folded group by term")
 def casefold_vocabulary(spark, d):
-    freq = storage.written(_cased(spark, d).select("doc_id", "term", "tf"))
-    folds = storage.written(index.fold_case(freq.groupBy("term").agg(F.sum("tf").alias("n"))))
-    folded = joins.join_terms(freq, folds, ["term"], "n").groupBy("doc_id", "folded").agg(F.sum("tf").alias("tf"))
-    return folded.groupBy(F.col("folded").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return index.folded_vocabulary(_table(spark, d, "documents"), R.simple_tokens(F.col("text"), "[A-Za-z]+", lower=False))
 
 
 IS_TITLE = "regexp_matches({}, '^\\P{{L}}*(?:[\\p{{Lu}}\\p{{Lt}}][\\p{{Ll}}\\p{{Lo}}\\p{{Lm}}]*(?:\\P{{L}}+|$))+$')"

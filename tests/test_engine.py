@@ -313,3 +313,20 @@ def test_scores_shuffle_postings_and_not_pairs(spark):
             want[w["query_num"], d] = dot + w["w"] * x, norm + x * x, w["q_norm"]
     got = {(r["query_num"], r["doc_id"]): r["score"] for r in scores.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - dot / math.sqrt(norm) / q) < 2e-6 for k, (dot, norm, q) in want.items())
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_folded_vocabulary_is_of_one_exchange(spark, repeat):
+    """As folding all (document, term) rows, which are not shuffled now; rows that share a key are one document."""
+    rows = [(1, "NASA nasa Nasa nAsA the The THE"), (2, "NASA Uno"), (3, "UNO then thE nasas"), (4, None), (5, ""), (6, "b B Bb bB a")] + [(2, "nasa Uno b")] * repeat
+    d = docs(spark, rows)
+    tokens = simple_tokens(F.col("text"), "[A-Za-z]+", False)
+    got = index.folded_vocabulary(d, tokens)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(doc_id") == repeat and plan.count("Exchange hashpartitioning") == 1 + repeat
+    from lexora.functions.rules import capital_form
+
+    forms = index.term_frequencies(d, F.transform(tokens, capital_form))
+    folds = index.fold_case(forms.select("term").distinct())
+    want = forms.join(folds, "term").groupBy("doc_id", "folded").agg(F.sum("tf").alias("tf")).groupBy(F.col("folded").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("term", "df", "tf").collect()))
