@@ -620,8 +620,7 @@ def treebank_terms(spark, d):
 def stemmed_vocabulary(spark, d):
     freq = storage.written(_freq(spark, d))
     stems = storage.written(stem_vocabulary(index.vocabulary(freq).withColumn("stem", F.col("term")), "stem"))
-    rows = joins.join_terms(freq.select("doc_id", "term"), stems, ["term"], "df").select("doc_id", F.col("stem").alias("term")).distinct()
-    return index.vocabulary(rows, 2)
+    return index.merged_vocabulary(freq.select("doc_id", "term"), stems, "stem", 2)
 
 
 @query()

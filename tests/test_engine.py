@@ -330,3 +330,13 @@ def test_folded_vocabulary_is_of_one_exchange(spark, repeat):
     folds = index.fold_case(forms.select("term").distinct())
     want = forms.join(folds, "term").groupBy("doc_id", "folded").agg(F.sum("tf").alias("tf")).groupBy(F.col("folded").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("term", "df", "tf").collect()))
+
+
+def test_merged_vocabulary_counts_a_document_once(spark, monkeypatch):
+    """Only rows of terms that share a name meet the names."""
+    freq = storage.written(spark.createDataFrame([(1, "river"), (1, "rivers"), (2, "rivers"), (3, "sky"), (4, "sky"), (5, "once")], "doc_id long, term string"))
+    names = storage.written(index.vocabulary(freq).withColumn("stem", F.when(F.col("term") == "rivers", "river").otherwise(F.col("term"))))
+    met = []
+    monkeypatch.setattr(index, "join_terms", lambda rows, vocab, *a, **k: met.append(sorted(r["term"] for r in vocab.collect())) or joins.join_terms(rows, vocab, *a, **k))
+    assert sorted(map(tuple, index.merged_vocabulary(freq, names, "stem", 2).collect())) == [("river", 2), ("sky", 2)]
+    assert met == [["river", "rivers"]]
