@@ -175,3 +175,24 @@ def test_no_python_worker_in_the_index(spark):
         __import__("lexora.operators.index", fromlist=["x"]).written = kept
     assert {r["term"] for r in ix.vocabulary.collect()} >= {"run", "river"}
     assert len(seen) >= 4 and not [p for p in seen if "Python" in p or "Arrow" in p or "Pandas" in p]
+
+
+@pytest.mark.parametrize("hot", [5_000_000, 3])
+def test_saved_postings_need_no_join(spark, tmp_path, monkeypatch, hot):
+    """Postings are ordered by one exchange of the frequencies; terms of many rows are dealt by document too. What is saved is what postings() gives, in order in each file."""
+    from lexora.operators import index
+
+    frame = spark.createDataFrame([(i, f"apple pear w w{i % 3} only{chr(97 + i)}x") for i in range(9)], "doc_id long, text string")
+    ix = engine.build_index(frame, stem=False, **SIMPLE)
+    want = rows(ix.postings.select("term", "doc_id", "tf", "ntf"))
+    made, seen = index.ordered_postings, []
+    monkeypatch.setattr(index, "ordered_postings", lambda *a: seen.extend(made(*a, hot)) or seen)
+    storage.save(ix, f"{tmp_path}/x")
+    assert len(seen) == (2 if hot == 3 else 1)
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange rangepartitioning") == 1 == plan.count("Exchange") and "Join" not in plan
+    saved = storage.load(spark, f"{tmp_path}/x").postings
+    assert rows(saved.select("term", "doc_id", "tf", "ntf")) == want
+    for part in saved.select("term", "doc_id").rdd.glom().collect():
+        assert hot == 3 or part == sorted(part)
