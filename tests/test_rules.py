@@ -135,3 +135,21 @@ def test_skipped_words_and_edges(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = parse.parse(df, tokenizer=lambda c: F.split(c, " "), stop=[], stem=False).where("not is_entity").orderBy("pos")
     assert [r["term"] for r in got.collect()] == want
+
+
+def test_treebank_rules_find_their_mark_first(spark):
+    """No rule looks back, or takes any other letter, at every place of a text; what they do is what the plain forms do."""
+    from lexora.functions.treebank import ABBREVIATIONS, RULES
+
+    plain = [
+        (rf"(?<!\b(?:{ABBREVIATIONS}|[A-Z])\.)(?<=[.!?])([\"')\]]*)[ \t\r\n]+(?=[\"'(\[]*[A-Z0-9])", "$1\n"),
+        (r"([«“‘„]|[`]+)", " $1 "),
+        (r"(?m)([^.])(\.)([\])}>\"'»”’ ]*)[ \t]*$", "$1 $2 $3 "),
+        (r"([^' ])('[sS]|'[mM]|'[dD]|')(?= |\n|$)", "$1 $2"),
+        (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)(?= |\n|$)", "$1 $2"),
+    ]
+    assert not [p for p, _ in RULES if p.startswith(("(?<", "([^' ]", "(?m)([^.]"))]
+    text = "Dr. A. Fox said: ``Go!'' \"Now.\" He'll; she'S, they've\nI'm n't don't DON'T 'tis x's' a'd` ``b «c».  \nEnd.. of it.) 'll 've \U0001f600's \U0001f600n't U.S. [X] ok?  1."
+    for (p, put), (q, with_) in zip(plain, [RULES[k] for k in (0, 1, 5, 15, 16)]):
+        a, b = (one(spark, F.regexp_replace("t", x, y), t=text) for x, y in ((p, put), (q, with_)))
+        assert a == b != text
