@@ -9,7 +9,7 @@ from ..functions.arrays import held, run_starts, runs
 from ..functions.rules import simple_tokens
 from ..functions.stem import stem_vocabulary
 from ..plans.storage import spread, written
-from .joins import join_terms
+from .joins import join_terms, small
 
 
 def simple_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = "[a-z]+", lower: bool = True) -> DataFrame:
@@ -139,31 +139,62 @@ def merged_vocabulary(doc_terms: DataFrame, names: DataFrame, name: str, least:
     return alone.unionByName(vocabulary(shared)).where(F.col("df") >= least)
 
 
+def moves(c: Column, kind: Column) -> Column:
+    """Whether folding by case or pruning of entities may change a form or leave it out."""
+    return is_upper(c) | (kind == "e")
+
+
 def canonical_forms(counts: DataFrame, stem: bool, least_entity: int = 2) -> DataFrame:
-    """form, kind, term, n: the term of each form that ``counts(form, kind, tf)`` holds, stemmed if asked and folded by case.
+    """form, kind, term, n: the term of each form that ``counts(form, kind, tf)`` holds, stemmed if asked and folded by case. Without stems, of forms that may change alone.
 
     Stems are taken once a form, not once a token; URL terms are not stemmed. Entities that occur
     fewer than ``least_entity`` times are left out.
     """
     v = counts.groupBy("form", "kind").agg(F.sum("tf").alias("n")).where((F.col("kind") != "e") | (F.col("n") >= least_entity))
+    if not stem:
+        v = written(v)
+        some = v.where(moves(F.col("form"), F.col("kind"))).withColumn("__low", F.when(F.col("kind") != "e", F.lower("form")))
+        found = some.select("__low").distinct().join(v.select(F.col("form").alias("__low")), "__low", "left_semi").withColumn("__found", F.col("__low"))
+        return written(some.join(found, "__low", "left").select("form", "kind", F.coalesce("__found", "form").alias("term"), "n"))
     v = v.withColumn("term", F.col("form"))
-    if stem:
-        v = v.repartition(v.sparkSession.sparkContext.defaultParallelism, "form")  # stemming is the work: every core takes part
-        v = stem_vocabulary(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
+    v = v.repartition(v.sparkSession.sparkContext.defaultParallelism, "form")  # stemming is the work: every core takes part
+    v = stem_vocabulary(v.withColumn("to_stem", F.when(F.col("kind") != "u", F.col("form"))), "to_stem").withColumn("term", F.coalesce("to_stem", "form")).drop("to_stem")
     return written(fold_case(written(v)).select("form", "kind", F.col("folded").alias("term"), "n"))
 
 
+def unsure_documents(counts: DataFrame) -> DataFrame:
+    """doc_id of documents that are of several texts, or whose terms their text alone does not tell."""
+    found = counts.where(F.col("head") | F.col("top").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("top").isNull()).alias("doubt"))
+    return found.where((F.col("n") > 1) | F.col("doubt")).select("doc_id")
+
+
 def index_frequencies(counts: DataFrame, forms: DataFrame, stem: bool = True) -> DataFrame:
-    """doc_id, term, tf, max_tf, ntf, numbers, doc_length of parse_counts() rows and their canonical forms, by one exchange by document.
+    """doc_id, term, tf, max_tf, ntf, numbers, doc_length of parse_counts() rows and their canonical forms.
 
-    Without stems only forms in capitals and entities may change or go: the others are their own terms and meet no vocabulary.
+    Without stems only forms in capitals and entities may change or go: the others are their own terms and meet no vocabulary. A
+    document of one text has its sums from its own row, so its rows are not dealt by document; other documents, and stems, take one exchange.
     """
+    if stem or "top" not in counts.columns:
+        return _dealt_frequencies(counts, forms, stem)
+    unsure = written(unsure_documents(counts))
+    some = bool(unsure.limit(1).count())
+    sure = counts.join(small(unsure), "doc_id", "left_anti") if some else counts
+    columns = lambda df, term, tf, numbers: df.select("doc_id", term.alias("term"), tf.alias("tf"), numbers.alias("numbers"), "doc_length", F.col("top").alias("max_tf"))
+    own = moves(F.col("form"), F.col("kind"))
+    stay = columns(sure.where(~own), F.col("form"), F.col("tf") + F.col("more"), F.col("numbers") + F.col("more_numbers"))
+    move = columns(join_terms(sure.where(own & ~F.col("low")), forms, ["form", "kind"], "n"), F.col("term"), F.col("tf"), F.col("numbers"))
+    out = stay.unionByName(move).withColumn("ntf", F.col("tf") / F.col("max_tf"))
+    return out.unionByName(_dealt_frequencies(counts.join(small(unsure), "doc_id", "left_semi"), forms, stem)) if some else out
+
+
+def _dealt_frequencies(counts: DataFrame, forms: DataFrame, stem: bool) -> DataFrame:
+    """index_frequencies() of any rows, by one exchange by document."""
     wanted = lambda df: df.select("doc_id", "term", "tf", "numbers", "doc_length")
     if stem:
         rows = wanted(join_terms(counts, forms, ["form", "kind"], "n"))
     else:
-        moves = is_upper(F.col("form")) | (F.col("kind") == "e")
-        rows = wanted(join_terms(counts.where(moves), forms.where(moves), ["form", "kind"], "n")).unionByName(wanted(counts.where(~moves).withColumn("term", F.col("form"))))
+        own = moves(F.col("form"), F.col("kind"))
+        rows = wanted(join_terms(counts.where(own), forms.where(own), ["form", "kind"], "n")).unionByName(wanted(counts.where(~own).withColumn("term", F.col("form"))))
     merged = rows.repartition(F.col("doc_id")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.sum("numbers").alias("numbers"), F.max("doc_length").alias("doc_length"))
     return top_frequencies(merged)
 

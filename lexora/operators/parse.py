@@ -84,6 +84,9 @@ def entity_phrases(tokens: Column) -> Column:
     # only tokens with a capital are written out and pass the dearer tests; a dot parts those that are not neighbours
     cased = F.filter(F.transform(tokens, lambda t, i: F.when(F.lower(t) != t, F.struct(i.alias("i"), t.alias("t")))), lambda y: y.isNotNull())
     gap = lambda c, y, k: F.when(F.get(c, k - 1)["i"] == y["i"] - 1, "").otherwise(f".{SEP}")
+    # and only those beside another one can be of a run
+    beside = lambda c, y, k: F.coalesce(F.get(c, k - 1)["i"] == y["i"] - 1, F.lit(False)) | F.coalesce(F.get(c, k + 1)["i"] == y["i"] + 1, F.lit(False))
+    cased = let(cased, lambda c: F.filter(F.transform(c, lambda y, k: F.when(beside(c, y, k), y)), lambda y: y.isNotNull()))
     line = let(cased, lambda c: F.array_join(F.transform(c, lambda y, k: F.concat(gap(c, y, k), kind(y["t"]), y["i"].cast("string"), F.lit(":"), y["t"])), SEP))
     runs = F.regexp_extract_all(line, F.lit(f"(?<=^|{SEP})A\\d+:[^{SEP}]+(?:{SEP}[AT]\\d+:[^{SEP}]+)++"), F.lit(0))
     return F.transform(runs, lambda r: F.struct(F.regexp_extract(r, r"^A(\d+):", 1).cast("int").alias("pos"), F.regexp_replace(F.regexp_replace(r, r"^A\d+:", ""), f"{SEP}[AT]\\d+:", " ").alias("phrase")))
@@ -137,28 +140,110 @@ def parse(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop
     return out.select(key, "term", "pos", (F.col("kind") == "e").alias("is_entity"), "is_number")
 
 
+#: Follows the lower form of a word in capitals: sorted, the two stand side by side.
+CAPITAL = "\u0001"
+#: Plain words whose capitals and lower letters go back and forth: a form in capitals is the capitals of its lower form.
+REGULAR = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u0148\u014A-\u017E]"
+
+
+def _side_by_side(t: Column) -> Column:
+    """A regular word as its capital_form() in lower letters, marked if that is in capitals."""
+    first = lambda t: F.substring(t, 1, 1)
+    return F.when(F.lower(t) == t, t).when((F.upper(first(t)) == first(t)) & (F.lower(first(t)) != first(t)), F.concat(F.lower(F.upper(t)), F.lit(CAPITAL))).otherwise(F.lower(t))
+
+
+def _merged_words(items: Column) -> Column:
+    """Items of sums (form, kind, tf, numbers) as one each form: sorted by lower form, that form last of those not in capitals, those in capitals after it."""
+    base = lambda z: F.lower(z["form"])
+    order = lambda z: F.when((F.upper(z["form"]) == z["form"]) & (base(z) != z["form"]), 2).when(base(z) == z["form"], 1).otherwise(0)
+    keyed = F.sort_array(F.transform(items, lambda z: F.struct(base(z).alias("base"), order(z).alias("k"), z["form"].alias("form"), z["tf"].alias("tf"), z["numbers"].alias("numbers"))))
+    end = lambda starts, i, n: F.coalesce(F.get(starts, i + 1), n)
+
+    def summed(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i)["form"] != F.get(a, i - 1)["form"]))
+        add = lambda part, f: F.aggregate(part, F.lit(0).cast("long"), lambda x, z: x + z[f])
+        run = lambda s, n: let(F.slice(a, s + 1, n), lambda part: F.struct(*[F.get(a, s)[f].alias(f) for f in ("base", "k", "form")], add(part, "tf").alias("tf"), add(part, "numbers").alias("numbers")))
+        return let(starts, lambda starts: F.transform(starts, lambda s, i: run(s, end(starts, i, F.size(a)) - s)))
+
+    return let(keyed, summed)
+
+
 def parse_counts(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS, queries: bool = False, keep_full_tag: bool = False) -> DataFrame:
-    """parse() without stems and positions, counted as far as a text's own row allows: key, form, kind, tf, numbers, doc_length.
+    """parse() without stems and positions, counted inside a text's own row: key, form, kind, tf, numbers, doc_length, and low, more, more_numbers, top, head.
 
     kind is w for words, e for entities, u for URL terms. Plain words are sorted and counted inside
-    the row, and the terms of other tokens are made there. A form may have several
-    rows of a document, their tf adds up. Nothing is shuffled, each text is read once.
+    the row, and the terms of other tokens are made there. Nothing is shuffled, each text is read once.
     doc_length is the number of tokens left after stop words and taken tokens.
+
+    What folding by case makes of a text that is a document of its own is told here too, so it need not be dealt again:
+    ``low`` says of a form in capitals that the text has its lower form, whose ``more`` and ``more_numbers`` are what those in
+    capitals add; ``top`` is the highest sum then, whatever becomes of the other forms in capitals and of entities. It is
+    null where that is not known: two forms in capitals have one lower form, URL terms or rare spellings may be equal to words. ``head`` marks one row a text.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     item = lambda kind, form, tf=one, numbers=zero: F.struct(form.alias("form"), F.lit(kind).alias("kind"), tf.alias("tf"), numbers.alias("numbers"))
     rows = parsed_tokens(texts, key, tokenizer, stop, queries).withColumn("doc_length", F.size("t"))
-    # which tokens are plain is asked once (marks are not); the others go with what stands beside them
-    rows = held(rows, "p", F.transform("t", is_plain))
-    rows = held(rows, "w", F.sort_array(F.filter("t", lambda t, i: F.get(F.col("p"), i))))
-    rows = held(rows, "s", run_starts("w"))
-    others = F.filter(F.transform("p", lambda p, i: F.when(~p, _at(i))), lambda y: y.isNotNull())
-    words = F.filter(F.transform(runs("w", "s"), lambda r: item("w", R.capital_form(r["term"]), r["tf"].cast("long"))), lambda z: ~z["form"].isin(SKIPPED))
+    # one look at all of a text's tokens tells for most texts that they are regular; else which are is asked once (marks are not), the others go with what stands beside them
+    regular = F.array_join("t", "").rlike(f"^{REGULAR}*$") & ~F.arrays_overlap("t", F.array(*map(F.lit, SKIPPED)))
+    rows = held(rows, "p", F.when(~regular, F.transform("t", lambda t: t.rlike(f"^{REGULAR}+$") & ~t.isin(SKIPPED))))
+    plain = F.when(F.col("p").isNull(), F.col("t")).otherwise(F.filter("t", lambda t, i: F.get(F.col("p"), i)))
+    rows = held(rows, "w", F.sort_array(F.transform(plain, _side_by_side)))
+    rows = held(rows, "s", F.filter(F.transform("w", lambda w, i: F.when((i == 0) | (w != F.get(F.col("w"), i - 1)), i)), lambda i: i.isNotNull()))
     number = lambda y: F.when(is_number(y["x"]["t"]), one).otherwise(zero)
+    others = F.filter(F.transform("p", lambda p, i: F.when(~p, _at(i))), lambda y: y.isNotNull())
     ruled = F.flatten(F.transform(others, lambda y: F.transform(token_terms(y["x"], y["before"], y["after"], keep_full_tag, stop), lambda w: item("w", w, one, number(y)))))
-    phrases = F.transform(entity_phrases(F.col("t")), lambda p: item("e", p["phrase"]))
-    urls = F.transform("u", lambda u: item("u", u))
-    return rows.select(key, F.explode(F.concat(words, ruled, phrases, urls)).alias("z"), "doc_length").select(key, "z.*", "doc_length")
+    rows = held(rows, "o", F.when(F.col("p").isNotNull(), ruled))
+    merged = F.when(F.col("p").isNotNull(), F.when(F.size("o") > 0, _merged_words(F.col("o"))))
+    # runs of words, sorted, so that what stands beside one in the array is the run beside it
+    w, at, n = F.col("w"), lambda i: F.get(F.col("s"), i), F.size("w")
+    end = lambda k: F.coalesce(at(k + 1), n)
+    run = lambda s, k: _beside("w", F.get(w, s), F.lit(None).cast("string"), end(k) - s, zero, F.get(w, s - 1), F.get(w, end(k)), end(k + 1) - end(k), None)
+    rows = held(held(rows, "g", F.transform("s", run)).withColumnRenamed("m", "marks"), "m", merged)
+    # rules seldom make a form that a plain word is too; only then are all sorted together
+    clash = F.arrays_overlap(F.flatten(F.transform("m", lambda z: F.array(z["base"], F.concat(z["base"], F.lit(CAPITAL))))), w)
+    words = F.transform("g", lambda z: F.struct(_form(z["w"]).alias("form"), z["tf"].alias("tf"), z["numbers"].alias("numbers")))
+    ruled = F.transform("m", lambda z: F.struct(z["form"].alias("form"), z["tf"].alias("tf"), z["numbers"].alias("numbers")))
+    rows = held(rows, "a", F.when(F.col("m").isNull(), F.col("g")).when(~clash, F.concat("g", _in_order(F.col("m")))).otherwise(let(_merged_words(F.concat(words, ruled)), _in_order)))
+    rows = held(rows, "e", _counted_phrases(F.col("t")))
+    capitals = F.transform(F.filter("a", lambda z: z["w"].endswith(CAPITAL)), lambda z: z["w"])
+    alike = let(capitals, lambda c: F.size(F.array_distinct(c)) < F.size(c))
+    spaced = F.exists("m", lambda z: z["form"].contains(" "))
+    doubt = (F.size("u") > 0) | F.arrays_overlap("w", F.array(*map(F.lit, SKIPPED))) | F.when(F.col("m").isNotNull(), alike | (spaced & (F.size("e") > 0))).otherwise(False)
+    top = lambda a, f: F.coalesce(F.array_max(F.transform(a, f)), zero)
+    rows = held(rows, "top", let(top("a", lambda z: z["tf"] + z["more"]), lambda m: F.when(~doubt & (top("e", lambda z: z["tf"]) <= m), m)))
+    none = F.lit(None).cast("string")
+    phrases = F.transform("e", lambda z: _beside("e", none, z["form"], z["tf"], zero, none, none, zero, None))
+    urls = F.transform("u", lambda u: _beside("u", none, u, one, zero, none, none, zero, None))
+    out = rows.select(key, F.posexplode(F.when((F.size("e") > 0) | (F.size("u") > 0), F.concat("a", phrases, urls)).otherwise(F.col("a"))).alias("i", "z"), "doc_length", "top")
+    own = ["z.kind", "z.tf", "z.numbers", "doc_length", "z.low", "z.more", "z.more_numbers", "top"]
+    out = out.select(key, F.coalesce("z.form", _form(F.col("z.w"))).alias("form"), *own, (F.col("i") == 0).alias("head"))
+    return out.where((F.col("kind") != "w") | ~F.col("form").isin(SKIPPED))
+
+
+def _beside(kind: str, w: Column, form: Column, tf: Column, numbers: Column, before: Column, after: Column, more: Column, more_numbers: Column) -> Column:
+    """A form as it is sorted, itself if that does not tell, its sums, whether its lower form stands before it and what its capitals after it add."""
+    zero = F.lit(0).cast("long")
+    low = F.when(w.endswith(CAPITAL), F.coalesce(before == F.left(w, F.length(w) - 1), F.lit(False))).otherwise(False)
+    add = lambda c: F.when(after.endswith(CAPITAL), F.when(after == F.concat(w, F.lit(CAPITAL)), c.cast("long")))
+    sums = {"tf": tf.cast("long"), "numbers": numbers, "more": F.coalesce(add(more), zero), "more_numbers": zero if more_numbers is None else F.coalesce(add(more_numbers), zero)}
+    return F.struct(F.lit(kind).alias("kind"), w.alias("w"), form.alias("form"), low.alias("low"), *[c.alias(k) for k, c in sums.items()])
+
+
+def _form(w: Column) -> Column:
+    return F.when(w.endswith(CAPITAL), F.upper(F.left(w, F.length(w) - 1))).otherwise(w)
+
+
+def _in_order(merged: Column) -> Column:
+    """_merged_words() as runs of words are written."""
+    at = lambda i: F.get(merged, i)
+    w = lambda z: F.when(z["k"] == 2, F.concat(z["base"], F.lit(CAPITAL))).otherwise(z["form"])
+    return F.transform(merged, lambda z, i: _beside("w", w(z), z["form"], z["tf"], z["numbers"], w(at(i - 1)), w(at(i + 1)), at(i + 1)["tf"], at(i + 1)["numbers"]))
+
+
+def _counted_phrases(tokens: Column) -> Column:
+    """(form, tf) of each of entity_phrases()."""
+    names = F.transform(entity_phrases(tokens), lambda p: p["phrase"])
+    return let(names, lambda names: F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("form"), F.size(F.filter(names, lambda m: m == n)).cast("long").alias("tf"))))
 
 
 def parse_lengths(texts: DataFrame, key: str = "doc_id", tokenizer=treebank_tokens, stop: list[str] = STOP_WORDS) -> DataFrame:

@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import parse
+from ..operators import index, parse
+from ..operators.joins import small
 from ..plans import engine, storage
 from ..plans.storage import Index
 
@@ -75,7 +76,14 @@ def compact(spark: SparkSession, path: str) -> int:
         return number
     name, old = f"v-{uuid.uuid4().hex}", content["batches"]
     merged = _merged(spark, path, content)
-    added = merged["counts"].groupBy("doc_id", "form", "kind").agg(F.sum("tf").alias("tf"), F.sum("numbers").alias("numbers"), F.max("doc_length").alias("doc_length"))
+    # texts that are documents of their own are kept as they are; what others add up to their documents' rows tell no more
+    counts, several = merged["counts"], storage.written(index.unsure_documents(merged["counts"]))
+    added = counts
+    if several.limit(1).count():
+        sums = [F.sum("tf").alias("tf"), F.sum("numbers").alias("numbers"), F.max("doc_length").alias("doc_length")]
+        unknown = {"low": F.lit(False), "more": F.lit(0).cast("long"), "more_numbers": F.lit(0).cast("long"), "top": F.lit(None).cast("long"), "head": F.lit(False)}
+        summed = counts.join(small(several), "doc_id", "left_semi").groupBy("doc_id", "form", "kind").agg(*sums).withColumns(unknown)
+        added = counts.join(small(several), "doc_id", "left_anti").unionByName(summed)
     for t, rows in (merged | {"counts": added}).items():
         rows.write.parquet(f"{path}/{name}/{t}")
 

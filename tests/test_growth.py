@@ -196,3 +196,19 @@ def test_saved_postings_need_no_join(spark, tmp_path, monkeypatch, hot):
     assert rows(saved.select("term", "doc_id", "tf", "ntf")) == want
     for part in saved.select("term", "doc_id").rdd.glom().collect():
         assert hot == 3 or part == sorted(part)
+
+
+def test_a_text_alone_is_counted_in_its_row(spark):
+    """Documents of one text are folded without an exchange; of several texts, or with URL terms, by one. Both give what dealing all of them gives."""
+    from lexora.operators import index, parse
+
+    odd = [(20, "İstanbul istanbul ISTANBUL Straße STRASSE strasse 5K 5k 12 12 sTATUS Status"), (21, "Ab-cd AB ab 1.5K Green River Green River"), (22, "GREEN x"), (23, "Green x 12")]
+    texts = spark.createDataFrame([d for d in DOCS if d[0]] + odd, "doc_id long, text string").withColumn("url_terms", F.when(F.col("doc_id") == 22, F.array(F.lit("GREEN"), F.lit("green"))))
+    for options in (SIMPLE, {}):
+        counts = storage.written(parse.parse_counts(texts, "doc_id", **options))
+        forms = index.canonical_forms(counts, False, 2)
+        got, want = index.index_frequencies(counts, forms, False), index._dealt_frequencies(counts, forms, False)
+        assert rows(got.select(sorted(got.columns))) == rows(want.select(sorted(want.columns)))
+        assert {2, 22} <= {r[0] for r in index.unsure_documents(counts).collect()} < {r[0] for r in counts.select("doc_id").collect()}
+        alone = index.index_frequencies(counts.join(index.unsure_documents(counts), "doc_id", "left_anti").localCheckpoint(), forms, False)
+        assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
