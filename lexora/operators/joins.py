@@ -24,6 +24,12 @@ def join_terms(rows: DataFrame, vocab: DataFrame, keys: list[str], weight: str,
     that fits is broadcast whole. Both sides are read more than once, so they should be written
     tables. The heaviest are told apart by a histogram of weights, not by a sort.
     """
+    heavy, light = split_terms(rows, vocab, keys, weight, limit)
+    return heavy if light is None else light if heavy is None else heavy.unionByName(light)
+
+
+def split_terms(rows: DataFrame, vocab: DataFrame, keys: list[str], weight: str, limit: int = BROADCAST_ROWS) -> tuple[DataFrame | None, DataFrame | None]:
+    """join_terms() in two: what meets the heaviest rows where it lies, and what is shuffled to meet the rest. Either may be missing."""
     first = keys[0]
     step = F.floor(F.log2(F.greatest(F.col(weight), F.lit(1))) * 8).cast("int")
     carried = F.length(first) <= BROADCAST_CHARS
@@ -34,10 +40,10 @@ def join_terms(rows: DataFrame, vocab: DataFrame, keys: list[str], weight: str,
             break
         least, held = s, held + n
     if held == sum(n for _, n in counts):
-        return rows.join(F.broadcast(vocab.drop(weight)), keys)
+        return rows.join(F.broadcast(vocab.drop(weight)), keys), None
     if least is None:
-        return rows.join(vocab.drop(weight), keys)
+        return None, rows.join(vocab.drop(weight), keys)
     heavy = carried & (step >= least)
     head, rest = vocab.where(heavy).drop(weight), vocab.where(~heavy).drop(weight)
     light = rows.join(F.broadcast(head.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(head), keys).unionByName(light.join(rest, keys))
+    return rows.join(F.broadcast(head), keys), light.join(rest, keys)

@@ -52,7 +52,7 @@ def delete(spark: SparkSession, folder: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in a folder of its own: computed once, short plans for what reads it, and no loss with an executor."""
     path = new_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

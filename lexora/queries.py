@@ -635,9 +635,10 @@ def treebank_search(spark, d):
 def lsi_search(spark, d):
     """Nearest documents of all queries in the latent space of a saved index, which is saved and opened again."""
     folder = storage.new_folder(spark)
-    storage.save(engine.build_index(_corpus(spark, d), stem=False, **ENGINE), folder)
-    ix = storage.load(spark, folder)
-    lsi.save_space(lsi.decompose(ix), ix, f"{folder}/space")
+    built = engine.build_index(_corpus(spark, d), stem=False, **ENGINE)
+    storage.save(built, folder)
+    # the index that was built still has its rows by document
+    lsi.save_space(lsi.decompose(built), storage.load(spark, folder), f"{folder}/space")
     weights = rank.query_weights(engine.parse_queries(_questions(spark, d), stem=False, **ENGINE))
     return lsi.search(lsi.load_space(spark, f"{folder}/space"), weights, K).select("query_num", "doc_id", F.round("score", 6).alias("score"), "rnk")
 

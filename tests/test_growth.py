@@ -135,6 +135,53 @@ def test_search_in_the_latent_space(spark, tmp_path):
     assert lsi.search(none, weights, 5).count() == 0
 
 
+def test_products_of_the_latent_space_stay_in_blocks(spark, monkeypatch):
+    """A document has one row in its block and a term one sum in each: no vector goes with a cell. Against all sums by numpy, also where few terms are broadcast and few cells meet at a time, of an index that tells its frequencies or does not."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 900").select("doc_id", "text").unionAll(spark.createDataFrame([(7, "a the"), (1 << 40, "the")], "doc_id long, text string"))
+    built = engine.build_index(docs, stem=False, **SIMPLE)
+    bare = storage.Index(built.vocabulary, storage.written(built.postings), built.doc_stats, built.stats)
+    cells = lsi._cells(bare, bare.n_docs()).withColumn("h", F.xxhash64("term")).toPandas()
+    sign = 1.0 - 2.0 * ((cells["h"].to_numpy()[:, None] >> np.arange(5)) & 1)
+    left = {d: (g["x"].to_numpy()[:, None] * sign[g.index]).sum(axis=0) for d, g in cells.groupby("doc_id")}
+    whole = lsi.decompose(built, k=3, more=2, rounds=1)
+    monkeypatch.setattr(lsi, "TERMS", 60)
+    monkeypatch.setattr(lsi, "CELLS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        for ix in (built, bare):
+            coded = lsi._coded(ix, 5)
+            table, blocks, n_terms = lsi._blocks(ix, coded, 5)
+            rows, names = table.collect(), {r["term_id"]: r["term"] for r in coded.collect()}
+            of_docs, of_terms = [r for r in rows if r["doc_id"] is not None], [r for r in rows if r["doc_id"] is None]
+            assert blocks > 4 and n_terms == len(names) and len({r["block"] for r in rows}) > 4
+            assert len({r["doc_id"] for r in of_docs}) == len(of_docs) and len({(r["block"], r["term_id"]) for r in of_terms}) == len(of_terms)
+            assert {r["doc_id"] for r in of_docs if r["some"]} == set(left) and all(np.allclose(r["v"], left[r["doc_id"]], atol=1e-12) for r in of_docs if r["some"])
+            assert sorted((r["doc_id"], names[t], x, x / r["max_tf"]) for r in of_docs for t, x in zip(r["ids"], r["tfs"])) == sorted((r["doc_id"], r["term"], r["tf"], r["ntf"]) for r in bare.postings.collect())
+            sums = {}
+            for r in of_docs:
+                for t, x in zip(r["ids"], r["tfs"]):
+                    sums[r["block"], t] = sums.get((r["block"], t), 0) + x / r["max_tf"] * np.array(r["v"])
+            assert sums.keys() == {(r["block"], r["term_id"]) for r in of_terms} and all(np.allclose(r["v"], sums[r["block"], r["term_id"]], atol=1e-10) for r in of_terms)
+            space = lsi.decompose(ix, k=3, more=2, rounds=1)
+            assert np.allclose(space.values, whole.values, rtol=1e-9)
+            for a, b, key in ((space.docs, whole.docs, "doc_id"), (space.terms, whole.terms, "term")):
+                a, b = ({r[key]: np.array(r["v"]) for r in x.collect()} for x in (a, b))
+                flip = np.sign(sum(a[x] * b[x] for x in b))
+                assert a.keys() == b.keys() and all(np.allclose(a[x] * flip, b[x], atol=1e-8) for x in b)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # few cells at a time
+    monkeypatch.setattr(lsi, "AT_ONCE", 7)
+    block, rng = lsi._Block(3000, 2), np.random.default_rng(1)
+    want = np.zeros((3000, 2))
+    for n in (40, 3000):
+        t, x, doc, v = rng.integers(0, 3000, n), rng.random(n), rng.integers(0, 9, n), rng.random((9, 2))
+        block.add(t, x, doc, v)
+        np.add.at(want, t, x[:, None] * v[doc])
+    terms = np.concatenate(block.terms)
+    assert len(terms) == block.n == len(set(terms)) == (want[:, 0] > 0).sum() and np.allclose(block.sums[: block.n], want[terms])
+
+
 def test_malformed_query_lines_are_reported(spark, tmp_path, caplog):
     """Lines without a dot are named in a warning; a whole file gives none."""
     from lexora.sources import corpus as S
