@@ -259,3 +259,18 @@ def test_a_text_alone_is_counted_in_its_row(spark):
         assert {2, 22} <= {r[0] for r in index.unsure_documents(counts).collect()} < {r[0] for r in counts.select("doc_id").collect()}
         alone = index.index_frequencies(counts.join(index.unsure_documents(counts), "doc_id", "left_anti").localCheckpoint(), forms, False)
         assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_stemmed_index_are_counted_as_they_stand(spark, monkeypatch):
+    """No text's plain words take a form of their own before they meet the vocabulary; the index is that of counts by form."""
+    from lexora.operators import index, parse
+
+    odd = [(20, "İstanbul istanbul ISTANBUL Straße STRASSE strasse 5K 5k 12 12 sTATUS Status wEB web Running runs"), (21, "Ab-cd AB ab 1.5K Green River Green River river's"), (22, "GREEN x iPhone I i"), (23, "Green x 12 12 55 million"), (23, "runs Runs RUNS @user #StayHome 12")]
+    texts = spark.createDataFrame([d for d in DOCS if d[0]] + odd, "doc_id long, text string").withColumn("url_terms", F.when(F.col("doc_id") == 22, F.array(F.lit("GREEN"), F.lit("green"))))
+    counts, by_form = storage.written(parse.parse_forms(texts)), storage.written(parse.parse_counts(texts))
+    assert {"t", "w", "e", "u"} == {r["kind"] for r in counts.select("kind").distinct().collect()}
+    assert {"Running", "runs", "Runs"} <= {r["form"] for r in counts.where("kind = 't'").collect()}
+    got, want = (index.index_frequencies(c, index.canonical_forms(c, True, 2), True) for c in (counts, by_form))
+    assert rows(got.select(sorted(got.columns))) == rows(want.select(sorted(want.columns))) and got.count() > 20
+    monkeypatch.setattr(parse, "parse_counts", None)
+    assert {r["term"] for r in engine.build_index(texts).vocabulary.collect()} >= {"run", "x"}

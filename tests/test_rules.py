@@ -153,3 +153,19 @@ def test_treebank_rules_find_their_mark_first(spark):
     for (p, put), (q, with_) in zip(plain, [RULES[k] for k in (0, 1, 5, 15, 16)]):
         a, b = (one(spark, F.regexp_replace("t", x, y), t=text) for x, y in ((p, put), (q, with_)))
         assert a == b != text
+
+
+def test_treebank_rules_are_tried_where_a_mark_asks(spark):
+    """Rules that find no mark of theirs are left out; tokens are those of all rules in turn."""
+    from functools import reduce
+
+    from lexora.functions.treebank import MARKS, ORDINARY, RULES
+
+    assert len(MARKS) == len(RULES) and len(ORDINARY) < len(RULES) / 3
+    texts = ["", " \n", "Plain words, here. Mr. Fox cannot go. You gotta. ", "a,b 1,5, c,\nd.\n E. f", "cannot xcannot cannotx CanNot gimme LEMME wanna. gonna, gOtTa canno _gonna éwanna"]
+    texts += [f"Aa cannot{m}b. {m}C{m} d, {m}{m}e." for m in ["«", "“", "`", "\"", "'", "''", "»", "’", ":", "..", ";", "@", "#", "&", "?", "!", "(", "]", "<", "--", "-", "d'ye ", "more'n ", " 'tis "]]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.filter(F.split(reduce(lambda t, rule: F.regexp_replace(t, *rule), RULES, F.col("t")), r"[ \t\r\n\f]+"), lambda x: x != "")
+    got = d.select("t", treebank_tokens(F.col("t")).alias("a"), every.alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == got[1]["a"] == []
+    assert got[4]["a"] == "can not xcannot cannotx Can Not gim me LEM ME wan na. gon na , gOt Ta canno _gonna éwanna".split()
