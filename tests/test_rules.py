@@ -169,3 +169,17 @@ def test_treebank_rules_are_tried_where_a_mark_asks(spark):
     got = d.select("t", treebank_tokens(F.col("t")).alias("a"), every.alias("b")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] == got[1]["a"] == []
     assert got[4]["a"] == "can not xcannot cannotx Can Not gim me LEM ME wan na. gon na , gOt Ta canno _gonna éwanna".split()
+
+
+def test_a_mark_alone_passes_no_rule(spark):
+    """Single marks, the most frequent of the tokens that are not plain, give no term by any branch; they are asked first."""
+    import string
+
+    marks = " ".join(string.punctuation)
+    for before, after in (("", ""), ("5 ", " million"), ("$ ", " 7")):
+        df = spark.createDataFrame([(k, f"{before}{m}{after}") for k, m in enumerate(marks.split()) if m not in "@#"], "doc_id long, text string")
+        got = {r["term"] for r in parse.parse(df, tokenizer=lambda c: F.split(c, " "), stop=[], stem=False).collect()}
+        assert not got & {*string.punctuation} and "" not in got
+    x = F.struct(F.lit("%").alias("t"), F.lit(".").alias("f"), F.lit(None).cast("string").alias("n"))
+    tree = str(parse.token_terms(x, F.lit(""), F.lit(""))).lower()
+    assert 0 < tree.index("'|', '}', '~')") < tree.index("rlike")
